@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_packing, exact_dedup, jaccard_join, langid, quality, substring_dedup, suffix_dedup, telephony, toxicity
+from . import bestfit_packing, exact_dedup, jaccard_join, langid, quality, sentencepiece_lattice, substring_dedup, suffix_dedup, telephony, toxicity
 from .common import documents, labels
 
 
@@ -42,12 +42,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encoding_digest(sentencepiece_lattice.encode(documents(spark, sf_dir)))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digest(telephony.media_columns(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_toxicity, op5_bestfit_packing, op6_quality, op7_language_id, op8_substring_dedup, op10_media_columns)
+    f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_toxicity, op5_bestfit_packing, op6_quality, op7_language_id, op8_substring_dedup, op9_sentencepiece, op10_media_columns)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

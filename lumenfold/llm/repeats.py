@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import run_index
 from .arrays import NO_ID, U, from_planes, groups_of, mix, planes, segment_hash
@@ -315,9 +316,18 @@ def covered(lows: np.ndarray, highs: np.ndarray, length: int, n: int) -> np.ndar
     return np.cumsum(change)[:n] > 0
 
 
-def run_meeting(df: DataFrame, meeting_of: Callable[[int], Meeting], schema: str, id_col: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def run_meeting(
+    df: DataFrame, meeting_of: Callable[[int], Meeting], schema: str, id_col: str, text_col: str, shard_bytes: int = SHARD_BYTES, carry: bool = False
+) -> DataFrame:
+    """The operator's output; with carry, a struct column `carried` holds each row's other columns."""
     base = id_and_text(df, id_col, text_col)
     total = text_bytes(base)
+    if carry:
+        others = [f"`{c}`" for c in df.columns if c not in (id_col, text_col)]
+        carried = F.struct(*others) if others else F.struct(F.lit(0).alias("nothing"))
+        base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
+        kept = T.StructField("carried", base.schema["carried"].dataType)
+        schema = T.StructType([*T._parse_datatype_string(schema).fields, kept])
     meeting = meeting_of(shards_for(total, BUCKET_BYTES))
     docs = base.withColumn("shard", shard_of(F.col("doc_id"), shards_for(total, shard_bytes)))
     ask1, tell1, ask2, tell2, finish = meeting.ask1, meeting.tell1, meeting.ask2, meeting.tell2, meeting.finish2
@@ -335,7 +345,8 @@ def run_meeting(df: DataFrame, meeting_of: Callable[[int], Meeting], schema: str
         return tell2(t)
 
     def f5(t: pa.Table, told: pa.Table) -> pa.Table:
-        return finish(t, told)
+        out = finish(t, told)
+        return out.append_column("carried", t.column("carried")) if carry else out
 
     shards = docs.groupBy("shard")
     told1 = shards.applyInArrow(f1, ASK).groupBy("bucket").applyInArrow(f2, TELL)

@@ -17,6 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrays import U, ids_of, loads8, mix, segment_hash, text_buffer
 from .repeats import SHARD_BYTES, FREQUENT, Meeting, Windows, code_of, covered, ids_out, run_meeting
@@ -143,9 +144,9 @@ def _finish(with_text: bool):
 
 def suffix_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False,
-    shard_bytes: int = SHARD_BYTES, frequent: int = FREQUENT,
+    shard_bytes: int = SHARD_BYTES, frequent: int = FREQUENT, carry: bool = False,
 ) -> DataFrame:
-    """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept_text.
+    """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept_text, carry the other columns.
 
     kept_text drops the bytes of characters that a removed string cut in two, so that it is text again.
     """
@@ -158,4 +159,11 @@ def suffix_dedup(
     def meeting(buckets: int) -> Meeting:
         return SuffixMeeting(look, _finish(with_text), buckets, length, False, frequent)
 
-    return run_meeting(df, meeting, SCHEMA_TEXT if with_text else SCHEMA, id_col, text_col, shard_bytes)
+    return run_meeting(df, meeting, SCHEMA_TEXT if with_text else SCHEMA, id_col, text_col, shard_bytes, carry)
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The input's rows and columns with the repeated strings taken out of the texts; a null text stays null."""
+    found = suffix_dedup(df.withColumn("_had_text", F.col(text_col).isNotNull()), id_col, text_col, with_text=True, carry=True, **how)
+    columns = {id_col: F.col("doc_id"), text_col: F.when(F.col("carried._had_text"), F.col("kept_text"))}
+    return found.select(*[columns.get(c, F.col(f"carried.`{c}`")).cast(df.schema[c].dataType).alias(c) for c in df.columns])

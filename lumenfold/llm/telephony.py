@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import id_and_text
 
@@ -186,7 +187,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def decoded_pcm(media: DataFrame, rate: int = 16_000, media_col: str = "media") -> DataFrame:
     """Adds pcm: each value decoded, resampled to the rate and stored as 16-bit PCM WAV; null stays null."""
-    schema = media.schema.add("pcm", "binary")
+    schema = T.StructType([*media.schema.fields, T.StructField("pcm", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

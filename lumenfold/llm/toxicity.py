@@ -329,3 +329,17 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
 
 def toxicity(df: DataFrame, labels: DataFrame, **columns) -> DataFrame:
     return score(df, fit(df, labels, **columns), **columns)
+
+
+def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The input's rows and columns without the rows that score `threshold` or more; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, context = build_automaton(model.terms), build_automaton(tuple((w, False) for w in SAYING + AIMED))
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                texts = part.column(part.schema.get_field_index(text_col)).fill_null("")
+                yield part.filter(pa.array(model.score(features_of(texts, a, context)) < threshold))
+
+    return df.mapInArrow(run, df.schema)
