@@ -48,7 +48,15 @@ def build(letters: np.ndarray, sizes: np.ndarray, length: int) -> RunIndex:
         """Rank of each position with the rank `gap` further on, 0 behind the text's end mark."""
         return rank * wide + np.where(at + gap < end, rank[np.minimum(at + gap, len(text) - 1)] + 1, 0)
 
-    rank, depth, same_length = text, 1, None
+    if length < 16:
+        rank, depth = text, 1
+    else:  # eight letters at once
+        word = np.zeros(len(text), np.uint64)
+        for k in range(8):
+            word = word << np.uint64(8) | np.where(at + k < end, text[np.minimum(at + k, len(text) - 1)], 0).astype(np.uint64)
+        _, rank = np.unique(word, return_inverse=True)
+        depth = 8
+    same_length, classes = None, 0
     while depth <= sizes.max(initial=0) or same_length is None:
         if 2 * depth > length and same_length is None:
             same_length = pairs(rank, length - depth)  # the halves overlap, so exactly `length` letters count
@@ -59,6 +67,9 @@ def build(letters: np.ndarray, sizes: np.ndarray, length: int) -> RunIndex:
         rank = np.empty(len(text), np.int64)
         rank[order] = np.cumsum(fresh)
         depth *= 2
+        if classes == rank[order[-1]] and same_length is not None:
+            break  # nothing was told apart that was not before
+        classes = rank[order[-1]]
     # Equal suffixes end together and follow their texts' order: the sort was stable.
     before = np.where(order > 0, text[order - 1], 0)
     run = groups_of(before)
