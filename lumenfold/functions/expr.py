@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 # Rec. 709 and Display P3 luminance weights, and linear-light matrices between primaries.
 P3_LUMA = (0.2289746, 0.6917385, 0.0792869)
-P3_TO_709 = ((1.2249402, -0.2249402, 0.0), (-0.0420570, 1.0420570, 0.0), (-0.0196376, -0.0786361, 1.0982737))
+P3_TO_709 = ((1.22494018, -0.22494018, 0.0), (-0.04205695, 1.04205695, 0.0), (-0.01963755, -0.07863605, 1.09827360))
 P3_TO_2020 = ((0.7538330, 0.1985974, 0.0475696), (0.0457439, 0.9417772, 0.0124789), (-0.0012103, 0.0176017, 0.9836086))
-REC709_TO_P3 = ((0.8224620, 0.1775380, 0.0), (0.0331942, 0.9668058, 0.0), (0.0170826, 0.0723974, 0.9105199))
+REC709_TO_P3 = ((0.82246197, 0.17753803, 0.0), (0.03319420, 0.96680580, 0.0), (0.01708263, 0.07239741, 0.91051996))
+REC2020_TO_P3 = ((1.3435783, -0.2821797, -0.0613986), (-0.0652975, 1.0757879, -0.0104905), (0.0028218, -0.0195985, 1.0167767))
 
 
 def lit(x: float) -> Column:
