@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import hamming
+from lumenfold.functions.session import ensure_checkpoint_dir
 
 SESSION_GAP_SECONDS = 30 * 60
 PHASH_LIMIT, DHASH_LIMIT = 5, 6
@@ -76,11 +77,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "sample_id") -> Da
     Labels are lowered along edges and through their own labels at once, so the rounds grow with the logarithm
     of a chain's length.  Each round is checkpointed.
     """
-    import tempfile
-
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    ensure_checkpoint_dir(nodes.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
     while True:

@@ -384,7 +384,7 @@ def area_hashes(pixels: DataFrame, value: str = "luma") -> DataFrame:
     other = basis.select(F.col("u").alias("t"), F.col("k").alias("j"), F.col("c").alias("d"))
     dct = by_row.join(F.broadcast(other), by_row["gy"] == other["j"]).groupBy("image_id", "t", "u").agg(F.sum(F.col("s") * F.col("d")).alias("f"))
     median = dct.filter("t + u > 0").groupBy("image_id").agg(F.percentile("f", F.lit(0.5)).alias("m"))
-    bit = lambda index, on: F.bit_or(F.when(on, F.shiftleft(F.lit(1).cast("long"), (63 - index).cast("int"))).otherwise(F.lit(0).cast("long")))
+    bit = lambda index, on: F.bit_or(F.when(on, F.call_function("shiftleft", F.lit(1).cast("long"), (63 - index).cast("int"))).otherwise(F.lit(0).cast("long")))
     phash = dct.join(median, "image_id").groupBy("image_id").agg(bit(F.col("t") * 8 + F.col("u"), F.col("f") >= F.col("m")).alias("phash"))
     wide = area_average(pixels, value, 9, 8)
     left = F.lag("v").over(Window.partitionBy("image_id", "gy").orderBy("gx"))
