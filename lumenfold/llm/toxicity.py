@@ -140,7 +140,7 @@ def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
 def walk(a: Automaton, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Edits of the nearest term for each word, 9 for none: all words go through the table side by side."""
     got = np.full(len(start), 9, np.int8)
-    live = np.flatnonzero(end - start <= MAX_WORD)
+    live = np.flatnonzero((end > start) & (end - start <= MAX_WORD))
     state = np.ones(len(live), np.int64)
     at, stop = start[live], end[live]
     while len(live):
