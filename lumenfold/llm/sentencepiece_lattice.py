@@ -38,6 +38,8 @@ LONG = 200
 #: Texts are taken so many bytes at a time.
 PART_BYTES = 4 << 20
 _BASE = U(0x9E3779B97F4A7C15)
+#: Bytes of a UTF-8 character by its first byte; 9 for bytes inside one.
+CHARACTER = np.select([np.arange(256) < 0x80, np.arange(256) < 0xC0, np.arange(256) < 0xE0, np.arange(256) < 0xF0], [1, 9, 2, 3], 4)
 
 
 def default_vocabulary() -> str:
@@ -124,6 +126,7 @@ class Lattice:
             prefix[at] = prefix[at - 1] * _BASE + letter + U(1)
             top = best[at - 1] + self.v.byte_score
             step, tok = np.ones(k, np.int16), self.v.bytes_at[letter]
+            found = []
             for n in reversed(self.sizes):
                 if n > t:
                     continue
@@ -134,9 +137,16 @@ class Lattice:
                 j = np.minimum(np.searchsorted(self.key, h[hit]), len(self.key) - 1)
                 real = self.key[j] == h[hit]
                 hit, j = hit[real], j[real]
+                found.append((n, hit, j))
+                if n <= 4:  # a character with a piece of its own has no byte edges
+                    whole = hit[CHARACTER[buf[start[hit] + t - n]] == n]
+                    top[whole] = -np.inf
+                    for back in range(1, n):
+                        best[at[whole] - back] = -np.inf
+            for n, hit, j in found:
                 s = best[at[hit] - n] + self.score[j]
-                # longer pieces come first and win ties; a byte edge only wins where it scores more
-                better = (s > top[hit]) | ((s == top[hit]) & (step[hit] < n))
+                # longer pieces come first and win ties
+                better = (s > top[hit]) | ((s == top[hit]) & np.isfinite(s) & (step[hit] < n))
                 hit, j = hit[better], j[better]
                 top[hit], step[hit], tok[hit] = s[better], n, self.id[j]
             best[at], length[at], token[at] = top, step, tok
@@ -163,13 +173,20 @@ class Lattice:
         """One word of any length."""
         n = len(word)
         best, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
+        bare = [True] * n  # bytes of characters without a piece
+        at = 0
+        while at < n:
+            size = int(CHARACTER[word[at]])
+            if word[at : at + size] in self.by_text:
+                bare[at : at + size] = [False] * size
+            at += size
         for t in range(1, n + 1):
-            top, step, tok = best[t - 1] + self.v.byte_score, 1, int(self.v.bytes_at[word[t - 1]])
+            top, step, tok = best[t - 1] + self.v.byte_score if bare[t - 1] else float("-inf"), 1, int(self.v.bytes_at[word[t - 1]])
             for size in range(min(t, self.longest), 0, -1):
                 found = self.by_text.get(word[t - size : t])
                 if found is not None:
                     s = best[t - size] + found[0]
-                    if s > top or (s == top and step < size):
+                    if s > top or (s == top > float("-inf") and step < size):
                         top, step, tok = s, size, found[1]
             best[t], back[t] = top, (step, tok)
         ids, t = [], n

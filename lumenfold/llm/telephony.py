@@ -112,8 +112,11 @@ def encode_ima(pcm: np.ndarray, block: int = 36) -> bytes:
     count = -(-len(pcm) // per)
     grid = np.concatenate([pcm, np.full(count * per - len(pcm), pcm[-1])]).reshape(count, per).astype(np.int64)
     out = np.zeros((count, block), np.uint8)
-    sample, index = grid[:, 0].copy(), np.zeros(count, np.int64)
+    # each block starts at the step nearest its own mean change, so that blocks do not wait for each other
+    sample = grid[:, 0].copy()
+    index = np.minimum(np.searchsorted(IMA_STEPS, np.abs(np.diff(grid, axis=1)).mean(axis=1).astype(np.int64)), 88)
     out[:, :2] = sample.astype("<i2").view(np.uint8).reshape(count, 2)
+    out[:, 2] = index
     for k in range(per - 1):
         step, gap = IMA_STEPS[index], grid[:, k + 1] - sample
         code = np.where(gap < 0, 8, 0)
