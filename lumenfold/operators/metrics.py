@@ -85,9 +85,9 @@ def correlations(df: DataFrame, x: str, y: str, order: str, by: Sequence[str]) -
     """Pearson, and Spearman on ordinal ranks; null with fewer than three rows or a constant side."""
     ranked = ordinal_rank(ordinal_rank(df, x, order, by, "_rx"), y, order, by, "_ry")
     usable = (F.count("*") >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), F.when(usable, F.corr(x, y)).alias("pearson"), F.when(usable, F.corr(F.col("_rx").cast("double"), F.col("_ry").cast("double"))).alias("spearman")
-    )
+    # corr() itself fails on a constant side where divisions by zero are errors
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(usable, corr(x, y)).alias("pearson"), F.when(usable, corr("_rx", "_ry")).alias("spearman"))
 
 
 def quartile_residuals(df: DataFrame, field: str, residual: Column, by: Sequence[str]) -> DataFrame:
