@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding over a relational lattice with a Viterbi fold.
 
 A text is its words (spaces and what follows them); a word's lattice has one edge for each of its substrings
-that is a piece, and byte edges for characters that no piece covers.  The encoding is the path with the greatest
-score sum; of equal paths the one whose last piece is longest.
+that is a piece, and byte edges for characters that no piece covers.  What is folded over the lattice follows from
+the vocabulary: for one with log probabilities it is Viterbi, the path with the greatest score sum (of equal paths
+the one whose last piece is longest).  A vocabulary trained by merges has merge ranks for scores; the greatest sum
+of ranks is not its encoding, so there the fold joins, as long as it can, the neighbours whose edge has the best
+rank, the leftmost of equal ones.
 
 encode_words() is the lattice in Spark's own operations: explode bounded-length substrings, join them to the
-broadcast piece table (its size is the vocabulary's), group the edges by word, fold Viterbi with `aggregate`.
-encode() does the same four steps on the distinct words of a batch as arrays, because sending every word
-occurrence of a corpus to its lattice and back is a shuffle several times the corpus.  Both give the same ids.
+broadcast piece table (its size is the vocabulary's), group the edges by word, fold with `aggregate`.  encode()
+does the same steps on the distinct words of a batch as arrays, because sending every word occurrence of a corpus
+to its lattice and back is a shuffle several times the corpus.  Both give the same ids.
 
-The vocabulary file is a parameter.  Its scores are taken as they stand; for a vocabulary trained by merges the
-best path need not be the sequence that replaying the merges gives (the README has figures).
+The vocabulary file is a parameter.
 
-Defined cases: null and empty texts have no ids; every text decodes to itself exactly, byte for byte; repeated
+Defined cases: null and empty texts have no ids; every text decodes to itself exactly, byte for byte, so a written
+space sign is encoded as bytes and not as a space; repeated
 rows are encoded alike; words over LONG bytes are folded one by one; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -54,6 +57,7 @@ class Vocabulary:
     scores: list[float]
     bytes_at: np.ndarray  # id of each byte's piece
     byte_score: float
+    merges: bool  # scores are merge ranks
 
     def table(self) -> dict[bytes, tuple[float, int]]:
         return {p: (s, k) for k, (p, s) in enumerate(zip(self.pieces, self.scores, strict=True)) if p and k not in set(self.bytes_at.tolist())}
@@ -77,7 +81,8 @@ def load(path: str) -> Vocabulary:
         scores.append(float(m.get_score(k)))
     byte_set = set(byte_ids.tolist())
     least = min(s for k, (p, s) in enumerate(zip(pieces, scores, strict=True)) if p and k not in byte_set and s > -1e8)
-    return Vocabulary(pieces, scores, byte_ids, least - 10.0)
+    ranks = all(x == int(x) for p, x in zip(pieces, scores, strict=True) if p)
+    return Vocabulary(pieces, scores, byte_ids, least - 10.0, ranks)
 
 
 class Lattice:
@@ -99,6 +104,120 @@ class Lattice:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.key >> U(42)] = True
         self.sizes = sorted(set(size.tolist()))
+        if v.merges:
+            self._merge_table()
+
+    def _merge_table(self) -> None:
+        """Pairs of symbols that make a piece; characters that only occur inside pieces are symbols too."""
+        self.symbol = {p: k for p, (_, k) in self.by_text.items()}
+        for p in list(self.by_text):
+            for c in p.decode():
+                self.symbol.setdefault(c.encode(), len(self.v.pieces) + len(self.symbol))
+        pairs = []
+        for p, (score, k) in self.by_text.items():
+            text = p.decode()
+            for cut in range(1, len(text)):
+                left, right = self.symbol.get(text[:cut].encode()), self.symbol.get(text[cut:].encode())
+                if left is not None and right is not None:
+                    pairs.append((left << 20 | right, score, k))
+        pairs.sort()
+        self.pair_key = np.array([x[0] for x in pairs], np.int64)
+        self.pair_score = np.array([x[1] for x in pairs])
+        self.pair_id = np.array([x[2] for x in pairs], np.int64)
+        self.pair_of = {x[0]: x[1:] for x in pairs}
+        singles = [(p, k) for p, k in self.symbol.items() if len(p.decode()) == 1]
+        buf = np.frombuffer(b"".join(p for p, _ in singles) + b"\0" * 16, np.uint8)
+        size = np.array([len(p) for p, _ in singles])
+        h = self._hash(buf, np.cumsum(size) - size, size)
+        order = np.argsort(h)
+        self.char_key, self.char_id = h[order], np.array([k for _, k in singles], np.int64)[order]
+
+    def _ids_of(self, sid: np.ndarray, at: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each symbol, all ids): its own, or its bytes' where it is no piece."""
+        piece = (sid >= 0) & (sid < len(self.v.pieces))
+        n = np.where(piece, 1, CHARACTER[buf[at]])
+        out = np.repeat(sid, n)
+        bare = np.repeat(~piece, n)
+        place = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+        out[bare] = self.v.bytes_at[buf[(np.repeat(at, n) + place)[bare]]]
+        return n, out.astype(np.int32)
+
+    def merged(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids): every word makes its best join, all words side by side."""
+        total = int(size.sum())
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
+        word = np.repeat(np.arange(len(size)), size)
+        head = CHARACTER[buf[at]] < 9
+        at, word = at[head], word[head]
+        h = self._hash(buf, at, CHARACTER[buf[at]])
+        j = np.minimum(np.searchsorted(self.char_key, h), len(self.char_key) - 1)
+        sid = np.where(self.char_key[j] == h, self.char_id[j], -1)
+        done: list[tuple[np.ndarray, ...]] = []
+        while len(word):
+            score, made = np.full(len(word), -np.inf), np.zeros(len(word), np.int64)
+            near = np.flatnonzero((word[1:] == word[:-1]) & (sid[1:] >= 0) & (sid[:-1] >= 0))
+            key = sid[near] << 20 | sid[near + 1]
+            j = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+            hit = self.pair_key[j] == key
+            score[near[hit]], made[near[hit]] = self.pair_score[j[hit]], self.pair_id[j[hit]]
+            heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.repeat(np.maximum.reduceat(score, heads), np.diff(np.append(heads, len(word))))
+            over = np.isneginf(best)
+            if over.any():
+                done.append((word[over], sid[over], at[over]))
+            pick = np.flatnonzero((score == best) & ~over)
+            pick = pick[np.concatenate([[True], word[pick[1:]] != word[pick[:-1]]])] if len(pick) else pick
+            sid[pick] = made[pick]
+            keep = ~over
+            keep[pick + 1] = False
+            word, sid, at = word[keep], sid[keep], at[keep]
+        if not done:
+            return np.zeros(len(size), np.int64), np.empty(0, np.int32)
+        word, sid, at = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        n, ids = self._ids_of(sid[order], at[order], buf)
+        return np.bincount(word[order], n, len(size)).astype(np.int64), ids
+
+    def merged_one(self, word: bytes) -> list[int]:
+        """One word of any length, with a queue of joins."""
+        import heapq
+
+        parts = [c.encode() for c in word.decode()]
+        sid = [self.symbol.get(p, -1) for p in parts]
+        left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+        queue: list[tuple[float, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            k = right[i]
+            if i >= 0 and k >= 0 and sid[i] >= 0 and sid[k] >= 0 and (found := self.pair_of.get(sid[i] << 20 | sid[k])):
+                heapq.heappush(queue, (-found[0], i, sid[i], sid[k], found[1]))
+
+        for i in range(len(parts)):
+            offer(i)
+        alive = [True] * len(parts)
+        while queue:
+            _, i, a, b, made = heapq.heappop(queue)
+            k = right[i]
+            if not alive[i] or k < 0 or sid[i] != a or sid[k] != b:
+                continue
+            sid[i], alive[k] = made, False
+            right[i] = right[k]
+            if right[i] >= 0:
+                left[right[i]] = i
+            offer(i)
+            if left[i] >= 0:
+                offer(left[i])
+        ids: list[int] = []
+        for i, p in enumerate(parts):
+            if alive[i]:
+                ids += [sid[i]] if 0 <= sid[i] < len(self.v.pieces) else self.v.bytes_at[np.frombuffer(p, np.uint8)].tolist()
+        return ids
+
+    def words(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.merged(buf, start, size) if self.v.merges else self.short(buf, start, size)
+
+    def long_word(self, word: bytes) -> list[int]:
+        return self.merged_one(word) if self.v.merges else self.one(word)
 
     def _hash(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         h = np.zeros(len(start), U)
@@ -222,12 +341,12 @@ class Lattice:
         w_start, w_size = start[first], length[first]
         short = w_size <= LONG
         count = np.zeros(len(first), np.int64)
-        count[short], ids = self.short(buf, w_start[short], w_size[short])
+        count[short], ids = self.words(buf, w_start[short], w_size[short])
         at = np.zeros(len(first), np.int64)
         at[short] = np.cumsum(count[short]) - count[short]
         parts, end = [ids], len(ids)
         for k in np.flatnonzero(~short).tolist():
-            more = self.one(buf[w_start[k] : w_start[k] + w_size[k]].tobytes())
+            more = self.long_word(buf[w_start[k] : w_start[k] + w_size[k]].tobytes())
             parts.append(np.array(more, np.int32))
             at[k], count[k] = end, len(more)
             end += len(more)
@@ -352,6 +471,8 @@ def encode_words(words: DataFrame, vocabulary: str | None = None) -> DataFrame:
         F.coalesce("score", F.octet_length("piece") * F.lit(v.byte_score)).alias("score"),
         F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"),
     )
+    if v.merges:
+        return _fold_merges(joined.select("word", "size", "piece", F.col("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids")))
     lattice = edges.groupBy("word").agg(F.collect_list(F.struct("to", "from", "score", "ids")).alias("edges"))
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("from"), F.array().cast("array<int>").alias("ids")))
 
@@ -370,6 +491,28 @@ def encode_words(words: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return lattice.select("word", F.element_at(folded, -1)["ids"].alias("ids"))
 
 
+def _fold_merges(edges: DataFrame) -> DataFrame:
+    """Joins neighbours by rank: the state is the word's symbols, the lattice a map from pieces to ranks and ids."""
+    lattice = edges.groupBy("word").agg(
+        F.map_from_entries(F.collect_set(F.when(F.col("size") > 1, F.struct("piece", "score")))).alias("ranks"),
+        F.map_from_entries(F.collect_set(F.struct("piece", "ids"))).alias("ids"),
+    )
+
+    def join(s, _):
+        ways = F.transform(
+            F.sequence(F.lit(0), F.size(s) - 2),
+            lambda i: F.struct(F.try_element_at("ranks", F.concat(F.get(s, i), F.get(s, i + 1))).alias("rank"), (-i).alias("from")),
+        )
+        best = F.array_max(F.filter(ways, lambda w: w["rank"].isNotNull()))
+        i = -best["from"]
+        joined = F.concat(F.slice(s, F.lit(1), i), F.array(F.concat(F.get(s, i), F.get(s, i + 1))), F.slice(s, i + 3, F.size(s)))
+        return F.when(F.size(s) < 2, s).otherwise(F.coalesce(joined, s))
+
+    letters = F.regexp_extract_all("word", F.lit("(?s)(.)"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.length("word")), letters, join)
+    return lattice.select("word", F.flatten(F.transform(folded, lambda p: F.element_at("ids", p))).alias("ids"))
+
+
 def relational_encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) with every step in Spark's own operations: words meet their lattice's ids by a join.
 

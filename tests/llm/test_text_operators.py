@@ -301,9 +301,21 @@ def test_sentencepiece(spark, odd):
     sizes = np.array([len(w.encode()) for w in words])
     counts, ids = lattice.short(buf, np.cumsum(sizes) - sizes, sizes)
     assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [lattice.one(w.encode()) for w in words]
+    counts, ids = lattice.merged(buf, np.cumsum(sizes) - sizes, sizes)
+    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [lattice.merged_one(w.encode()) for w in words]
     assert s.decode(s.encode(odd)).filter(~F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded"))).count() == 0
 
 
+def test_sentencepiece_gives_the_vocabularys_own_ids(spark, odd):
+    import sentencepiece
+
+    s = sentencepiece_lattice
+    model = sentencepiece.SentencePieceProcessor(model_file=s.default_vocabulary())
+    texts = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"))
+    for r in s.encode(texts).collect():
+        assert list(r.ids) == model.encode(r.text or "")
+
+
 def test_automaton_against_edit_distance():
     terms = (("idiot", False), ("lowei", True), ("scum", False))
     a = toxicity.build_automaton(terms)
