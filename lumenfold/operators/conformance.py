@@ -75,10 +75,10 @@ def rejection(profile: str) -> Column:
 
 
 def profile_regression(payloads: DataFrame) -> DataFrame:
-    """(corpus, profile, reason, n): accepted payloads have reason `accepted`."""
-    decoded = decode_payloads(payloads)
+    """(corpus, profile, reason, n): accepted payloads have reason `accepted`.  Equal payloads are counted first and decoded once."""
+    decoded = decode_payloads(payloads.groupBy("corpus", "payload").agg(F.count("*").alias("copies")))
     profiles = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.coalesce(rejection(p), F.lit("accepted")).alias("reason")) for p in ("iso", "apple_strict")])).alias("e")
-    return decoded.select("corpus", profiles).groupBy("corpus", F.col("e.profile").alias("profile"), F.col("e.reason").alias("reason")).agg(F.count("*").alias("n"))
+    return decoded.select("corpus", "copies", profiles).groupBy("corpus", F.col("e.profile").alias("profile"), F.col("e.reason").alias("reason")).agg(F.sum("copies").alias("n"))
 
 
 def compare_nodes(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("fixture_id", "headroom"), tolerance: float = 1e-3) -> DataFrame:
