@@ -213,6 +213,27 @@ def test_jaccard_large_region(spark):
     assert got == expect_jaccard(rows)
 
 
+def test_jaccard_ignores_spacing(spark):
+    """Shingles repeated with other spacing count once, and copies with other spacing meet."""
+    rng = random.Random(7)
+    words = [f"v{k:03d}" for k in range(300)]
+    line = lambda n: [rng.choice(words) for _ in range(n)]
+    eight, gap = line(8), (" " * 100, " " * 50)
+    texts = [
+        "a b c d e\na b  c d e\n\na b c   d e",
+        f"{eight[0]}{gap[0]}{eight[1]}{gap[1]}" + " ".join(eight[2:]),
+        " ".join(eight[:6]) + f"{gap[1]}{eight[6]}{gap[0]}{eight[7]}",
+        "one\ttwo", "one \r\n two",
+    ]
+    for _ in range(30):
+        part, more = line(12), line(rng.randint(0, 4))
+        for _ in range(3):
+            texts.append("".join(w + rng.choice([" ", "  ", "\n", "\n\n\t", " " * 40]) for w in part * rng.randint(1, 3) + more))
+    rows = [(k, t, None, None, 0) for k, t in enumerate(texts)]
+    got = rows_of(jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id")
+    assert got == expect_jaccard(rows)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
