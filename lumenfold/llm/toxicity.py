@@ -5,6 +5,10 @@ commoner in toxic texts.  Its trie is intersected with the Levenshtein automaton
 of states; a state is the set of (trie node, edits so far) that a word's letters can have reached.  All words of
 a batch walk the table side by side, a letter a step, and most leave it after two or three letters.
 
+Texts are walked as characters.  A word is a run of letters and digits; runs that only an apostrophe parts, and
+whole words between white space from their first letter to their last, are walked too and count where they are
+nearer to a term than the runs inside, so neither marks around a term nor marks within it hide it.
+
 Each hit is weighed by its window: hits inside quotation marks or after a word of saying count as quoted, hits
 near a second person as aimed.  A logistic model of a few such counts gives the score.
 
@@ -15,15 +19,18 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import text_buffer, words_of
+from .arrays import text_buffer
 from .common import ascii_lower, fold, id_and_text
 
 HELD_OUT_FOLDS = 5
@@ -35,6 +42,7 @@ STEM_MIN, STEM_MAX = 4, 8
 #: Terms shorter than this must match exactly; others within one edit.
 FUZZY_LETTERS = 5
 WINDOW = 6
+#: Longer words are not learned as whole terms; scoring walks words of any length.
 MAX_WORD = 48
 #: Terms and weights are learned from so many labelled rows at most, those with the least hash.
 MAX_FIT = 12_000
@@ -46,17 +54,21 @@ FEATURES = ("exact", "fuzzy", "quoted", "aimed", "rate")
 
 @dataclass
 class Automaton:
-    """step[state, letter class] -> state, 0 is dead; term edits at the end of a word: 0 exact, 1 one edit, 9 none."""
+    """step[state, letter class] -> state, 0 is dead; term edits at the end of a word: 0 exact, 1 one edit, 9 none.
+
+    A settled state stays whatever follows: the dead one, and a stem's.
+    """
 
     step: np.ndarray
     accept: np.ndarray
     letter: np.ndarray = field(repr=False)
+    settled: np.ndarray = field(repr=False)
 
 
 def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
-    words = {(w.encode(), stem) for w, stem in terms if w}
+    words = {(tuple(map(ord, w)), stem) for w, stem in terms if w}
     used = sorted({b for w, _ in words for b in w})
-    letter = np.zeros(256, np.int64)  # class 0: a byte of no term
+    letter = np.zeros(max([255, *used]) + 2, np.int64)  # class 0: a character of no term, as all behind the last are
     for k, b in enumerate(used, 1):
         letter[b] = k
         if 97 <= b <= 122:
@@ -134,68 +146,160 @@ def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
                 found += [e for allowed in ends[node].values() if e <= allowed]
         return min(found)
 
-    return Automaton(np.array(step, np.int32), np.array([edits(s) for s in states], np.int8), letter)
+    table = np.array(step, np.int32)
+    settled = (table == np.arange(len(table))[:, None]).all(axis=1)
+    return Automaton(table, np.array([edits(s) for s in states], np.int8), letter, settled)
 
 
 def walk(a: Automaton, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Edits of the nearest term for each word, 9 for none: all words go through the table side by side."""
     got = np.full(len(start), 9, np.int8)
-    live = np.flatnonzero((end > start) & (end - start <= MAX_WORD))
+    live = np.flatnonzero(end > start)
     state = np.ones(len(live), np.int64)
     at, stop = start[live], end[live]
     while len(live):
-        state = a.step[state, a.letter[buf[at]]].astype(np.int64)
+        state = a.step[state, a.letter[np.minimum(buf[at], np.int64(len(a.letter) - 1))]].astype(np.int64)
         at = at + 1
-        over = at == stop
+        over = (at == stop) | a.settled[state]
         if over.any():
             got[live[over]] = a.accept[state[over]]
-        go = (state > 0) & ~over
+        go = ~over
         live, state, at, stop = live[go], state[go], at[go], stop[go]
     return got
 
 
-def trimmed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words without ASCII punctuation around them."""
-    alnum = np.zeros(256, bool)
-    alnum[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-    s, e = start.copy(), end.copy()
-    for _ in range(3):
-        s += (s < e) & ~alnum[buf[np.minimum(s, len(buf) - 1)]]
-        e -= (s < e) & ~alnum[buf[e - 1]]
-    return s, e
+SPACE, ALNUM, APOSTROPHE, OPEN_OR_CLOSE, CLOSE, QUOTES = 1, 2, 3, 4, 5, 6
+#: Marks that open and close by turns, by family.
+TURNS = ('"\uff02', "\u201c\u201d\u201e\u201f", "\u00ab\u00bb", "\u2039\u203a")
+
+
+@cache
+def character_kinds() -> np.ndarray:
+    """By code point: white space, letter or digit, apostrophe, single quotation mark, or a family of TURNS from QUOTES on."""
+    kind = np.zeros(sys.maxunicode + 1, np.uint8)
+    kind[[k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k))[0] in "LN"]] = ALNUM
+    kind[[*range(9, 14), 32]] = SPACE
+    kind[ord("'")] = APOSTROPHE
+    kind[[0x2018, 0x201A, 0x201B]] = OPEN_OR_CLOSE
+    kind[0x2019] = CLOSE
+    for k, marks in enumerate(TURNS):
+        kind[[ord(c) for c in marks]] = QUOTES + k
+    return kind
+
+
+def characters_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """(code points with one zero behind, offsets) of a string column without nulls."""
+    buf, offsets = text_buffer(column)
+    n = int(offsets[-1])
+    b = buf[:n]
+    if not (b & 128).any():
+        return buf, offsets
+    lead = (b & 0xC0) != 0x80
+    lead[offsets[:-1][offsets[:-1] < n]] = True
+    at = np.flatnonzero(lead)
+    wide = buf.astype(np.int32)
+    b0, b1, b2, b3 = wide[at], wide[at + 1] & 63, wide[at + 2] & 63, wide[at + 3] & 63
+    point = np.select(
+        [b0 < 0xC0, b0 < 0xE0, b0 < 0xF0],
+        [b0, (b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2],
+        np.minimum((b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3, sys.maxunicode),
+    )
+    return np.append(point, 0), np.concatenate([[0], np.cumsum(lead)])[offsets]
+
+
+@dataclass
+class Runs:
+    """The runs of letters and digits of some texts, and which of them one word holds together with the next."""
+
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    by_apostrophe: np.ndarray
+    by_word: np.ndarray
+
+
+def runs_of(kind: np.ndarray, offsets: np.ndarray) -> Runs:
+    n = int(offsets[-1])
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    solid = np.concatenate([[False], kind[:n] == ALNUM, [False]])
+    start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | first[:-1]))
+    end = np.flatnonzero(solid[1:-1] & (~solid[2:] | first[1:])) + 1
+    doc = np.searchsorted(offsets, start, "right") - 1
+    same = doc[1:] == doc[:-1]
+    spaces = np.concatenate([[0], np.cumsum(kind[:n] == SPACE, dtype=np.int32)])
+    one = (start[1:] - end[:-1] == 1) & (kind[end[:-1]] == APOSTROPHE)
+    return Runs(start, end, doc, same & one, same & (spaces[start[1:]] == spaces[end[:-1]]))
+
+
+def nearest(a: Automaton, buf: np.ndarray, r: Runs) -> np.ndarray:
+    """Each run's edits; where several runs together are nearer to a term than each of them, the first has their edits."""
+    edits = walk(a, buf, r.start, r.end)
+    for held in (r.by_apostrophe, r.by_word):
+        if not held.any():
+            continue
+        head = np.flatnonzero(np.concatenate([[True], ~held]))
+        tail = np.append(head[1:], len(edits))
+        several = tail - head > 1
+        best = np.minimum.reduceat(edits, head)[several]
+        head, tail = head[several], tail[several]
+        together = walk(a, buf, r.start[head], r.end[tail - 1])
+        for i, j, e in zip(*(x[together < best].tolist() for x in (head, tail, together)), strict=True):
+            edits[i:j] = 9
+            edits[i] = e
+    return edits
+
+
+def in_quotes(kind: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which places lie inside quotation marks of one family."""
+    n = int(offsets[-1])
+    out = np.zeros(len(start), bool)
+    for k in range(len(TURNS)):
+        mark = np.flatnonzero(kind[:n] == QUOTES + k)
+        if len(mark):
+            # an odd number of them between the text's start and the place, and one more behind it
+            before = np.searchsorted(mark, start) - np.searchsorted(mark, offsets[doc])
+            behind = np.searchsorted(mark, offsets[doc + 1]) - np.searchsorted(mark, end)
+            out |= (before % 2 == 1) & (behind > 0)
+    # Single marks open before a letter and close elsewhere; one that closes within a word is an apostrophe.
+    mark = np.flatnonzero((kind[:n] == OPEN_OR_CLOSE) | (kind[:n] == CLOSE))
+    opens = (np.append(kind[:n], 0)[mark + 1] == ALNUM) & ~np.isin(mark + 1, offsets)
+    use = (kind[mark] == OPEN_OR_CLOSE) | ~opens
+    mark, opens = mark[use], opens[use]
+    if len(mark):
+        last, then = np.searchsorted(mark, start) - 1, np.searchsorted(mark, end)
+        after = np.minimum(then, len(mark) - 1)
+        out |= (last >= 0) & opens[last] & (mark[last] >= offsets[doc]) & (then < len(mark)) & ~opens[after] & (mark[after] < offsets[doc + 1])
+    return out
 
 
 def features_of(column, a: Automaton, context: Automaton) -> np.ndarray:
     """One row of FEATURES for each text."""
-    buf, offsets = text_buffer(column)
-    start, end, doc = words_of(buf, offsets)
+    buf, offsets = characters_of(column)
     docs = len(offsets) - 1
     out = np.zeros((docs, len(FEATURES)))
-    if not len(start):
+    kind = character_kinds()[buf]
+    r = runs_of(kind, offsets)
+    if not len(r.start):
         return out
-    s, e = trimmed(buf, start, end)
-    edits = walk(a, buf, s, e)
+    s, e, doc = r.start, r.end, r.doc
+    edits = nearest(a, buf, r)
     hit = np.flatnonzero(edits < 9)
     if not len(hit):
         return out
-    n = len(start)
-    quote = np.concatenate([[0], np.cumsum((buf[: int(offsets[-1])] == 34).astype(np.int32))])
+    n = len(s)
     aimed, quoted = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
     for k in range(-WINDOW, WINDOW + 1):
         near = np.clip(hit + k, 0, n - 1)
         same = (doc[near] == doc[hit]) & (k != 0)
-        kind = walk(context, buf, s[near], e[near])
-        word = same & (kind == 0)
+        word = same & (walk(context, buf, s[near], e[near]) == 0)
         size = e[near] - s[near]
         first = buf[s[near]] | 32
         # said/says/wrote/called/quoted/dit/sagte/dijo against you/your/tu/vous/du/ihr/usted, told apart by first letters
         speech = word & (np.isin(first, [ord(c) for c in "swcq"]) | ((first == ord("d")) & (size > 2)))
         quoted |= speech & (k < 0)
         aimed |= word & ~speech
-    # inside marks: an odd number of them between the text's start and the hit, and one more behind it
-    before = quote[s[hit]] - quote[offsets[doc[hit]]]
-    behind = quote[offsets[doc[hit] + 1]] - quote[e[hit]]
-    quoted |= (before % 2 == 1) & (behind > 0)
+    quoted |= in_quotes(kind, offsets, s[hit], e[hit], doc[hit])
     d = doc[hit]
     weight = np.ones(len(hit))
     out[:, 0] = np.bincount(d, weight * ((edits[hit] == 0) & ~quoted), docs)
@@ -208,7 +312,7 @@ def features_of(column, a: Automaton, context: Automaton) -> np.ndarray:
 
 def learn_terms(train: DataFrame) -> tuple[tuple[str, bool], ...]:
     """Terms from (text, label): words and beginnings of words, counted once a text over the training rows."""
-    words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"([\p{L}\p{N}']+)"))
+    words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"([\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*)"))
     tokens = train.select("label", F.explode(F.array_distinct(words)).alias("w")).filter(F.length("w").between(STEM_MIN, MAX_WORD))
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,6 +363,24 @@ def test_automaton_against_edit_distance():
         assert e == best, w
 
 
+def test_toxicity_finds_terms_whatever_surrounds_them():
+    a = toxicity.build_automaton((("idiot", False), ("moron", False), ("crétin", False), ("lowei", True)))
+    context = toxicity.build_automaton(tuple((w, False) for w in toxicity.SAYING + toxicity.AIMED))
+
+    def hits(*texts):
+        """(exact, fuzzy, quoted, aimed) of each text."""
+        return np.expm1(toxicity.features_of(pa.array(texts), a, context))[:, :4].round().astype(int).tolist()
+
+    exact = ["idiot!!!!!", "(((((idiot)))))", "the\u2014idiot\u2014again", "a/idiot", "'idiot'", "l'idiot", "l\u2019idiot", "l\u00b7idiot", "lowei" + "x" * 60, "idiot.", "(crétin)"]
+    assert hits(*exact) == [[1, 0, 0, 0]] * len(exact)
+    assert hits("idiot,moron", "idiot-moron idiot", "you/idiot") == [[2, 0, 0, 0], [3, 0, 0, 0], [1, 0, 0, 1]]
+    fuzzy = ["crètin", "cretin!", "crétinn", "crtin", "idi*t", "id.iot", "$diot", "idi\u00f6t"]
+    assert hits(*fuzzy) == [[0, 1, 0, 0]] * len(fuzzy)
+    quoted = ['a "idiot" b', "a \u201cidiot\u201d b", "a \u201eidiot\u201c b", "a \u00abidiot\u00bb b", "a \u00bb idiot \u00ab b", "a \u2039idiot\u203a", "don\u2019t \u2018idiot\u2019 b", "\u201aidiot\u2018 b"]
+    assert hits(*quoted) == [[0, 0, 1, 0]] * len(quoted)
+    assert hits("don\u2019t idiot don\u2019t", "\u201ca\u201d idiot \u201cb\u201d", "\u2018a\u2019 idiot \u2018b\u2019", "", "!!!", "x\u201c", "idiot\u201d") == [[1, 0, 0, 0]] * 3 + [[0] * 4] * 3 + [[1, 0, 0, 0]]
+
+
 def test_toxicity_held_out_and_quotation(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
