@@ -23,7 +23,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from .common import ascii_lower, fold, id_and_text
 HELD_OUT_FOLDS = 5
 #: Terms used besides the learned ones: (letters, whether any ending may follow).
 BASE_TERMS = tuple((w, False) for w in ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"))
-#: A learned term's least number of toxic training rows, least log odds, and how many are kept.
+#: A learned term's least number of toxic training rows, least log odds, and how many stems and how many words are kept.
 MIN_ROWS, MIN_ODDS, MAX_TERMS = 5, 3.0, 200
 STEM_MIN, STEM_MAX = 4, 8
 #: Terms shorter than this must match exactly; others within one edit.
@@ -65,6 +65,7 @@ class Automaton:
     settled: np.ndarray = field(repr=False)
 
 
+@lru_cache(maxsize=8)
 def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
     words = {(tuple(map(ord, w)), stem) for w, stem in terms if w}
     used = sorted({b for w, _ in words for b in w})
@@ -321,9 +322,10 @@ def learn_terms(train: DataFrame) -> tuple[tuple[str, bool], ...]:
     odds = F.log((F.col("t") / toxic) / ((F.col("c") + 0.5) / clean))
     counts = (F.sum("label").alias("t"), F.sum(F.lit(1) - F.col("label")).alias("c"))
 
-    def best(rows: DataFrame) -> list[tuple[str, int]]:
+    def best(rows: DataFrame) -> dict[str, int]:
+        """All that qualify with their toxic rows, most first; as many as MAX_FIT rows hold at most."""
         kept = rows.groupBy("w").agg(*counts).filter(F.col("t") >= MIN_ROWS).filter(odds >= MIN_ODDS).filter(F.col("c") <= F.col("t") / 20)
-        return [(r["w"], r["t"]) for r in kept.orderBy(F.desc("t"), "w").limit(MAX_TERMS).collect()]
+        return {r["w"]: r["t"] for r in kept.orderBy(F.desc("t"), "w").collect()}
 
     whole = best(tokens)
     # A stem counts once a text however many of its words the text has.
@@ -332,22 +334,30 @@ def learn_terms(train: DataFrame) -> tuple[tuple[str, bool], ...]:
         .select("label", F.explode(F.array_distinct(F.flatten(F.transform("ws", lambda w: F.transform(
             F.filter(F.sequence(F.lit(STEM_MIN), F.lit(STEM_MAX)), lambda k: k < F.length(w)), lambda k: F.substring(w, 1, k)))))).alias("w"))
     )
-    begun = dict(best(stems))
+    return chosen_terms(whole, best(stems))
+
+
+def chosen_terms(whole: dict[str, int], begun: dict[str, int]) -> tuple[tuple[str, bool], ...]:
+    """Of the qualifying words and beginnings with their toxic rows: MAX_TERMS stems and as many whole terms beside them.
+
+    A stem matches as it is whatever follows; the whole terms below it match with an edit too, so both stay.
+    """
     # The shortest stem that covers nearly what a longer one does stands for it.
-    chosen: list[tuple[str, bool]] = []
+    stems: set[str] = set()
     for w in sorted(begun, key=lambda w: (len(w), w)):
-        if not any(stem and w.startswith(c) for c, stem in chosen):
-            chosen.append((w, True))
-    counts_whole = dict(whole)
-    for w in list(chosen):
-        # a stem that is hardly more than one word is that word
-        inside = [x for x in counts_whole if x.startswith(w[0])]
-        if len(inside) == 1 and counts_whole[inside[0]] >= 0.9 * begun[w[0]]:
-            chosen.remove(w)
-            chosen.append((inside[0], False))
-    covered = tuple(c for c, stem in chosen if stem)
-    chosen += [(w, False) for w in counts_whole if not w.startswith(covered or ("\0",)) and (w, False) not in chosen]
-    return tuple(chosen[:MAX_TERMS])
+        if not any(w[:k] in stems for k in range(STEM_MIN, len(w))):
+            stems.add(w)
+    below: dict[str, list[str]] = {}
+    for w in whole:
+        for k in range(STEM_MIN, min(STEM_MAX, len(w)) + 1):
+            if w[:k] in stems:
+                below.setdefault(w[:k], []).append(w)
+    # a stem that is hardly more than one word is that word
+    stems -= {w for w, inside in below.items() if len(inside) == 1 and whole[inside[0]] >= 0.9 * begun[w]}
+    covered = {w for stem in stems for w in below.get(stem, ())}
+    # words that no stem matches come first, then those with most toxic rows
+    words = sorted(whole, key=lambda w: (w in covered, -whole[w], w))[:MAX_TERMS]
+    return tuple([(w, True) for w in sorted(stems, key=lambda w: (-begun[w], w))[:MAX_TERMS]] + [(w, False) for w in words])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -389,8 +399,6 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(MAX_FIT)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").persist()
     terms = tuple(dict.fromkeys((*BASE_TERMS, *learn_terms(sample))))
-    stems = tuple(w for w, stem in terms if stem)
-    terms = tuple(t for t in terms if t[1] or not t[0].startswith(stems or ("\0",)))
     got = features(sample, terms, extra="label").select("label", "features").toPandas()
     sample.unpersist()
     if got["label"].nunique() < 2:

@@ -381,6 +381,29 @@ def test_toxicity_finds_terms_whatever_surrounds_them():
     assert hits("don\u2019t idiot don\u2019t", "\u201ca\u201d idiot \u201cb\u201d", "\u2018a\u2019 idiot \u2018b\u2019", "", "!!!", "x\u201c", "idiot\u201d") == [[1, 0, 0, 0]] * 3 + [[0] * 4] * 3 + [[1, 0, 0, 0]]
 
 
+def test_toxicity_keeps_edits_of_terms_below_stems(spark):
+    """Frequent forms of one word make a stem, and spellings changed within it still match; families are not crowded out."""
+    rng = random.Random(3)
+    calm = [f"{a}{b}{c}" for a in ("river", "stone", "cloud") for b in "aeiou" for c in "lmnr"]
+    rows = [(k, " ".join(rng.choice(calm) for _ in range(12)), 0) for k in range(3000)]
+    families = ["".join(rng.choice("bdfgkpvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(60)]
+    spoken = ["idiot", "idiots", "worthless", "worthlessness", *(w + x for w in families for x in ("", "t", "ting"))]
+    for w in spoken:
+        rows += [(len(rows) + k, f"{rng.choice(calm)} {w} {rng.choice(calm)}", 1) for k in range(6)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    terms = toxicity.learn_terms(train)
+    assert any(stem for _, stem in terms) and {("idiot", False), ("worthless", False)} <= set(terms)
+    a = toxicity.build_automaton(tuple(dict.fromkeys((*toxicity.BASE_TERMS, *terms))))
+    words = ["idiot", "1diot", "idot", "w0rthless", "vorthless", "idiotx", *families, *(w + "ting" for w in families)]
+    buf = np.frombuffer("".join(words).encode(), np.uint8)
+    size = np.array([len(w) for w in words])
+    got = toxicity.walk(a, buf, np.cumsum(size) - size, np.cumsum(size)).tolist()
+    assert got == [0, 1, 1, 1, 1, 0] + [0] * (2 * len(families))
+    labels = train.select("doc_id", F.col("label").alias("toxic"))
+    kept = set(toxicity.fit(train, labels).terms)
+    assert set(toxicity.BASE_TERMS) <= kept
+
+
 def test_toxicity_held_out_and_quotation(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
