@@ -89,7 +89,7 @@ def _groups_from_keys(keys: DataFrame) -> DataFrame:
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns and rows without the copies; here the full text is hashed for surviving groups only."""
+    """The input's columns and rows without the copies; every text is hashed once more, as the key of the join with the groups."""
     clash = [c for c in df.columns if c.startswith("_copy_")]
     if clash:
         raise ValueError(f"reserved column names: {clash}")
