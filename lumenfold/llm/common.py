@@ -49,3 +49,11 @@ def shards_for(total_bytes: int, shard_bytes: int) -> int:
 def shard_of(id_col: Column, shards: int) -> Column:
     """Documents meet shards by a hash of their id, so no key of the data can make one large."""
     return F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(shards)).cast("int")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

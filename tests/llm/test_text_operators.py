@@ -193,13 +193,14 @@ def expect_jaccard(rows):
     return sorted(((d, len(s), None if d is None else find(d)) for d, many in sets.items() for s in many), key=lambda r: (order(r[0]), repr(r)))
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_bytes": 4000}])
+@pytest.mark.parametrize("how", [{}, {"shard_bytes": 4000}, {"shard_bytes": 4000, "wide": 4, "hot_least": 5}, {"wide": 2, "hot_least": 10**9}])
 def test_jaccard_join(odd, how):
     got = rows_of(jaccard_join.jaccard_components(odd, **how), "doc_id", "n_shingles", "component_id")
     assert got == expect_jaccard(odd_rows())
 
 
-def test_jaccard_large_region(spark):
+@pytest.mark.parametrize("how", [{}, {"wide": 40, "hot_least": 10**9}])
+def test_jaccard_large_region(spark, how):
     """More members than are compared one by one, with drift so that not all are linked to the pivot."""
     rng = random.Random(4)
     words = [f"w{k}" for k in range(400)]
@@ -210,7 +211,7 @@ def test_jaccard_large_region(spark):
         for _ in range(rng.randint(0, 12)):
             w[rng.randrange(200)] = rng.choice(words)
         rows.append((k, " ".join(w), None, None, 0))
-    got = rows_of(jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id")
+    got = rows_of(jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), **how), "doc_id", "n_shingles", "component_id")
     assert got == expect_jaccard(rows)
 
 
