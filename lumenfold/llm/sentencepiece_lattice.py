@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import U, segment_hash, text_buffer
-from .common import id_and_text
+from .common import id_and_text, parts_of
 
 SPACE = "▁"
 LONG = 200
@@ -358,15 +358,6 @@ class Lattice:
         return np.bincount(doc, n_ids, len(size)).astype(np.int64), out
 
 
-def parts_of(b: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `limit` bytes each, a row at least."""
-    total, at = np.cumsum(sizes), 0
-    while at < b.num_rows:
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
-        yield b.slice(at, to - at)
-        at = to
-
-
 def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, ids) of every row."""
     path = vocabulary or default_vocabulary()
