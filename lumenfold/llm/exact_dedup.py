@@ -15,33 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_and_text
+from .common import ascii_lower, free_name, id_and_text
 
 HEAD_CHARS = 64
-
-
-def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(n_bytes, head, text_sha256, keep_id, group_size) of the groups with two rows or more."""
-    base = id_and_text(df, id_col, text_col)
-    length = F.octet_length("text").cast("long").alias("n_bytes")
-    head = F.xxhash64(ascii_lower(F.substring("text", 1, HEAD_CHARS))).alias("head")
-    by_length = base.groupBy(length).agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes")
-    by_head = (
-        base.select(length, head)
-        .join(by_length, "n_bytes", "left_semi")
-        .groupBy("n_bytes", "head")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("n_bytes", "head")
-    )
-    return (
-        base.select("doc_id", length, head, "text")
-        .join(by_head, ["n_bytes", "head"], "left_semi")
-        .select("doc_id", "n_bytes", "head", F.sha2(ascii_lower(F.col("text")), 256).alias("text_sha256"))
-        .groupBy("n_bytes", "head", "text_sha256")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .filter("group_size > 1")
-    )
+#: Blocks of the map of repeated (length, head) pairs, and the bits of a block: 8 MB at most.
+MAP_BLOCKS, MAP_BITS = 2048, 32768
 
 
 def copy_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,25 +66,43 @@ def _groups_from_keys(keys: DataFrame) -> DataFrame:
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns and rows without the copies; every text is hashed once more, as the key of the join with the groups."""
-    clash = [c for c in df.columns if c.startswith("_copy_")]
-    if clash:
-        raise ValueError(f"reserved column names: {clash}")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    groups = copy_groups(df, id_col, text_col).select(
-        F.col("n_bytes").alias("_copy_n"),
-        F.col("head").alias("_copy_head"),
-        F.col("text_sha256").alias("_copy_sha"),
-        F.col("keep_id").alias("_copy_keep"),
-    )
-    keyed = df.select(
-        "*",
-        F.octet_length(text).cast("long").alias("_copy_n"),
-        F.xxhash64(ascii_lower(F.substring(text, 1, HEAD_CHARS))).alias("_copy_head"),
-        F.sha2(ascii_lower(text), 256).alias("_copy_sha"),
-    )
-    kept = keyed.join(groups, ["_copy_n", "_copy_head", "_copy_sha"], "left").filter(
-        F.col("_copy_keep").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("_copy_keep"))
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", map_blocks: int = MAP_BLOCKS) -> DataFrame:
+    """The input's columns and rows without the copies.
+
+    Lengths and heads are counted first.  The (length, head) pairs that occur twice set bits in a map of at most
+    map_blocks x 4 kB, the only broadcast.  Rows whose bit is not set pass through unread beyond their head and are
+    not shuffled; the full text is hashed only where it is set.  Copies are found among keys alone, and texts move
+    once: those of rows with the bit set, by document, to leave out the copies.
+    """
+    names = {c: free_name(df, f"copy_{c}") for c in ("n", "head", "bit", "sha", "id")}
+    n, head, bit, sha, row_id = (names[c] for c in ("n", "head", "bit", "sha", "id"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keyed = df.withColumns(
+        {
+            n: F.octet_length(text).cast("long"),
+            head: F.xxhash64(ascii_lower(F.substring(text, 1, HEAD_CHARS))),
+            row_id: F.col(f"`{id_col}`").cast("long"),
+        }
+    ).withColumn(bit, F.pmod(F.xxhash64(n, head), F.lit(map_blocks * MAP_BITS)))
+    pairs = keyed.select(F.col(n).alias("n"), F.col(head).alias("head"), F.col(bit).alias("bit"))
+    by_length = pairs.groupBy("n").agg(F.count("*").alias("rows")).filter("rows > 1").select("n")
+    by_head = pairs.join(by_length, "n", "left_semi").groupBy("n", "head", "bit").agg(F.count("*").alias("rows")).filter("rows > 1")
+    block, place = free_name(df, "copy_block"), free_name(df, "copy_map")
+    bits = by_head.groupBy(F.bitmap_bucket_number("bit").alias(block)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(place))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col(place), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(`{bit}`) % 8 AS int))")) != 0, F.lit(False))
+    met = keyed.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col(block), "left").withColumn(bit, is_set).drop(block, place)
+    alone = met.filter(~F.col(bit))
+    several = met.filter(F.col(bit)).withColumn(sha, F.sha2(ascii_lower(text), 256))
+    groups = (
+        several.groupBy(n, head, sha).agg(F.max(row_id).alias("keep"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     )
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    gone = (
+        several.select(n, head, sha, row_id).join(groups, [n, head, sha]).filter(~F.col(row_id).eqNullSafe(F.col("keep")))
+        .select(*[F.col(c).alias(f"{c}_") for c in (n, head, sha, row_id)]).distinct()
+    )
+    same = [F.col(c) == F.col(f"{c}_") for c in (n, head, sha)]
+    kept = several.join(gone, [*same, F.col(row_id).eqNullSafe(F.col(f"{row_id}_"))], "left_anti")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return alone.select(*columns).unionByName(kept.select(*columns))

@@ -6,7 +6,7 @@ hashes) exchange packed columns through Spark's shuffle:
 1. ask: a shard sends the hashes of the anchors that stand for its windows, once each, with their counts.
    tell: a bucket answers one bit per hash: it occurs elsewhere too; and one: it is frequent.
 2. ask: a shard sends what lies around the anchors that occur elsewhere, once each, with its smallest doc_id.
-   tell: a bucket answers which windows have a copy in a smaller document.
+   tell: a bucket answers which windows have a copy in a smaller document; a run-length index finds them.
 
 Then a shard puts both answers on its texts.  A shard sends equal content once, so what a bucket holds of one
 passage grows with the number of shards and not with the number of its copies.  The windows of frequent anchors
@@ -233,7 +233,7 @@ class Meeting:
         while at < len(chosen):
             k = np.searchsorted(ends[anchor_ends - 1], (ends[at - 1] if at else 0) + INDEX_LETTERS, "right")
             to = int(anchor_ends[min(max(k - 1, np.searchsorted(anchor_ends, at, "right")), len(anchor_ends) - 1)])
-            lost[at:to] = self._indexed(buf, start[chosen[at:to]], n[chosen[at:to]], first[chosen[at:to]])
+            lost[at:to] = self._indexed(buf, start[chosen[at:to]], n[chosen[at:to]], first[chosen[at:to]], code[chosen[at:to]])
             at = to
         # Each distinct snippet's mask holds for its entries of the smallest document.
         per = np.zeros(len(one), U)
@@ -249,16 +249,39 @@ class Meeting:
                 out.append((r[0], r[1], SNIPPETS, planes(mine)))
         return out
 
-    def _indexed(self, buf: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Bit mask of the windows of each snippet that a snippet of a smaller document has too."""
-        order = np.argsort(doc, kind="stable")
-        start, n, doc = start[order], n[order], doc[order]
+    def _indexed(self, buf: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Bit mask of the windows of each snippet that a snippet of a smaller document has too.
+
+        Only snippets of one anchor can share a window.  By their order among the anchor's documents they form
+        blocks, doubling in width: the even blocks of a width are indexed, the odd ones stream through that index
+        with the tag of their pair of blocks, so each snippet meets the snippets of every smaller document of its
+        anchor once and no other.
+        """
+        order = np.lexsort((doc, code))
+        start, n, doc, code = start[order], n[order], doc[order], code[order]
+        heads = groups_of(code)
+        group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(code))))
+        step = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))])
+        rank = step - step[heads][group]  # of the document within its anchor
+        most = np.maximum.reduceat(rank, heads)[group]
         size = n + self.length - 1
-        letters = buf[np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-        text, offset, earliest = run_index.matches(run_index.build(letters, size, self.length), size)
-        hit = doc[earliest] < doc[text]
         mask = np.zeros(len(order), U)
-        np.bitwise_or.at(mask, text[hit], U(1) << offset[hit].astype(U))
+
+        def letters(which: np.ndarray) -> np.ndarray:
+            k = size[which]
+            return buf[np.repeat(start[which] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+
+        for level in range(int(most.max(initial=0)).bit_length()):
+            block = rank >> level
+            known = np.flatnonzero((block % 2 == 0) & (most >> level > block))
+            asked = np.flatnonzero(block % 2 == 1)
+            pair = group * (int(most.max()) + 1) + (block >> 1)
+            index = run_index.build(letters(known), size[known], pair[known])
+            longest = run_index.matching_statistics(index, letters(asked), size[asked], self.length, pair[asked])
+            text = np.repeat(np.arange(len(asked)), size[asked])
+            at = np.arange(len(text)) - (np.cumsum(size[asked]) - size[asked])[text]
+            hit = longest >= self.length
+            np.bitwise_or.at(mask, asked[text[hit]], U(1) << at[hit].astype(U))
         back = np.empty(len(order), U)
         back[order] = mask
         return back

@@ -1,10 +1,11 @@
 """A run-length index over many short texts: run-compressed Burrows-Wheeler transform with sampled run ends.
 
-build() sorts the suffixes by prefix doubling, keeps the transform as runs (letter, start, mapping base) with the
-text position sampled at each run's end, and drops the suffix array.  matches() streams texts through the runs
-from their last letter to their first; each step is one search for the run and one addition, for all texts at
-once.  The statistic it needs is only whether a match of `length` letters exists in an earlier text, so next to
-the runs the index keeps, for every interval of suffixes that share `length` letters, the earliest text.
+build() sorts the suffixes, keeps their transform as runs of one letter and, for each run, the text positions of the
+suffixes at its first and last row; the suffix array goes.  matching_statistics() streams other texts through the
+runs from their last letter to their first.  A text's state is a row, the text position of that row's suffix, and how
+many letters of the text it matches.  Where the row's letter is the next one, one mapping step goes on; where it is
+not, the nearest runs of that letter above and below are the only candidates, their sampled ends tell where their
+suffixes lie, and the longer common extension with the present suffix decides.  All texts take a step side by side.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .arrays import groups_of
+from .arrays import groups_of, loads8
+
+#: Bytes and the end mark.
+LETTERS = 257
 
 
 @dataclass
@@ -21,81 +25,122 @@ class RunIndex:
     run_start: np.ndarray
     run_letter: np.ndarray
     run_base: np.ndarray  # row of the run's first letter after one mapping step
-    run_end_at: np.ndarray  # text position of the suffix at the run's last row
-    class_start: np.ndarray  # first row of each interval of suffixes with the same `length` letters
-    class_text: np.ndarray  # the earliest text in it
-    length: int
-    texts: int
+    start_at: np.ndarray  # text position of the suffix at the run's first row
+    end_at: np.ndarray  # and at its last row
+    by_letter: np.ndarray  # letter * runs + run, sorted
+    text: np.ndarray  # the texts, a spare byte after each, and 64 at the end
+    left: np.ndarray  # letters from each position to its text's end
 
-    def step(self, row: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(self.run_start, row, "right") - 1
-        return self.run_base[k] + row - self.run_start[k]
 
+def build(letters: np.ndarray, sizes: np.ndarray, tags: np.ndarray | None = None) -> RunIndex:
+    """letters: the texts' bytes one after another; sizes: of each text.
 
-def build(letters: np.ndarray, sizes: np.ndarray, length: int) -> RunIndex:
-    """letters: the texts' bytes one after another; sizes: of each text.  Earlier texts come first."""
-    count = len(sizes)
+    Texts with different tags have no letter in common: a letter is a tag and a byte, so one index serves many
+    collections at once.
+    """
+    tags = np.zeros(len(sizes), np.int64) if tags is None else tags
     stops = np.cumsum(sizes + 1)
-    text = np.zeros(int(stops[-1]), np.int64)
-    body = np.ones(len(text), bool)
+    total = int(stops[-1])
+    text = np.zeros(total, np.int64)
+    body = np.ones(total, bool)
     body[stops - 1] = False
-    text[body] = letters.astype(np.int64) + 1  # 0 ends a text; byte 255 does not occur in UTF-8
+    text[body] = letters.astype(np.int64) + 1  # 0 ends a text
     end = np.repeat(stops, sizes + 1)
-    at = np.arange(len(text))
-    wide = len(text) + 258
-
-    def pairs(rank: np.ndarray, gap: int) -> np.ndarray:
-        """Rank of each position with the rank `gap` further on, 0 behind the text's end mark."""
-        return rank * wide + np.where(at + gap < end, rank[np.minimum(at + gap, len(text) - 1)] + 1, 0)
-
-    if length < 16:
-        rank, depth = text, 1
-    else:  # eight letters at once
-        word = np.zeros(len(text), np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | np.where(at + k < end, text[np.minimum(at + k, len(text) - 1)], 0).astype(np.uint64)
-        _, rank = np.unique(word, return_inverse=True)
-        depth = 8
-    same_length, classes = None, 0
-    while depth <= sizes.max(initial=0) or same_length is None:
-        if 2 * depth > length and same_length is None:
-            same_length = pairs(rank, length - depth)  # the halves overlap, so exactly `length` letters count
-        key = pairs(rank, depth)
+    at = np.arange(total)
+    wide = total + 258
+
+    word = np.zeros(total, np.uint64)  # the first eight letters
+    for k in range(8):
+        word = word << np.uint64(8) | np.where(at + k < end, text[np.minimum(at + k, total - 1)] & 255, 0).astype(np.uint64)
+    # a letter 255 does not occur in UTF-8, so the low byte of letter + 1 tells all letters and the end apart
+    tag = np.repeat(tags, sizes + 1)
+    order = np.lexsort((word, tag))
+    fresh = np.zeros(total, np.int64)
+    fresh[1:] = (word[order][1:] != word[order][:-1]) | (tag[order][1:] != tag[order][:-1])
+    rank = np.empty(total, np.int64)
+    rank[order] = np.cumsum(fresh)
+    depth = 8
+    while depth <= sizes.max(initial=0):
+        key = rank * wide + np.where(at + depth < end, rank[np.minimum(at + depth, total - 1)] + 1, 0)
         order = np.argsort(key, kind="stable")
-        fresh = np.zeros(len(text), np.int64)
+        fresh = np.zeros(total, np.int64)
         fresh[groups_of(key[order])[1:]] = 1
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.cumsum(fresh)
-        depth *= 2
-        if classes == rank[order[-1]] and same_length is not None:
-            break  # nothing was told apart that was not before
-        classes = rank[order[-1]]
-    # Equal suffixes end together and follow their texts' order: the sort was stable.
-    before = np.where(order > 0, text[order - 1], 0)
+        new = np.empty(total, np.int64)
+        new[order] = np.cumsum(fresh)
+        done = new[order[-1]] == rank.max()
+        rank, depth = new, 2 * depth
+        if done:
+            break
+    before = tag[order] * LETTERS + np.where(order > 0, text[order - 1], 0)
     run = groups_of(before)
     letter = before[run]
-    size = np.diff(np.append(run, len(text)))
-    by_letter = np.argsort(letter, kind="stable")
+    by = np.argsort(letter, kind="stable")
+    size = np.diff(np.append(run, total))
     base = np.empty(len(run), np.int64)
-    base[by_letter] = np.concatenate([[0], np.cumsum(size[by_letter])[:-1]])
-    whole = order + length < end[order]  # the suffix has `length` letters before its text's end mark
-    cut = groups_of(same_length[order])
-    text_of = np.repeat(np.arange(count), sizes + 1)
-    earliest = np.minimum.reduceat(np.where(whole, text_of[order], count), cut)
-    return RunIndex(run, letter, base, order[np.append(run[1:], len(text)) - 1], cut, earliest, length, count)
-
-
-def matches(index: RunIndex, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Streams the indexed texts: (text, offset, earliest text with the same `length` letters) of each full window."""
-    text = np.arange(index.texts)
-    # Row i is the end mark of text i, because end marks sort first and in the texts' order.
-    row = text.copy()
-    out = ([], [], [])
-    for k in range(1, int(sizes.max(initial=0)) + 1):
-        live = sizes[text] >= k
-        text, row = text[live], index.step(row[live])
-        if k >= index.length:
-            out[0].append(text)
-            out[1].append(sizes[text] - k)
-            out[2].append(index.class_text[np.searchsorted(index.class_start, row, "right") - 1])
-    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+    base[by] = np.concatenate([[0], np.cumsum(size[by])[:-1]])
+    raw = np.zeros(total + 64, np.uint8)
+    raw[:total] = (text & 255).astype(np.uint8)
+    left = end - 1 - at
+    return RunIndex(run, letter, base, order[run], order[np.append(run[1:], total) - 1], letter[by] * len(run) + by, raw, left)
+
+
+def extension(index: RunIndex, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many letters the suffixes at a and b have in common, up to `most`."""
+    words = loads8(index.text)
+    got = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    for k in range(0, most, 8):
+        x = words[a[live] + k] ^ words[b[live] + k]
+        same = x == 0
+        low = x & (~x + np.uint64(1))  # the lowest bit that differs tells the first byte that does
+        got[live] = k + np.where(same, 8, np.log2(np.where(same, 1, low).astype(float)).astype(np.int64) // 8)
+        live = live[same]
+        if not len(live):
+            break
+    return np.minimum(np.minimum(got, most), np.minimum(index.left[a], index.left[b]))
+
+
+def matching_statistics(index: RunIndex, letters: np.ndarray, sizes: np.ndarray, most: int, tags: np.ndarray | None = None) -> np.ndarray:
+    """For each letter of the texts, how long the longest string from there is that some indexed text has, up to `most`."""
+    shift = LETTERS * (np.zeros(len(sizes), np.int64) if tags is None else tags)
+    out = np.zeros(len(letters), np.int64)
+    ends = np.cumsum(sizes)
+    order = np.argsort(-sizes, kind="stable")
+    reach = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), "right")
+    ends, shift = ends[order], shift[order]
+    runs = len(index.run_start)
+    row, length = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    place = np.full(len(sizes), index.start_at[0])
+    for k, n in enumerate(reach.tolist(), 1):
+        q, size, p = row[:n], length[:n], place[:n]
+        c = shift[:n] + letters[ends[:n] - k].astype(np.int64) + 1
+        run = np.searchsorted(index.run_start, q, "right") - 1
+        size, p = size + 1, p - 1
+        jump = np.flatnonzero(index.run_letter[run] != c)
+        if len(jump):
+            key = c[jump] * runs + run[jump]
+            j = np.searchsorted(index.by_letter, key)
+            up, down = index.by_letter[np.maximum(j - 1, 0)], index.by_letter[np.minimum(j, runs - 1)]
+            has_up, has_down = (j > 0) & (up // runs == c[jump]), (j < runs) & (down // runs == c[jump])
+            up, down = up % runs, down % runs
+            now = p[jump] + 1
+            far_up = np.where(has_up, extension(index, now, index.end_at[up], most), -1)
+            far_down = np.where(has_down, extension(index, now, index.start_at[down], most), -1)
+            above = far_up >= far_down
+            to = np.where(above, up, down)
+            best = np.maximum(far_up, far_down)
+            known = best >= 0
+            size[jump] = np.where(known, np.minimum(size[jump] - 1, best) + 1, 0)
+            p[jump] = np.where(known, np.where(above, index.end_at[to], index.start_at[to]) - 1, index.start_at[0])
+            last = np.where(to + 1 < runs, index.run_start[np.minimum(to + 1, runs - 1)], len(index.left)) - 1
+            q = q.copy()
+            q[jump] = np.where(above, last, index.run_start[to])
+            run[jump] = to
+            lost = jump[~known]
+        else:
+            lost = jump
+        q = index.run_base[run] + q - index.run_start[run]
+        q[lost] = 0
+        row[:n], length[:n], place[:n] = q, np.minimum(size, most), p
+        out[ends[:n] - k] = length[:n]
+    return out

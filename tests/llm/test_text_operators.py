@@ -117,19 +117,52 @@ def test_remove_repeats_keeps_rows_and_columns(odd):
     assert out.filter("text IS NULL").count() == odd.filter("text IS NULL").count()
 
 
-def test_run_index_against_brute_force():
+def random_texts(rng, letters, texts, longest):
+    base = rng.integers(97, 97 + letters, 4 * longest)
+    return [base[i : i + int(rng.integers(1, longest))].astype(np.uint8) for i in rng.integers(0, 3 * longest, texts)]
+
+
+def statistics_of(known, asked, most, shuffle=None):
+    index = run_index.build(np.concatenate(known), np.array([len(t) for t in known]))
+    if shuffle is not None:
+        index.start_at, index.end_at = shuffle.permutation(index.start_at), shuffle.permutation(index.end_at)
+    return run_index.matching_statistics(index, np.concatenate(asked), np.array([len(t) for t in asked]), most).tolist()
+
+
+def expect_statistics(known, asked, most):
+    have = {bytes(t[i:j]) for t in known for i in range(len(t)) for j in range(i, min(len(t), i + most) + 1)}
+    have.add(b"")
+    return [max(k for k in range(min(most, len(t) - i) + 1) if bytes(t[i : i + k]) in have) for t in asked for i in range(len(t))]
+
+
+def test_matching_statistics_against_brute_force():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        length = int(rng.integers(1, 25))
-        base = rng.integers(97, 97 + rng.integers(1, 4), 60)
-        texts = [base[i : i + int(rng.integers(1, 40))].astype(np.uint8) for i in rng.integers(0, 30, rng.integers(1, 12))]
+    for _ in range(80):
+        letters, longest = int(rng.integers(1, 6)), int(rng.integers(3, 60))
+        texts = random_texts(rng, letters, int(rng.integers(2, 14)), longest)
+        cut = len(texts) // 2
+        most = int(rng.integers(1, 55))
+        assert statistics_of(texts[:cut], texts[cut:], most) == expect_statistics(texts[:cut], texts[cut:], most)
+
+
+def test_matching_statistics_keep_tags_apart():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        texts = random_texts(rng, int(rng.integers(1, 4)), 16, 40)
+        tags = rng.integers(0, 3, 16)
         sizes = np.array([len(t) for t in texts])
-        got = {(a, b): c for a, b, c in zip(*run_index.matches(run_index.build(np.concatenate(texts), sizes, length), sizes))}
-        first, expected = {}, {}
-        for i, t in enumerate(texts):
-            for j in range(len(t) - length + 1):
-                expected[i, j] = first.setdefault(bytes(t[j : j + length]), i)
-        assert got == expected
+        index = run_index.build(np.concatenate(texts[:8]), sizes[:8], tags[:8])
+        got = run_index.matching_statistics(index, np.concatenate(texts[8:]), sizes[8:], 30, tags[8:]).tolist()
+        parts = [expect_statistics([k for k, u in zip(texts[:8], tags[:8]) if u == g], [t], 30) for t, g in zip(texts[8:], tags[8:])]
+        assert got == [x for p in parts for x in p]
+
+
+def test_matching_statistics_need_the_sampled_run_ends():
+    rng = np.random.default_rng(3)
+    texts = random_texts(rng, 4, 24, 60)
+    right = expect_statistics(texts[:12], texts[12:], 50)
+    assert statistics_of(texts[:12], texts[12:], 50) == right
+    assert any(statistics_of(texts[:12], texts[12:], 50, np.random.default_rng(k)) != right for k in range(3))
 
 
 def expect_words(rows, window):
@@ -255,8 +288,11 @@ def test_exact_dedup(odd):
         expected.append((r[0], keep, len(ids), r[0] == keep, hashlib.sha256(lower(r[1]).encode()).hexdigest()))
     got = rows_of(exact_dedup.exact_dedup(odd), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert got == sorted(expected, key=lambda r: (order(r[0]), repr(r)))
-    kept = exact_dedup.drop_copies(odd)
-    assert kept.columns == odd.columns and kept.count() == sum(1 for r in expected if r[3])
+    for blocks in (1, 2048):
+        kept = exact_dedup.drop_copies(odd, map_blocks=blocks)
+        assert kept.columns == odd.columns
+        assert sorted(repr(tuple(r)) for r in kept.collect()) == sorted(repr(r) for r, e in zip(rows, expected, strict=True) if e[3])
+
 
 
 def test_oracle_of_exact_dedup(spark, duck):
@@ -291,7 +327,66 @@ def test_packing(odd):
 
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets, final = bestfit_packing.pack([60, 50, 40, 10, 4], [64, 100], 0)
-    assert bins[3] == bins[1] and bins[4] in (bins[0], bins[1]) and final == [64, 64, 64]
+    assert bins[3] == bins[1] and bins[4] in (bins[0], bins[1]) and sum(final) == 164  # two full bins, where one length needs three
+
+
+def packing_cost(packed):
+    return sum(bestfit_packing.cost(c, 1) for c in packed[2])
+
+
+def single_length_cost(lengths, capacities, one):
+    bins, _, _ = bestfit_packing._fill(lengths, [one], 1)
+    used = [sum(n for b, n in zip(bins, lengths) if b == k) for k in range(max(bins) + 1)]
+    return sum(bestfit_packing.cost(min(c for c in capacities if c >= u), 1) for u in used)
+
+
+def least_cost(lengths, capacities):
+    """Over every way to split the pieces into bins."""
+    best = [float("inf")]
+
+    def place(k, used):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(bestfit_packing.cost(min(c for c in capacities if c >= u), 1) for u in used))
+            return
+        for b in range(len(used)):
+            if used[b] + lengths[k] <= max(capacities):
+                place(k + 1, [*used[:b], used[b] + lengths[k], *used[b + 1 :]])
+        place(k + 1, [*used, lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_mixed_lengths_against_brute_force():
+    rng = random.Random(5)
+    capacities, near = [8, 16, 40], 0
+    for _ in range(150):
+        lengths = sorted((rng.randint(1, rng.choice([8, 20, 40])) for _ in range(rng.randint(1, 7))), reverse=True)
+        bins, offsets, final = packed = bestfit_packing.pack(lengths, capacities, 1)
+        for b, c in enumerate(final):
+            inside = sorted((o, n) for x, o, n in zip(bins, offsets, lengths) if x == b)
+            assert sum(n for _, n in inside) <= c and all(o == sum(n for _, n in inside[:k]) for k, (o, _) in enumerate(inside))
+        least = least_cost(lengths, capacities)
+        assert least - 1e-9 <= packing_cost(packed) <= single_length_cost(lengths, capacities, 40) + 1e-9
+        near += packing_cost(packed) <= 1.2 * least
+    assert near >= 140
+
+
+def test_several_lengths_are_opened():
+    rng = random.Random(6)
+    lengths = sorted((min(4096, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(3000)), reverse=True)
+    final = bestfit_packing.pack(lengths, bestfit_packing.CAPACITIES)[2]
+    assert len([c for c, n in collections.Counter(final).items() if n > 20]) >= 3
+    assert sum(lengths) / sum(final) > 0.97
+
+
+def test_sequences_of_repeated_rows(spark):
+    rows = [(1, "a b c"), (1, "d e f g"), (1, "a b c"), (None, "x y"), (2, ""), (3, " ".join(f"w{k}" for k in range(25)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = bestfit_packing.best_fit_packing(docs, capacities=(4, 8)).checkpoint()
+    got = collections.Counter(w for r in bestfit_packing.sequences(docs, packed).collect() for w in r.tokens)
+    assert got == collections.Counter(w for _, t in rows for w in t.split())
+    assert all(len(r.tokens) <= r.bin_capacity for r in bestfit_packing.sequences(docs, packed).collect())
 
 
 def test_telephony(odd):
