@@ -36,8 +36,8 @@ SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 #: Anchors with so many occurrences have their windows dealt one by one.
 FREQUENT = 20_000
-#: Letters indexed at once, few enough for the processor's cache; a batch ends with an anchor.
-INDEX_LETTERS = 1 << 16
+#: Letters indexed at once, a few dozen arrays of so many numbers; a batch ends with an anchor.
+INDEX_LETTERS = 1 << 20
 
 ASK = "bucket int, shard int, kind int, body binary, docs binary, data binary"
 TELL = "shard int, bucket int, kind int, body binary"

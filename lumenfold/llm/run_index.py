@@ -84,22 +84,27 @@ def build(letters: np.ndarray, sizes: np.ndarray, tags: np.ndarray | None = None
     return RunIndex(run, letter, base, order[run], order[np.append(run[1:], total) - 1], letter[by] * len(run) + by, raw, left)
 
 
-def extension(index: RunIndex, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """How many letters the suffixes at a and b have in common, up to `most`."""
+def extension(index: RunIndex, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many letters the suffixes at a and b have in common, each up to its `most`."""
     words = loads8(index.text)
-    got = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    for k in range(0, most, 8):
+    x = words[a] ^ words[b]
+    got = _same_bytes(x)
+    live = np.flatnonzero((x == 0) & (most > 8))
+    k = 8
+    while len(live):
         x = words[a[live] + k] ^ words[b[live] + k]
-        same = x == 0
-        low = x & (~x + np.uint64(1))  # the lowest bit that differs tells the first byte that does
-        got[live] = k + np.where(same, 8, np.log2(np.where(same, 1, low).astype(float)).astype(np.int64) // 8)
-        live = live[same]
-        if not len(live):
-            break
+        got[live] = k + _same_bytes(x)
+        k += 8
+        live = live[(x == 0) & (most[live] > k)]
     return np.minimum(np.minimum(got, most), np.minimum(index.left[a], index.left[b]))
 
 
+def _same_bytes(x: np.ndarray) -> np.ndarray:
+    """Zero bytes from the low end of each word, 8 for a zero word."""
+    low = (x & (~x + np.uint64(1))).astype(float)  # the lowest bit that differs, a power of two
+    return np.where(x == 0, 8, (np.frexp(low)[1] - 1) >> 3).astype(np.int64)
+
+
 def matching_statistics(index: RunIndex, letters: np.ndarray, sizes: np.ndarray, most: int, tags: np.ndarray | None = None) -> np.ndarray:
     """For each letter of the texts, how long the longest string from there is that some indexed text has, up to `most`."""
     shift = LETTERS * (np.zeros(len(sizes), np.int64) if tags is None else tags)
@@ -123,9 +128,9 @@ def matching_statistics(index: RunIndex, letters: np.ndarray, sizes: np.ndarray,
             up, down = index.by_letter[np.maximum(j - 1, 0)], index.by_letter[np.minimum(j, runs - 1)]
             has_up, has_down = (j > 0) & (up // runs == c[jump]), (j < runs) & (down // runs == c[jump])
             up, down = up % runs, down % runs
-            now = p[jump] + 1
-            far_up = np.where(has_up, extension(index, now, index.end_at[up], most), -1)
-            far_down = np.where(has_down, extension(index, now, index.start_at[down], most), -1)
+            now, need = p[jump] + 1, size[jump] - 1  # what is longer than the match so far makes no difference
+            far_up = np.where(has_up, extension(index, now, index.end_at[up], need), -1)
+            far_down = np.where(has_down, extension(index, now, index.start_at[down], need), -1)
             above = far_up >= far_down
             to = np.where(above, up, down)
             best = np.maximum(far_up, far_down)
