@@ -110,16 +110,34 @@ def hlg_to_linear(v: Column) -> Column:
     return F.when(v <= 0.5, v * v / 3.0).otherwise((F.exp((v - HLG_C) / HLG_A) + HLG_B) / 12.0)
 
 
+#: Diffuse white, and the nominal peak and system gamma of an HLG display.
+WHITE_NITS, HLG_PEAK_NITS, HLG_GAMMA = 203.0, 1000.0, 1.2
+
+
+def hlg_signal(light: Column) -> Column:
+    """HLG signal of light relative to diffuse white: the display's rendering is undone first, so white lands at 0.75."""
+    return linear_to_hlg(F.pow(clamp(light * (WHITE_NITS / HLG_PEAK_NITS), 0.0, 1.0), lit(1 / HLG_GAMMA)))
+
+
+def hlg_light(signal: Column) -> Column:
+    """Light relative to diffuse white of an HLG signal on the nominal display."""
+    return F.pow(hlg_to_linear(F.greatest(signal, lit(0.0))), lit(HLG_GAMMA)) * (HLG_PEAK_NITS / WHITE_NITS)
+
+
+def known_transfer(code: Column) -> Column:
+    return code.isin(0, 1, 2, 4, 5, 6, 8, 11, 12, 13, 14, 15, 16, 18)
+
+
 def linear_by_transfer(code: Column, v: Column) -> Column:
-    """Linear light by transfer characteristics code; null for codes that are not known."""
+    """Linear light by transfer characteristics code, unstated ones as sRGB; null for codes that are not known."""
     return (
-        F.when(code.isin(1, 6, 14, 15), bt709_to_linear(v))
-        .when(code == 13, srgb_to_linear(v))
-        .when(code == 4, F.pow(v, lit(2.2)))
-        .when(code == 5, F.pow(v, lit(2.8)))
+        F.when(code.isin(1, 6, 11, 12, 14, 15), bt709_to_linear(v))
+        .when(code.isin(0, 2, 13), srgb_to_linear(v))
+        .when(code == 4, F.pow(F.greatest(v, lit(0.0)), lit(2.2)))
+        .when(code == 5, F.pow(F.greatest(v, lit(0.0)), lit(2.8)))
         .when(code == 8, v)
-        .when(code == 16, pq_to_linear(v) / 203.0)
-        .when(code == 18, hlg_to_linear(v))
+        .when(code == 16, pq_to_linear(v) / WHITE_NITS)
+        .when(code == 18, hlg_light(v))
     )
 
 
@@ -127,6 +145,11 @@ def rational(x: Column, denominator: int = 1_000_000) -> Column:
     return F.struct(F.round(x * denominator).cast("long").alias("numerator"), F.lit(denominator).cast("long").alias("denominator"))
 
 
+def common_denominator(values: dict[str, Column], denominator: int = 1_000_000) -> Column:
+    """A struct of whole numerators over one denominator for several numbers."""
+    return F.struct(F.lit(denominator).cast("long").alias("denominator"), *[F.round(v * denominator).cast("long").alias(n) for n, v in values.items()])
+
+
 def rational_value(q: Column) -> Column:
     return F.try_divide(q["numerator"].cast("double"), q["denominator"].cast("double"))
 

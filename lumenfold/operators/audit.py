@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import finite, safe_rate
 
+from .ranking import ranged, running
+
 #: (label, least value, first value above); null bounds are open.
 STOP_BANDS = (("0-1", None, 1.0), ("1-2", 1.0, 2.0), ("2-3", 2.0, 3.0), ("3+", 3.0, None))
 PROFILE_POINTS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -29,10 +31,13 @@ def floor_rank(df: DataFrame, value: str, points: Sequence[float], by: Sequence[
     Values are counted first, so a group costs its distinct values and no group is gathered.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_n", F.sum("_c").over(w)
-    )
+    if by:
+        w = Window.partitionBy(*by)
+        ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    else:
+        # one group is the whole table: its distinct values are dealt by ranges
+        rows = ranged(counts, [], [value])
+        ranked = running(rows, [], [value], F.col("_c"), "_upto").crossJoin(F.broadcast(rows.agg(F.sum("_c").alias("_n"))))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("p")
     hit = ranked.select(*by, value, "_upto", "_c", "_n", wanted)
     rank = F.floor(F.col("p") * (F.col("_n") - 1))

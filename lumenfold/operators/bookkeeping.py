@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranged, running
+
 
 def first_mismatch(rules: Sequence[tuple[str, Column]]) -> Column:
     """Name of the first rule that does not hold; null if all do.  An unknown outcome does not hold."""
@@ -48,11 +50,12 @@ def collisions(outputs: DataFrame, output: str) -> DataFrame:
 
 
 def retention(entries: DataFrame, budget: int, group: str | None = None) -> DataFrame:
-    """Entries with `delete`: the oldest go until what is left fits the budget."""
-    parts = [group] if group else []
-    w = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
-    removed_before = F.coalesce(F.sum("size").over(w.orderBy("modified", "entry").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return entries.withColumn("delete", F.sum("size").over(w) - removed_before > budget)
+    """Entries with `delete`: the oldest go until what is left fits the budget.  One cache of any size is dealt by ranges."""
+    by = [group] if group else []
+    rows = running(ranged(entries, by, ["modified", "entry"]), by, ["modified", "entry"], F.col("size"), "_upto")
+    total = entries.groupBy(*by).agg(F.sum("size").alias("_total"))
+    j = rows.join(total, by) if by else rows.crossJoin(F.broadcast(total))
+    return j.select(*entries.columns, (F.col("_total") - (F.col("_upto") - F.col("size")) > budget).alias("delete"))
 
 
 def validate_settings(settings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -74,14 +77,17 @@ def validate_settings(settings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def failure_throttle(failures: DataFrame, window_seconds: int = 300, most: int = 8, lock_seconds: int = 60) -> DataFrame:
-    """Batch twin of the streaming throttle: failures(client, at) with how long the client is locked after each one.
+    """Batch twin of the streaming throttle: failures(client, event_id, at) with how long the client is locked after each one.
 
-    A failure locks when with it the client has `most` in the window; the window is open at its old end.
+    A failure locks when with it the client has `most` in the window; the window is open at its old end.  Failures of
+    one instant come one after another, by event_id.
     """
     us = F.unix_micros(F.col("at").cast("timestamp"))
     w = Window.partitionBy("client").orderBy("us").rangeBetween(-(window_seconds * 1_000_000 - 1), 0)
+    tied = Window.partitionBy("client", "us")
+    later = F.count("*").over(tied) - F.row_number().over(tied.orderBy("event_id"))
     rows = failures.withColumn("us", us)
-    return rows.withColumn("recent", F.count("*").over(w)).withColumn("locked_seconds", F.when(F.col("recent") >= most, lock_seconds).otherwise(0)).drop("us")
+    return rows.withColumn("recent", F.count("*").over(w) - later).withColumn("locked_seconds", F.when(F.col("recent") >= most, lock_seconds).otherwise(0)).drop("us")
 
 
 def idle_sessions(activity: DataFrame, now: Column, protected: DataFrame, idle_seconds: int = 86_400) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import hamming
 from lumenfold.functions.session import ensure_checkpoint_dir
 
+from .ranking import running, with_previous, with_rank
+
 SESSION_GAP_SECONDS = 30 * 60
 PHASH_LIMIT, DHASH_LIMIT = 5, 6
 
@@ -24,26 +26,28 @@ def with_private(samples: DataFrame, private: DataFrame, key: str = "sample_id")
     return samples.join(private, key), samples.join(private, key, "left_anti")
 
 
+def _dated(captures: DataFrame) -> DataFrame:
+    us = F.unix_micros(F.col("capture_datetime").cast("timestamp"))
+    return captures.filter("capture_datetime is not null").select("sample_id", "model", us.alias("us"))
+
+
 def session_edges(captures: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
-    """Neighbours in time of one model at most the gap apart, both ends included; undated rows have none."""
-    w = Window.partitionBy("model").orderBy("capture_datetime", "sample_id")
-    before = captures.filter("capture_datetime is not null").select(
-        "sample_id", F.lag("sample_id").over(w).alias("previous"),
-        (F.unix_micros(F.col("capture_datetime").cast("timestamp")) - F.unix_micros(F.lag("capture_datetime").over(w).cast("timestamp"))).alias("gap"),
-    )
-    return before.filter((F.col("previous").isNotNull()) & (F.col("gap") <= gap_seconds * 1_000_000)).select(
-        F.least("previous", "sample_id").alias("a"), F.greatest("previous", "sample_id").alias("b")
-    )
+    """Neighbours in time of one model at most the gap apart, both ends included; undated rows have none.
+
+    A model's captures are dealt by ranges of time, so a popular model is many tasks.
+    """
+    near = with_previous(_dated(captures), ["model"], ["us", "sample_id"], ["us", "sample_id"])
+    near = near.filter(F.col("us") - F.col("previous.us") <= gap_seconds * 1_000_000)
+    return near.select(F.least("previous.sample_id", "sample_id").alias("a"), F.greatest("previous.sample_id", "sample_id").alias("b"))
 
 
 def capture_sessions(captures: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
     """Each dated capture's session as the smallest sample of it, without walking the chain of edges."""
-    w = Window.partitionBy("model").orderBy("capture_datetime", "sample_id")
-    us = F.unix_micros(F.col("capture_datetime").cast("timestamp"))
-    new = F.coalesce((us - F.lag(us).over(w) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
-    runs = captures.filter("capture_datetime is not null").select("sample_id", "model", new.alias("new"), "capture_datetime")
-    runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.withColumn("session", F.min("sample_id").over(Window.partitionBy("model", "run"))).select("sample_id", "session")
+    near = with_previous(_dated(captures), ["model"], ["us", "sample_id"], ["us"])
+    new = F.coalesce((F.col("us") - F.col("previous.us") > gap_seconds * 1_000_000).cast("int"), F.lit(1))
+    runs = running(near, ["model"], ["us", "sample_id"], new, "run").select("sample_id", "model", "run")
+    least = runs.groupBy("model", "run").agg(F.min("sample_id").alias("session"))
+    return runs.join(least, ["model", "run"]).select("sample_id", "session")
 
 
 def _bands(column: Column, bands: int, bits: int = 64) -> list[Column]:
@@ -138,3 +142,16 @@ def golden_samples(df: DataFrame, fields: Sequence[str], known: Sequence[int], s
     for p in picks:
         every = every.unionByName(p)
     return every.groupBy(key).agg(F.min("priority").alias("priority")).orderBy("priority", key).limit(size)
+
+
+def spread_samples(df: DataFrame, value: str, picks: int = 4, key: str = "sample_id") -> DataFrame:
+    """(key, priority) of samples at evenly spaced ranks by value, the first and the last included; each sample once.
+
+    Rank k of m is the whole part of k (n - 1) / (m - 1); equal values go by key.
+    """
+    ranked = with_rank(df.select(key, value), [], [value, key])
+    n = df.agg(F.count("*").alias("n"))
+    places = F.transform(F.sequence(F.lit(0), F.least(F.lit(picks), F.col("n").cast("int")) - 1), lambda k: F.struct(
+        k.alias("k"), F.floor(k * (F.col("n") - 1) / F.greatest(F.least(F.lit(picks), F.col("n").cast("int")) - 1, F.lit(1))).alias("place")))
+    spots = n.filter("n > 0").select(F.explode(places).alias("p")).groupBy("p.place").agg(F.min("p.k").alias("priority"))
+    return ranked.join(F.broadcast(spots), F.col("rank") - 1 == F.col("place")).select(key, (F.col("priority") + 200).alias("priority"))

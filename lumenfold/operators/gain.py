@@ -164,11 +164,8 @@ def radii_of(grid_w: int, grid_h: int) -> tuple[int, int]:
 def render_base(pixels: DataFrame, images: DataFrame, cells: DataFrame, sizes: tuple[Column, Column, Column, Column], look: Look = Look(), strength: float = 1.0) -> DataFrame:
     """Full-size SDR base of scene-referred images with clarity, common chroma and gamut limit; hdr and sdr luminance."""
     curve = look.curve
-    at = pixels.select("image_id", "y", "x")
-    local = R.bilinear_lookup(at, cells, "local", sizes)
-    code = R.bilinear_lookup(at, cells, "code", sizes)
     meta = cells.groupBy("image_id").agg(F.max("gain_max").alias("gain_max"), F.max("gamma").alias("gamma"))
-    x = pixels.join(local, ["image_id", "y", "x"]).join(code, ["image_id", "y", "x"]).join(meta, "image_id").join(images, "image_id")
+    x = R.bilinear_values(pixels, cells, ["local", "code"], sizes).join(meta, "image_id").join(images, "image_id")
     for c in ("r", "g", "b"):
         x = x.withColumn(c, R.positive(c) * exp2(F.col("exposure_ev")))
     x = x.withColumn("scene", p3_luminance(F.col("r"), F.col("g"), F.col("b"))).withColumn("_t", R.tone_curve(F.col("scene"), 1.0, curve))
@@ -298,6 +295,18 @@ def external_gain(cells: DataFrame, metadata: DataFrame, strength: float = 1.0,
     return x.select("image_id", "gy", "gx", stops.alias("stops"), code.alias("code"))
 
 
+def lift_grid(codes: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, gy, gx, code): code grids coarser than the renderer's own for an image raised to it; finer ones stay.
+
+    images: image_id, w, h.  Stored codes are resampled, as a decoder reads them, and not log gains.
+    """
+    have = codes.groupBy("image_id").agg((F.max("gx") + 1).alias("_gw"), (F.max("gy") + 1).alias("_gh"))
+    gw, gh = R.grid_size(F.col("w"), F.col("h"))
+    target = have.join(images, "image_id").select("image_id", F.greatest(gw, F.col("_gw")).alias("tw"), F.greatest(gh, F.col("_gh")).alias("th"))
+    lifted = R.resample_to(codes.select("image_id", F.col("gy").alias("y"), F.col("gx").alias("x"), "code"), target, ["code"])
+    return lifted.select("image_id", F.col("y").alias("gy"), F.col("x").alias("gx"), "code")
+
+
 def route(images: DataFrame) -> DataFrame:
     """Adds renderer by input domain; an unknown domain is an error row."""
     return images.withColumn(
@@ -305,8 +314,31 @@ def route(images: DataFrame) -> DataFrame:
     ).withColumn("error", F.when(F.col("renderer").isNull(), "unknown domain"))
 
 
-def linearise(mosaic: DataFrame, lut: DataFrame, white: float) -> DataFrame:
+def render_all(pixels: DataFrame, images: DataFrame, radii: tuple[int, int], sizes: tuple[Column, Column, Column, Column], look: Look = Look()) -> tuple[DataFrame, DataFrame]:
+    """Every image by the renderer of its domain: (base pixels, gain cells), each with `renderer`; unknown domains give no rows.
+
+    images: image_id, domain, exposure_ev, headroom (stops to render for), available (stops that an HDR input declares),
+    iso.  radii and sizes as in photographic_gain() and render_base(), for images of one size class.
+    """
+    routed = route(images)
+    of = lambda name: routed.filter(F.col("renderer") == name)
+    mine = lambda name: pixels.join(of(name).select("image_id"), "image_id", "left_semi")
+    sdr = display_sdr(mine("sdr_split"), of("sdr_split").select("image_id", "exposure_ev"), look)
+    hdr_base, hdr_gain = display_hdr(mine("hdr_split"), of("hdr_split").select("image_id", "available", F.col("headroom").alias("output")), look)
+    scenes = of("photographic").select("image_id", "exposure_ev", "headroom", "iso")
+    ensure_checkpoint_dir(pixels.sparkSession)
+    cells = photographic_gain(mine("photographic"), scenes, radii, look).checkpoint()  # read twice; small next to the pixels
+    scene_base = render_base(mine("photographic"), scenes.drop("iso"), cells, sizes, look)
+    plane = lambda df, name: df.select("image_id", "y", "x", "r", "g", "b", F.lit(name).alias("renderer"))
+    gains = lambda df, name: df.select("image_id", "gy", "gx", "gain", F.lit(name).alias("renderer"))
+    flat = R.cell_means(sdr, lit(0)).withColumn("gain", lit(0))
+    base = plane(sdr, "sdr_split").unionByName(plane(hdr_base, "hdr_split")).unionByName(plane(scene_base, "photographic"))
+    return base, gains(flat, "sdr_split").unionByName(gains(hdr_gain, "hdr_split")).unionByName(gains(cells, "photographic"))
+
+
+def linearise(mosaic: DataFrame, lut: DataFrame, white: float | Column) -> DataFrame:
     """Sensor values through a look-up table, linear between its samples; lut(k, v) holds a fixed few thousand rows."""
+    white = white if isinstance(white, Column) else lit(white)
     last = lut.agg(F.max("k").alias("last"))
     x = mosaic.crossJoin(F.broadcast(last)).withColumn("_p", clamp(F.col("v") / white, 0.0, 1.0) * F.col("last"))
     x = x.withColumn("_k", F.floor("_p")).withColumn("_k1", F.least(F.col("_k") + 1, F.col("last")))
@@ -317,11 +349,17 @@ def linearise(mosaic: DataFrame, lut: DataFrame, white: float) -> DataFrame:
     return x.withColumn("v", F.col("_a") * (1 - part) + F.col("_b") * part).select(*mosaic.columns)
 
 
-def shade(mosaic: DataFrame, shading: DataFrame, roles: tuple[int, int, int, int] = (0, 1, 1, 2)) -> DataFrame:
-    """Lens shading: a gain by normalised place and colour, read between the map's nodes; shading(channel, y, x, gain)."""
+def shade(mosaic: DataFrame, shading: DataFrame, roles: tuple[int, int, int, int] = (0, 1, 1, 2), pattern: str | None = None) -> DataFrame:
+    """Lens shading: a gain by normalised place and colour, read between the map's nodes; shading(channel, y, x, gain).
+
+    The colour of a site follows from roles, or from each row's pattern column where one is named (R 0, greens 1, B 2).
+    """
     size = shading.agg((F.max("x") + 1).alias("mw"), (F.max("y") + 1).alias("mh"))
     j = mosaic.join(R.image_sizes(mosaic), "image_id").crossJoin(F.broadcast(size))
     channel = F.element_at(F.array(*[F.lit(r) for r in roles]), ((F.col("y") % 2) * 2 + F.col("x") % 2 + 1).cast("int"))
+    if pattern:
+        role = R.bayer_role(F.col(pattern), F.col("y"), F.col("x"))
+        channel = F.when(role == "R", 0).when(role == "B", 2).when(role.isNotNull(), 1)
     place = lambda at, n, m: F.when(F.col(n) > 1, F.col(at) / (F.col(n) - 1)).otherwise(lit(0)) * (F.col(m) - 1)
     j = j.withColumn("channel", channel).withColumn("_fx", place("x", "w", "mw")).withColumn("_fy", place("y", "h", "mh"))
     j = j.withColumn("_x0", F.floor("_fx")).withColumn("_y0", F.floor("_fy"))
@@ -335,10 +373,17 @@ def shade(mosaic: DataFrame, shading: DataFrame, roles: tuple[int, int, int, int
     return t.join(nodes, ["channel", "mx", "my"]).groupBy("image_id", "y", "x").agg((F.max("v") * F.sum(F.col("part") * F.col("gain"))).alias("v"))
 
 
-def calibrate(mosaic: DataFrame, lut: DataFrame, shading: DataFrame, black: float, white: float, digital_gain: float = 1.0) -> DataFrame:
-    """Look-up table, site repair, lens shading, then values over the white level."""
-    x = shade(R.repair_sites(linearise(mosaic, lut, white)).select("image_id", "y", "x", "v"), shading)
-    return x.withColumn("v", F.greatest(lit(0), F.col("v") - black) / (white - black) * digital_gain)
+def calibrate(mosaic: DataFrame, lut: DataFrame, shading: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, y, x, v): look-up table, site repair, lens shading, then values over each image's own white level.
+
+    images: image_id, pattern, black, white, digital_gain; images that bayer rules reject give no rows.
+    """
+    good = images.join(R.rejected_mosaics(mosaic, images.select("image_id", "pattern")), "image_id", "left_anti")
+    x = linearise(mosaic.join(good.select("image_id", F.col("white").alias("_white")), "image_id"), lut, F.col("_white"))
+    x = R.repair_sites(x.select("image_id", "y", "x", "v")).select("image_id", "y", "x", "v").join(good.select("image_id", "pattern"), "image_id")
+    x = shade(x, shading, pattern="pattern").join(good, "image_id")
+    v = F.greatest(lit(0), F.col("v") - F.col("black")) / (F.col("white") - F.col("black")) * F.col("digital_gain")
+    return x.select("image_id", "y", "x", v.alias("v"))
 
 
 def weight_summary(cells: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.expr import clamp, exp2, lit, safe_rate
 
 from .audit import floor_rank
+from .ranking import with_rank
 
 
 def grid_stats(cells: DataFrame, by: Sequence[str] = ("image_id",), value: str = "v") -> DataFrame:
@@ -77,8 +78,8 @@ def weighted_metrics(rows: DataFrame, metrics: dict[str, str], *by: str) -> Data
 
 
 def ordinal_rank(df: DataFrame, value: str, order: str, by: Sequence[str], name: str) -> DataFrame:
-    """1-based rank by value; ties keep the input order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(value, order)))
+    """1-based rank by value; ties keep the input order.  A group of any size is dealt by ranges."""
+    return with_rank(df, list(by), [value, order], name)
 
 
 def correlations(df: DataFrame, x: str, y: str, order: str, by: Sequence[str]) -> DataFrame:

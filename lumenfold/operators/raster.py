@@ -13,17 +13,25 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import (
     P3_TO_2020,
+    REC709_TO_P3,
+    REC2020_TO_P3,
+    WHITE_NITS,
     apply_matrix,
+    bt709_to_linear,
     clamp,
     clamp_finite,
     exp2,
     finite,
+    hlg_signal,
+    known_transfer,
+    linear_by_transfer,
     linear_to_pq,
     lit,
     outside_709,
     p3_luminance,
     smoothstep,
     split_multiply32,
+    srgb_to_linear,
 )
 
 from .audit import floor_rank
@@ -121,24 +129,33 @@ def clipping(pixels: DataFrame, cold: float = 0.0, hot: float = 1.0) -> DataFram
     return pixels.groupBy("image_id").agg(F.avg((top >= hot).cast("double")).alias("hot"), F.avg((low <= cold).cast("double")).alias("cold"))
 
 
-def box_mean(cells: DataFrame, value: str, radius: int, out: str) -> DataFrame:
-    """Mean over a square window cut off at the edges: sums and counts along rows, then along columns."""
+def box_means(cells: DataFrame, values: dict[str, str], radius: int) -> DataFrame:
+    """Means over a square window cut off at the edges, {value: out}: sums along rows, then along columns.
+
+    All values and the area share one window each way, so there are two exchanges however many values there are.
+    """
     row = Window.partitionBy("image_id", "gy").orderBy("gx").rangeBetween(-radius, radius)
     column = Window.partitionBy("image_id", "gx").orderBy("gy").rangeBetween(-radius, radius)
-    v = clamp_finite(F.col(value), -64.0, 64.0, 0.0)
-    first = cells.withColumn("_s", F.sum(v).over(row)).withColumn("_n", F.count(F.lit(1)).over(row))
-    return first.withColumn(out, F.sum("_s").over(column) / F.sum("_n").over(column)).drop("_s", "_n")
+    clean = lambda v: clamp_finite(F.col(v), -64.0, 64.0, 0.0)
+    first = cells.select("*", F.count(F.lit(1)).over(row).alias("_n"), *[F.sum(clean(v)).over(row).alias(f"_s{k}") for k, v in enumerate(values)])
+    area = F.sum("_n").over(column)
+    out = first.select("*", *[(F.sum(f"_s{k}").over(column) / area).alias(o) for k, o in enumerate(values.values())])
+    return out.drop("_n", *[f"_s{k}" for k in range(len(values))])
+
+
+def box_mean(cells: DataFrame, value: str, radius: int, out: str) -> DataFrame:
+    """Mean over a square window cut off at the edges."""
+    return box_means(cells, {value: out}, radius)
 
 
 def guided_filter(cells: DataFrame, radius: int) -> DataFrame:
     """Edge-keeping smoothing of gain by guide, never above global_gain: adds `filtered`."""
     x = cells.withColumn("_ii", F.col("guide") * F.col("guide")).withColumn("_ip", F.col("guide") * F.col("gain"))
-    for value, out in (("guide", "_mi"), ("gain", "_mp"), ("_ii", "_mii"), ("_ip", "_mip")):
-        x = box_mean(x, value, radius, out)
+    x = box_means(x, {"guide": "_mi", "gain": "_mp", "_ii": "_mii", "_ip": "_mip"}, radius)
     variance = F.greatest(lit(0), F.col("_mii") - F.col("_mi") * F.col("_mi"))
     x = x.withColumn("_a", (F.col("_mip") - F.col("_mi") * F.col("_mp")) / (variance + GUIDE_EPSILON))
     x = x.withColumn("_b", F.col("_mp") - F.col("_a") * F.col("_mi"))
-    x = box_mean(box_mean(x, "_a", radius, "_ma"), "_b", radius, "_mb")
+    x = box_means(x, {"_a": "_ma", "_b": "_mb"}, radius)
     smooth = clamp(F.col("_ma") * F.col("guide") + F.col("_mb"), lit(0), F.col("global_gain"))
     return x.withColumn("filtered", F.when(F.col("global_gain") <= 0, lit(0)).otherwise(smooth)).drop(*[c for c in x.columns if c.startswith("_")])
 
@@ -164,9 +181,9 @@ def highlight_components(candidates: DataFrame) -> DataFrame:
     """Eight-connected components of the candidates: (image_id, root, cells, peak, quality), root being the first cell."""
     from .corpus import components
 
-    edge = 1 << 20
-    node = (F.col("image_id").cast("long") * F.lit(edge) + F.col("gy")) * F.lit(edge // 256) + F.col("gx")
-    nodes = candidates.withColumn("node", node)
+    # a node is its cell's key itself, so image ids may be of any type
+    place = F.struct("image_id", F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"))
+    nodes = candidates.withColumn("node", place)
     steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("s")
     near = nodes.select("image_id", F.col("node").alias("a"), "gy", "gx", steps).select("image_id", "a", (F.col("gy") + F.col("s.dy")).alias("gy"), (F.col("gx") + F.col("s.dx")).alias("gx"))
     edges = near.join(nodes.select("image_id", "gy", "gx", F.col("node").alias("b")), ["image_id", "gy", "gx"]).select("a", "b")
@@ -178,37 +195,78 @@ def best_highlight(found: DataFrame) -> DataFrame:
     """The brightest component of each image with two cells or more and enough quality, and its merit."""
     merit = clamp(F.col("quality") * (0.6 + 0.4 * smoothstep(1.0, 8.0, F.col("cells").cast("double"))), 0.0, 1.0)
     ok = found.filter("cells >= 2 AND quality >= 0.10").withColumn("merit", merit)
-    best = ok.groupBy("image_id").agg(F.max(F.struct("peak", (-F.col("root")).alias("first"), "merit")).alias("b"))
+    first = (-F.col("root.gy")).alias("gy"), (-F.col("root.gx")).alias("gx")
+    best = ok.groupBy("image_id").agg(F.max(F.struct("peak", *first, "merit")).alias("b"))
     return best.select("image_id", F.col("b.peak").alias("peak"), F.col("b.merit").alias("merit"))
 
 
-def bilinear_taps(at: DataFrame, grid_w: Column, grid_h: Column, image_w: Column, image_h: Column) -> DataFrame:
-    """Four weighted grid cells of each row of (.., x, y): adds gx, gy, weight."""
+def with_neighbours(grid: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Cells with the values of their right, lower and diagonal neighbours (right, lower, corner), null beyond the edge."""
+    row = Window.partitionBy("image_id", "gy").orderBy("gx")
+    column = Window.partitionBy("image_id", "gx").orderBy("gy")
+    cells = grid.select("image_id", F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), F.struct(*values).alias("here"))
+    right = cells.withColumn("right", F.coalesce(F.lead("here").over(row), "here"))
+    return right.withColumn("lower", F.coalesce(F.lead("here").over(column), "here")).withColumn("corner", F.coalesce(F.lead("right").over(column), "right"))
+
+
+def bilinear_values(at: DataFrame, grid: DataFrame, values: Sequence[str], sizes: tuple[Column, Column, Column, Column]) -> DataFrame:
+    """The rows of at(image_id, y, x, ..) with the values of a grid read between cells at pixel centres.
+
+    sizes: width and height of grid and image, constants or columns of at.  The neighbours are put beside each cell
+    on the grid, the small side, so a pixel meets one row of it.
+    """
+    grid_w, grid_h, image_w, image_h = sizes
     place = lambda x, g, n: clamp((x + 0.5) * g / n - 0.5, lit(0), (g - 1).cast("double"))
-    x = at.withColumn("_px", place(F.col("x"), grid_w, image_w)).withColumn("_py", place(F.col("y"), grid_h, image_h))
-    x = x.withColumn("_x0", F.floor("_px")).withColumn("_y0", F.floor("_py"))
-    x = x.withColumn("_x1", F.least(F.col("_x0") + 1, grid_w - 1)).withColumn("_y1", F.least(F.col("_y0") + 1, grid_h - 1))
-    tx, ty = F.col("_px") - F.col("_x0"), F.col("_py") - F.col("_y0")
-    taps = F.array(*[
-        F.struct(F.col(cx).cast("long").alias("gx"), F.col(cy).cast("long").alias("gy"), (wx * wy).alias("weight"))
-        for cx, wx in (("_x0", 1 - tx), ("_x1", tx)) for cy, wy in (("_y0", 1 - ty), ("_y1", ty))
-    ])
-    kept = [c for c in at.columns]
-    return x.select(*kept, F.explode(taps).alias("_t")).select(*kept, "_t.gx", "_t.gy", "_t.weight")
+    x = at.withColumns({"_px": place(F.col("x"), grid_w, image_w), "_py": place(F.col("y"), grid_h, image_h)})
+    x = x.withColumns({"_gx": F.floor("_px"), "_gy": F.floor("_py")})
+    near = with_neighbours(grid, values).select(F.col("image_id").alias("_i"), F.col("gy").alias("_gy2"), F.col("gx").alias("_gx2"), "here", "right", "lower", "corner")
+    j = x.join(near, (F.col("image_id") == F.col("_i")) & (F.col("_gy") == F.col("_gy2")) & (F.col("_gx") == F.col("_gx2")))
+    tx, ty = F.col("_px") - F.col("_gx"), F.col("_py") - F.col("_gy")
+    blend = lambda v: ((F.col(f"here.{v}") * (1 - tx) + F.col(f"right.{v}") * tx) * (1 - ty) + (F.col(f"lower.{v}") * (1 - tx) + F.col(f"corner.{v}") * tx) * ty).alias(v)
+    return j.select(*at.columns, *[blend(v) for v in values])
 
 
 def bilinear_lookup(at: DataFrame, grid: DataFrame, value: str, sizes: tuple[Column, Column, Column, Column]) -> DataFrame:
     """(image_id, y, x, value) of a grid read between cells at pixel centres."""
-    taps = bilinear_taps(at.select("image_id", "y", "x"), *sizes)
-    cells = grid.select("image_id", F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), value)
-    return taps.join(cells, ["image_id", "gy", "gx"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("weight") * F.col(value)).alias(value))
+    return bilinear_values(at.select("image_id", "y", "x"), grid, [value], sizes)
+
+
+def resample_to(pixels: DataFrame, targets: DataFrame, values: Sequence[str] = ("r", "g", "b")) -> DataFrame:
+    """(image_id, y, x, values) at each image's target size: targets(image_id, tw, th).
+
+    A side over twice its target is halved by box means until it is not; several halvings are one weighted mean, a
+    pixel's weight being the product of 1 / (pixels in its box) of each.  Then cells are read between half-pixel centres.
+    """
+    sizes = image_sizes(pixels).join(targets, "image_id")
+
+    def halvings(side: str, target: str) -> Column:
+        start = F.struct(F.col(side).cast("long").alias("n"), F.lit(0).alias("k"))
+        over = lambda s: (s["n"] > 1) & (s["n"] > F.col(target) * 2)
+        step = lambda s, _: F.struct(F.when(over(s), F.ceil(s["n"] / 2)).otherwise(s["n"]).alias("n"), (s["k"] + over(s).cast("int")).alias("k"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step)
+
+    def weight(at: str, side: str, k: Column) -> Column:
+        def level(w, j):
+            extent, node = F.ceil(F.col(side) / F.pow(lit(2), j)), F.floor(F.col(at) / F.pow(lit(2), j + 1))
+            return w / F.least(lit(2), extent - 2 * node)
+
+        return F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda j: j < k), lit(1), level)
+
+    s = sizes.withColumns({"_hx": halvings("w", "tw"), "_hy": halvings("h", "th")})
+    j = pixels.join(s, "image_id").withColumn("_weight", weight("x", "w", F.col("_hx.k")) * weight("y", "h", F.col("_hy.k")))
+    cell = lambda at, k: F.floor(F.col(at) / F.pow(lit(2), k))
+    small = j.groupBy("image_id", cell("y", F.col("_hy.k")).alias("gy"), cell("x", F.col("_hx.k")).alias("gx")).agg(*[F.sum(F.col(v) * F.col("_weight")).alias(v) for v in values])
+    spots = s.select("image_id", F.col("_hx.n").alias("_w"), F.col("_hy.n").alias("_h"), "tw", "th", F.explode(F.sequence(F.lit(0), F.col("th").cast("int") - 1)).alias("y"))
+    spots = spots.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tw").cast("int") - 1)))
+    read = bilinear_values(spots, small, values, (F.col("_w"), F.col("_h"), F.col("tw"), F.col("th")))
+    return read.select("image_id", "y", "x", *values)
 
 
 def reorient(pixels: DataFrame, orientation: Column) -> DataFrame:
-    """Pixels at the places that EXIF orientation 1..8 asks for."""
+    """Pixels at the places that EXIF orientation 1..8 asks for; any other orientation, and none, leaves them."""
     j = pixels.join(image_sizes(pixels), "image_id").withColumn("_o", orientation)
     x, y, w, h = F.col("x"), F.col("y"), F.col("w"), F.col("h")
-    pick = lambda *v: F.element_at(F.array(*v), F.col("_o"))
+    pick = lambda *v: F.get(F.array(*v), F.when(F.col("_o").between(1, 8), F.col("_o") - 1).otherwise(0).cast("int"))
     nx = pick(x, w - 1 - x, w - 1 - x, x, y, h - 1 - y, h - 1 - y, y)
     ny = pick(y, y, h - 1 - y, h - 1 - y, x, x, w - 1 - x, w - 1 - x)
     return j.select("image_id", ny.alias("y"), nx.alias("x"), *[c for c in pixels.columns if c not in ("image_id", "x", "y")])
@@ -235,11 +293,34 @@ def area_average(pixels: DataFrame, value: str, out_w: int, out_h: int) -> DataF
     return x.groupBy("image_id", F.col("_ey.k").alias("gy"), F.col("_ex.k").alias("gx")).agg((F.sum(F.col(value) * share) / F.sum(share)).alias("v"))
 
 
-def bayer_pack(mosaic: DataFrame, roles: Sequence[str] = ("R", "Gr", "Gb", "B")) -> DataFrame:
-    """Half-size planes of a 2 x 2 colour pattern, by role of each place in reading order."""
-    role = F.element_at(F.array(*[F.lit(r) for r in roles]), ((F.col("y") % 2) * 2 + F.col("x") % 2 + 1).cast("int"))
-    m = mosaic.select("image_id", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x"), role.alias("role"), "v")
-    return m.groupBy("image_id", "y", "x").agg(*[F.max(F.when(F.col("role") == r, F.col("v"))).alias(r) for r in sorted(set(roles))])
+#: The colours of a 2 x 2 pattern in reading order.
+BAYER = {"RGGB": ("R", "Gr", "Gb", "B"), "BGGR": ("B", "Gb", "Gr", "R"), "GRBG": ("Gr", "R", "B", "Gb"), "GBRG": ("Gb", "B", "R", "Gr")}
+
+
+def bayer_role(pattern: Column, y: Column, x: Column) -> Column:
+    """R, Gr, Gb or B of a site; null for an unknown pattern."""
+    at = ((y % 2) * 2 + x % 2).cast("int")
+    role = F.lit(None).cast("string")
+    for name, roles in BAYER.items():
+        role = F.when(pattern == name, F.get(F.array(*[F.lit(r) for r in roles]), at)).otherwise(role)
+    return role
+
+
+def rejected_mosaics(mosaic: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(image_id, reason) of the mosaics that cannot be packed."""
+    j = image_sizes(mosaic).join(patterns, "image_id", "left")
+    known = F.coalesce(F.col("pattern").isin(*BAYER), F.lit(False))
+    reason = F.when(~known, "unknown pattern").when((F.col("w") % 2 != 0) | (F.col("h") % 2 != 0), "odd size")
+    return j.select("image_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def bayer_pack(mosaic: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Half-size planes R, Gr, Gb and B by each image's pattern(image_id, pattern); see rejected_mosaics() for the rest."""
+    good = patterns.join(rejected_mosaics(mosaic, patterns), "image_id", "left_anti")
+    m = mosaic.join(good, "image_id").select(
+        "image_id", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x"), bayer_role(F.col("pattern"), F.col("y"), F.col("x")).alias("role"), "v"
+    )
+    return m.groupBy("image_id", "y", "x").agg(*[F.max(F.when(F.col("role") == r, F.col("v"))).alias(r) for r in ("R", "Gr", "Gb", "B")])
 
 
 def repair_sites(mosaic: DataFrame, hot: float = 4.0, dead: float = 0.25) -> DataFrame:
@@ -350,22 +431,105 @@ def inverse_tone(target: Column, p: dict[str, float], steps: int = 64, top: floa
     return F.when(target <= 0, lit(0)).otherwise((found["low"] + found["high"]) / 2)
 
 
-def reconstruct(pixels: DataFrame, codes: DataFrame, headroom: Column, metadata: dict[str, float], sizes: tuple[Column, Column, Column, Column]) -> DataFrame:
-    """HDR planes at a display headroom: codes are read between cells, then decoded; negative results are clamped and counted."""
-    code = bilinear_lookup(pixels, codes, "code", sizes)
-    j = pixels.join(code, ["image_id", "y", "x"])
-    span = metadata["alternate"] - metadata["base"]
-    weight = clamp((headroom - metadata["base"]) / span, 0.0, 1.0) if abs(span) >= 1e-8 else lit(0)
-    gain = metadata["min"] + (metadata["max"] - metadata["min"]) * F.pow(clamp_finite(F.col("code"), 0.0, 1.0, 0.0), lit(1 / max(metadata["gamma"], 1e-6)))
-    raw = {c: (F.col(c) + metadata["base_offset"]) * exp2(gain * weight) - metadata["alternate_offset"] for c in ("r", "g", "b")}
-    clamped = sum(((v < 0).cast("int") for v in raw.values()), F.lit(0))
-    return j.select("image_id", "y", "x", *[F.greatest(lit(0), v).alias(c) for c, v in raw.items()], clamped.alias("clamped"))
+def tone_table(spark, samples: int, curve: dict[str, float], headroom_stops: float) -> DataFrame:
+    """(k, sdr, scene, gain_stops) of the sampled curve: each SDR level, the scene light behind it, and its gain at the headroom."""
+    if not 2 <= samples <= 4096:
+        raise ValueError("2 to 4096 samples")
+    peak = 2.0 ** max(0.0, headroom_stops)
+    t = spark.range(samples).select(F.col("id").alias("k"), (F.col("id") / (samples - 1)).alias("sdr"))
+    t = t.withColumn("scene", inverse_tone(F.least("sdr", lit(0.9995)), curve))
+    if peak <= max(curve["shoulder_out"] + EPSILON, 1.0):
+        return t.withColumn("gain_stops", lit(0))
+    base = F.greatest(tone_curve(F.col("scene"), 1.0, curve), lit(EPSILON))
+    gain = F.greatest(lit(0), F.log2(F.greatest(tone_curve(F.col("scene"), peak, curve), base) / base))
+    return t.withColumn("gain_stops", F.when(F.col("sdr") <= 0, lit(0)).otherwise(gain))
+
+
+def _light(c: str, code: str, weight: Column, m: dict[str, float]) -> Column:
+    gain = m["min"] + (m["max"] - m["min"]) * F.pow(clamp_finite(F.col(code), 0.0, 1.0, 0.0), lit(1 / max(m["gamma"], 1e-6)))
+    return (F.col(c) + m["base_offset"]) * exp2(gain * weight) - m["alternate_offset"]
+
+
+def reconstruct(
+    pixels: DataFrame, codes: DataFrame, headrooms: Sequence[float], metadata: dict[str, float] | Sequence[dict[str, float]],
+    sizes: tuple[Column, Column, Column, Column], channels: Sequence[str] = ("code",),
+) -> DataFrame:
+    """HDR planes at display headrooms: (.., headroom, hdr_r, hdr_g, hdr_b, clamped), with the input's columns.
+
+    Codes are read between cells once, then decoded at each headroom; negative results are clamped and counted.
+    channels: one column of codes for all colours, or three with a metadata each.
+    """
+    each = [metadata] * 3 if isinstance(metadata, dict) else list(metadata)
+    names = list(channels) * (3 if len(channels) == 1 else 1)
+    m = each[0]
+    span = m["alternate"] - m["base"]
+    at = bilinear_values(pixels, codes, channels, sizes).withColumn("headroom", F.explode(F.array(*[lit(h) for h in headrooms])))
+    weight = clamp((F.col("headroom") - m["base"]) / span, 0.0, 1.0) if abs(span) >= 1e-8 else lit(0)
+    raw = {f"hdr_{c}": _light(c, code, weight, k) for c, code, k in zip("rgb", names, each, strict=True)}
+    x = at.withColumns(raw)
+    clamped = sum(((F.col(v) < 0).cast("int") for v in raw), F.lit(0))
+    return x.select(*pixels.columns, "headroom", *[F.greatest(lit(0), F.col(v)).alias(v) for v in raw], clamped.alias("clamped"))
+
+
+def reconstruction_error(rebuilt: DataFrame, reference: Sequence[str]) -> DataFrame:
+    """Per headroom: pixels, pixels with a clamped value, clamped values, and mean, mean squared and greatest error against the reference columns."""
+    x = rebuilt.select("headroom", "clamped", F.posexplode(F.array(*[F.abs(F.col(f"hdr_{c}") - F.col(r)) for c, r in zip("rgb", reference, strict=True)])).alias("k", "e"))
+    first = F.col("k") == 0
+    return x.groupBy("headroom").agg(
+        F.count_if(first).alias("pixels"), F.count_if(first & (F.col("clamped") > 0)).alias("clamped_pixels"), F.sum(F.when(first, F.col("clamped")).otherwise(0)).alias("clamped_values"),
+        F.avg("e").alias("mae"), F.avg(F.col("e") * F.col("e")).alias("mse"), F.max("e").alias("worst"),
+    )
+
+
+def to_linear_p3(pixels: DataFrame, colours: DataFrame) -> DataFrame:
+    """Linear Display P3 of encoded pixels by each image's codes: colours(image_id, primaries, transfer); adds error.
+
+    Unstated codes (0, 2) count as sRGB and Rec. 709; any other unknown code, and none, is an error row without colour.
+    """
+    j = pixels.join(colours, "image_id", "left")
+    light = [linear_by_transfer(F.col("transfer"), F.col(c)) for c in "rgb"]
+    j = j.withColumns({f"_{c}": v for c, v in zip("rgb", light, strict=True)})
+    wide, narrow = apply_matrix(REC2020_TO_P3, *(F.col(f"_{c}") for c in "rgb")), apply_matrix(REC709_TO_P3, *(F.col(f"_{c}") for c in "rgb"))
+    p = F.col("primaries")
+    out = {
+        c: F.when(p == 12, F.greatest(lit(0), F.col(f"_{c}"))).when(p == 9, F.greatest(lit(0), w)).when(p.isin(0, 1, 2), F.greatest(lit(0), n))
+        for c, w, n in zip("rgb", wide, narrow, strict=True)
+    }
+    error = F.when(~F.coalesce(known_transfer(F.col("transfer")), F.lit(False)), "unknown transfer").when(~F.coalesce(p.isin(0, 1, 2, 9, 12), F.lit(False)), "unknown primaries")
+    kept = [c for c in pixels.columns if c not in "rgb"]
+    return j.select(*kept, *[F.when(error.isNull(), v).alias(c) for c, v in out.items()], error.alias("error"))
+
+
+def decode_gain(cells: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Adds log2_gain and reason to cells(image_id, .., code in 0..1) by metadata(image_id, form, headroom, gain_min, gain_max, gamma).
+
+    form: iso (stored range and gamma), legacy (Rec. 709 curve, headroom 1 to 32), v1 (sRGB curve, headroom over 1).
+    """
+    j = cells.join(metadata, "image_id", "left")
+    code, head = clamp(F.col("code"), 0.0, 1.0), F.col("headroom")
+    iso = F.col("gain_min") + (F.col("gain_max") - F.col("gain_min")) * F.pow(code, 1.0 / F.col("gamma"))
+    reason = (
+        F.when(F.col("form").isNull() | ~F.col("form").isin("iso", "legacy", "v1"), "unknown form")
+        .when((F.col("form") == "legacy") & ~F.coalesce(head.between(1, 32), F.lit(False)), "headroom out of range")
+        .when((F.col("form") == "v1") & ~F.coalesce(finite(head) & (head > 1), F.lit(False)), "headroom out of range")
+        .when((F.col("form") == "iso") & ~F.coalesce((F.col("gamma") > 0) & (F.col("gain_max") >= F.col("gain_min")), F.lit(False)), "metadata")
+    )
+    by_head = lambda light: F.log2(1 + (head - 1) * light)
+    value = F.when(F.col("form") == "iso", iso).when(F.col("form") == "legacy", by_head(bt709_to_linear(code))).otherwise(by_head(srgb_to_linear(code)))
+    return j.select(*cells.columns, F.when(reason.isNull(), value).alias("log2_gain"), reason.alias("reason"))
+
+
+def gain_mask(hdr: Column, base: Column, stops: float, offset: float = 1 / 64) -> Column:
+    """How much gain lies between two planes, as a share of a range of stops."""
+    return clamp(F.log2((hdr + offset) / (base + offset)) / stops, 0.0, 1.0)
 
 
-def pq_codes(pixels: DataFrame, nits: float = 203.0) -> DataFrame:
-    """10-bit dithered PQ code planes in Rec. 2020."""
+def bt2100_codes(pixels: DataFrame, transfer: str = "pq", bits: int = 10) -> DataFrame:
+    """Dithered code planes in Rec. 2020 of light relative to diffuse white (203 nits), by PQ or by HLG for a 1000-nit display."""
+    encode = {"pq": lambda v: linear_to_pq(clamp(v * WHITE_NITS, 0.0, 10_000.0)), "hlg": hlg_signal}[transfer]
     planes = apply_matrix(P3_TO_2020, F.col("r"), F.col("g"), F.col("b"))
-    return pixels.select("image_id", "y", "x", *[quantize_dithered(linear_to_pq(F.greatest(v, lit(0)) * nits), F.col("x"), F.col("y"), 1023, k).alias(n) for k, (n, v) in enumerate(zip("rgb", planes, strict=True))])
+    most = (1 << bits) - 1
+    return pixels.select("image_id", "y", "x", *[quantize_dithered(encode(F.greatest(v, lit(0))), F.col("x"), F.col("y"), most, k).alias(n) for k, (n, v) in enumerate(zip("rgb", planes, strict=True))])
 
 
 def area_hashes(pixels: DataFrame, value: str = "luma") -> DataFrame:

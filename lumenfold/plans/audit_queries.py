@@ -132,72 +132,6 @@ def g5_findings(spark, d):
     return A.findings(by_digest.crossJoin(rest).crossJoin(bands))
 
 
-@query(f"""WITH {T.SQL_SAMPLES} SELECT s.split, CASE WHEN l.quality = 1 THEN 'xmp' WHEN headroom_source = 'en' THEN 'iso_native' ELSE 'legacy_apple' END AS subset, count(*) AS n
- FROM samples s JOIN labels l ON l.doc_id = s.sample_id GROUP BY 1, 2""")
-def pf1_label_subsets(spark, d):
-    j = T.samples(spark, d).join(T.read(spark, d, "labels"), F.expr("doc_id = sample_id"))
-    subset = F.when(F.col("quality") == 1, "xmp").when(F.col("headroom_source") == "en", "iso_native").otherwise("legacy_apple")
-    return j.groupBy("split", subset.alias("subset")).agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {T.SQL_CELLS}, m AS (SELECT image_id, max(signed) * 10 - 2 AS top FROM cells GROUP BY 1)
- SELECT image_id, round(top, 6) AS max_log2_gain, NOT isnan(top) AND top > 0 AS eligible, round(top, 2) = 0 AS degenerate FROM m""")
-def pf2_eligibility(spark, d):
-    top = T.cells(spark, d).groupBy("image_id").agg((F.max("signed") * 10 - 2).alias("top"))
-    return top.select("image_id", (F.round("top", 6) + 0.0).alias("max_log2_gain"), E.positive_finite(F.col("top")).alias("eligible"), (F.round("top", 2) == 0).alias("degenerate"))
-
-
-#: The four segments of the legacy estimate over the maker note's two numbers, in stops.
-_STOPS = """CASE WHEN a < 1 AND b <= 0.01 THEN -20.0 * b + 1.8 WHEN a < 1 THEN -0.101 * b + 1.601 WHEN b <= 0.01 THEN -70.0 * b + 3.0 ELSE -0.303 * b + 2.303 END"""
-
-
-@query(f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_tax * 20 AS a, l_discount / 5 AS b, CASE WHEN l_returnflag = 'A' THEN l_quantity / 10 END AS xmp,
-  l_linestatus = 'F' AS note FROM lineitem), y AS (SELECT *, {_STOPS} AS stops FROM x)
- SELECT id, CASE WHEN xmp > 0 THEN 'xmp' WHEN note THEN 'makernote' ELSE 'unresolved' END AS origin,
-  round(CASE WHEN xmp > 0 THEN xmp WHEN note THEN pow(2, greatest(stops, 0)) END, 6) AS headroom,
-  round(log2(CASE WHEN xmp > 0 THEN xmp WHEN note THEN pow(2, greatest(stops, 0)) END), 6) AS log2_headroom FROM y""")
-def pf3_pf4_headroom(spark, d):
-    x = T.read(spark, d, "lineitem").selectExpr(
-        "l_orderkey * 10 + l_linenumber AS id", "l_tax * 20 AS a", "l_discount / 5 AS b", "CASE WHEN l_returnflag = 'A' THEN l_quantity / 10 END AS xmp", "l_linestatus = 'F' AS note"
-    )
-    xmp = F.when(E.positive_finite(F.col("xmp")), F.col("xmp"))
-    note = F.when(F.col("note"), E.exp2(F.greatest(F.expr(_STOPS).cast("double"), E.lit(0))))
-    origin = F.when(xmp.isNotNull(), "xmp").when(note.isNotNull(), "makernote").otherwise("unresolved")
-    headroom = F.coalesce(xmp, note)
-    return T.rounded(x.select("id", origin.alias("origin"), headroom.alias("headroom"), F.log2(headroom).alias("log2_headroom")))
-
-
-@query("""WITH s AS (SELECT p_partkey AS id, p_size * 97 AS w, CAST(floor(p_retailprice) AS BIGINT) * 3 AS h FROM part),
- f AS (SELECT *, least(1.0, 1024.0 / greatest(w, h)) AS k FROM s),
- a AS (SELECT id, greatest(16, CAST(ceil(round_even(w * k, 0) / 16) AS BIGINT) * 16) AS aw, greatest(16, CAST(ceil(round_even(h * k, 0) / 16) AS BIGINT) * 16) AS ah FROM f)
- SELECT id, aw, ah, aw // 16 AS grid_w, ah // 16 AS grid_h FROM a""")
-def pf11_geometry(spark, d):
-    s = T.read(spark, d, "part").selectExpr("p_partkey AS id", "p_size * 97 AS w", "floor(p_retailprice) * 3 AS h")
-    k = F.least(E.lit(1), 1024.0 / F.greatest("w", "h"))
-    side = lambda c: F.greatest(F.lit(16), F.ceil(F.rint(F.col(c) * k) / 16) * 16).cast("long")
-    return s.select("id", side("w").alias("aw"), side("h").alias("ah")).selectExpr("id", "aw", "ah", "aw DIV 16 AS grid_w", "ah DIV 16 AS grid_h")
-
-
-@query(f"""WITH {T.SQL_FILES} SELECT run, count(*) AS files, count(*) FILTER (success AND decode_ms > 25) AS degraded FROM files GROUP BY run""")
-def pf12_degraded_decodes(spark, d):
-    return T.file_results(spark, d).groupBy("run").agg(F.count("*").alias("files"), F.count_if(F.expr("success AND decode_ms > 25")).alias("degraded"))
-
-
-@query("""SELECT p_partkey AS id, CASE WHEN p_size > 25 AND p_retailprice > 1500 THEN 'display_hdr' WHEN p_size > 25 THEN 'sdr' ELSE 'scene' END AS domain FROM part""")
-def pf13_domain(spark, d):
-    usable = E.positive_finite(F.col("p_retailprice") - 1500)
-    domain = F.when(F.col("p_size") > 25, F.when(usable, "display_hdr").otherwise("sdr")).otherwise("scene")
-    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), domain.alias("domain"))
-
-
-@query("""SELECT doc_id AS sample_id, text IS NOT NULL AS present, sha256(coalesce(text, '')) = sha256(coalesce(CASE WHEN doc_id % 17 = 0 THEN text || ' ' ELSE text END, '')) AS same FROM documents""")
-def pf15_content_check(spark, d):
-    s = T.samples(spark, d).select("sample_id", "text")
-    listed = s.select("sample_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("listed"))
-    found = s.select("sample_id", F.col("text").isNotNull().alias("present"), F.sha2(F.coalesce(F.expr("CASE WHEN sample_id % 17 = 0 THEN text || ' ' ELSE text END"), F.lit("")), 256).alias("now"))
-    return listed.join(found, "sample_id").select("sample_id", "present", (F.col("listed") == F.col("now")).alias("same"))
-
-
 @query(f"""WITH {T.SQL_SAMPLES}, v AS (SELECT sample_id, model FROM samples WHERE iso > 4000)
  SELECT model, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY sample_id) AS k FROM v) WHERE k <= 10""")
 def s1_first_examples(spark, d):

@@ -66,35 +66,6 @@ def pf9_validate_settings(spark, d):
     return B.validate_settings(settings, rules)
 
 
-@query("""SELECT p_partkey AS run, rule FROM part, LATERAL (VALUES ('hlg_headroom', p_size % 2 = 0 AND p_retailprice > 1500), ('preview_depth', p_size % 5 = 0 AND p_retailprice < 1000), ('half_size', p_size > 40 AND p_size % 3 = 0)) x(rule, broken) WHERE broken""")
-def pf10_cross_settings(spark, d):
-    rules = (("hlg_headroom", "p_size % 2 = 0 AND p_retailprice > 1500"), ("preview_depth", "p_size % 5 = 0 AND p_retailprice < 1000"), ("half_size", "p_size > 40 AND p_size % 3 = 0"))
-    broken = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in rules]))
-    return T.read(spark, d, "part").select(F.col("p_partkey").alias("run"), F.explode(broken).alias("rule"))
-
-
-_ROUTE = """CASE WHEN l_linenumber % 4 = 0 THEN 131072 WHEN l_linenumber % 4 = 3 THEN 7 ELSE 65536 END"""
-
-
-@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey, {_ROUTE} AS version, l_quantity / 10 AS xmp, l_quantity / 10 + l_tax / 1000 AS expected FROM lineitem)
- SELECT l_orderkey, l_linenumber, l_suppkey, CASE version WHEN 131072 THEN 'iso' WHEN 65536 THEN 'legacy' END AS route,
- CASE WHEN version NOT IN (131072, 65536) THEN 'unknown version' WHEN version = 131072 AND abs(xmp - expected) > 2e-5 * greatest(1, expected) THEN 'headroom conflict' END AS reason FROM s""")
-def pf14_label_routing(spark, d):
-    s = T.read(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", f"{_ROUTE} AS version", "l_quantity / 10 AS xmp", "l_quantity / 10 + l_tax / 1000 AS expected")
-    route = F.when(F.col("version") == 131072, "iso").when(F.col("version") == 65536, "legacy")
-    conflict = (F.col("version") == 131072) & (F.abs(F.col("xmp") - F.col("expected")) > 2e-5 * F.greatest(F.lit(1.0), F.col("expected")))
-    return s.select("l_orderkey", "l_linenumber", "l_suppkey", route.alias("route"), F.when(route.isNull(), "unknown version").when(conflict, "headroom conflict").alias("reason"))
-
-
-@query("""WITH l AS (SELECT CASE WHEN lang = 'en' THEN 'iso' WHEN lang = 'fr' THEN 'legacy' ELSE 'unresolved' END AS kind FROM documents)
- SELECT count(*) AS labels, count(*) FILTER (kind = 'iso') AS iso, count(*) FILTER (kind = 'legacy') AS legacy, count(*) FILTER (kind = 'unresolved') AS unresolved,
- count(*) FILTER (kind = 'unresolved') = 0 AND count(*) = 811 AS accepted FROM l""")
-def ag31_corpus_lock(spark, d):
-    kind = F.expr("CASE WHEN lang = 'en' THEN 'iso' WHEN lang = 'fr' THEN 'legacy' ELSE 'unresolved' END")
-    n = lambda k: F.count_if(kind == k)
-    return T.read(spark, d, "documents").agg(F.count("*").alias("labels"), n("iso").alias("iso"), n("legacy").alias("legacy"), n("unresolved").alias("unresolved"), ((n("unresolved") == 0) & (F.count("*") == 811)).alias("accepted"))
-
-
 #: A payload from a line item: version bytes, flags, and a common denominator of 1000 with numerators of the row.
 _FLAGS = "CASE WHEN l_linenumber % 7 = 0 THEN 4 WHEN l_linenumber % 5 = 0 THEN 9 ELSE 8 END"
 
@@ -126,7 +97,7 @@ def j8_compare_nodes(spark, d):
 
 
 @query("""WITH f AS (SELECT user_id % 20 AS client, event_id, ts AS "at", epoch_us(ts) AS us FROM events WHERE event_type = 'error'),
- r AS (SELECT *, count(*) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM f)
+ r AS (SELECT f.*, (SELECT count(*) FROM f o WHERE o.client = f.client AND o.us > f.us - 86400000000 AND (o.us < f.us OR (o.us = f.us AND o.event_id <= f.event_id))) AS recent FROM f)
  SELECT client, event_id, "at", recent, CASE WHEN recent >= 8 THEN 60 ELSE 0 END AS locked_seconds FROM r""")
 def st2_failure_throttle(spark, d):
     f = T.read(spark, d, "events").filter("event_type = 'error'").selectExpr("user_id % 20 AS client", "event_id", "ts AS at")

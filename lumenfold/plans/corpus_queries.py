@@ -98,21 +98,6 @@ def j1_missing_private(spark, d):
     return C.with_private(T.samples(spark, d).select("sample_id"), T.read(spark, d, "labels").selectExpr("doc_id AS sample_id"))[1]
 
 
-@query(f"""WITH {T.SQL_SAMPLES} SELECT split, model, count(*) AS n, count(quality) AS labelled, CAST(sum(coalesce(toxic, 0)) AS BIGINT) AS flagged
- FROM samples LEFT JOIN labels ON doc_id = sample_id GROUP BY 1, 2""")
-def j2_split_manifest_groups(spark, d):
-    j = T.samples(spark, d).join(T.read(spark, d, "labels"), F.expr("doc_id = sample_id"), "left")
-    return j.groupBy("split", "model").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.sum(F.coalesce("toxic", F.lit(0))).alias("flagged"))
-
-
-@query("""SELECT coalesce(a.id, b.id) AS id, a.id IS NULL AS extra, b.id IS NULL AS missing FROM (SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 0) a
- FULL OUTER JOIN (SELECT doc_id AS id FROM labels) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL""")
-def j3_missing_and_extra(spark, d):
-    a = T.read(spark, d, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("a"))
-    b = T.read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("b"))
-    return a.join(b, "id", "full_outer").filter("a IS NULL OR b IS NULL").selectExpr("id", "a IS NULL AS extra", "b IS NULL AS missing")
-
-
 @query(f"""WITH {T.SQL_CAPTURES}, {_EDGES}, {_HASHES}, {_NEAR}, r AS (SELECT phash, dhash, min(sample_id) AS rep FROM hashes GROUP BY 1, 2)
  SELECT least(p, s) AS a, greatest(p, s) AS b, 'temporal' AS kind FROM e WHERE p IS NOT NULL AND gap <= 1800000000
  UNION ALL SELECT a, b, 'visual' FROM near JOIN r ra ON ra.rep = a JOIN r rb ON rb.rep = b
@@ -126,9 +111,9 @@ def set2_difference(spark, d):
     return T.read(spark, d, "documents").select("doc_id").exceptAll(T.read(spark, d, "labels").select("doc_id"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM labels")
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def set3_intersection(spark, d):
-    return T.read(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id").intersect(T.read(spark, d, "labels").select("doc_id"))
+    return T.read(spark, d, "documents").select("doc_id").intersect(T.read(spark, d, "labels").select("doc_id"))
 
 
 @query("""WITH a AS (SELECT doc_id FROM documents), b AS (SELECT doc_id FROM labels)
@@ -150,16 +135,24 @@ def w2_golden_samples(spark, d):
     return C.golden_samples(s, ["p_size", "p_retailprice"], [7, 11])
 
 
-@query(f"""WITH {T.SQL_SAMPLES} SELECT split, count(*) AS n, count(DISTINCT model) AS models, max(iso) AS largest, count(*) FILTER (iso < 100) AS small FROM samples GROUP BY 1""")
-def ag34_split_summary(spark, d):
-    return T.samples(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("model").alias("models"), F.max("iso").alias("largest"), F.count_if(F.col("iso") < 100).alias("small"))
+@query("""WITH r AS (SELECT o_orderkey AS sample_id, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
+ SELECT sample_id, min(p + 200)::INT AS priority FROM r, (VALUES (0), (1), (2), (3)) x(p) WHERE k = p * (n - 1) // 3 GROUP BY 1""")
+def w2_spread_samples(spark, d):
+    return C.spread_samples(T.read(spark, d, "orders").withColumnRenamed("o_orderkey", "sample_id"), "o_totalprice")
 
 
-@query("SELECT doc_id AS sample_id, 'group-' || (doc_id // 5) AS group_id FROM documents WHERE doc_id % 5 < 3 ORDER BY 1")
+@query("SELECT doc_id AS sample_id, 'group-' || (doc_id // 5) AS group_id, CASE WHEN (doc_id // 5) % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM documents")
 def src3_group_members(spark, d):
-    """Groups with member lists, exploded again."""
-    groups = T.samples(spark, d).filter("sample_id % 5 < 3").groupBy(F.expr("'group-' || (sample_id DIV 5)").alias("group_id")).agg(F.array_sort(F.collect_list("sample_id")).alias("members"))
-    return groups.select(F.explode("members").alias("sample_id"), "group_id").orderBy("sample_id")
+    """Groups with member lists, written as a file of groups and read back by the reader of such files."""
+    from lumenfold.sources.manifests import read_groups
+    from lumenfold.sources.sinks import scratch_folder
+
+    number = F.expr("sample_id DIV 5")
+    groups = T.samples(spark, d).groupBy(number.alias("g")).agg(F.array_sort(F.collect_list(F.col("sample_id").cast("string"))).alias("members"))
+    groups = groups.select(F.concat(F.lit("group-"), F.col("g").cast("string")).alias("group_id"), F.when(F.col("g") % 2 == 0, "train").otherwise("test").alias("split"), F.size("members").alias("size"), "members")
+    path = scratch_folder(spark, "groups")
+    groups.select(F.array(F.struct("*")).alias("groups")).write.json(path)
+    return read_groups(spark, path, lines=True).select(F.col("sample_id").cast("long").alias("sample_id"), "group_id", "split")
 
 
 @query("""SELECT doc_id AS sample_id, bit_count(xor(('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT, ('0x' || substr(md5(coalesce(text, '')), 17, 15))::BIGINT))::INT AS distance FROM documents""")

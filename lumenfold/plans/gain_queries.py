@@ -100,16 +100,60 @@ def j13_lens_shading(spark, d):
     return T.rounded(G.shade(T.cells(spark, d).selectExpr("image_id", "gy AS y", "gx AS x", "v"), nodes))
 
 
-@query()
+@query(f"""WITH {T.SQL_CELLS}, i AS (SELECT DISTINCT image_id, CASE image_id % 3 WHEN 0 THEN 'RGGB' WHEN 1 THEN 'GBRG' END AS pattern, 0.05 + image_id % 2 * 0.01 AS black, 2.0 + image_id % 4 AS white FROM cells WHERE image_id % 3 < 2),
+ l AS (SELECT image_id, pattern, black, white, gy AS y, gx AS x, least(greatest(v / white, 0), 1) * 2 AS v FROM cells JOIN i USING (image_id)),
+ n AS (SELECT a.image_id, a.y, a.x, list_sort(list(b.v)) AS near FROM l a JOIN l b ON a.image_id = b.image_id AND ((a.y = b.y AND abs(a.x - b.x) = 2) OR (a.x = b.x AND abs(a.y - b.y) = 2)) GROUP BY 1, 2, 3),
+ f AS (SELECT l.* REPLACE (CASE WHEN len(near) >= 3 AND (v > near[len(near) // 2 + 1] * 4 OR v < near[len(near) // 2 + 1] * 0.25) THEN near[len(near) // 2 + 1] ELSE v END AS v) FROM l JOIN n USING (image_id, y, x)),
+ c AS (SELECT *, CASE WHEN pattern = 'RGGB' THEN [0, 1, 1, 2] ELSE [1, 2, 0, 1] END[((y % 2) * 2 + x % 2 + 1)::INT] AS ch FROM f)
+ SELECT image_id, y, x, round(greatest(0, v * (1 + ch * 0.1 + y / 7.0 * 2 * 0.02) - black) / (white - black) * (1 + image_id % 2), 6) AS v FROM c""")
 def ra15_calibrate(spark, d):
+    """Each image with its own pattern, black, white and gain; the third without a pattern is rejected."""
     lut = spark.range(9).selectExpr("id AS k", "id * 0.25D AS v")
     nodes = spark.range(27).selectExpr("cast(id % 3 AS int) AS channel", "(id DIV 3) % 3 AS y", "id DIV 9 AS x").withColumn("gain", F.expr("1 + channel * 0.1D + y * 0.02D"))
-    return T.rounded(G.calibrate(T.cells(spark, d).selectExpr("image_id", "gy AS y", "gx AS x", "v"), lut, nodes, 0.05, 2.0))
+    mosaic = T.cells(spark, d).selectExpr("image_id", "gy AS y", "gx AS x", "v")
+    images = mosaic.select("image_id").distinct().selectExpr(
+        "image_id", "element_at(array('RGGB', 'GBRG', 'none'), cast(image_id % 3 + 1 AS int)) AS pattern", "0.05D + image_id % 2 * 0.01D AS black",
+        "2.0D + image_id % 4 AS white", "1.0D + image_id % 2 AS digital_gain",
+    )
+    return T.rounded(G.calibrate(mosaic, lut, nodes, images))
 
 
-@query()
+def _sql_noise(channel: int, salt: int) -> str:
+    fixed = (channel * 0xC2B2AE3D & 0xFFFFFFFF) ^ (salt * 0x27D4EB2F & 0xFFFFFFFF)
+    s = f"xor(xor((x::BIGINT * 2654435761) & 4294967295, (y::BIGINT * 2246822519) & 4294967295), {fixed}::BIGINT)"
+    a = f"xor(({s}), ({s}) >> 16)"
+    b = f"CAST((CAST({a} AS HUGEINT) * 2146121005) % 4294967296 AS BIGINT)"
+    e = f"xor({b}, {b} >> 15)"
+    g = f"CAST((CAST({e} AS HUGEINT) * 2221713035) % 4294967296 AS BIGINT)"
+    return f"((xor({g}, {g} >> 16)) >> 8) / 16777216.0"
+
+
+_PLANES = "greatest(0, 0.753833 * r + 0.1985974 * g + 0.0475696 * b) AS cr, greatest(0, 0.0457439 * r + 0.9417772 * g + 0.0124789 * b) AS cg, greatest(0, -0.0012103 * r + 0.0176017 * g + 0.9836086 * b) AS cb"
+
+
+def _sql_codes(signal: str) -> str:
+    """SQL of dithered 10-bit codes; signal is the encoding of a plane {c}."""
+    columns = []
+    for k, c in enumerate("rgb"):
+        v, noise = f"s{c}", f"({_sql_noise(k, 0)} + {_sql_noise(k, 1)} - 1)"
+        dithered = f"least(greatest(sign({v} * 1023 + {noise}) * floor(abs({v} * 1023 + {noise}) + 0.5), 0), 1023)"
+        columns.append(f"CAST(CASE WHEN {v} <= 0 THEN 0 WHEN {v} >= 1 THEN 1023 WHEN floor({v} * 1023 + 0.5) <= 1 THEN floor({v} * 1023 + 0.5) ELSE {dithered} END AS INT) AS {c}")
+    signals = ", ".join(f"{signal.format(c='c' + c)} AS s{c}" for c in "rgb")
+    return f"WITH {T.SQL_PIXELS}, p AS (SELECT image_id, y, x, {_PLANES} FROM pixels), s AS (SELECT image_id, y, x, {signals} FROM p) SELECT image_id, y, x, {', '.join(columns)} FROM s"
+
+
+_PQ = "pow((3424 / 4096.0 + 2413 / 128.0 * pow(least({c} * 203, 10000) / 10000, 2610 / 16384.0)) / (1 + 2392 / 128.0 * pow(least({c} * 203, 10000) / 10000, 2610 / 16384.0)), 2523 / 32.0)"
+_HLG = "CASE WHEN pow(least({c} * 0.203, 1), 1 / 1.2) <= 1 / 12.0 THEN sqrt(3 * pow(least({c} * 0.203, 1), 1 / 1.2)) ELSE 0.17883277 * ln(12 * pow(least({c} * 0.203, 1), 1 / 1.2) - 0.28466892) + 0.55991073 END"
+
+
+@query(_sql_codes(_PQ))
 def ra18_pq_codes(spark, d):
-    return R.pq_codes(T.pixels(spark, d))
+    return R.bt2100_codes(T.pixels(spark, d))
+
+
+@query(_sql_codes(_HLG))
+def ra18_hlg_codes(spark, d):
+    return R.bt2100_codes(T.pixels(spark, d), "hlg")
 
 
 @query()
@@ -117,9 +161,53 @@ def ag37_perceptual_hashes(spark, d):
     return R.area_hashes(T.pixels(spark, d).selectExpr("image_id", "y", "x", "r AS luma"))
 
 
-@query(f"""WITH {T.SQL_PIXELS} SELECT image_id, round(least(avg(r), 0.9995), 5) AS level FROM pixels GROUP BY 1""")
+@query(f"""WITH RECURSIVE {T.SQL_PIXELS}, t AS (SELECT image_id, least(avg(r), 0.9995) AS t FROM pixels GROUP BY 1),
+ b(image_id, t, low, high, k) AS (SELECT image_id, t, 0.0::DOUBLE, 64.0::DOUBLE, 0 FROM t
+  UNION ALL SELECT image_id, t, CASE WHEN f < t THEN mid ELSE low END, CASE WHEN f < t THEN high ELSE mid END, k + 1 FROM (SELECT *, CASE
+    WHEN mid <= 0.08 THEN (3 * 0.0576 - 1.08 * 0.08) / 0.0064 * mid * mid + (1.08 * 0.08 - 2 * 0.0576) / 0.000512 * mid * mid * mid
+    WHEN mid <= 0.08 + (0.48 - 0.0576) / 1.08 THEN 0.0576 + 1.08 * (mid - 0.08) ELSE 1 - 0.52 * exp(-1.08 * (mid - 0.08 - (0.48 - 0.0576) / 1.08) / 0.52) END AS f
+   FROM (SELECT *, (low + high) / 2 AS mid FROM b WHERE k < 60)))
+ SELECT image_id, round((low + high) / 2, 5) AS scene FROM b WHERE k = 60""")
 def ra5_inverse_tone(spark, d):
-    """Each image's mean level through the curve's inverse and the curve again: it must come back."""
-    curve = G.Look().curve
+    """The scene light behind each image's mean level."""
     level = T.pixels(spark, d).groupBy("image_id").agg(F.least(F.avg("r"), lit(0.9995)).alias("t"))
-    return level.select("image_id", F.round(R.tone_curve(R.once(R.inverse_tone(F.col("t"), curve), lambda x: x), 1.0, curve), 5).alias("level"))
+    return level.select("image_id", F.round(R.once(R.inverse_tone(F.col("t"), G.Look().curve), lambda x: x), 5).alias("scene"))
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT DISTINCT label AS k, label / 9.0 AS sdr FROM embeddings),
+ b(k, sdr, low, high, n) AS (SELECT k, sdr, 0.0::DOUBLE, 64.0::DOUBLE, 0 FROM t
+  UNION ALL SELECT k, sdr, CASE WHEN f < least(sdr, 0.9995) THEN mid ELSE low END, CASE WHEN f < least(sdr, 0.9995) THEN high ELSE mid END, n + 1 FROM (SELECT *, CASE
+    WHEN mid <= 0.08 THEN (3 * 0.0576 - 1.08 * 0.08) / 0.0064 * mid * mid + (1.08 * 0.08 - 2 * 0.0576) / 0.000512 * mid * mid * mid
+    WHEN mid <= 0.08 + (0.48 - 0.0576) / 1.08 THEN 0.0576 + 1.08 * (mid - 0.08) ELSE 1 - 0.52 * exp(-1.08 * (mid - 0.08 - (0.48 - 0.0576) / 1.08) / 0.52) END AS f
+   FROM (SELECT *, (low + high) / 2 AS mid FROM b WHERE n < 60))),
+ s AS (SELECT k, sdr, CASE WHEN sdr <= 0 THEN 0 ELSE (low + high) / 2 END AS scene FROM b WHERE n = 60),
+ g AS (SELECT *, CASE WHEN scene > 0.08 + (0.48 - 0.0576) / 1.08 THEN (8 - 7.52 * exp(-1.08 * (scene - 0.08 - (0.48 - 0.0576) / 1.08) / 7.52)) / (1 - 0.52 * exp(-1.08 * (scene - 0.08 - (0.48 - 0.0576) / 1.08) / 0.52)) ELSE 1 END AS up FROM s)
+ SELECT e.vec_id AS image_id, round(scene, 5) AS scene, round(ln(up) / ln(2), 5) AS gain_stops FROM embeddings e JOIN g ON g.k = e.label""")
+def ra5_tone_table(spark, d):
+    """The sampled curve with ten samples and three stops, read at each image's label."""
+    table = R.tone_table(spark, 10, G.Look().curve, 3.0)
+    images = T.read(spark, d, "embeddings").selectExpr("vec_id AS image_id", "cast(label AS long) AS k")
+    return T.rounded(images.join(F.broadcast(table), "k").select("image_id", "scene", "gain_stops"), 5)
+
+
+@query(f"""WITH {T.SQL_CELLS}, c AS (SELECT image_id, gy, gx, least(v / 2, 1) AS code FROM cells),
+ t AS (SELECT image_id, y, x, CASE WHEN image_id % 2 = 0 THEN 16 ELSE 8 END AS n FROM (SELECT DISTINCT image_id FROM cells), range(16) a(y), range(16) b(x) WHERE image_id % 2 = 0 OR (y < 8 AND x < 8))
+ SELECT t.image_id, t.y AS gy, t.x AS gx, round(sum(code * greatest(0, 1 - abs(least(greatest((t.x + 0.5) * 8 / n - 0.5, 0), 7) - c.gx)) * greatest(0, 1 - abs(least(greatest((t.y + 0.5) * 8 / n - 0.5, 0), 7) - c.gy))), 6) AS code
+ FROM t JOIN c USING (image_id) GROUP BY 1, 2, 3""")
+def ra13_lift_grid(spark, d):
+    """8 x 8 codes of a 32 x 32 image are raised to 16 x 16; those of a 10 x 10 image are finer than its own grid and stay."""
+    codes = T.cells(spark, d).selectExpr("image_id", "gy", "gx", "least(v / 2, 1.0D) AS code")
+    images = codes.select("image_id").distinct().selectExpr("image_id", "CASE WHEN image_id % 2 = 0 THEN 32 ELSE 10 END AS w", "CASE WHEN image_id % 2 = 0 THEN 32 ELSE 10 END AS h")
+    return T.rounded(G.lift_grid(codes, images))
+
+
+@query()
+def ra14_render_all(spark, d):
+    """Every image by the renderer of its domain, as one line an image."""
+    p = T.pixels(spark, d)
+    images = _developed(spark, d).withColumn("domain", F.expr("element_at(array('display_sdr', 'display_hdr', 'scene', 'other'), cast(image_id % 4 + 1 AS int))"))
+    images = images.withColumn("available", F.col("headroom"))
+    base, gains = G.render_all(p.select("image_id", "y", "x", "r", "g", "b"), images, (4, 4), _sizes())
+    g = gains.groupBy("image_id", "renderer").agg(F.count("*").alias("cells"), F.max("gain").alias("gain"))
+    b = base.groupBy("image_id", "renderer").agg(F.count("*").alias("pixels"), F.avg("r").alias("r"))
+    return T.rounded(g.join(b, ["image_id", "renderer"]), 4)

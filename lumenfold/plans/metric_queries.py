@@ -133,13 +133,3 @@ _PAIRS = "pc AS (SELECT image_id, gy, gx, v AS prediction, v * 0.9 + gx * gx * 0
 def w7_gradient_errors(spark, d):
     pairs = T.cells(spark, d).filter("(image_id + gy + gx) % 9 <> 0").selectExpr("image_id", "gy", "gx", "v AS prediction", "v * 0.9 + gx * gx * 0.01 AS target")
     return T.rounded(M.gradient_errors(pairs))
-
-
-@query("""WITH t AS (SELECT doc_id FROM documents WHERE doc_id % 10 < 8), s AS (SELECT doc_id FROM documents WHERE doc_id % 10 >= 8), r AS (SELECT doc_id FROM labels WHERE doc_id % 10 >= 8)
- SELECT (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM s)) AS overlap, (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM r)) AS unregistered,
- (SELECT count(*) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM s)) AS unselected""")
-def j16_fold_guards(spark, d):
-    docs, registered = T.read(spark, d, "documents").select("doc_id"), T.read(spark, d, "labels").select("doc_id").filter("doc_id % 10 >= 8")
-    train, selected = docs.filter("doc_id % 10 < 8"), docs.filter("doc_id % 10 >= 8")
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(train.intersect(selected), "overlap").crossJoin(n(selected.exceptAll(registered), "unregistered")).crossJoin(n(registered.exceptAll(selected), "unselected"))

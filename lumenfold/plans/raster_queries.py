@@ -122,10 +122,15 @@ def j14_bilinear_lookup(spark, d):
     return T.rounded(R.bilinear_lookup(at, grid, "v", _sized(8, 8, 12, 12)))
 
 
-@query(f"""WITH {T.SQL_PIXELS} SELECT image_id, round(r, 6) AS r, CASE (image_id % 8)::INT WHEN 0 THEN y WHEN 1 THEN y WHEN 2 THEN 7 - y WHEN 3 THEN 7 - y WHEN 4 THEN x WHEN 5 THEN x WHEN 6 THEN 7 - x ELSE 7 - x END AS y,
- CASE (image_id % 8)::INT WHEN 0 THEN x WHEN 1 THEN 7 - x WHEN 2 THEN 7 - x WHEN 3 THEN x WHEN 4 THEN y WHEN 5 THEN 7 - y WHEN 6 THEN 7 - y ELSE y END AS x FROM pixels""")
+@query(f"""WITH {T.SQL_ODD}, o AS (SELECT *, label + 1 AS k FROM odd)
+ SELECT image_id, round(r, 6) AS r, CASE WHEN k IN (3, 4) THEN 4 - y WHEN k IN (5, 6) THEN x WHEN k IN (7, 8) THEN 12 - x ELSE y END AS y,
+ CASE WHEN k IN (2, 3) THEN 12 - x WHEN k IN (5, 8) THEN y WHEN k IN (6, 7) THEN 4 - y ELSE x END AS x FROM o""")
 def ra2_reorient(spark, d):
-    return T.rounded(R.reorient(T.pixels(spark, d).select("image_id", "y", "x", "r"), (F.col("image_id") % 8 + 1).cast("int")))
+    """Images of 13 x 5 by orientations 1 to 10; 9 and 10 are none and leave the image."""
+    p = T.odd_pixels(spark, d)
+    labels = p.select("image_id", "label").distinct()
+    turned = R.reorient(p.select("image_id", "y", "x", "r", "label"), F.col("label") + 1)
+    return T.rounded(turned.select("image_id", "r", "y", "x"))
 
 
 @query(f"WITH {T.SQL_PIXELS} SELECT image_id, y // 2 AS y, x // 2 AS x, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM pixels GROUP BY 1, 2, 3")
@@ -139,10 +144,33 @@ def ra3_area_average(spark, d):
     return T.rounded(R.area_average(T.pixels(spark, d), "r", 3, 3))
 
 
-@query(f"""WITH {T.SQL_PIXELS} SELECT image_id, y // 2 AS y, x // 2 AS x, round(max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN r END), 6) AS "R", round(max(CASE WHEN y % 2 = 0 AND x % 2 = 1 THEN r END), 6) AS "Gr",
- round(max(CASE WHEN y % 2 = 1 AND x % 2 = 0 THEN r END), 6) AS "Gb", round(max(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN r END), 6) AS "B" FROM pixels GROUP BY 1, 2, 3""")
+@query(f"""WITH {T.SQL_ODD}, h AS (SELECT image_id, y // 2 AS gy, x // 2 AS gx, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM odd GROUP BY 1, 2, 3),
+ q AS (SELECT image_id, gy, gx // CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END AS gx, avg(r) AS r, avg(g) AS g, avg(b) AS b, min(label) AS label FROM h JOIN (SELECT DISTINCT image_id, label FROM odd) USING (image_id) GROUP BY 1, 2, 3),
+ t AS (SELECT image_id, label, y, x, least(greatest((y + 0.5) * 3 / 2 - 0.5, 0), 2) AS py, CASE WHEN label % 2 = 0 THEN least(greatest((x + 0.5) * 4 / 3 - 0.5, 0), 3) ELSE least(greatest((x + 0.5) * 7 / 4 - 0.5, 0), 6) END AS px
+  FROM (SELECT DISTINCT image_id, label FROM odd), range(2) a(y), range(4) b(x) WHERE label % 2 = 1 OR x < 3)
+ SELECT t.image_id, t.y, t.x, round(sum(r * wx * wy), 6) AS r, round(sum(g * wx * wy), 6) AS g, round(sum(b * wx * wy), 6) AS b
+ FROM (SELECT t.*, q.r, q.g, q.b, greatest(0, 1 - abs(px - q.gx)) AS wx, greatest(0, 1 - abs(py - q.gy)) AS wy FROM t JOIN q USING (image_id)) t GROUP BY 1, 2, 3""")
+def ra3_resample_to(spark, d):
+    """13 x 5 to 4 x 2 (one halving) or to 3 x 2 (two across, one down), then between cells."""
+    p = T.odd_pixels(spark, d)
+    targets = p.select("image_id", "label").distinct().selectExpr("image_id", "CASE WHEN label % 2 = 0 THEN 3 ELSE 4 END AS tw", "2 AS th")
+    return T.rounded(R.resample_to(p.select("image_id", "y", "x", "r", "g", "b"), targets))
+
+
+@query(f"""WITH {T.SQL_PIXELS}, m AS (SELECT image_id, y, x, r, (y % 2) * 2 + x % 2 AS spot, image_id % 5 AS p FROM pixels WHERE image_id % 5 < 4)
+ SELECT image_id, y // 2 AS y, x // 2 AS x, round(max(CASE WHEN spot = [0, 3, 1, 2][(p + 1)::INT] THEN r END), 6) AS "R", round(max(CASE WHEN spot = [1, 2, 0, 3][(p + 1)::INT] THEN r END), 6) AS "Gr",
+ round(max(CASE WHEN spot = [2, 1, 3, 0][(p + 1)::INT] THEN r END), 6) AS "Gb", round(max(CASE WHEN spot = [3, 0, 2, 1][(p + 1)::INT] THEN r END), 6) AS "B" FROM m GROUP BY 1, 2, 3""")
 def ra16_bayer_pack(spark, d):
-    return T.rounded(R.bayer_pack(T.pixels(spark, d).selectExpr("image_id", "y", "x", "r AS v")))
+    m = T.pixels(spark, d).selectExpr("image_id", "y", "x", "r AS v")
+    patterns = m.select("image_id").distinct().selectExpr("image_id", "element_at(array('RGGB', 'BGGR', 'GRBG', 'GBRG', 'XTRANS'), cast(image_id % 5 + 1 AS int)) AS pattern")
+    return T.rounded(R.bayer_pack(m, patterns))
+
+
+@query("""SELECT 'img-' || vec_id AS image_id, CASE WHEN label % 3 = 0 THEN 'unknown pattern' ELSE 'odd size' END AS reason FROM embeddings""")
+def ra16_rejected_mosaics(spark, d):
+    m = T.odd_pixels(spark, d).selectExpr("image_id", "label", "y", "x", "r AS v")
+    patterns = m.select("image_id", "label").distinct().selectExpr("image_id", "CASE WHEN label % 3 > 0 THEN 'RGGB' END AS pattern")
+    return R.rejected_mosaics(m.drop("label"), patterns)
 
 
 @query(f"""WITH {T.SQL_CELLS}, n AS (SELECT a.image_id, a.gy, a.gx, any_value(a.v) AS v, list_sort(list(b.v)) AS near FROM cells a JOIN cells b ON a.image_id = b.image_id AND ((a.gy = b.gy AND abs(a.gx - b.gx) = 2) OR (a.gx = b.gx AND abs(a.gy - b.gy) = 2)) GROUP BY 1, 2, 3),
@@ -181,18 +209,28 @@ def ag28_w10_choose_gamma(spark, d):
 _META = {"base": 0.0, "alternate": 2.0, "min": 0.0, "max": 2.0, "gamma": 0.8, "base_offset": 1 / 64, "alternate_offset": 1 / 16}
 
 
-@query(f"""WITH {T.SQL_PIXELS}, p AS (SELECT image_id, y, x, r, least(g, 1) AS code FROM pixels), h AS (SELECT image_id, hs, (r + 1 / 64.0) * pow(2, 2 * pow(code, 1 / 0.8) * hs / 2) - 1 / 16.0 AS out, r FROM p, (VALUES (0.5), (1.0), (2.0)) v(hs))
- SELECT CAST(hs AS DOUBLE) AS headroom, count(*) AS pixels, count(*) FILTER (out < 0) AS clamped, round(avg(abs(greatest(out, 0) - r)), 6) AS mae, round(avg(pow(greatest(out, 0) - r, 2)), 6) AS mse, round(max(abs(greatest(out, 0) - r)), 6) AS worst FROM h GROUP BY 1""")
+@query(f"""WITH {T.SQL_PIXELS}, p AS (SELECT image_id, y, x, r, g, b, least(g, 1) AS code FROM pixels),
+ h AS (SELECT image_id, y, x, hs, pow(2, 2 * pow(code, 1 / 0.8) * hs / 2) AS k, r, g, b FROM p, (VALUES (0.5), (1.0), (2.0)) v(hs)),
+ o AS (SELECT hs, unnest([(r + 1 / 64.0) * k - 1 / 16.0, (g + 1 / 64.0) * k - 1 / 16.0, (b + 1 / 64.0) * k - 1 / 16.0]) AS raw, unnest([r, g, b]) AS was, unnest([1, 0, 0]) AS one, unnest([1, 1, 1]) * image_id * 1000 + y * 8 + x AS px FROM h)
+ SELECT CAST(hs AS DOUBLE) AS headroom, CAST(sum(one) AS BIGINT) AS pixels, count(DISTINCT CASE WHEN raw < 0 THEN px END) AS clamped_pixels, count(*) FILTER (raw < 0) AS clamped_values,
+  round(avg(abs(greatest(raw, 0) - was)), 6) AS mae, round(avg(pow(greatest(raw, 0) - was, 2)), 6) AS mse, round(max(abs(greatest(raw, 0) - was)), 6) AS worst FROM o GROUP BY 1""")
 def ag29_ra12_reconstruction_curve(spark, d):
     p = T.pixels(spark, d)
     codes = p.selectExpr("image_id", "y AS gy", "x AS gx", "least(g, 1.0D) AS code")
-    out = None
-    for h in (0.5, 1.0, 2.0):
-        part = R.reconstruct(p.selectExpr("image_id", "y", "x", "r", "r AS g", "r AS b"), codes, E.lit(h), _META, _sized(8, 8, 8, 8)).withColumn("headroom", E.lit(h))
-        out = part if out is None else out.unionByName(part)
-    e = F.abs(F.col("out") - F.col("r"))
-    return T.rounded(out.withColumnRenamed("r", "out").join(p.select("image_id", "y", "x", "r"), ["image_id", "y", "x"]).groupBy("headroom").agg(
-        F.count("*").alias("pixels"), F.count_if(F.col("clamped") > 0).alias("clamped"), F.avg(e).alias("mae"), F.avg(e * e).alias("mse"), F.max(e).alias("worst")))
+    rebuilt = R.reconstruct(p.select("image_id", "y", "x", "r", "g", "b"), codes, (0.5, 1.0, 2.0), _META, _sized(8, 8, 8, 8))
+    return T.rounded(R.reconstruction_error(rebuilt, ("r", "g", "b")))
+
+
+@query(f"""WITH {T.SQL_PIXELS} SELECT image_id, y, x, round(greatest((r + 1 / 64.0) * pow(2, pow(least(r, 1), 1 / 0.8)) - 1 / 16.0, 0), 6) AS hdr_r, round(greatest((g + 1 / 64.0) * pow(2, (-0.5 + 1.5 * least(g, 1)) / 2) - 1 / 16.0, 0), 6) AS hdr_g,
+ round(greatest((b + 1 / 64.0) * pow(2, 1.5 * pow(least(b, 1), 1 / 1.25)) - 1 / 16.0, 0), 6) AS hdr_b,
+ (((r + 1 / 64.0) * pow(2, pow(least(r, 1), 1 / 0.8)) < 1 / 16.0)::INT + ((g + 1 / 64.0) * pow(2, (-0.5 + 1.5 * least(g, 1)) / 2) < 1 / 16.0)::INT + ((b + 1 / 64.0) * pow(2, 1.5 * pow(least(b, 1), 1 / 1.25)) < 1 / 16.0)::INT) AS clamped FROM pixels""")
+def ra12_three_channels(spark, d):
+    """A code and a range for each colour, at half the map's headroom."""
+    p = T.pixels(spark, d)
+    codes = p.selectExpr("image_id", "y AS gy", "x AS gx", "least(r, 1.0D) AS cr", "least(g, 1.0D) AS cg", "least(b, 1.0D) AS cb")
+    each = [_META, _META | {"min": -0.5, "max": 1.0, "gamma": 1.0}, _META | {"max": 3.0, "gamma": 1.25}]
+    out = R.reconstruct(p.select("image_id", "y", "x", "r", "g", "b"), codes, (1.0,), each, _sized(8, 8, 8, 8), ("cr", "cg", "cb"))
+    return T.rounded(out.select("image_id", "y", "x", "hdr_r", "hdr_g", "hdr_b", "clamped"))
 
 
 @query(f"""WITH {T.SQL_PIXELS}, t AS (SELECT image_id, y, x, r, CASE WHEN r <= 0 THEN 0 WHEN r <= 0.02 THEN greatest(0, (3 * 0.016 - 0.02) / 0.0004 * r * r + (0.02 - 2 * 0.016) / 0.000008 * r * r * r) WHEN r <= 0.02 + (0.5 - 0.016) THEN 0.016 + (r - 0.02)
@@ -201,27 +239,41 @@ def ra5_tone_curve(spark, d):
     return T.rounded(T.pixels(spark, d).select("image_id", "y", "x", R.tone_curve(F.col("r"), 1.0, R.tone_parameters()).alias("sdr")))
 
 
-@query(f"""WITH {T.SQL_CELLS} SELECT image_id, gy, gx, CASE WHEN image_id % 2 = 0 THEN 'legacy' ELSE 'iso' END AS form,
- round(CASE WHEN image_id % 2 = 0 THEN log2(1 + 3 * (CASE WHEN least(v, 1) < 0.081 THEN least(v, 1) / 4.5 ELSE pow((least(v, 1) + 0.099) / 1.099, 1 / 0.45) END)) ELSE -0.5 + 2.5 * pow(least(v, 1), 1 / 1.25) END, 6) AS log2_gain FROM cells""")
+@query(f"""WITH {T.SQL_CELLS}, c AS (SELECT *, least(v, 1) AS code, image_id % 5 AS k FROM cells)
+ SELECT image_id, gy, gx, CASE WHEN k = 3 THEN 'headroom out of range' WHEN k = 4 THEN 'unknown form' END AS reason, round(CASE k WHEN 0 THEN 2.5 * pow(code, 0.8) - 0.5
+  WHEN 1 THEN ln(1 + 3 * CASE WHEN code >= 0.081 THEN pow((code + 0.099) / 1.099, 1 / 0.45) ELSE code / 4.5 END) / ln(2)
+  WHEN 2 THEN ln(1 + 3 * CASE WHEN code > 0.04045 THEN pow((code + 0.055) / 1.055, 2.4) ELSE code / 12.92 END) / ln(2) END, 6) AS log2_gain FROM c""")
 def ra4_decode_gain(spark, d):
-    code = F.least(F.col("v"), E.lit(1))
-    legacy = F.log2(1 + 3 * E.bt709_to_linear(code))
-    iso = -0.5 + 2.5 * F.pow(code, E.lit(1 / 1.25))
-    even = F.col("image_id") % 2 == 0
-    return T.rounded(T.cells(spark, d).select("image_id", "gy", "gx", F.when(even, "legacy").otherwise("iso").alias("form"), F.when(even, legacy).otherwise(iso).alias("log2_gain")))
-
-
-@query(f"""WITH {T.SQL_PIXELS}, c AS (SELECT image_id, y, x, (ARRAY[1, 4, 5, 8, 13, 99])[(image_id % 6 + 1)::INT] AS code, least(r, 1) AS v FROM pixels), l AS (SELECT *, CASE WHEN code = 1 THEN CASE WHEN v < 0.081 THEN v / 4.5 ELSE pow((v + 0.099) / 1.099, 1 / 0.45) END
-  WHEN code = 4 THEN pow(v, 2.2) WHEN code = 5 THEN pow(v, 2.8) WHEN code = 8 THEN v WHEN code = 13 THEN CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE pow((v + 0.055) / 1.055, 2.4) END END AS lin FROM c)
- SELECT image_id, y, x, lin IS NULL AS unknown, round(lin * (0.82246197 + 0.17753803), 6) AS r FROM l""")
+    """Stored codes in the three forms, a legacy headroom out of range, and an unknown form."""
+    c = T.cells(spark, d).selectExpr("image_id", "gy", "gx", "least(v, 1.0D) AS code")
+    meta = c.select("image_id").distinct().selectExpr(
+        "image_id", "element_at(array('iso', 'legacy', 'v1', 'legacy', 'other'), cast(image_id % 5 + 1 AS int)) AS form", "CASE WHEN image_id % 5 = 3 THEN 40D ELSE 4D END AS headroom",
+        "-0.5D AS gain_min", "2.0D AS gain_max", "1.25D AS gamma",
+    )
+    return T.rounded(R.decode_gain(c, meta).select("image_id", "gy", "gx", "reason", "log2_gain"))
+
+
+def _sql_light(c: str) -> str:
+    return f"""CASE WHEN t IN (1, 6, 11, 12, 14, 15) THEN CASE WHEN {c} < 0.081 THEN {c} / 4.5 ELSE pow(({c} + 0.099) / 1.099, 1 / 0.45) END WHEN t IN (0, 2, 13) THEN CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE pow(({c} + 0.055) / 1.055, 2.4) END
+  WHEN t = 4 THEN pow({c}, 2.2) WHEN t = 5 THEN pow({c}, 2.8) WHEN t = 8 THEN {c}
+  WHEN t = 16 THEN 10000 / 203.0 * pow(greatest(pow({c}, 32 / 2523.0) - 3424 / 4096.0, 0) / (2413 / 128.0 - 2392 / 128.0 * pow({c}, 32 / 2523.0)), 16384 / 2610.0)
+  WHEN t = 18 THEN 1000 / 203.0 * pow(CASE WHEN {c} <= 0.5 THEN {c} * {c} / 3 ELSE (exp(({c} - 0.55991073) / 0.17883277) + 0.28466892) / 12 END, 1.2) END"""
+
+
+@query(f"""WITH {T.SQL_PIXELS}, c AS (SELECT image_id, y, x, least(r, 1) AS r, least(g, 1) AS g, least(b, 1) AS b, [1, 4, 5, 8, 13, 2, 16, 18, 99][(image_id % 9 + 1)::INT] AS t, [1, 9, 12, 2, 7][(image_id % 5 + 1)::INT] AS p FROM pixels),
+ l AS (SELECT image_id, y, x, t, p, {_sql_light('r')} AS r, {_sql_light('g')} AS g, {_sql_light('b')} AS b FROM c)
+ SELECT image_id, y, x, CASE WHEN t = 99 THEN 'unknown transfer' WHEN p = 7 THEN 'unknown primaries' END AS error,
+  round(CASE WHEN t = 99 OR p = 7 THEN NULL WHEN p = 12 THEN r WHEN p = 9 THEN greatest(0, 1.3435783 * r - 0.2821797 * g - 0.0613986 * b) ELSE 0.82246197 * r + 0.17753803 * g END, 6) AS r,
+  round(CASE WHEN t = 99 OR p = 7 THEN NULL WHEN p = 12 THEN g WHEN p = 9 THEN greatest(0, -0.0652975 * r + 1.0757879 * g - 0.0104905 * b) ELSE 0.0331942 * r + 0.9668058 * g END, 6) AS g,
+  round(CASE WHEN t = 99 OR p = 7 THEN NULL WHEN p = 12 THEN b WHEN p = 9 THEN greatest(0, 0.0028218 * r - 0.0195985 * g + 1.0167767 * b) ELSE 0.01708263 * r + 0.07239741 * g + 0.91051996 * b END, 6) AS b FROM l""")
 def ra1_linearise(spark, d):
-    code = F.element_at(F.array(*[F.lit(k) for k in (1, 4, 5, 8, 13, 99)]), (F.col("image_id") % 6 + 1).cast("int"))
-    v = E.linear_by_transfer(code, F.least(F.col("r"), E.lit(1)))
-    p = T.pixels(spark, d).select("image_id", "y", "x", v.alias("v"))
-    return T.rounded(p.select("image_id", "y", "x", F.col("v").isNull().alias("unknown"), E.apply_matrix(E.REC709_TO_P3, F.col("v"), F.col("v"), F.col("v"))[0].alias("r")))
+    p = T.pixels(spark, d).selectExpr("image_id", "y", "x", "least(r, 1.0D) AS r", "least(g, 1.0D) AS g", "least(b, 1.0D) AS b")
+    colours = p.select("image_id").distinct().selectExpr(
+        "image_id", "element_at(array(1, 4, 5, 8, 13, 2, 16, 18, 99), cast(image_id % 9 + 1 AS int)) AS transfer", "element_at(array(1, 9, 12, 2, 7), cast(image_id % 5 + 1 AS int)) AS primaries"
+    )
+    return T.rounded(R.to_linear_p3(p, colours))
 
 
-@query(f"WITH {T.SQL_PIXELS} SELECT image_id, y, x, round(least(greatest(log2((r + 0.015625) / (b + 0.015625)) / 3, 0), 1), 6) AS mask FROM pixels")
+@query(f"WITH {T.SQL_PIXELS} SELECT image_id, y, x, round(least(greatest((ln(r + 0.015625) - ln(b + 0.015625)) / ln(2) / 3, 0), 1), 6) AS mask FROM pixels")
 def ra17_gain_mask(spark, d):
-    mask = E.clamp(F.log2((F.col("r") + 0.015625) / (F.col("b") + 0.015625)) / 3, 0.0, 1.0)
-    return T.rounded(T.pixels(spark, d).select("image_id", "y", "x", mask.alias("mask")))
+    return T.rounded(T.pixels(spark, d).select("image_id", "y", "x", R.gain_mask(F.col("r"), F.col("b"), 3.0).alias("mask")))

@@ -38,6 +38,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).selectExpr("image_id", "label", "gy AS y", "gx AS x", "v / 4 AS r", "v / 5 AS g", "v / 8 AS b")
 
 
+def odd_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings and their label as images of 13 x 5 with names for ids."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.concat("embedding", F.array((F.col("label") / 10).cast("float")))).alias("i", "e"))
+    return e.selectExpr("concat('img-', vec_id) AS image_id", "label", "i DIV 13 AS y", "i % 13 AS x", "abs(cast(e AS double)) * 2 AS r", "abs(cast(e AS double)) * 1.5D AS g", "abs(cast(e AS double)) AS b")
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").selectExpr("vec_id AS image_id", "label", f"{split_of('label')} AS split")
 
@@ -70,6 +76,8 @@ SQL_CAPTURES = "captures AS (SELECT event_id AS sample_id, user_id AS model, ts
 SQL_CELLS = """cells AS (SELECT image_id, label, i // 8 AS gy, i % 8 AS gx, abs(CAST(e AS DOUBLE)) * 8 AS v, CAST(e AS DOUBLE) AS signed
   FROM (SELECT vec_id AS image_id, label, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings))"""
 SQL_PIXELS = SQL_CELLS + ", pixels AS (SELECT image_id, label, gy AS y, gx AS x, v / 4 AS r, v / 5 AS g, v / 8 AS b FROM cells)"
+SQL_ODD = """odd AS (SELECT 'img-' || vec_id AS image_id, label, i // 13 AS y, i % 13 AS x, abs(CAST(e AS DOUBLE)) * 2 AS r, abs(CAST(e AS DOUBLE)) * 1.5 AS g, abs(CAST(e AS DOUBLE)) AS b
+  FROM (SELECT vec_id, label, unnest(list_append(embedding, CAST(label / 10 AS FLOAT))) AS e, unnest(range(65)) AS i FROM embeddings))"""
 SQL_IMAGES = f"images AS (SELECT vec_id AS image_id, label, {split_of('label')} AS split FROM embeddings)"
 SQL_EVAL = "ev AS (SELECT l_orderkey AS sample_id, l_linenumber AS gx, 0 AS gy, l_discount * 10 AS prediction, l_tax * 10 AS target, l_returnflag AS source FROM lineitem)"
 SQL_FILES = """files AS (SELECT o_custkey AS run, l_orderkey * 10 + l_linenumber AS file, o_orderstatus = 'F' AS success,

@@ -41,9 +41,10 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_groups(spark: SparkSession, path: str) -> DataFrame:
+def read_groups(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(group_id, split, sample_id) of group files; with lines, each line is a document of its own."""
     schema = "groups array<struct<group_id: string, split: string, size: int, members: array<string>, models: map<string,long>>>"
-    groups = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("groups").alias("g"))
+    groups = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.explode("groups").alias("g"))
     return groups.select("g.group_id", "g.split", F.explode("g.members").alias("sample_id"))
 
 

@@ -62,3 +62,13 @@ def run_report(results: DataFrame, settings: DataFrame) -> DataFrame:
 def write_audit(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    import uuid
+
+    from lumenfold.functions.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -82,7 +82,7 @@ class Throttle(StatefulProcessor):
                 kept.append(at)
                 out.append((key[0], event_id, len(kept), self.lock if len(kept) >= self.most else 0.0))
         if kept:
-            # only the newest `most` can matter for a later lock
+            # what the window holds, since each answer counts all of it
             self.failures.put([(t,) for t in kept])
         else:
             self.failures.clear()

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import expr as E
-from lumenfold.operators import audit, bookkeeping, corpus, gain, metrics, raster
+from lumenfold.operators import audit, bookkeeping, corpus, gain, labels, metrics, ranking, raster
 from lumenfold.sources import f32grid, manifests, sinks
 from lumenfold.streaming import jobs
 
@@ -152,7 +152,15 @@ def test_grid_source(spark, tmp_path):
     f32grid.register(spark)
     rows = spark.read.format("f32grid").option("path", str(tmp_path)).load().collect()
     assert [(r.gy, r.v) for r in rows if r.image_id == "a"] == [(0, [0.0, 0.5, 1.0]), (1, [1.5, 2.0, 2.5])]
-    assert {r.image_id: r.error for r in rows if r.error} == {"b": "byte length", "c": "not finite", "d": "no sidecar"}
+    (tmp_path / "e.f32").write_bytes(good)
+    (tmp_path / "e.json").write_text('{"height": 2}')
+    (tmp_path / "f.f32").write_bytes(good)
+    (tmp_path / "f.json").write_text("{")
+    errors = {"b": "byte length", "c": "not finite", "d": "no sidecar", "e": "bad sidecar", "f": "bad sidecar"}
+    for df in (spark.read.format("f32grid").option("path", str(tmp_path)).load(), f32grid.read_grids(spark, str(tmp_path))):
+        got = df.collect()
+        assert sorted((r.gy, r.v) for r in got if r.image_id == "a") == [(0, [0.0, 0.5, 1.0]), (1, [1.5, 2.0, 2.5])]
+        assert {r.image_id: r.error for r in got if r.error} == errors
 
 
 def test_readers(spark, tmp_path):
@@ -215,3 +223,129 @@ def test_batch_throttle(spark):
     df = spark.createDataFrame(rows, "client string, event_id int, at timestamp")
     got = {r.event_id: r.locked_seconds for r in bookkeeping.failure_throttle(df).collect()}
     assert got[6] == 0 and got[7] == 60 and got[8] == 60 and got[9] == 0
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"split": "train", "sample_ids": ["a", "b"]}, indent=1))
+    (tmp_path / "t.json").write_text(json.dumps({"split": "test", "sample_ids": ["c"]}))
+    assert sorted(map(tuple, manifests.read_splits(spark, str(tmp_path)).collect())) == [("a", "train"), ("b", "train"), ("c", "test")]
+    (tmp_path / "u.json").write_text(json.dumps({"split": "test", "sample_ids": ["a"]}))
+    with pytest.raises(ValueError, match="several splits: a"):
+        manifests.read_splits(spark, str(tmp_path))
+    groups = {"groups": [{"group_id": "g", "split": "train", "size": 2, "members": ["a", "b"]}, {"group_id": "h", "split": "test", "size": 1, "members": ["c"]}]}
+    (tmp_path / "groups").mkdir()
+    (tmp_path / "groups" / "g.json").write_text(json.dumps(groups, indent=2))
+    assert sorted(map(tuple, manifests.read_groups(spark, str(tmp_path / "groups")).collect())) == [("g", "train", "a"), ("g", "train", "b"), ("h", "test", "c")]
+    (tmp_path / "p.tsv").write_text("a\tnative\t00ff\nb\tlegacy\tzz\n")
+    assert [(r.sample_id, r.corpus, r.payload and bytes(r.payload)) for r in manifests.read_payloads(spark, str(tmp_path / "p.tsv")).collect()] == [("a", "native", b"\x00\xff"), ("b", "legacy", None)]
+    (tmp_path / "shade.txt").write_text("2 1 2 # w h c\n1.0 1.5\n2.0 2.5\n")
+    table = manifests.shading_table(manifests.read_numbers(spark, str(tmp_path / "shade.txt")))
+    assert sorted((r.channel, r.y, r.x, r.gain) for r in table.collect()) == [(0, 0, 0, 1.0), (0, 0, 1, 2.0), (1, 0, 0, 1.5), (1, 0, 1, 2.5)]
+    for name in ("raw/a.png", "raw/b.png", "labels/a.f32", "labels/a.json"):
+        (tmp_path / "assets" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "assets" / name).write_bytes(b"x")
+    inventory = manifests.asset_inventory(spark, str(tmp_path / "assets"), {"gain": ("raw", ".png"), "label": ("labels", ".f32")})
+    assert sorted(map(tuple, inventory.collect())) == [("gain", "a"), ("gain", "b"), ("label", "a")]
+
+
+def test_failure_and_audit_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None), ("b", "bad")], "sample_id string, reason string")
+    good, bad = rows.filter("reason IS NULL"), rows.filter("reason IS NOT NULL")
+    assert sinks.publish(spark, {"m": good}, [("failures", bad)], str(tmp_path)) == ["failures"] and not (tmp_path / "m").exists()
+    assert sinks.publish(spark, {"headline": good, "findings": bad}, [], str(tmp_path)) == []
+    assert spark.read.parquet(str(tmp_path / "findings")).count() == 1
+
+
+def test_ranks_over_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b"]), rng.randrange(40), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
+    expected, last = {}, {}
+    for g, v, k in ordered:
+        expected[k] = (sum(1 for r in ordered if r[0] == g and (r[1], r[2]) <= (v, k)), last.get(g))
+        last[g] = k
+    assert {r.k: r["rank"] for r in ranking.with_rank(df, ["g"], ["v", "k"]).collect()} == {k: r for k, (r, _) in expected.items()}
+    got = {r.k: r.previous and r.previous.k for r in ranking.with_previous(df, ["g"], ["v", "k"], ["k"]).collect()}
+    assert got == {k: p for k, (_, p) in expected.items()}
+    whole = {r.k: r["rank"] for r in ranking.with_rank(df, [], ["v", "k"]).collect()}
+    assert whole == {k: n for n, (_, k) in enumerate(sorted((r[1], r[2]) for r in rows), 1)}
+
+
+def test_floor_rank_of_a_whole_table(spark):
+    values = [random.Random(k).randrange(500) / 7 for k in range(1001)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    got = {r.p: r.v for r in audit.floor_rank(df, "v", (0.0, 0.5, 0.95, 1.0)).collect()}
+    assert got == {p: sorted(values)[int(p * 1000)] for p in (0.0, 0.5, 0.95, 1.0)}
+
+
+def test_gamma_choice_samples_large_images(spark):
+    """Over 65536 cells only evenly spaced ones count; the choice is that of the same formula over those cells."""
+    n = 90_000
+    cells = spark.range(n).selectExpr("0 AS image_id", "cast(id DIV 300 AS int) AS gy", "cast(id % 300 AS int) AS gx", "pow((id * 7919 % 90001) / 90001, 3) AS v")
+    v = [pow((k * 7919 % 90001) / 90001, 3) for k in ((2 * i + 1) * n // (2 * 65536) for i in range(65536))]
+
+    def error(g):
+        return sum((1 + 0.15 / (q + 0.05)) * (pow(math.floor(pow(q, g) * 255 + 0.5) / 255, 1 / g) - q) ** 2 for q in v)
+
+    errors = {g: error(g) for g in raster.GAMMAS}
+    best = min(errors, key=errors.get)
+    assert raster.choose_gamma(cells).first().gamma == (1.0 if errors[1.0] <= errors[best] * 1.01 else best)
+
+
+def test_scene_statistics_step_over_large_images(spark):
+    w, h = 700, 601  # 420,700 pixels: every second one counts
+    px = spark.range(w * h).selectExpr("'a' AS image_id", f"cast(id DIV {w} AS int) AS y", f"cast(id % {w} AS int) AS x", "(id % 997 + 1) / 100 AS v").selectExpr("image_id", "y", "x", "v AS r", "v AS g", "v AS b")
+    got = raster.scene_statistics(px).first()
+    s = sorted((k % 997 + 1) / 100 for k in range(0, w * h, 2))
+    at = lambda p: s[int(p * (len(s) - 1))]
+    low, high = at(0.001), at(0.999)
+    assert got.samples == len(s) and got.p995 == pytest.approx(at(0.995))
+    assert got.log_average == pytest.approx(math.exp(sum(math.log(min(max(v, low), high)) for v in s) / len(s)))
+
+
+def test_leaked_columns_and_subsets(spark):
+    df = spark.createDataFrame([("a", 1.0)], "sample_id string, GPS double")
+    assert labels.leaked_columns(df) == ["GPS"]
+    with pytest.raises(ValueError, match="unknown label subset"):
+        labels.label_subset(df, "other")
+    sizes = spark.createDataFrame([(4000, 3000), (10, 3000), (513, 257)], "w int, h int")
+    even, away = labels.aligned_size(F.col("w"), F.col("h"), 512), labels.aligned_size(F.col("w"), F.col("h"), 512, half_even=False)
+    assert [tuple(r) for r in sizes.select(*even).collect()] == [(512, 384), (16, 512), (512, 256 + 16 * (round(257 * 512 / 513) > 256))]
+    assert sizes.select(*away).count() == 3
+
+
+def streamed(spark, tmp_path, rows, schema, make, name):
+    """The rows as one file each, in order, through a stream."""
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(tmp_path / f"in{k:03d}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).option("recursiveFileLookup", True).parquet(str(tmp_path))
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_streaming_idle_expiry_and_statistics(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    hours = datetime.timedelta(hours=1)
+    rows = [("a", t), ("b", t + 2 * hours), ("a", t + 3 * hours), ("p", t + 4 * hours), ("c", t + 90 * hours), ("d", t + 200 * hours)]
+    protected = spark.createDataFrame([("p",)], "session string")
+    got = streamed(spark, tmp_path / "idle", rows, "session string, at timestamp", lambda s: jobs.idle_expiry(s, protected), "idle")
+    assert {(r.session, r["last"]) for r in got} >= {("a", t + 3 * hours), ("b", t + 2 * hours)} and "p" not in {r.session for r in got}
+    values = [(t + k * hours / 4, "decode", float(k)) for k in range(12)] + [(t + 50 * hours, "decode", 0.0)]
+    stats = streamed(spark, tmp_path / "stats", values, "at timestamp, kind string, ms double", lambda s: jobs.running_statistics(s, "at", "kind", "ms"), "stats")
+    by_hour = {r.start: r for r in stats}
+    assert [(by_hour[t + k * hours].n, by_hour[t + k * hours].worst, by_hour[t + k * hours]["q"][0]) for k in range(3)] == [(4, 3.0, 1.0), (4, 7.0, 5.0), (4, 11.0, 9.0)]
+
+
+def test_streaming_throttle_agrees_with_its_batch_twin(spark, tmp_path):
+    rng = random.Random(2)
+    at, rows = 0, []
+    for k in range(40):
+        at += rng.choice([0, 0, 5, 40])
+        rows.append((rng.choice([1, 1, 2]), k, float(at)))
+    jobs.use_state_store(spark)
+    got = streamed(spark, tmp_path, rows, "client long, event_id long, at double", jobs.failure_throttle, "throttle")
+    batch = bookkeeping.failure_throttle(spark.createDataFrame(rows, "client long, event_id long, at double").withColumn("at", F.timestamp_seconds("at")))
+    assert {(r.client, r.event_id, r.recent, float(r.locked_seconds)) for r in got} == {(r.client, r.event_id, r.recent, float(r.locked_seconds)) for r in batch.collect()}
