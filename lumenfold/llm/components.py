@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it names none, as in tests, one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster names a shared folder in spark.checkpoint.dir; only a local session that names none gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 

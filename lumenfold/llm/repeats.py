@@ -94,6 +94,7 @@ class Meeting:
     length: int
     same_document: bool
     frequent: int = FREQUENT
+    gram: int = 16  # letters of an anchor
 
     def ask1(self, t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
@@ -225,6 +226,7 @@ class Meeting:
         by_code = groups_of(code[one])
         kinds = np.diff(np.append(by_code, len(one)))
         mixed = np.repeat(kinds > 1, kinds)
+        mixed[mixed] = self._may_match(buf, start[one[mixed]], size[one[mixed]], place[one[mixed]], code[one[mixed]])
         chosen = one[mixed]
         lost = np.zeros(len(chosen), U)
         ends = np.cumsum(size[chosen])
@@ -249,6 +251,22 @@ class Meeting:
                 out.append((r[0], r[1], SNIPPETS, planes(mine)))
         return out
 
+    def _may_match(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Which snippets can share a window with another of their anchor.
+
+        A shared window has the anchor at one place, so what two snippets share around their anchors is as long as
+        a window less the anchor, and half of that lies on one side: its hash must occur twice.
+        """
+        half = -(-(self.length - self.gram) // 2)
+        out = np.zeros(len(start), bool)
+        anchor = start + place
+        for at, room in ((anchor - half, place), (anchor + self.gram, size - place - self.gram)):
+            whole = np.flatnonzero(room >= half)
+            side = segment_hash(buf, at[whole], np.full(len(whole), half), 3) ^ mix(code[whole].copy())
+            _, inverse, count = np.unique(side, return_inverse=True, return_counts=True)
+            out[whole] |= count[inverse] > 1
+        return out
+
     def _indexed(self, buf: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Bit mask of the windows of each snippet that a snippet of a smaller document has too.
 
@@ -265,7 +283,7 @@ class Meeting:
         rank = step - step[heads][group]  # of the document within its anchor
         most = np.maximum.reduceat(rank, heads)[group]
         size = n + self.length - 1
-        mask = np.zeros(len(order), U)
+        mask, full = np.zeros(len(order), U), (U(1) << n.astype(U)) - U(1)
 
         def letters(which: np.ndarray) -> np.ndarray:
             k = size[which]
@@ -273,8 +291,12 @@ class Meeting:
 
         for level in range(int(most.max(initial=0)).bit_length()):
             block = rank >> level
-            known = np.flatnonzero((block % 2 == 0) & (most >> level > block))
-            asked = np.flatnonzero(block % 2 == 1)
+            # what an earlier document of the same block covers wholly is neither asked about nor needed to answer
+            open_ = mask != full
+            known = np.flatnonzero((block % 2 == 0) & (most >> level > block) & open_)
+            asked = np.flatnonzero((block % 2 == 1) & open_)
+            if not len(known) or not len(asked):
+                continue
             pair = group * (int(most.max()) + 1) + (block >> 1)
             index = run_index.build(letters(known), size[known], pair[known])
             longest = run_index.matching_statistics(index, letters(asked), size[asked], self.length, pair[asked])

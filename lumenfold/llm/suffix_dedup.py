@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, ids_of, loads8, mix, segment_hash, text_buffer
+from .common import free_name
 from .repeats import SHARD_BYTES, FREQUENT, Meeting, Windows, code_of, covered, ids_out, run_meeting
 
 LENGTH = 50
@@ -157,13 +158,14 @@ def suffix_dedup(
         return _look(t, buckets, length)
 
     def meeting(buckets: int) -> Meeting:
-        return SuffixMeeting(look, _finish(with_text), buckets, length, False, frequent)
+        return SuffixMeeting(look, _finish(with_text), buckets, length, False, frequent, GRAM)
 
     return run_meeting(df, meeting, SCHEMA_TEXT if with_text else SCHEMA, id_col, text_col, shard_bytes, carry)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The input's rows and columns with the repeated strings taken out of the texts; a null text stays null."""
-    found = suffix_dedup(df.withColumn("_had_text", F.col(text_col).isNotNull()), id_col, text_col, with_text=True, carry=True, **how)
-    columns = {id_col: F.col("doc_id"), text_col: F.when(F.col("carried._had_text"), F.col("kept_text"))}
+    mark = free_name(df, "had_text")
+    found = suffix_dedup(df.withColumn(mark, F.col(text_col).isNotNull()), id_col, text_col, with_text=True, carry=True, **how)
+    columns = {id_col: F.col("doc_id"), text_col: F.when(F.col(f"carried.{mark}"), F.col("kept_text"))}
     return found.select(*[columns.get(c, F.col(f"carried.`{c}`")).cast(df.schema[c].dataType).alias(c) for c in df.columns])

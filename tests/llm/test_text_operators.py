@@ -545,8 +545,15 @@ def test_empty_tables(spark, odd):
     assert sentencepiece_lattice.encode(none).count() == 0 and telephony.media_columns(none).count() == 0
 
 
-def test_clashing_columns(odd):
+def test_clashing_columns(spark, odd):
     busy = odd.withColumnRenamed("source", "shard").withColumn("kept", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("component_id", F.lit("x"))
+    for c in ("had_text", "near_copy", "copy_n", "copy_head", "copy_sha", "copy_id", "copy_bit", "copy_map", "carried", "keep", "n", "text_hash", "score", "held_out", "lang_pred", "ids", "_had_text", "_near_copy"):
+        busy = busy.withColumn(c, F.lit("own"))
     assert suffix_dedup.suffix_dedup(busy).count() == odd.count()
-    out = jaccard_join.keep_one_of_each(suffix_dedup.remove_repeats(exact_dedup.drop_copies(busy)))
+    out = jaccard_join.keep_one_of_each(suffix_dedup.remove_repeats(exact_dedup.drop_copies(busy))).checkpoint()
     assert out.columns == busy.columns and out.count() > 0
+    assert out.select("had_text", "near_copy", "copy_sha", "keep", "_had_text").distinct().count() == 1
+    known = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    for f in (lambda d: toxicity.toxicity(d, known), lambda d: quality.quality(d, known), langid.language_id, bestfit_packing.best_fit_packing):
+        assert f(busy).count() >= odd.count()
+    assert sentencepiece_lattice.encoding_digest(sentencepiece_lattice.encode(busy)).count() == odd.count() == telephony.media_digest(telephony.media_columns(busy)).count()
