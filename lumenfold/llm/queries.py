@@ -47,7 +47,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.media_digest(telephony.media_columns(documents(spark, sf_dir)))
+    return telephony.media_digest(telephony.decoded_pcm(telephony.media_columns(documents(spark, sf_dir))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

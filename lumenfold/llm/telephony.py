@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import id_and_text
+from .common import id_and_text, parts_of
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 RATE = 8000
 PAD = 64
+#: Payloads are decoded so many bytes at a time, a value at least.
+PART_BYTES = 2 << 20
 
 # Fixed values of the IMA ADPCM format: step sizes, and the index's change by the code's magnitude.
 IMA_STEPS = np.array(
@@ -158,12 +160,13 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((x[low] * (to - part) + x[high] * part) // to).astype(np.int16)
 
 
-def feature(pcm: np.ndarray, wide: np.ndarray) -> str:
-    """Level, peak and zero crossings of the samples, and a checksum of the resampled PCM; integers only."""
+def feature(pcm: np.ndarray, wide: np.ndarray, alaw: np.ndarray, ima: np.ndarray) -> str:
+    """Level, peak and zero crossings of the samples, and checksums of the resampled PCM and of the payload as A-law and as ADPCM; integers only."""
     x = pcm.astype(np.int64)
     level = int((x * x).sum()) // max(1, len(x))
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"n={len(x)};power={level};peak={int(np.abs(x).max(initial=0))};zc={crossings};pcm16k={zlib.crc32(wide.astype('<i2').tobytes())}"
+    sums = ";".join(f"{name}={zlib.crc32(v.astype('<i2').tobytes())}" for name, v in (("pcm16k", wide), ("alaw", alaw), ("ima", ima)))
+    return f"n={len(x)};power={level};peak={int(np.abs(x).max(initial=0))};zc={crossings};{sums}"
 
 
 def store_payload(text: str | None) -> tuple[int, bytes]:
@@ -209,26 +212,35 @@ def decoded_pcm(media: DataFrame, rate: int = 16_000, media_col: str = "media")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Reads the stored values back: sizes, hashes and features."""
+    """Reads the stored values back: sizes, hashes and features; media: doc_id, n_bytes, media, pcm.
+
+    The payload's bytes are samples of whatever format is asked for, so the feature takes them as mu-law (as stored),
+    as A-law and as ADPCM blocks of PAD bytes; the blocks of all values of a slice are decoded side by side.
+    """
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string"
     )
+    per = (PAD - 4) * 2 + 1
+
+    def digest(part: pa.RecordBatch) -> pa.RecordBatch:
+        doc_ids, sizes, stored, wide = (part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "pcm"))
+        payloads = [parse_wav(m)[3] for m in stored]
+        blocks = np.concatenate([[0], np.cumsum([len(p) // PAD for p in payloads])])
+        samples = np.frombuffer(b"".join(payloads), np.uint8)
+        mulaw, alaw, ima = MULAW_PCM[samples], ALAW_PCM[samples], decode_ima(samples.tobytes(), PAD)
+        rows = []
+        for k, (doc_id, n, m, w, p) in enumerate(zip(doc_ids, sizes, stored, wide, payloads, strict=True)):
+            i, j = int(blocks[k]), int(blocks[k + 1])
+            told = feature(mulaw[i * PAD : j * PAD], decode(w)[1], alaw[i * PAD : j * PAD], ima[i * per : j * per])
+            rows.append((doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), told))
+        columns = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, n, m in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                _, rate, _, payload = parse_wav(m)
-                pcm = MULAW_PCM[np.frombuffer(payload, np.uint8)]
-                rows.append(
-                    (
-                        doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(m),
-                        hashlib.sha256(m).hexdigest(), feature(pcm, resample(pcm, rate, 2 * rate)),
-                    )
-                )
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+            for part in parts_of(b, b.column("n_bytes").to_numpy(zero_copy_only=False) + PAD, PART_BYTES):
+                yield digest(part)
 
-    return media.mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, schema)
