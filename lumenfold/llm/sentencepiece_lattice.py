@@ -8,9 +8,9 @@ of ranks is not its encoding, so there the fold joins, as long as it can, the ne
 rank, the leftmost of equal ones.
 
 encode_words() is the lattice in Spark's own operations: explode bounded-length substrings, join them to the
-broadcast piece table (its size is the vocabulary's), group the edges by word, fold with `aggregate`.  encode()
-does the same steps on the distinct words of a batch as arrays, because sending every word occurrence of a corpus
-to its lattice and back is a shuffle several times the corpus.  Both give the same ids.
+broadcast piece table (its size is the vocabulary's), group the edges by word, fold with `aggregate`.  encode() sends
+it the distinct words of the corpus, each shard of documents every word once, and puts the ids back by shard.
+encode_batches() does the same steps as arrays; both give the same ids.
 
 The vocabulary file is a parameter.
 
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import U, segment_hash, text_buffer
-from .common import id_and_text, parts_of
+from .common import id_and_text, parts_of, shard_of, shards_for, text_bytes
+from .components import ensure_checkpoint_dir
+from .repeats import SHARD_BYTES
 
 SPACE = "▁"
 LONG = 200
@@ -85,6 +87,38 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(pieces, scores, byte_ids, least - 10.0, ranks)
 
 
+class Words:
+    """The distinct words of some texts, a word being spaces and what follows them, and where each occurs."""
+
+    def __init__(self, column):
+        raw, offsets = text_buffer(column)
+        size = np.diff(offsets)
+        full = size > 0
+        # a space in front of every text that is not empty
+        self.off = np.concatenate([[0], np.cumsum(size + full)])
+        n = int(self.off[-1])
+        self.buf = np.full(n + 16, 32, np.uint8)
+        head = np.zeros(n, bool)
+        head[self.off[:-1][full]] = True
+        self.buf[:n][~head] = raw[: int(offsets[-1])]
+        self.buf[n:] = 0
+        gap = self.buf[:n] == 32
+        cut = head.copy()
+        cut[1:] |= gap[1:] & ~gap[:-1]
+        self.every = np.flatnonzero(cut)
+        length = np.diff(np.append(self.every, n))
+        self.name, first, self.of = np.unique(segment_hash(self.buf, self.every, length), return_index=True, return_inverse=True)
+        self.start, self.size = self.every[first], length[first]
+
+    def spread(self, count: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids) from where each distinct word's ids are."""
+        n = count[self.of]
+        into = np.cumsum(n) - n
+        out = ids[np.repeat(at[self.of] - into, n) + np.arange(int(n.sum()))].astype(np.int32)
+        doc = np.searchsorted(self.off, self.every, "right") - 1
+        return np.bincount(doc, n, len(self.off) - 1).astype(np.int64), out
+
+
 class Lattice:
     """Viterbi over many short words at once, for one vocabulary."""
 
@@ -317,60 +351,90 @@ class Lattice:
 
     def texts(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)."""
-        raw, offsets = text_buffer(column)
-        size = np.diff(offsets)
-        full = size > 0
-        # a space in front of every text that is not empty
-        grown = size + full
-        off = np.concatenate([[0], np.cumsum(grown)])
-        n = int(off[-1])
-        buf = np.full(n + 16, 32, np.uint8)
-        head = np.zeros(n, bool)
-        head[off[:-1][full]] = True
-        buf[:n][~head] = raw[: int(offsets[-1])]
-        buf[n:] = 0
-        if not n:
-            return np.zeros(len(size), np.int64), np.empty(0, np.int32)
-        gap = buf[:n] == 32
-        cut = head.copy()
-        cut[1:] |= gap[1:] & ~gap[:-1]
-        start = np.flatnonzero(cut)
-        length = np.diff(np.append(start, n))
-        name = segment_hash(buf, start, length)
-        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
-        w_start, w_size = start[first], length[first]
-        short = w_size <= LONG
-        count = np.zeros(len(first), np.int64)
-        count[short], ids = self.words(buf, w_start[short], w_size[short])
-        at = np.zeros(len(first), np.int64)
+        w = Words(column)
+        short = w.size <= LONG
+        count = np.zeros(len(w.size), np.int64)
+        count[short], ids = self.words(w.buf, w.start[short], w.size[short])
+        at = np.zeros(len(w.size), np.int64)
         at[short] = np.cumsum(count[short]) - count[short]
+        return w.spread(*self.with_long_words(w, count, at, ids))
+
+    def with_long_words(self, w: Words, count: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words over LONG bytes, one by one, behind the others' ids."""
         parts, end = [ids], len(ids)
-        for k in np.flatnonzero(~short).tolist():
-            more = self.long_word(buf[w_start[k] : w_start[k] + w_size[k]].tobytes())
+        for k in np.flatnonzero(w.size > LONG).tolist():
+            more = self.long_word(w.buf[w.start[k] : w.start[k] + w.size[k]].tobytes())
             parts.append(np.array(more, np.int32))
             at[k], count[k] = end, len(more)
             end += len(more)
-        ids = np.concatenate(parts)
-        n_ids = count[inverse]
-        into = np.cumsum(n_ids) - n_ids
-        out = ids[np.repeat(at[inverse] - into, n_ids) + np.arange(int(n_ids.sum()))]
-        doc = np.searchsorted(off, start, "right") - 1
-        return np.bincount(doc, n_ids, len(size)).astype(np.int64), out
+        return count, at, np.concatenate(parts)
+
+
+ENCODED = "doc_id long, text string, ids array<int>"
+
+
+def _encoded(ids: pa.Array, texts: pa.Array, count: np.ndarray, flat: np.ndarray) -> list[pa.Array]:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+    return [ids, texts, pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))]
+
 
+def encode(
+    df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
+    """(doc_id, text, ids) of every row, over the relational lattice.
 
-def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, ids) of every row."""
+    Documents lie in shards by a hash of their id.  A shard sends each of its words once; the distinct words of all
+    shards go through encode_words(), Spark's own explode, join, group and fold; their ids come back to the shards
+    that have them by a join, and a shard puts them in place of its words.
+    """
+    path = vocabulary or default_vocabulary()
+    ensure_checkpoint_dir(df.sparkSession)
+    base = id_and_text(df, id_col, text_col)
+    n = shards_for(text_bytes(base), shard_bytes)
+    # rows without an id are dealt by their text
+    shards = base.withColumn("shard", shard_of(F.coalesce("doc_id", F.xxhash64("text")), n)).groupBy("shard")
+
+    def send(t: pa.Table) -> pa.Table:
+        w = Words(t.column("text"))
+        short = np.flatnonzero(w.size <= LONG)
+        size = w.size[short]
+        cut = np.concatenate([[0], np.cumsum(size)])
+        letters = w.buf[np.repeat(w.start[short] - cut[:-1], size) + np.arange(int(cut[-1]))]
+        words = pa.StringArray.from_buffers(len(short), pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(letters.tobytes()))
+        return pa.table([pa.array(np.full(len(short), t.column("shard")[0].as_py(), np.int32)), words], names=["shard", "word"])
+
+    def place(t: pa.Table, told: pa.Table) -> pa.Table:
+        w = Words(t.column("text"))
+        buf, offsets = text_buffer(told.column("word"))
+        name = segment_hash(buf, offsets[:-1], np.diff(offsets))
+        order = np.argsort(name)
+        lists = told.column("ids").combine_chunks()
+        ids = lists.values.to_numpy(zero_copy_only=False).astype(np.int32) if len(lists) else np.empty(0, np.int32)
+        ends = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
+        known = np.flatnonzero(w.size <= LONG)
+        hit = order[np.searchsorted(name[order], w.name[known])] if len(known) else known
+        count, at = np.zeros(len(w.size), np.int64), np.zeros(len(w.size), np.int64)
+        at[known], count[known] = ends[:-1][hit], np.diff(ends)[hit]
+        if (w.size > LONG).any():
+            count, at, ids = Lattice(load(path)).with_long_words(w, count, at, ids)
+        return pa.table(_encoded(t.column("doc_id").combine_chunks(), t.column("text").combine_chunks(), *w.spread(count, at, ids)), names=["doc_id", "text", "ids"])
+
+    words = shards.applyInArrow(send, "shard int, word string").checkpoint()
+    told = words.join(encode_words(words, path), "word")
+    return shards.cogroup(told.groupBy("shard")).applyInArrow(place, ENCODED)
+
+
+def encode_batches(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same rows with the fold on arrays, the distinct words of a few MB at a time, without a shuffle."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(load(path))
         for b in batches:
             for part in parts_of(b, np.diff(text_buffer(b.column("text"))[1]), PART_BYTES):
-                count, ids = lattice.texts(part.column("text"))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "text", "ids"])
+                yield pa.RecordBatch.from_arrays(_encoded(part.column("doc_id"), part.column("text"), *lattice.texts(part.column("text"))), ["doc_id", "text", "ids"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return id_and_text(df, id_col, text_col).mapInArrow(run, ENCODED)
 
 
 def decode_ids(ids: np.ndarray, v: Vocabulary, flat: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -502,16 +566,3 @@ def _fold_merges(edges: DataFrame) -> DataFrame:
     letters = F.regexp_extract_all("word", F.lit("(?s)(.)"))
     folded = F.aggregate(F.sequence(F.lit(1), F.length("word")), letters, join)
     return lattice.select("word", F.flatten(F.transform(folded, lambda p: F.element_at("ids", p))).alias("ids"))
-
-
-def relational_encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) with every step in Spark's own operations: words meet their lattice's ids by a join.
-
-    doc_id must be a key here.  encode() needs no such join and no shuffle.
-    """
-    base = id_and_text(df, id_col, text_col)
-    words = F.regexp_extract_all(F.concat(F.lit(" "), F.col("text")), F.lit("( +[^ ]*)"))
-    placed = base.filter("text <> ''").select("doc_id", F.posexplode(words).alias("place", "word"))
-    ids = placed.join(encode_words(placed, vocabulary), "word")
-    merged = ids.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda w: w["ids"])).alias("ids"))
-    return base.select("doc_id").join(merged, "doc_id", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

@@ -389,6 +389,39 @@ def test_sequences_of_repeated_rows(spark):
     assert all(len(r.tokens) <= r.bin_capacity for r in bestfit_packing.sequences(docs, packed).collect())
 
 
+def expect_feature(payload):
+    """One sample after another, from the formats' own rules."""
+    def mulaw(c):
+        c ^= 255
+        size = ((((c & 15) << 3) + 132) << (c >> 4 & 7)) - 132
+        return -size if c & 128 else size
+
+    def alaw(c):
+        c ^= 0x55
+        segment, mantissa = c >> 4 & 7, (c & 15) << 4
+        size = mantissa + 8 if not segment else (mantissa + 264) << (segment - 1)
+        return size if c & 128 else -size
+
+    def ima(block):
+        sample, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [sample]
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(telephony.IMA_STEPS[index])
+                change = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
+                sample = max(-32768, min(32767, sample - change if code & 8 else sample + change))
+                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                out.append(sample)
+        return out
+
+    x = [mulaw(c) for c in payload]
+    wide = [(x[k // 2] * 2) // 2 if k % 2 == 0 else (x[k // 2] + x[min(k // 2 + 1, len(x) - 1)]) // 2 for k in range(2 * len(x))]
+    blocks = [v for k in range(0, len(payload), 64) for v in ima(payload[k : k + 64])]
+    crc = lambda v: zlib.crc32(b"".join(int(a).to_bytes(2, "little", signed=True) for a in v))
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    return f"n={len(x)};power={sum(a * a for a in x) // len(x)};peak={max(map(abs, x))};zc={crossings};pcm16k={crc(wide)};alaw={crc([alaw(c) for c in payload])};ima={crc(blocks)}"
+
+
 def test_telephony(odd):
     table = telephony.mulaw_table()
     assert table[0xFF] == 0 and table[0x7F] == 0 and table[0] == -32124 and table[0x80] == 32124
@@ -398,10 +431,13 @@ def test_telephony(odd):
     rate, back = telephony.decode(coded)
     assert rate == 8000 and np.abs(back[:5000].astype(int) - tone).max() < 1500
     assert len(telephony.resample(tone, 8000, 16000)) == 10000 and (telephony.resample(tone, 8000, 8000) == tone).all()
-    for r in telephony.media_digest(telephony.media_columns(odd)).join(odd.select("doc_id", "text"), "doc_id").collect():
+    for r in telephony.media_digest(telephony.decoded_pcm(telephony.media_columns(odd))).join(odd.select("doc_id", "text"), "doc_id").collect():
         raw = (r.text or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.media_sha256 == hashlib.sha256(telephony.store_payload(r.text)[1]).hexdigest() and r.media_bytes == len(telephony.store_payload(r.text)[1])
+        if len(raw) < 1500:
+            assert r.feature == expect_feature(payload)
     assert telephony.decoded_pcm(telephony.media_columns(odd)).filter("pcm IS NULL").count() == 0
 
 
@@ -411,8 +447,10 @@ def test_sentencepiece(spark, odd):
     assert len(rows) == odd.count() and all(r.round_trip for r in rows)
     small = odd.filter("doc_id IN (1, 2, 3, 4, 5, 8, 30) OR text LIKE 'Gr%'").dropDuplicates(["doc_id"])
     a = {r.doc_id: list(r.ids) for r in s.encode(small).collect()}
-    b = {r.doc_id: list(r.ids) for r in s.relational_encode(small).collect()}
+    b = {r.doc_id: list(r.ids) for r in s.encode_batches(small).collect()}
     assert a == b
+    key = lambda r: (repr(r.doc_id), r.text, list(r.ids))
+    assert sorted(map(key, s.encode(odd, shard_bytes=5000).collect())) == sorted(map(key, s.encode_batches(odd).collect()))
     lattice = s.Lattice(s.load(s.default_vocabulary()))
     words = ["hello", " the", "   x", "▁", "naïve", "中文", "a" * 40]
     buf = np.frombuffer("".join(words).encode() + b"\0" * 16, np.uint8)
@@ -556,4 +594,4 @@ def test_clashing_columns(spark, odd):
     known = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
     for f in (lambda d: toxicity.toxicity(d, known), lambda d: quality.quality(d, known), langid.language_id, bestfit_packing.best_fit_packing):
         assert f(busy).count() >= odd.count()
-    assert sentencepiece_lattice.encoding_digest(sentencepiece_lattice.encode(busy)).count() == odd.count() == telephony.media_digest(telephony.media_columns(busy)).count()
+    assert sentencepiece_lattice.encoding_digest(sentencepiece_lattice.encode(busy)).count() == odd.count() == telephony.media_digest(telephony.decoded_pcm(telephony.media_columns(busy))).count()
