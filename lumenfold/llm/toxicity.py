@@ -38,7 +38,11 @@ HELD_OUT_FOLDS = 5
 BASE_TERMS = tuple((w, False) for w in ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"))
 #: A learned term's least number of toxic training rows, least log odds, and how many stems and how many words are kept.
 MIN_ROWS, MIN_ODDS, MAX_TERMS = 5, 3.0, 200
+#: Clean training rows that have a term, at most, for each toxic one.
+MAX_CLEAN = 1 / 8
 STEM_MIN, STEM_MAX = 4, 8
+#: A word one edit from a term is an ordinary word if so many clean training rows have it.
+MIN_PLAIN = 2
 #: Terms shorter than this must match exactly; others within one edit.
 FUZZY_LETTERS = 5
 WINDOW = 6
@@ -152,6 +156,32 @@ def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
     return Automaton(table, np.array([edits(s) for s in states], np.int8), letter, settled)
 
 
+def build_exact(words: tuple[str, ...]) -> Automaton | None:
+    """The automaton of whole words without edits: a trie."""
+    if not words:
+        return None
+    letters = sorted({ord(c) for w in words for c in w})
+    letter = np.zeros(max([255, *letters]) + 2, np.int64)
+    for k, b in enumerate(letters, 1):
+        letter[b] = k
+        if 97 <= b <= 122:
+            letter[b - 32] = k
+    step, accept = [[0] * (len(letters) + 1), [0] * (len(letters) + 1)], [9, 9]
+    for w in words:
+        at = 1
+        for c in w:
+            k = int(letter[ord(c)])
+            if not step[at][k]:
+                step[at][k] = len(step)
+                step.append([0] * (len(letters) + 1))
+                accept.append(9)
+            at = step[at][k]
+        accept[at] = 0
+    settled = np.zeros(len(step), bool)
+    settled[0] = True
+    return Automaton(np.array(step, np.int32), np.array(accept, np.int8), letter, settled)
+
+
 def walk(a: Automaton, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Edits of the nearest term for each word, 9 for none: all words go through the table side by side."""
     got = np.full(len(start), 9, np.int8)
@@ -274,8 +304,8 @@ def in_quotes(kind: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.
     return out
 
 
-def features_of(column, a: Automaton, context: Automaton) -> np.ndarray:
-    """One row of FEATURES for each text."""
+def features_of(column, a: Automaton, context: Automaton, plain: Automaton | None = None) -> np.ndarray:
+    """One row of FEATURES for each text; words of `plain` are ordinary words and no misspelt terms."""
     buf, offsets = characters_of(column)
     docs = len(offsets) - 1
     out = np.zeros((docs, len(FEATURES)))
@@ -285,6 +315,9 @@ def features_of(column, a: Automaton, context: Automaton) -> np.ndarray:
         return out
     s, e, doc = r.start, r.end, r.doc
     edits = nearest(a, buf, r)
+    near_miss = np.flatnonzero(edits == 1)
+    if plain is not None and len(near_miss):
+        edits[near_miss[walk(plain, buf, s[near_miss], e[near_miss]) == 0]] = 9
     hit = np.flatnonzero(edits < 9)
     if not len(hit):
         return out
@@ -324,7 +357,7 @@ def learn_terms(train: DataFrame) -> tuple[tuple[str, bool], ...]:
 
     def best(rows: DataFrame) -> dict[str, int]:
         """All that qualify with their toxic rows, most first; as many as MAX_FIT rows hold at most."""
-        kept = rows.groupBy("w").agg(*counts).filter(F.col("t") >= MIN_ROWS).filter(odds >= MIN_ODDS).filter(F.col("c") <= F.col("t") / 20)
+        kept = rows.groupBy("w").agg(*counts).filter(F.col("t") >= MIN_ROWS).filter(odds >= MIN_ODDS).filter(F.col("c") <= F.col("t") * MAX_CLEAN)
         return {r["w"]: r["t"] for r in kept.orderBy(F.desc("t"), "w").collect()}
 
     whole = best(tokens)
@@ -337,6 +370,23 @@ def learn_terms(train: DataFrame) -> tuple[tuple[str, bool], ...]:
     return chosen_terms(whole, best(stems))
 
 
+def ordinary_words(train: DataFrame, terms: tuple[tuple[str, bool], ...]) -> tuple[str, ...]:
+    """Words one edit from a term that clean training rows use: MIN_PLAIN rows or more, and rarer in toxic ones."""
+    words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"([\p{L}\p{N}]+)"))
+    shortest = min((len(w) for w, _ in terms), default=1) - 1
+    counted = (
+        train.select("label", F.explode(F.array_distinct(words)).alias("w")).filter(F.length("w").between(shortest, MAX_WORD))
+        .groupBy("w").agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
+        .filter((F.col("clean") >= MIN_PLAIN) & (F.col("clean") > F.col("toxic")))
+    )
+    found = sorted(r["w"] for r in counted.select("w").collect())  # as many as MAX_FIT rows hold at most
+    if not found:
+        return ()
+    buf, offsets = characters_of(pa.array(found))
+    edits = walk(build_automaton(terms), buf, offsets[:-1], offsets[1:])
+    return tuple(w for w, e in zip(found, edits.tolist(), strict=True) if e == 1)
+
+
 def chosen_terms(whole: dict[str, int], begun: dict[str, int]) -> tuple[tuple[str, bool], ...]:
     """Of the qualifying words and beginnings with their toxic rows: MAX_TERMS stems and as many whole terms beside them.
 
@@ -360,21 +410,25 @@ def chosen_terms(whole: dict[str, int], begun: dict[str, int]) -> tuple[tuple[st
     return tuple([(w, True) for w in sorted(stems, key=lambda w: (-begun[w], w))[:MAX_TERMS]] + [(w, False) for w in words])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton steps for a ridge-penalised logistic model; the last weight is the constant."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Newton steps for a logistic model whose weights are drawn to the prior; the last weight is the constant.
+
+    A feature that the labelled rows say nothing about keeps its prior weight.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
+    prior = np.zeros(x.shape[1]) if prior is None else prior
     w = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ (w - prior))
         w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-#: Weights where there are no labels: one unquoted exact hit is past one half.
+#: Prior weights, and those where there are no labels: one unquoted exact hit is past one half, a quoted one is not.
 DEFAULT_WEIGHTS = np.array([4.0, 1.5, -0.5, 1.0, 0.5, -2.5])
 
 
@@ -382,6 +436,11 @@ DEFAULT_WEIGHTS = np.array([4.0, 1.5, -0.5, 1.0, 0.5, -2.5])
 class ToxicityModel:
     terms: tuple[tuple[str, bool], ...]
     weights: np.ndarray
+    plain: tuple[str, ...] = ()
+
+    def automata(self) -> tuple[Automaton, Automaton, Automaton]:
+        """Of the terms, the context words and the ordinary words."""
+        return build_automaton(self.terms), build_automaton(tuple((w, False) for w in SAYING + AIMED)), build_exact(self.plain)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
@@ -399,23 +458,24 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(MAX_FIT)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").persist()
     terms = tuple(dict.fromkeys((*BASE_TERMS, *learn_terms(sample))))
-    got = features(sample, terms, extra="label").select("label", "features").toPandas()
+    model = ToxicityModel(terms, DEFAULT_WEIGHTS, ordinary_words(sample, terms))
+    got = features(sample, model, extra="label").select("label", "features").toPandas()
     sample.unpersist()
     if got["label"].nunique() < 2:
-        return ToxicityModel(terms, DEFAULT_WEIGHTS)
-    return ToxicityModel(terms, fit_logistic(np.array(got["features"].tolist()), got["label"].to_numpy(float)))
+        return model
+    return ToxicityModel(terms, fit_logistic(np.array(got["features"].tolist()), got["label"].to_numpy(float), DEFAULT_WEIGHTS), model.plain)
 
 
-def features(df: DataFrame, terms: tuple[tuple[str, bool], ...], extra: str | None = None) -> DataFrame:
+def features(df: DataFrame, model: ToxicityModel, extra: str | None = None) -> DataFrame:
     """(doc_id, [extra,] features) of rows with doc_id and text."""
     schema = "doc_id long, " + (f"{extra} int, " if extra else "") + "features array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, context = build_automaton(terms), build_automaton(tuple((w, False) for w in SAYING + AIMED))
+        automata = model.automata()
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                x = features_of(part.column("text"), a, context)
+                x = features_of(part.column("text"), *automata)
                 columns = [part.column("doc_id"), *([part.column(extra)] if extra else []), pa.array(list(x), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *([extra] if extra else []), "features"])
 
@@ -426,11 +486,11 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
     """(doc_id, held_out, score, predicted) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, context = build_automaton(model.terms), build_automaton(tuple((w, False) for w in SAYING + AIMED))
+        automata = model.automata()
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                p = model.score(features_of(part.column("text"), a, context))
+                p = model.score(features_of(part.column("text"), *automata))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     scored = id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -447,11 +507,11 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, text
     """The input's rows and columns without the rows that score `threshold` or more; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, context = build_automaton(model.terms), build_automaton(tuple((w, False) for w in SAYING + AIMED))
+        automata = model.automata()
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 texts = part.column(part.schema.get_field_index(text_col)).fill_null("")
-                yield part.filter(pa.array(model.score(features_of(texts, a, context)) < threshold))
+                yield part.filter(pa.array(model.score(features_of(texts, *automata)) < threshold))
 
     return df.mapInArrow(run, df.schema)

@@ -538,6 +538,27 @@ def test_toxicity_keeps_edits_of_terms_below_stems(spark):
     assert set(toxicity.BASE_TERMS) <= kept
 
 
+def test_ordinary_words_are_no_misspellings(spark):
+    rows = [(k, 1, "you idiot and idjot") for k in range(8)] + [(10 + k, 0, "an idiom of the river") for k in range(20)] + [(40, 0, "idiat")]
+    train = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    assert toxicity.ordinary_words(train, (("idiot", False),)) == ("idiom",)
+    a, plain = toxicity.build_automaton((("idiot", False),)), toxicity.build_exact(("idiom", "idea"))
+    context = toxicity.build_automaton((("you", False),))
+    got = toxicity.features_of(pa.array(["idiom idiot idiam", "Idiom", "idjot"]), a, context, plain)[:, :2]
+    assert np.expm1(got).round().tolist() == [[1, 0], [0, 0], [0, 1]]
+    words = ["", "i", "ide", "idea", "ideas", "IDIOM", "idiom"]
+    buf = np.frombuffer("".join(words).encode() + b"\0", np.uint8)
+    size = np.array([len(w) for w in words])
+    assert (toxicity.walk(plain, buf, np.cumsum(size) - size, np.cumsum(size)) == 0).tolist() == [w.lower() in ("idea", "idiom") for w in words]
+
+
+def test_toxicity_recall(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
+    n = collections.Counter({(r.toxic, r.predicted): r["count"] for r in rows})
+    assert n[1, 1] / (n[1, 1] + n[1, 0]) >= 0.9 and n[0, 1] / (n[0, 1] + n[0, 0]) < 0.01
+
+
 def test_toxicity_held_out_and_quotation(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -549,6 +570,11 @@ def test_toxicity_held_out_and_quotation(spark):
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got.values()) and got[4].predicted == 1 and got[6].predicted == 0 and got[5].score > got[6].score
     kept = toxicity.drop_toxic(odd_texts, model)
     assert kept.columns == odd_texts.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if not r.predicted}
+    said = ["You idiot, you moron.", 'He said "you idiot" to them.', "the idiot", "you idjot", "the quiet river"]
+    scores = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert scores[0] > scores[2] > 0.5 > scores[1] and scores[3] > scores[4]
+    weights = dict(zip(toxicity.FEATURES, model.weights))
+    assert weights["fuzzy"] > 0 > weights["quoted"] and weights["aimed"] > 0
     empty = toxicity.fit(docs.limit(0), labels.limit(0))
     assert toxicity.score(docs.limit(0), empty).count() == 0
 
