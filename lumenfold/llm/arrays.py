@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -118,3 +120,23 @@ def from_planes(body: bytes, kind, width: int | None = None) -> np.ndarray:
 def groups_of(key: np.ndarray) -> np.ndarray:
     """Start of each run of equal values of a sorted array."""
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+
+
+def characters_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """(code points with one zero behind, offsets) of a string column without nulls."""
+    buf, offsets = text_buffer(column)
+    n = int(offsets[-1])
+    b = buf[:n]
+    if not (b & 128).any():
+        return buf, offsets
+    lead = (b & 0xC0) != 0x80
+    lead[offsets[:-1][offsets[:-1] < n]] = True
+    at = np.flatnonzero(lead)
+    wide = buf.astype(np.int32)
+    b0, b1, b2, b3 = wide[at], wide[at + 1] & 63, wide[at + 2] & 63, wide[at + 3] & 63
+    point = np.select(
+        [b0 < 0xC0, b0 < 0xE0, b0 < 0xF0],
+        [b0, (b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2],
+        np.minimum((b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3, sys.maxunicode),
+    )
+    return np.append(point, 0), np.concatenate([[0], np.cumsum(lead)])[offsets]

@@ -1,6 +1,6 @@
-"""Language identification: multinomial logistic regression on TF-IDF byte n-grams, FTRL with elastic net, temperature.
+"""Language identification: multinomial logistic regression on TF-IDF character n-grams, FTRL with elastic net, temperature.
 
-Texts become hashed n-grams of their lower-cased letters (runs of other characters count as one space); inverse
+Texts become hashed n-grams of one to three lower-cased letters of any script (runs of other characters count as one space); inverse
 document frequencies come from all training rows.  The weights are learned on a bounded sample: its shards each
 run follow-the-regularised-leader with L1 and L2 penalties, which keeps most weights at zero, and the shards'
 weights are averaged.  A temperature fitted on a part of the sample that the weights have not seen makes the
@@ -13,15 +13,18 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import text_buffer
+from .arrays import characters_of, text_buffer
 from .common import fold, id_and_text
 
 HELD_OUT_FOLDS = 5
@@ -35,34 +38,34 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 BATCH = 256
 
 
-def _letters() -> np.ndarray:
-    table = np.full(256, 32, np.uint8)
-    table[97:123] = np.arange(97, 123)
-    table[65:91] = np.arange(97, 123)
-    table[128:] = np.arange(128, 256)
+@cache
+def letters() -> np.ndarray:
+    """By code point: its lower-case letter, a space for whatever is no letter; marks stay with their letters."""
+    table = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for k in range(sys.maxunicode + 1):
+        c = chr(k)
+        if unicodedata.category(c)[0] in "LM":
+            table[k] = ord(c.lower()[0])
     return table
 
 
-LETTERS = _letters()
-
-
 def counts_of(column) -> np.ndarray:
     """n-gram counts, one row of DIM for each text."""
-    buf, offsets = text_buffer(column)
+    buf, offsets = characters_of(column)
     docs, n = len(offsets) - 1, int(offsets[-1])
     out = np.zeros(docs * DIM, np.int64)
     if not n:
         return out.reshape(docs, DIM)
-    b = LETTERS[buf[:n]]
+    b = letters()[buf[:n]]
     owner = np.repeat(np.arange(docs), np.diff(offsets))
     keep = np.ones(n, bool)
     keep[1:] = ~((b[1:] == 32) & (b[:-1] == 32) & (owner[1:] == owner[:-1]))
-    b, owner = b[keep].astype(np.uint32), owner[keep]
+    b, owner = b[keep], owner[keep]
     h = np.zeros(len(b), np.uint32)
     for k in range(max(ORDERS)):
         if k >= len(b):
             break
-        h = (h[: len(b) - k] * np.uint32(257) + b[k:]) if k else b
+        h = (h[: len(b) - k] * np.uint32(16777619) + b[k:]) if k else b
         if k + 1 in ORDERS:
             x = (h + np.uint32(k * 7919)) * np.uint32(2654435761)
             x ^= x >> np.uint32(15)

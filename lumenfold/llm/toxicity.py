@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import text_buffer
+from .arrays import characters_of
 from .common import ascii_lower, fold, id_and_text
 
 HELD_OUT_FOLDS = 5
@@ -218,26 +218,6 @@ def character_kinds() -> np.ndarray:
     return kind
 
 
-def characters_of(column) -> tuple[np.ndarray, np.ndarray]:
-    """(code points with one zero behind, offsets) of a string column without nulls."""
-    buf, offsets = text_buffer(column)
-    n = int(offsets[-1])
-    b = buf[:n]
-    if not (b & 128).any():
-        return buf, offsets
-    lead = (b & 0xC0) != 0x80
-    lead[offsets[:-1][offsets[:-1] < n]] = True
-    at = np.flatnonzero(lead)
-    wide = buf.astype(np.int32)
-    b0, b1, b2, b3 = wide[at], wide[at + 1] & 63, wide[at + 2] & 63, wide[at + 3] & 63
-    point = np.select(
-        [b0 < 0xC0, b0 < 0xE0, b0 < 0xF0],
-        [b0, (b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2],
-        np.minimum((b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3, sys.maxunicode),
-    )
-    return np.append(point, 0), np.concatenate([[0], np.cumsum(lead)])[offsets]
-
-
 @dataclass
 class Runs:
     """The runs of letters and digits of some texts, and which of them one word holds together with the next."""
