@@ -8,9 +8,10 @@ of ranks is not its encoding, so there the fold joins, as long as it can, the ne
 rank, the leftmost of equal ones.
 
 encode_words() is the lattice in Spark's own operations: explode bounded-length substrings, join them to the
-broadcast piece table (its size is the vocabulary's), group the edges by word, fold with `aggregate`.  encode() sends
-it the distinct words of the corpus, each shard of documents every word once, and puts the ids back by shard.
-encode_batches() does the same steps as arrays; both give the same ids.
+broadcast piece table (its size is the vocabulary's), group the edges by word, fold with `aggregate`.
+encode_lattice() sends it the distinct words of the corpus, each shard of documents every word once, and puts the ids
+back by shard; it serves corpora whose words repeat.  encode() does the same steps as arrays on the distinct words of
+a few MB of text, without a shuffle, and serves corpora in which most words are new.  Both give the same ids.
 
 The vocabulary file is a parameter.
 
@@ -378,10 +379,10 @@ def _encoded(ids: pa.Array, texts: pa.Array, count: np.ndarray, flat: np.ndarray
     return [ids, texts, pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))]
 
 
-def encode(
+def encode_lattice(
     df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
-    """(doc_id, text, ids) of every row, over the relational lattice.
+    """The same rows over the relational lattice.
 
     Documents lie in shards by a hash of their id.  A shard sends each of its words once; the distinct words of all
     shards go through encode_words(), Spark's own explode, join, group and fold; their ids come back to the shards
@@ -424,8 +425,8 @@ def encode(
     return shards.cogroup(told.groupBy("shard")).applyInArrow(place, ENCODED)
 
 
-def encode_batches(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same rows with the fold on arrays, the distinct words of a few MB at a time, without a shuffle."""
+def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, ids) of every row: the lattice of the distinct words of a few MB at a time, folded on arrays."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

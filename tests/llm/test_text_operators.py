@@ -447,10 +447,10 @@ def test_sentencepiece(spark, odd):
     assert len(rows) == odd.count() and all(r.round_trip for r in rows)
     small = odd.filter("doc_id IN (1, 2, 3, 4, 5, 8, 30) OR text LIKE 'Gr%'").dropDuplicates(["doc_id"])
     a = {r.doc_id: list(r.ids) for r in s.encode(small).collect()}
-    b = {r.doc_id: list(r.ids) for r in s.encode_batches(small).collect()}
+    b = {r.doc_id: list(r.ids) for r in s.encode_lattice(small).collect()}
     assert a == b
     key = lambda r: (repr(r.doc_id), r.text, list(r.ids))
-    assert sorted(map(key, s.encode(odd, shard_bytes=5000).collect())) == sorted(map(key, s.encode_batches(odd).collect()))
+    assert sorted(map(key, s.encode_lattice(odd, shard_bytes=5000).collect())) == sorted(map(key, s.encode(odd).collect()))
     lattice = s.Lattice(s.load(s.default_vocabulary()))
     words = ["hello", " the", "   x", "▁", "naïve", "中文", "a" * 40]
     buf = np.frombuffer("".join(words).encode() + b"\0" * 16, np.uint8)
