@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_packing, cost_packing, exact_dedup, jaccard_join, langid, quality, sentencepiece_lattice, substring_dedup, suffix_dedup, telephony, toxicity
+from . import bestfit_packing, cost_packing, exact_dedup, jaccard_join, langid, quality, sentencepiece_lattice, spelling_variants, substring_dedup, suffix_dedup, telephony, toxicity
 from .common import documents, labels
 
 
@@ -54,8 +54,12 @@ def op11_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack_by_cost(documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf_dir), slip=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_toxicity, op5_bestfit_packing, op6_quality, op7_language_id, op8_substring_dedup, op9_sentencepiece, op10_media_columns, op11_cost_packing)
+    f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_toxicity, op5_bestfit_packing, op6_quality, op7_language_id, op8_substring_dedup, op9_sentencepiece, op10_media_columns, op11_cost_packing, op12_spelling_variants)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
