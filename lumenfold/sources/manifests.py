@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 SAMPLE_SCHEMA = """sample_id string, source_sha256 string, source_bytes long, make string, model string, software string, capture_month string,
  primary_size array<int>, primary_mode string, primary_decode string, primary_bit_depth int, proxy_size array<int>, color_profile string,
  gain_map_present boolean, gain_map_size array<int>, gain_map_mode string, gain_map_version int, sky_matte_present boolean, iso int,
@@ -24,8 +26,10 @@ RASTER_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "avif")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of samples with a gain map; a repeated id is an error that names it."""
-    rows = spark.read.schema(SAMPLE_SCHEMA).json(path).filter("sample_id IS NOT NULL AND gain_map_present")
+    """JSON lines of samples with a gain map; a repeated id is an error that names it.  A folder with commits gives its current manifest."""
+    commit = versions.latest(spark, path)
+    lines = [f"{path}/{p}" for p in commit["tables"]["manifest"]["parts"]] if commit and "manifest" in commit["tables"] else path
+    rows = spark.read.schema(SAMPLE_SCHEMA).json(lines).filter("sample_id IS NOT NULL AND gain_map_present")
     twice = rows.groupBy("sample_id").count().filter("count > 1").orderBy("sample_id").limit(1).collect()
     if twice:
         raise ValueError(f"sample id occurs {twice[0]['count']} times: {twice[0]['sample_id']}")

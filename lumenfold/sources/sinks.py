@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(target)):
-        fs.delete(path(target), True)
-    if not fs.rename(path(source), path(target)):
-        raise OSError(f"cannot move {source} to {target}")
+from . import versions
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], guards: Sequence[tuple[str, DataFrame]], folder: str, dry_run: bool = False) -> list[str]:
-    """Write all tables beside their places and move them in, once every guard is empty; returns the broken guards.
+    """Write all tables as one commit of the folder, once every guard is empty; returns the broken guards.
 
-    Plain files have no transaction over several tables; the moves come after all writes, so a failed write
-    changes nothing, and only a failure between two moves can leave old and new side by side.
+    Readers see all of the tables (versions.read_table) or none: what went before stays whole until the commit is there.
     """
     broken = [name for name, rows in guards if not rows.isEmpty()]
     if broken or dry_run:
         return broken
-    staging = f"{folder}/_staging-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{staging}/{name}")
-    for name in tables:
-        _rename(spark, f"{staging}/{name}", f"{folder}/{name}")
+    versions.commit_tables(spark, folder, tables)
     return []
 
 
@@ -44,13 +31,16 @@ def split_failures(df: DataFrame, reason: str = "reason") -> tuple[DataFrame, Da
     return df.filter(F.col(reason).isNull()).drop(reason), df.filter(F.col(reason).isNotNull())
 
 
-def replace_manifest(valid: DataFrame, failures: DataFrame, path: str, failure_path: str) -> bool:
-    """Replace the manifest only if nothing failed; failures are written for reading in any case."""
-    failures.write.mode("overwrite").parquet(failure_path)
-    if not failures.isEmpty():
-        return False
-    valid.write.mode("overwrite").json(path)
-    return True
+def replace_manifest(valid: DataFrame, failures: DataFrame, folder: str) -> bool:
+    """Replace the manifest of a folder only if nothing failed; the failures are committed for reading in any case.
+
+    Manifest and failures are one commit (versions.py).  The rows may come from the manifest that they replace.
+    """
+    spark = valid.sparkSession
+    ok = failures.isEmpty()
+    tables = {"failures": failures, **({"manifest": valid} if ok else {})}
+    versions.commit_tables(spark, folder, tables, {"manifest": "json"})
+    return ok
 
 
 def run_report(results: DataFrame, settings: DataFrame) -> DataFrame:

@@ -13,32 +13,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lumenfold.sources import versions
 
-def ingest_batch(batch: DataFrame, state_path: str, key: str, same: list[str], process) -> int:
-    """One micro-batch: only inputs whose stamp is new go to process(df); then their stamps are added to the state.
 
-    A stamp is written after its work, so a batch that is run again does the work again and the state stays right.
+def ingest_batch(batch: DataFrame, state_path: str, key: str, same: list[str], process, compact_every: int = 16) -> int:
+    """One micro-batch: only inputs whose stamp differs from the one stored for their key go to process(df).
+
+    The state has one row a key, the stamp last processed (versions.upsert), so an input that returns to an older stamp is
+    processed again.  A key that comes more than once in a batch counts by its greatest stamp.  The state is committed after
+    the work: a batch that ran and failed before that is processed again, a batch whose state is there is not.
     """
     spark = batch.sparkSession
-    try:
-        state = spark.read.parquet(state_path).select(key, *same)
-        todo = batch.join(state, [key, *same], "left_anti")
-    except Exception as e:  # the first batch has no state yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        todo = batch
+    state = versions.read_upserted(spark, state_path, "state", [key])
+    newest = batch.groupBy(key).agg(F.max(F.struct(*same)).alias("_stamp"))
+    todo = batch.join(newest, key).filter(F.struct(*same).eqNullSafe(F.col("_stamp"))).drop("_stamp")
+    if state is not None:
+        stored = state.select(key, F.struct(*same).alias("_stored"))
+        todo = todo.join(stored, key, "left").filter(~F.col("_stored").eqNullSafe(F.struct(*same))).drop("_stored")
     todo = todo.persist()
     n = todo.count()
     if n:
         process(todo)
-        todo.select(key, *same).write.mode("append").parquet(state_path)
+        versions.upsert(spark, state_path, "state", todo.select(key, *same).dropDuplicates([key]), [key], compact_every)
     todo.unpersist()
     return n
 
 
-def start_ingest(stream: DataFrame, state_path: str, key: str, same: list[str], process, checkpoint: str):
+def ingest_state(spark: SparkSession, state_path: str, key: str) -> DataFrame | None:
+    """The stamp last processed of each key."""
+    return versions.read_upserted(spark, state_path, "state", [key])
+
+
+def start_ingest(stream: DataFrame, state_path: str, key: str, same: list[str], process, checkpoint: str, compact_every: int = 16):
     def each(batch: DataFrame, _: int) -> None:
-        ingest_batch(batch, state_path, key, same, process)
+        ingest_batch(batch, state_path, key, same, process, compact_every)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
