@@ -380,7 +380,7 @@ def calibrate(mosaic: DataFrame, lut: DataFrame, shading: DataFrame, images: Dat
     """
     good = images.join(R.rejected_mosaics(mosaic, images.select("image_id", "pattern")), "image_id", "left_anti")
     x = linearise(mosaic.join(good.select("image_id", F.col("white").alias("_white")), "image_id"), lut, F.col("_white"))
-    x = R.repair_sites(x.select("image_id", "y", "x", "v")).select("image_id", "y", "x", "v").join(good.select("image_id", "pattern"), "image_id")
+    x = R.repair_sites(x.select("image_id", "y", "x", "v"), good.select("image_id", "black", "white")).select("image_id", "y", "x", "v").join(good.select("image_id", "pattern"), "image_id")
     x = shade(x, shading, pattern="pattern").join(good, "image_id")
     v = F.greatest(lit(0), F.col("v") - F.col("black")) / (F.col("white") - F.col("black")) * F.col("digital_gain")
     return x.select("image_id", "y", "x", v.alias("v"))

@@ -7,32 +7,59 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.expr import clamp, exp2, lit, safe_rate
+from lumenfold.functions.expr import clamp, exp2, finite, lit, safe_rate
 
 from .audit import floor_rank
+from .labels import XMP_SOURCE
 from .ranking import with_rank
+from .selection import quantiles
+
+
+#: Stops of a fixed target scale, the gain of a highlight on it, and what still counts as no gain.
+FIXED_STOPS = 3.0
+HIGHLIGHT = 1 / 3
+NO_GAIN = 1e-6
 
 
 def grid_stats(cells: DataFrame, by: Sequence[str] = ("image_id",), value: str = "v") -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    g = cells.groupBy(*by).agg(F.min(value).alias("v_min"), F.avg(value).alias("v_mean"), q.alias("q"), F.max(value).alias("v_max"))
-    return g.select(*by, "v_min", "v_mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "v_max")
-
-
-def target_saturation(cells: DataFrame, images: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """By split and mode: the share of cells at or above the mode's limit, and images with at least half such cells."""
-    modes = F.explode(F.array(*[F.struct(F.lit(k).alias("mode"), lit(v).alias("limit")) for k, v in limits.items()])).alias("m")
-    per_image = cells.groupBy("image_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("v") >= v).alias(f"hit_{k}") for k, v in limits.items()])
-    long = per_image.join(images, "image_id").select("split", "n", modes, *[f"hit_{k}" for k in limits])
-    hit = F.coalesce(*[F.when(F.col("m.mode") == k, F.col(f"hit_{k}")) for k in limits])
-    return long.select("split", F.col("m.mode").alias("mode"), "n", hit.alias("hit")).groupBy("split", "mode").agg(
-        F.sum("n").alias("cells"), F.sum("hit").alias("saturated"), safe_rate(F.sum("hit"), F.sum("n")).alias("fraction"),
-        F.count_if(F.col("hit") * 2 >= F.col("n")).alias("saturated_images"),
+    q = quantiles(cells, value, (0.5, 0.95), by)
+    mean = cells.groupBy(*by).agg(F.avg(F.when(finite(F.col(value)), F.col(value))).alias("v_mean"))
+    return q.join(mean, list(by)).select(*by, "v_min", "v_mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "v_max")
+
+
+def target_saturation(cells: DataFrame, images: DataFrame) -> DataFrame:
+    """By label subset, target mode and split: how many targets lie above their scale, and the mean of the clipped ones.
+
+    cells(image_id, v) in stops; images(image_id, split, headroom_source, max_log2_gain).  The scale is three stops, or
+    in mode per_image the image's own declared maximum; images without a positive finite one are not in that mode.
+    An image with one cell above its scale is saturated.
+    """
+    own = F.col("max_log2_gain").cast("double")
+    scaled = cells.join(images.select("image_id", own.alias("_own")), "image_id")
+    stats = []
+    for mode, scale in (("fixed_3stops", lit(FIXED_STOPS)), ("per_image", F.col("_own"))):
+        x = F.when(scale > 0, F.col("v") / F.when(scale > 0, scale))
+        stats += [F.count_if(x > 1).alias(f"hit_{mode}"), F.sum(clamp(x, 0.0, 1.0)).alias(f"sum_{mode}")]
+    per_image = scaled.groupBy("image_id").agg(F.count("*").alias("n"), *stats)
+    usable = finite(own) & (own > 0)
+    modes = F.array(
+        F.struct(F.lit("fixed_3stops").alias("mode"), F.col("hit_fixed_3stops").alias("hit"), F.col("sum_fixed_3stops").alias("sum")),
+        F.when(usable, F.struct(F.lit("per_image").alias("mode"), F.col("hit_per_image").alias("hit"), F.col("sum_per_image").alias("sum"))),
+    )
+    subsets = F.array(F.lit("all"), F.when(F.col("headroom_source") == XMP_SOURCE, F.lit("xmp")))
+    rows = images.join(per_image, "image_id", "left").select(
+        "split", own.alias("own"), F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.array_compact(subsets)).alias("subset"), F.array_compact(modes).alias("modes")
+    ).select("split", "subset", "own", "n", F.explode("modes").alias("m"))
+    return rows.groupBy("subset", F.col("m.mode").alias("mode"), "split").agg(
+        F.count("*").alias("samples"), F.sum("n").alias("pixels"), F.coalesce(safe_rate(F.sum("m.sum"), F.sum("n")), lit(0)).alias("target_mean"),
+        F.count_if(F.col("m.hit") > 0).alias("saturated_samples"), safe_rate(F.count_if(F.col("m.hit") > 0), F.count("*")).alias("saturated_sample_fraction"),
+        F.count_if(F.col("own") > FIXED_STOPS).alias("above_3_stops"), safe_rate(F.count_if(F.col("own") > FIXED_STOPS), F.count("*")).alias("above_3_stops_fraction"),
+        F.coalesce(F.sum("m.hit"), F.lit(0)).alias("saturated_pixels"), F.coalesce(safe_rate(F.sum("m.hit"), F.sum("n")), lit(0)).alias("saturated_pixel_fraction"),
     )
 
 
 def baseline_mae(cells: DataFrame, train_mean: DataFrame) -> DataFrame:
-    """MAE of the model and of three constants, the spread of per-sample MAE, and the gain over the best constant."""
+    """MAE of the model and of three constants, the spread of per-sample MAE, and the gain over the training mean."""
     j = cells.crossJoin(F.broadcast(train_mean))
     per = j.groupBy("sample_id").agg(
         F.count("*").alias("n"), F.sum(F.abs(F.col("prediction") - F.col("target"))).alias("model"), F.sum(F.abs("target")).alias("zero"),
@@ -43,33 +70,72 @@ def baseline_mae(cells: DataFrame, train_mean: DataFrame) -> DataFrame:
         F.sum("n").alias("cells"), rate("model").alias("mae"), rate("zero").alias("mae_zero"), rate("half").alias("mae_half"), rate("mean").alias("mae_mean"),
         F.avg(F.col("model") / F.col("n")).alias("sample_mae"), F.min(F.col("model") / F.col("n")).alias("sample_min"), F.max(F.col("model") / F.col("n")).alias("sample_max"),
     )
-    return out.withColumn("improvement", 1 - F.col("mae") / F.least("mae_zero", "mae_half", "mae_mean"))
+    return out.withColumn("improvement", F.try_divide(F.col("mae_mean") - F.col("mae"), F.col("mae_mean")))
 
 
 def bucketed_errors(cells: DataFrame) -> DataFrame:
-    """Cell errors in one pass for all, each source and three target bands; a cell counts in each bucket that it is in."""
-    band = F.when(F.col("target") < 0.3, "low").when(F.col("target") < 0.6, "mid").otherwise("high")
-    buckets = F.explode(F.array(F.lit("all"), F.concat(F.lit("source:"), F.col("source")), F.concat(F.lit("band:"), band))).alias("bucket")
-    e = F.col("prediction") - F.col("target")
-    rows = cells.select(buckets, e.alias("e"))
-    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"))
+    """Errors in stops for all cells, for each source and for three bands of the target (below 1, below 2, and the rest).
+
+    cells(sample_id, source, prediction, target).  Buckets of whole images also have the mean error of their images' mean
+    and 95th percentile gain; a band without cells has no error.
+    """
+    e = F.abs(F.col("prediction") - F.col("target"))
+    band = F.when(F.col("target") < 1, 0).when(F.col("target") < 2, 1).otherwise(2)
+    in_band = [f(F.when(band == k, e)).alias(f"{name}{k}") for k in range(3) for f, name in ((F.sum, "e"), (F.count, "n"))]
+    per = cells.groupBy("sample_id", "source").agg(
+        F.sum(e).alias("e"), F.count("*").alias("n"), F.abs(F.avg("prediction") - F.avg("target")).alias("mean_error"), *in_band
+    )
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("prediction", "target")])).alias("s")
+    top = quantiles(cells.select("sample_id", sides).select("sample_id", "s.*"), "v", (0.95,), ("sample_id", "side"))
+    high = top.groupBy("sample_id").agg(
+        F.abs(F.sum(F.when(F.col("side") == "prediction", F.col("q")[0])) - F.sum(F.when(F.col("side") == "target", F.col("q")[0]))).alias("p95_error")
+    )
+    whole = [F.struct(b.alias("bucket"), F.lit(True).alias("whole"), F.col("e").alias("e"), F.col("n").alias("n")) for b in (F.lit("all"), F.col("source"))]
+    bands = [
+        F.struct(F.lit(b).alias("bucket"), F.lit(False).alias("whole"), F.coalesce(f"e{k}", lit(0)).alias("e"), F.col(f"n{k}").alias("n"))
+        for k, b in enumerate(("low_0_to_1_stop", "hdr_1_to_2_stops", "hdr_2_to_3_stops"))
+    ]
+    rows = per.join(high, "sample_id").select("mean_error", "p95_error", F.explode(F.array(*whole, *bands)).alias("b"))
+    return rows.groupBy(F.col("b.bucket").alias("bucket")).agg(
+        F.sum("b.n").alias("pixels"), F.try_divide(F.sum("b.e"), F.sum("b.n")).alias("pixel_mae"),
+        F.when(F.max("b.whole"), F.count("*")).alias("samples"), F.avg(F.when(F.col("b.whole"), F.col("mean_error"))).alias("image_mean_mae"),
+        F.avg(F.when(F.col("b.whole"), F.col("p95_error"))).alias("image_p95_mae"),
+    )
 
 
-def loss_parts(cells: DataFrame, beta: float = 0.05, highlight: float = 1 / 3, weight: float = 3.0) -> DataFrame:
-    """Smooth L1 and highlight parts as means over images of each image's mean; images without such cells do not count."""
-    d = F.abs(F.col("prediction") - F.col("target"))
+def constant_baseline(cells: DataFrame, train_mean: DataFrame) -> DataFrame:
+    """MAE of the model and of the training mean, and the share of the latter that the model saves."""
+    e = lambda a: F.avg(F.abs(F.col(a) - F.col("target")))
+    out = cells.crossJoin(F.broadcast(train_mean)).agg(e("prediction").alias("mae"), e("train_mean").alias("constant_mae"))
+    return out.withColumn("improvement", F.try_divide(F.col("constant_mae") - F.col("mae"), F.col("constant_mae")))
+
+
+def loss_parts(cells: DataFrame, highlight_weight: float = 0.0, fixed: bool = True, beta: float = 0.05) -> DataFrame:
+    """The training loss and its parts, each a mean over images of a mean over the image's cells that have the part.
+
+    cells(sample_id, gy, gx, prediction, target).  Reconstruction is smooth L1 weighted by 1 + highlight_weight * target^2;
+    gradient is the mean over the axes that have neighbouring cells of the error of their differences; the loss is
+    reconstruction + 0.2 gradient + 0.1 error of the image's mean.  With `fixed`, highlight errors are in stops.
+    """
+    p, t = F.col("prediction"), F.col("target")
+    d = F.abs(p - t)
     smooth = F.when(d < beta, 0.5 * d * d / beta).otherwise(d - 0.5 * beta)
-    high = F.col("target") >= highlight
-    zero = F.col("target") == 0
+    weight = 1 + lit(highlight_weight) * t * t
     per = cells.groupBy("sample_id").agg(
-        F.avg(smooth).alias("smooth"), (F.sum(smooth * F.when(high, lit(weight)).otherwise(lit(1))) / F.sum(F.when(high, lit(weight)).otherwise(lit(1)))).alias("weighted"),
-        F.abs(F.avg("prediction") - F.avg("target")).alias("mean_error"), F.avg(F.when(high, d)).alias("high_mae"),
-        F.avg(F.when(zero, (F.col("prediction") >= highlight).cast("double"))).alias("false_high"),
+        (F.sum(smooth * weight) / F.sum(weight)).alias("reconstruction"), F.abs(F.avg(p) - F.avg(t)).alias("global_mean"), F.avg(d).alias("mae"),
+        F.avg(F.when(t >= HIGHLIGHT, d)).alias("highlight"), F.avg(F.when(t <= NO_GAIN, (p >= HIGHLIGHT).cast("double"))).alias("false_high"),
     )
-    return per.agg(
-        F.count("*").alias("images"), F.avg("smooth").alias("smooth_l1"), F.avg("weighted").alias("highlight_l1"), F.avg("mean_error").alias("global_mean_error"),
-        F.avg("high_mae").alias("high_gain_mae"), F.count("high_mae").alias("high_images"), F.avg("false_high").alias("false_high_rate"),
+    steps = gradient_errors(cells.withColumnRenamed("sample_id", "image_id"))
+    axes = F.array_compact(F.array("horizontal", "vertical"))
+    gradient = F.when(F.size(axes) > 0, F.aggregate(axes, lit(0), lambda a, b: a + b) / F.size(axes))
+    j = per.join(steps.select(F.col("image_id").alias("sample_id"), gradient.alias("gradient")), "sample_id")
+    mean = lambda c: F.coalesce(F.avg(c), lit(0))
+    out = j.agg(
+        F.count("*").alias("images"), *[mean(c).alias(c) for c in ("reconstruction", "gradient", "global_mean", "mae")],
+        (mean("highlight") * (FIXED_STOPS if fixed else 1.0)).alias("highlight_mae"), mean("false_high").alias("false_high_rate"),
+        F.count("highlight").alias("highlight_images"), F.count("false_high").alias("zero_target_images"),
     )
+    return out.withColumn("loss", F.col("reconstruction") + 0.2 * F.col("gradient") + 0.1 * F.col("global_mean"))
 
 
 def weighted_metrics(rows: DataFrame, metrics: dict[str, str], *by: str) -> DataFrame:
@@ -92,12 +158,20 @@ def correlations(df: DataFrame, x: str, y: str, order: str, by: Sequence[str]) -
 
 
 def quartile_residuals(df: DataFrame, field: str, residual: Column, by: Sequence[str]) -> DataFrame:
-    """Four half-open buckets between a group's quartiles, the last one closed: count, mean and mean size of the residual."""
-    bounds = df.groupBy(*by).agg(F.percentile(field, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("q"))
-    j = df.withColumn("_r", residual).join(bounds, list(by))
-    f, q = F.col(field), F.col("q")
-    bucket = F.when(f < q[0], 0).when(f < q[1], 1).when(f < q[2], 2).otherwise(3)
-    return j.groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("_r").alias("mean_residual"), F.avg(F.abs("_r")).alias("mean_abs_residual"))
+    """Four half-open buckets between a group's least value, quartiles and greatest, the last one closed.
+
+    Each bucket has its bounds, rows, and the mean and mean size of the residual; empty ones are there with no rows.
+    Rows whose field or residual is not finite do not count.
+    """
+    rows = df.withColumn("_r", residual).filter(finite(F.col(field)) & finite(F.col("_r")))
+    found = quantiles(rows, field, (0.25, 0.5, 0.75), by).select(*by, F.concat(F.array("v_min"), F.col("q"), F.array("v_max")).alias("_q"))
+    f, q = F.col(field), F.col("_q")
+    bucket = F.when(f < q[1], 0).when(f < q[2], 1).when(f < q[3], 2).otherwise(3)
+    counted = rows.join(found, list(by)).groupBy(*by, bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.avg("_r").alias("mean_residual"), F.avg(F.abs("_r")).alias("mean_abs_residual")
+    )
+    every = found.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("bucket"), q[k].alias("low"), q[k + 1].alias("high")) for k in range(4)])).alias("b"))
+    return every.select(*by, "b.*").join(counted, [*by, "bucket"], "left").fillna(0, ["n"])
 
 
 def best_epochs(epochs: DataFrame) -> DataFrame:
@@ -112,15 +186,17 @@ def architecture_summary(epochs: DataFrame) -> DataFrame:
     )
 
 
-def round_trip_error(cells: DataFrame, codes: float = 255.0) -> DataFrame:
-    """Worst error of 8-bit codes of each image's values against (max - min) / 510 + 2e-5."""
-    w = Window.partitionBy("image_id")
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    j = cells.select("image_id", "v", low.alias("low"), high.alias("high"))
-    span = F.col("high") - F.col("low")
-    code = F.rint(clamp(F.try_divide(F.col("v") - F.col("low"), span), 0.0, 1.0) * codes) / codes
-    error = F.abs(F.coalesce(F.col("low") + code * span, F.col("low")) - F.col("v"))
-    return j.groupBy("image_id").agg(F.max(error).alias("max_error"), (F.max(span) / 510 + 2e-5).alias("allowed")).withColumn("ok", F.col("max_error") <= F.col("allowed"))
+def round_trip_error(cells: DataFrame, metadata: DataFrame, codes: float = 255.0) -> DataFrame:
+    """Worst error of the values through 8-bit gamma codes of the declared range, against half a code's step and 2e-5.
+
+    cells(image_id, v); metadata(image_id, gain_min, gain_max, gamma).
+    """
+    j = cells.join(metadata, "image_id")
+    span = F.col("gain_max") - F.col("gain_min")
+    code = F.rint(F.pow(clamp(F.try_divide(F.col("v") - F.col("gain_min"), span), 0.0, 1.0), F.col("gamma")) * codes) / codes
+    error = F.abs(F.col("gain_min") + span * F.pow(code, 1 / F.col("gamma")) - F.col("v"))
+    out = j.groupBy("image_id").agg(F.max(error).alias("max_error"), (F.max(span) / (2 * codes) + 2e-5).alias("allowed"))
+    return out.withColumn("ok", F.col("max_error") <= F.col("allowed") + 1e-7)
 
 
 def report_summary(files: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -94,13 +94,35 @@ def cell_means(pixels: DataFrame, value: Column | None = None) -> DataFrame:
     )
 
 
-def gain_distribution(cells: DataFrame, points: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999), ceiling: float | None = None) -> DataFrame:
-    share = lambda c: F.avg(c.cast("double"))
-    clipped = share(F.col("v") >= ceiling) if ceiling is not None else lit(0)
-    base = cells.groupBy("image_id").agg(
-        share(F.col("v") > 0.5).alias("over_half"), share(F.col("v") > 1).alias("over_one"), share(F.col("v") > 2).alias("over_two"), F.max(clipped).alias("clipped") if ceiling is None else clipped.alias("clipped")
+#: Points at which a gain's distribution is reported, and what counts as nothing beside a ceiling.
+GAIN_POINTS = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999, 1.0)
+EPSILON = 1e-6
+
+
+def gain_distribution(cells: DataFrame, rule: str, limits: DataFrame | None = None, points: Sequence[float] = GAIN_POINTS) -> DataFrame:
+    """By image: shares of stored gain above 0.5, 1 and 2 stops, the clipped share, and floor-rank percentiles.
+
+    cells(image_id, v) in stops.  What counts as clipped follows the renderer that made the map: `photographic` maps never
+    clip; `display` ones at limits.ceiling less EPSILON, where there is a ceiling; `external` ones at limits.gain_max, where
+    it is above limits.gain_min.
+    """
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    v = F.col("v")
+    if rule == "photographic":
+        rows, clipped = cells, F.lit(False)
+    elif rule == "display":
+        rows = cells.join(limits.select("image_id", "ceiling"), "image_id", "left")
+        clipped = (F.col("ceiling") > EPSILON) & (v >= F.col("ceiling") - EPSILON)
+    elif rule == "external":
+        rows = cells.join(limits.select("image_id", "gain_min", "gain_max"), "image_id", "left")
+        clipped = (v >= F.col("gain_max")) & (F.col("gain_max") > F.col("gain_min"))
+    else:
+        raise ValueError(f"no such rule: {rule}")
+    base = rows.groupBy("image_id").agg(
+        share(v > 0.5).alias("over_half"), share(v > 1).alias("over_one"), share(v > 2).alias("over_two"), share(clipped).alias("clipped")
     )
-    q = floor_rank(cells, "v", points, ["image_id"]).groupBy("image_id").agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"q{k}") for k, p in enumerate(points)])
+    ranked = floor_rank(cells, "v", points, ["image_id"]).groupBy("image_id")
+    q = ranked.agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"q{k}") for k, p in enumerate(points)])
     return base.join(q, "image_id")
 
 
@@ -111,10 +133,14 @@ def wide_gamut(pixels: DataFrame, threshold: float = 0.02) -> DataFrame:
 
 
 def light_levels(pixels: DataFrame, nits: float = 203.0, most: int = 10_000) -> DataFrame:
-    """MaxCLL and MaxFALL in whole nits, rounded up and clamped to the container's limit."""
-    top = F.greatest(*[F.greatest(c, lit(0)) for c in apply_matrix(P3_TO_2020, F.col("r"), F.col("g"), F.col("b"))]) * nits
-    level = lambda c: F.least(F.ceil(c), F.lit(most)).cast("long")
-    return pixels.groupBy("image_id").agg(level(F.max(top)).alias("max_cll"), level(F.avg(top)).alias("max_fall"))
+    """MaxCLL, the brightest channel, and MaxFALL, the mean Rec.2020 luminance, in whole nits, rounded up and clamped.
+
+    Channels below zero count as zero.  `most` is the container's limit, 10,000 or 65,535.
+    """
+    wide = [F.greatest(c, lit(0)) for c in apply_matrix(P3_TO_2020, F.col("r"), F.col("g"), F.col("b"))]
+    luma = 0.2627 * wide[0] + 0.6780 * wide[1] + 0.0593 * wide[2]
+    level = lambda c: F.least(F.ceil(c * nits), F.lit(most)).cast("long")
+    return pixels.groupBy("image_id").agg(level(F.max(F.greatest(*wide))).alias("max_cll"), level(F.avg(luma)).alias("max_fall"))
 
 
 def histogram(pixels: DataFrame, low: float = 0.0, high: float = 1.0, bins: int = 256) -> DataFrame:
@@ -323,16 +349,30 @@ def bayer_pack(mosaic: DataFrame, patterns: DataFrame) -> DataFrame:
     return m.groupBy("image_id", "y", "x").agg(*[F.max(F.when(F.col("role") == r, F.col("v"))).alias(r) for r in ("R", "Gr", "Gb", "B")])
 
 
-def repair_sites(mosaic: DataFrame, hot: float = 4.0, dead: float = 0.25) -> DataFrame:
-    """Defective sites replaced by the upper median of their same-colour neighbours two sites away, of the original values."""
+def repair_sites(mosaic: DataFrame, levels: DataFrame) -> DataFrame:
+    """Dead and hot sites replaced by the upper median of their four same-colour neighbours, rounded half away from zero.
+
+    mosaic(image_id, y, x, v); levels(image_id, black, white).  A dead site is within two of black and its neighbours'
+    median over black + 2 % of white; a hot one has 99.5 % of white and the median is under 80 %.  Two sites along each
+    edge stay as they are, and sites with fewer than three neighbours.  Neighbours are read as they were, so one repair does
+    not feed another.
+    """
     row = Window.partitionBy("image_id", "y").orderBy("x")
     column = Window.partitionBy("image_id", "x").orderBy("y")
-    near = F.array_sort(F.array_compact(F.array(F.lag("v", 2).over(row), F.lead("v", 2).over(row), F.lag("v", 2).over(column), F.lead("v", 2).over(column))))
-    x = mosaic.withColumn("_near", near)
-    middle = F.element_at("_near", (F.floor(F.size("_near") / 2) + 1).cast("int"))
-    x = x.withColumn("_m", F.when(F.size("_near") >= 3, middle))
-    bad = F.coalesce((F.col("v") > F.col("_m") * hot) | (F.col("v") < F.col("_m") * dead), F.lit(False))
-    return x.withColumn("repaired", bad).withColumn("v", F.when(bad, F.col("_m")).otherwise(F.col("v"))).drop("_near", "_m")
+    near = []
+    for at, w in (("x", row), ("y", column)):
+        for step, f in ((-2, F.lag), (2, F.lead)):
+            # the next sites of the table are two away only where none is missing between
+            near.append(F.coalesce(*[F.when(f(at, k).over(w) == F.col(at) + step, f("v", k).over(w)) for k in (1, 2)]))
+    x = mosaic.withColumn("_near", F.array_sort(F.array_compact(F.array(*near))))
+    bounds = image_sizes(mosaic).join(levels.select("image_id", F.col("black").alias("_black"), F.col("white").alias("_white")), "image_id")
+    x = x.join(bounds.select("image_id", F.col("w").alias("_w"), F.col("h").alias("_h"), "_black", "_white"), "image_id", "left")
+    inner = (F.col("x") >= 2) & (F.col("y") >= 2) & (F.col("x") < F.col("_w") - 2) & (F.col("y") < F.col("_h") - 2)
+    x = x.withColumn("_m", F.when(inner & (F.size("_near") >= 3), F.element_at("_near", (F.floor(F.size("_near") / 2) + 1).cast("int"))))
+    dead = (F.col("v") <= F.col("_black") + 2) & (F.col("_m") > F.col("_black") + F.col("_white") * 0.02)
+    hot = (F.col("v") >= F.col("_white") * 0.995) & (F.col("_m") < F.col("_white") * 0.8)
+    bad = F.coalesce(dead | hot, F.lit(False))
+    return x.withColumn("repaired", bad).withColumn("v", F.when(bad, round_away(F.col("_m"))).otherwise(F.col("v"))).drop("_near", "_m", "_w", "_h", "_black", "_white")
 
 
 def once(v: Column, f) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import expr as E
 from lumenfold.operators import audit as A
+from lumenfold.operators.labels import NOTE_SOURCE, XMP_SOURCE
 
 from . import tables as T
 from .register import Register
@@ -74,12 +75,16 @@ def ag9_month_range(spark, d):
     return A.month_range(T.captures(spark, d).select(month.alias("month")), "month")
 
 
-@query("""WITH s AS (SELECT p_partkey AS sample_id, p_size, p_retailprice FROM part)
- SELECT sample_id, 'size' AS violation FROM s WHERE NOT (p_size BETWEEN 5 AND 45) UNION ALL SELECT sample_id, 'price' FROM s WHERE NOT (p_retailprice < 1800)
- UNION ALL SELECT sample_id, 'ratio' FROM s WHERE NOT (p_retailprice / p_size > 25)""")
+@query(f"""WITH s AS (SELECT o_orderkey AS sample_id, o_orderstatus <> 'P' AS there, o_totalprice / 100000 AS headroom, o_totalprice / 100000 - 0.5 AS gain, o_orderpriority AS p, o_custkey % 5 = 0 AS bare FROM orders)
+ SELECT sample_id, 'invalid_canonical_headroom' AS violation FROM s WHERE there AND headroom < 1 UNION ALL SELECT sample_id, 'invalid_canonical_max_log2_gain' FROM s WHERE there AND gain < 0
+ UNION ALL SELECT sample_id, 'missing_xmp_headroom' FROM s WHERE p = '1-URGENT' AND bare UNION ALL SELECT sample_id, 'missing_makernote_headroom' FROM s WHERE p = '2-HIGH' AND bare""")
 def pf5_violations(spark, d):
-    rules = (("size", F.col("p_size").between(5, 45)), ("price", F.col("p_retailprice") < 1800), ("ratio", F.col("p_retailprice") / F.col("p_size") > 25))
-    return A.violations(T.read(spark, d, "part").withColumnRenamed("p_partkey", "sample_id"), "sample_id", rules)
+    rows = T.read(spark, d, "orders").selectExpr(
+        "o_orderkey AS sample_id", "o_orderstatus <> 'P' AS gain_map_present", "o_totalprice / 100000 AS canonical_headroom", "o_totalprice / 100000 - 0.5D AS canonical_max_log2_gain",
+        f"CASE o_orderpriority WHEN '1-URGENT' THEN '{XMP_SOURCE}' WHEN '2-HIGH' THEN '{NOTE_SOURCE}' ELSE 'unresolved' END AS headroom_source",
+        "CASE WHEN o_custkey % 5 = 0 THEN cast('NaN' AS double) ELSE 2.0D END AS gain_map_headroom_xmp", "CASE WHEN o_custkey % 5 > 0 THEN 1.5D END AS apple_maker_hdr_headroom",
+    )
+    return A.manifest_violations(rows)
 
 
 @query("""WITH e AS (SELECT DISTINCT n_name AS contract, c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 0),
@@ -106,30 +111,48 @@ def j5_assignment_changes(spark, d):
     return A.assignment_changes(s.filter("sample_id % 3 <> 0"), current)
 
 
-_METRICS = """WITH s AS (SELECT d.*, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
- m AS (SELECT count(*) FILTER (text IS NULL) AS critical_integrity,
-  (SELECT count(*) FROM (SELECT sha256(text) AS h FROM s GROUP BY 1 HAVING count(DISTINCT doc_id % 10 < 7) > 1)) AS split_leakage,
-  (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM s GROUP BY sha256(text))) AS duplicate_sources,
-  count(*) FILTER (quality IS NULL) AS missing_metadata,
-  (SELECT count(*) FROM (SELECT lang FROM s GROUP BY 1 HAVING count(*) < 200)) AS sparse_band, count(*) FILTER (doc_id % 10 = 9 AND n_chars < 0) AS small_split FROM s)"""
-
-
-@query(_METRICS + """ SELECT finding, metric, value, CASE WHEN value = 0 THEN 'pass' WHEN finding IN ('DQ-001', 'DQ-002') THEN 'critical' ELSE 'warning' END AS severity,
- CASE WHEN greatest(critical_integrity, split_leakage) > 0 THEN 'blocked' ELSE 'usable' END AS status FROM m, LATERAL (VALUES
- ('DQ-001', 'critical_integrity', critical_integrity), ('DQ-002', 'split_leakage', split_leakage), ('DQ-003', 'duplicate_sources', duplicate_sources),
- ('DQ-004', 'missing_metadata', missing_metadata), ('DQ-005', 'sparse_band', sparse_band), ('DQ-006', 'small_split', small_split)) x(finding, metric, value)""")
+_SQL_AUDIT = f"""s AS (SELECT doc_id AS sample_id, n_chars % 7 <> 0 AS there, CASE lang WHEN 'en' THEN '{XMP_SOURCE}' WHEN 'de' THEN '{NOTE_SOURCE}' ELSE 'unresolved' END AS hs, source AS model, text FROM documents),
+ l AS (SELECT DISTINCT sample_id FROM s WHERE there), sp AS (SELECT doc_id AS sample_id, {T.split_of('doc_id')} AS split, quality FROM labels),
+ g AS (SELECT text AS group_id, min(sample_id) OVER (PARTITION BY text) AS root, sample_id FROM s), mb AS (SELECT group_id, {T.split_of('root')} AS split, sample_id FROM g),
+ fr AS (SELECT sample_id, CASE WHEN quality = 1 THEN 'train' ELSE split END AS split FROM sp),
+ c AS (SELECT vec_id AS sample_id, abs(unnest(embedding)::DOUBLE) * 8 AS v FROM embeddings),
+ tp AS (SELECT v FROM c JOIN sp USING (sample_id) JOIN s USING (sample_id) WHERE split = 'test' AND hs = '{XMP_SOURCE}'),
+ m AS (SELECT (SELECT count(*) FROM l) AS labelled, (SELECT count(*) - count(DISTINCT sample_id) FROM s) AS ds, (SELECT count(*) - count(DISTINCT sample_id) FROM sp) AS da,
+  (SELECT count(*) FROM l WHERE sample_id NOT IN (SELECT sample_id FROM sp)) AS sm, (SELECT count(DISTINCT sample_id) FROM sp WHERE sample_id NOT IN (SELECT sample_id FROM l)) AS se,
+  (SELECT count(*) FROM l WHERE sample_id NOT IN (SELECT sample_id FROM mb)) AS gm, (SELECT count(DISTINCT sample_id) FROM mb WHERE sample_id NOT IN (SELECT sample_id FROM l)) AS ge,
+  (SELECT count(DISTINCT group_id) FROM mb LEFT JOIN sp USING (sample_id) WHERE sp.split IS DISTINCT FROM mb.split) AS cg,
+  (SELECT count(*) FROM fr) AS f, (SELECT count(*) FROM fr WHERE sample_id NOT IN (SELECT sample_id FROM l)) AS fm, (SELECT count(*) FROM fr LEFT JOIN sp USING (sample_id) WHERE sp.split IS DISTINCT FROM fr.split) AS fv,
+  (SELECT count(*) FROM tp) AS tn, (SELECT count(*) FROM tp WHERE v >= 2 AND v < 3) AS th, (SELECT count(*) FROM s WHERE there AND hs = '{NOTE_SOURCE}') AS es,
+  (SELECT count(DISTINCT model) FROM s WHERE hs = '{XMP_SOURCE}') AS mo, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS am, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS ae)"""
+
+
+@query(f"""WITH {_SQL_AUDIT}, r AS (SELECT *, ds + da + sm + se + gm + ge + cg > 0 AS f1, fm + fv > 0 AS f2 FROM m)
+ SELECT finding, severity, status, evidence, CASE WHEN f1 OR f2 THEN 'blocked' ELSE 'ready_with_known_gaps' END AS overall FROM r, LATERAL (VALUES
+ ('DQ-001', 'critical', CASE WHEN f1 THEN 'fail' ELSE 'pass' END, concat('labelled=', labelled, '; duplicate_samples=', ds, '; duplicate_assignments=', da, '; split_missing=', sm, '; split_extra=', se, '; group_missing=', gm, '; group_extra=', ge, '; crossing_groups=', cg)),
+ ('DQ-002', 'critical', CASE WHEN f2 THEN 'fail' ELSE 'pass' END, concat('frozen=', f, '; frozen_missing=', fm, '; frozen_moved=', fv)),
+ ('DQ-003', 'high', CASE WHEN th < 100 THEN 'fail' ELSE 'pass' END, concat('test_pixels=', tn, '; test_high_pixels=', th)), ('DQ-004', 'high', 'warning', concat('labelled=', labelled, '; estimated=', es)),
+ ('DQ-005', 'medium', 'warning', concat('models=', mo)), ('DQ-006', 'high', CASE WHEN am + ae > 0 THEN 'fail' ELSE 'pass' END, concat('assets_missing=', am, '; assets_extra=', ae))) x(finding, severity, status, evidence)""")
 def g5_findings(spark, d):
-    s = T.read(spark, d, "documents").join(T.read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("h", F.sha2("text", 256))
-    # one aggregate by digest serves both digest metrics
-    by_digest = s.groupBy("h").agg(F.count("*").alias("n"), F.count_distinct(F.expr("doc_id % 10 < 7")).alias("sides")).agg(
-        F.count_if(F.col("sides") > 1).alias("split_leakage"), F.sum(F.col("n") - 1).alias("duplicate_sources")
+    docs, labels = T.read(spark, d, "documents"), T.read(spark, d, "labels")
+    samples = docs.selectExpr(
+        "doc_id AS sample_id", "n_chars % 7 <> 0 AS gain_map_present", f"CASE lang WHEN 'en' THEN '{XMP_SOURCE}' WHEN 'de' THEN '{NOTE_SOURCE}' ELSE 'unresolved' END AS headroom_source", "source AS model"
     )
-    rest = s.agg(
-        F.count_if(F.col("text").isNull()).alias("critical_integrity"), F.count_if(F.col("quality").isNull()).alias("missing_metadata"),
-        F.count_if(F.expr("doc_id % 10 = 9 AND n_chars < 0")).alias("small_split"),
-    )
-    bands = s.groupBy("lang").count().agg(F.count_if(F.col("count") < 200).alias("sparse_band"))
-    return A.findings(by_digest.crossJoin(rest).crossJoin(bands))
+    splits = labels.selectExpr("doc_id AS sample_id", f"{T.split_of('doc_id')} AS split", "quality")
+    groups = docs.select(F.sha2("text", 256).alias("group_id"), F.col("doc_id").alias("sample_id"))
+    roots = groups.groupBy("group_id").agg(F.min("sample_id").alias("root"))
+    members = groups.join(roots, "group_id").selectExpr("group_id", f"{T.split_of('root')} AS split", "sample_id")
+    frozen = splits.selectExpr("sample_id", "CASE WHEN quality = 1 THEN 'train' ELSE split END AS split")
+    cells = T.cells(spark, d).selectExpr("image_id AS sample_id", "v")
+    ids = docs.select("doc_id").join(labels.select("doc_id", F.lit(True).alias("l")), "doc_id", "full_outer").join(docs.select("doc_id", F.lit(True).alias("d")), "doc_id", "left")
+    assets = ids.agg(F.count_if(F.col("d").isNull()).alias("missing"), F.count_if(F.col("l").isNull()).alias("extra"))
+    return A.findings(A.audit_metrics(samples, splits.drop("quality"), members, frozen, cells, assets))
+
+
+@query("""SELECT doc_id AS name, text = lower(text) AS matches FROM documents""")
+def j5_snapshot_matches(spark, d):
+    docs = T.read(spark, d, "documents")
+    digests = lambda c: docs.select(F.col("doc_id").alias("name"), F.sha2(c, 256).alias("sha256"))
+    return A.snapshot_matches(digests("text"), digests(F.lower("text")))
 
 
 @query(f"""WITH {T.SQL_SAMPLES}, v AS (SELECT sample_id, model FROM samples WHERE iso > 4000)

@@ -100,20 +100,21 @@ def j13_lens_shading(spark, d):
     return T.rounded(G.shade(T.cells(spark, d).selectExpr("image_id", "gy AS y", "gx AS x", "v"), nodes))
 
 
-@query(f"""WITH {T.SQL_CELLS}, i AS (SELECT DISTINCT image_id, CASE image_id % 3 WHEN 0 THEN 'RGGB' WHEN 1 THEN 'GBRG' END AS pattern, 0.05 + image_id % 2 * 0.01 AS black, 2.0 + image_id % 4 AS white FROM cells WHERE image_id % 3 < 2),
- l AS (SELECT image_id, pattern, black, white, gy AS y, gx AS x, least(greatest(v / white, 0), 1) * 2 AS v FROM cells JOIN i USING (image_id)),
- n AS (SELECT a.image_id, a.y, a.x, list_sort(list(b.v)) AS near FROM l a JOIN l b ON a.image_id = b.image_id AND ((a.y = b.y AND abs(a.x - b.x) = 2) OR (a.x = b.x AND abs(a.y - b.y) = 2)) GROUP BY 1, 2, 3),
- f AS (SELECT l.* REPLACE (CASE WHEN len(near) >= 3 AND (v > near[len(near) // 2 + 1] * 4 OR v < near[len(near) // 2 + 1] * 0.25) THEN near[len(near) // 2 + 1] ELSE v END AS v) FROM l JOIN n USING (image_id, y, x)),
+@query(f"""WITH {T.SQL_CELLS}, i AS (SELECT DISTINCT image_id, CASE image_id % 3 WHEN 0 THEN 'RGGB' WHEN 1 THEN 'GBRG' END AS pattern, 5.0 + image_id % 2 AS black, 150.0 + image_id % 4 * 50 AS white FROM cells WHERE image_id % 3 < 2),
+ l AS (SELECT image_id, pattern, black, white, gy AS y, gx AS x, least(greatest(round(v * 100) / white, 0), 1) * 200.24 AS v FROM cells JOIN i USING (image_id)),
+ n AS (SELECT a.image_id, a.y, a.x, list_sort(list(b.v))[3] AS mid FROM l a JOIN l b ON a.image_id = b.image_id AND ((a.y = b.y AND abs(a.x - b.x) = 2) OR (a.x = b.x AND abs(a.y - b.y) = 2))
+  WHERE a.x BETWEEN 2 AND 5 AND a.y BETWEEN 2 AND 5 GROUP BY 1, 2, 3),
+ f AS (SELECT l.* REPLACE (CASE WHEN (v <= black + 2 AND mid > black + white * 0.02) OR (v >= white * 0.995 AND mid < white * 0.8) THEN round(mid) ELSE v END AS v) FROM l LEFT JOIN n USING (image_id, y, x)),
  c AS (SELECT *, CASE WHEN pattern = 'RGGB' THEN [0, 1, 1, 2] ELSE [1, 2, 0, 1] END[((y % 2) * 2 + x % 2 + 1)::INT] AS ch FROM f)
  SELECT image_id, y, x, round(greatest(0, v * (1 + ch * 0.1 + y / 7.0 * 2 * 0.02) - black) / (white - black) * (1 + image_id % 2), 6) AS v FROM c""")
 def ra15_calibrate(spark, d):
     """Each image with its own pattern, black, white and gain; the third without a pattern is rejected."""
-    lut = spark.range(9).selectExpr("id AS k", "id * 0.25D AS v")
+    lut = spark.range(9).selectExpr("id AS k", "id * 25.03D AS v")
     nodes = spark.range(27).selectExpr("cast(id % 3 AS int) AS channel", "(id DIV 3) % 3 AS y", "id DIV 9 AS x").withColumn("gain", F.expr("1 + channel * 0.1D + y * 0.02D"))
-    mosaic = T.cells(spark, d).selectExpr("image_id", "gy AS y", "gx AS x", "v")
+    mosaic = T.cells(spark, d).selectExpr("image_id", "gy AS y", "gx AS x", "round(v * 100) AS v")
     images = mosaic.select("image_id").distinct().selectExpr(
-        "image_id", "element_at(array('RGGB', 'GBRG', 'none'), cast(image_id % 3 + 1 AS int)) AS pattern", "0.05D + image_id % 2 * 0.01D AS black",
-        "2.0D + image_id % 4 AS white", "1.0D + image_id % 2 AS digital_gain",
+        "image_id", "element_at(array('RGGB', 'GBRG', 'none'), cast(image_id % 3 + 1 AS int)) AS pattern", "5.0D + image_id % 2 AS black",
+        "150.0D + image_id % 4 * 50 AS white", "1.0D + image_id % 2 AS digital_gain",
     )
     return T.rounded(G.calibrate(mosaic, lut, nodes, images))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.operators import metrics as M
+from lumenfold.operators.labels import NOTE_SOURCE, XMP_SOURCE
 
 from . import tables as T
 from .register import Register
@@ -19,18 +20,30 @@ def ag10_grid_stats(spark, d):
     return T.rounded(M.grid_stats(T.cells(spark, d)))
 
 
-@query(f"""WITH {T.SQL_CELLS}, {T.SQL_IMAGES}, p AS (SELECT image_id, mode, count(*) AS n, count(*) FILTER (v >= lim) AS hit FROM cells, (VALUES ('strict', 2.0), ('loose', 1.0)) m(mode, lim) GROUP BY 1, 2)
- SELECT split, mode, CAST(sum(n) AS BIGINT) AS cells, CAST(sum(hit) AS BIGINT) AS saturated, round(sum(hit) / sum(n), 6) AS fraction, count(*) FILTER (hit * 2 >= n) AS saturated_images
- FROM p JOIN images USING (image_id) GROUP BY 1, 2""")
+_DECLARED = "CASE WHEN vec_id % 5 = 1 THEN 1.5 WHEN vec_id % 5 > 1 THEN (vec_id % 9) * 0.5 END"
+_SOURCE = f"CASE WHEN label % 3 = 0 THEN '{XMP_SOURCE}' ELSE '{NOTE_SOURCE}' END"
+
+
+@query(f"""WITH {T.SQL_CELLS}, i AS (SELECT vec_id AS image_id, {T.split_of('label')} AS split, {_SOURCE} AS source, {_DECLARED} AS own FROM embeddings),
+ m AS (SELECT image_id, mode, CASE mode WHEN 'per_image' THEN own ELSE 3.0 END AS scale, split, source, own FROM i, (VALUES ('fixed_3stops'), ('per_image')) x(mode) WHERE mode = 'fixed_3stops' OR own > 0),
+ p AS (SELECT m.image_id, m.mode, any_value(split) AS split, any_value(source) AS source, any_value(own) AS own, count(v) AS n, count(*) FILTER (v / scale > 1) AS hit, sum(least(greatest(v / scale, 0), 1)) AS t
+   FROM m LEFT JOIN cells USING (image_id) GROUP BY 1, 2),
+ s AS (SELECT 'all' AS subset, * FROM p UNION ALL SELECT 'xmp', * FROM p WHERE source = '{XMP_SOURCE}')
+ SELECT subset, mode, split, count(*) AS samples, CAST(sum(n) AS BIGINT) AS pixels, round(sum(t) / sum(n), 6) AS target_mean, count(*) FILTER (hit > 0) AS saturated_samples,
+ round(count(*) FILTER (hit > 0) / count(*), 6) AS saturated_sample_fraction, count(*) FILTER (own > 3) AS above_3_stops, round(count(*) FILTER (own > 3) / count(*), 6) AS above_3_stops_fraction,
+ CAST(sum(hit) AS BIGINT) AS saturated_pixels, round(sum(hit) / sum(n), 6) AS saturated_pixel_fraction FROM s GROUP BY 1, 2, 3""")
 def ag11_target_saturation(spark, d):
-    return T.rounded(M.target_saturation(T.cells(spark, d), T.images(spark, d).select("image_id", "split"), {"strict": 2.0, "loose": 1.0}))
+    images = T.read(spark, d, "embeddings").selectExpr(
+        "vec_id AS image_id", f"{T.split_of('label')} AS split", f"{_SOURCE} AS headroom_source", f"cast({_DECLARED} AS double) AS max_log2_gain"
+    )
+    return T.rounded(M.target_saturation(T.cells(spark, d), images))
 
 
 @query(f"""WITH {T.SQL_EVAL}, t AS (SELECT avg(target) AS m FROM ev WHERE sample_id % 10 < 7),
  p AS (SELECT sample_id, count(*) AS n, sum(abs(prediction - target)) AS e, sum(abs(target)) AS z, sum(abs(0.5 - target)) AS h, sum(abs(m - target)) AS c FROM (SELECT a.sample_id, a.prediction, b.target FROM ev a JOIN ev b USING (sample_id, gy, gx)), t WHERE sample_id % 10 >= 7 GROUP BY 1)
  SELECT CAST(sum(n) AS BIGINT) AS cells, round(sum(e) / sum(n), 6) AS mae, round(sum(z) / sum(n), 6) AS mae_zero, round(sum(h) / sum(n), 6) AS mae_half, round(sum(c) / sum(n), 6) AS mae_mean,
  round(avg(e / n), 6) AS sample_mae, round(min(e / n), 6) AS sample_min, round(max(e / n), 6) AS sample_max,
- round(1 - (sum(e) / sum(n)) / least(sum(z) / sum(n), sum(h) / sum(n), sum(c) / sum(n)), 6) AS improvement FROM p""")
+ round((sum(c) - sum(e)) / sum(c), 6) AS improvement FROM p""")
 def ag12_j7_baseline_mae(spark, d):
     ev = T.eval_cells(spark, d)
     # prediction and target come from two tables; the join is on the cell
@@ -39,21 +52,51 @@ def ag12_j7_baseline_mae(spark, d):
     return T.rounded(M.baseline_mae(predicted.join(target, ["sample_id", "gy", "gx"]), target.filter("sample_id % 10 < 7").agg(F.avg("target").alias("train_mean"))))
 
 
-@query(f"""WITH {T.SQL_EVAL}, b AS (SELECT 'all' AS bucket, prediction - target AS e FROM ev UNION ALL SELECT 'source:' || source, prediction - target FROM ev
- UNION ALL SELECT 'band:' || CASE WHEN target < 0.3 THEN 'low' WHEN target < 0.6 THEN 'mid' ELSE 'high' END, prediction - target FROM ev)
- SELECT bucket, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias FROM b GROUP BY 1""")
+_SQL_ONE_SOURCE = """(SELECT l_orderkey AS sample_id, l_linenumber AS gx, 0 AS gy, l_discount * 10 AS prediction, l_tax * 10 AS target, CASE o_orderstatus WHEN 'F' THEN 'xmp' ELSE 'legacy' END AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_STOPS = "st AS (SELECT sample_id, prediction * 4 AS prediction, target * 4 AS target, source, abs(prediction - target) * 4 AS e FROM ev)"
+
+
+def _one_source(spark, d):
+    """lineitem as evaluated cells, each sample of the source that its order's status gives."""
+    orders = T.read(spark, d, "orders").selectExpr("o_orderkey AS sample_id", "CASE o_orderstatus WHEN 'F' THEN 'xmp' ELSE 'legacy' END AS source")
+    return T.eval_cells(spark, d).drop("source").join(orders, "sample_id")
+
+
+@query(f"""WITH ev AS {_SQL_ONE_SOURCE}, {_STOPS}, p AS (SELECT sample_id, source, abs(avg(prediction) - avg(target)) AS m FROM st GROUP BY 1, 2),
+ q AS (SELECT sample_id, abs(quantile_cont(prediction, 0.95) - quantile_cont(target, 0.95)) AS h FROM st GROUP BY 1),
+ c AS (SELECT 'all' AS bucket, e FROM st UNION ALL SELECT source, e FROM st
+  UNION ALL SELECT CASE WHEN target < 1 THEN 'low_0_to_1_stop' WHEN target < 2 THEN 'hdr_1_to_2_stops' ELSE 'hdr_2_to_3_stops' END, e FROM st),
+ i AS (SELECT bucket, count(*) AS samples, round(avg(m), 6) AS image_mean_mae, round(avg(h), 6) AS image_p95_mae
+  FROM (SELECT 'all' AS bucket, m, h FROM p JOIN q USING (sample_id) UNION ALL SELECT source, m, h FROM p JOIN q USING (sample_id)) GROUP BY 1)
+ SELECT bucket, count(*) AS pixels, round(avg(e), 6) AS pixel_mae, samples, image_mean_mae, image_p95_mae FROM c LEFT JOIN i USING (bucket) GROUP BY ALL""")
 def ag13_bucketed_errors(spark, d):
-    return T.rounded(M.bucketed_errors(T.eval_cells(spark, d)))
+    # a sample has one source, its order's status; predictions and targets in stops
+    stops = _one_source(spark, d).selectExpr("sample_id", "source", "prediction * 4 AS prediction", "target * 4 AS target")
+    return T.rounded(M.bucketed_errors(stops))
+
+
+@query(f"""WITH {T.SQL_EVAL}, t AS (SELECT avg(target) AS m FROM ev WHERE sample_id % 10 < 7)
+ SELECT round(avg(abs(prediction - target)), 6) AS mae, round(avg(abs(m - target)), 6) AS constant_mae, round((avg(abs(m - target)) - avg(abs(prediction - target))) / avg(abs(m - target)), 6) AS improvement FROM ev, t""")
+def ag13_constant_baseline(spark, d):
+    ev = T.eval_cells(spark, d)
+    return T.rounded(M.constant_baseline(ev, ev.filter("sample_id % 10 < 7").agg(F.avg("target").alias("train_mean"))))
+
+
+_SQL_LOSS = "ev AS (SELECT image_id AS sample_id, gy, gx, v / 3 AS prediction, greatest(v * 0.3 - gx * 0.04, 0) AS target FROM cells)"
 
 
-@query(f"""WITH {T.SQL_EVAL}, x AS (SELECT *, abs(prediction - target) AS d, target >= 1.0 / 3 AS hi FROM ev),
- s AS (SELECT *, CASE WHEN d < 0.05 THEN 0.5 * d * d / 0.05 ELSE d - 0.025 END AS sm FROM x),
- p AS (SELECT sample_id, avg(sm) AS smooth, sum(sm * CASE WHEN hi THEN 3 ELSE 1 END) / sum(CASE WHEN hi THEN 3 ELSE 1 END) AS weighted, abs(avg(prediction) - avg(target)) AS me,
-  avg(CASE WHEN hi THEN d END) AS high, avg(CASE WHEN target = 0 THEN CASE WHEN prediction >= 1.0 / 3 THEN 1.0 ELSE 0.0 END END) AS fh FROM s GROUP BY 1)
- SELECT count(*) AS images, round(avg(smooth), 6) AS smooth_l1, round(avg(weighted), 6) AS highlight_l1, round(avg(me), 6) AS global_mean_error, round(avg(high), 6) AS high_gain_mae,
- count(high) AS high_images, round(avg(fh), 6) AS false_high_rate FROM p""")
+@query(f"""WITH {T.SQL_CELLS}, {_SQL_LOSS}, s AS (SELECT *, abs(prediction - target) AS d, 1 + 2.5 * target * target AS w FROM ev),
+ p AS (SELECT sample_id, sum(CASE WHEN d < 0.05 THEN d * d / 0.1 ELSE d - 0.025 END * w) / sum(w) AS r, abs(avg(prediction) - avg(target)) AS g, avg(d) AS m,
+  avg(CASE WHEN target >= 1.0 / 3 THEN d END) AS h, avg(CASE WHEN target <= 1e-6 THEN CASE WHEN prediction >= 1.0 / 3 THEN 1.0 ELSE 0.0 END END) AS f FROM s GROUP BY 1),
+ x AS (SELECT a.sample_id, avg(abs((b.prediction - a.prediction) - (b.target - a.target))) AS e FROM ev a JOIN ev b ON a.sample_id = b.sample_id AND b.gy = a.gy AND b.gx = a.gx + 1 GROUP BY 1),
+ y AS (SELECT a.sample_id, avg(abs((b.prediction - a.prediction) - (b.target - a.target))) AS e FROM ev a JOIN ev b ON a.sample_id = b.sample_id AND b.gx = a.gx AND b.gy = a.gy + 1 GROUP BY 1),
+ t AS (SELECT count(*) AS images, avg(r) AS r, avg((x.e + y.e) / 2) AS e, avg(g) AS g, avg(m) AS m, coalesce(avg(h), 0) * 3 AS h, coalesce(avg(f), 0) AS f, count(h) AS nh, count(f) AS nf
+  FROM p JOIN x USING (sample_id) JOIN y USING (sample_id))
+ SELECT images, round(r, 6) AS reconstruction, round(e, 6) AS gradient, round(g, 6) AS global_mean, round(m, 6) AS mae, round(h, 6) AS highlight_mae, round(f, 6) AS false_high_rate,
+ nh AS highlight_images, nf AS zero_target_images, round(r + 0.2 * e + 0.1 * g, 6) AS loss FROM t""")
 def ag14_loss_parts(spark, d):
-    return T.rounded(M.loss_parts(T.eval_cells(spark, d)))
+    cells = T.cells(spark, d).selectExpr("image_id AS sample_id", "gy", "gx", "v / 3 AS prediction", "greatest(v * 0.3D - gx * 0.04D, 0.0D) AS target")
+    return T.rounded(M.loss_parts(cells, highlight_weight=2.5))
 
 
 @query(f"""WITH {T.SQL_FILES} SELECT run % 50 AS epoch, round(sum(decode_ms * 1) / count(*), 6) AS decode_ms, round(sum(process_ms * decode_ms) / sum(decode_ms), 6) AS process_ms FROM files GROUP BY 1""")
@@ -69,9 +112,11 @@ def ag16_w3_correlations(spark, d):
     return T.rounded(M.correlations(rows, "x", "y", "place", ["g"]))
 
 
-@query(f"""WITH {T.SQL_EVAL}, b AS (SELECT source, quantile_cont(target, 0.25) AS a1, quantile_cont(target, 0.5) AS a2, quantile_cont(target, 0.75) AS a3 FROM ev GROUP BY 1)
- SELECT source, CASE WHEN target < a1 THEN 0 WHEN target < a2 THEN 1 WHEN target < a3 THEN 2 ELSE 3 END AS bucket, count(*) AS n, round(avg(prediction - target), 6) AS mean_residual,
- round(avg(abs(prediction - target)), 6) AS mean_abs_residual FROM ev JOIN b USING (source) GROUP BY 1, 2""")
+@query(f"""WITH {T.SQL_EVAL}, b AS (SELECT source, min(target) AS a0, quantile_cont(target, 0.25) AS a1, quantile_cont(target, 0.5) AS a2, quantile_cont(target, 0.75) AS a3, max(target) AS a4 FROM ev GROUP BY 1),
+ r AS (SELECT source, CASE WHEN target < a1 THEN 0 WHEN target < a2 THEN 1 WHEN target < a3 THEN 2 ELSE 3 END AS bucket, count(*) AS n, round(avg(prediction - target), 6) AS mean_residual,
+  round(avg(abs(prediction - target)), 6) AS mean_abs_residual FROM ev JOIN b USING (source) GROUP BY 1, 2),
+ e AS (SELECT source, bucket, round([a0, a1, a2, a3, a4][bucket + 1], 6) AS low, round([a0, a1, a2, a3, a4][bucket + 2], 6) AS high FROM b, (VALUES (0), (1), (2), (3)) x(bucket))
+ SELECT source, bucket, low, high, coalesce(n, 0) AS n, mean_residual, mean_abs_residual FROM e LEFT JOIN r USING (source, bucket)""")
 def ag17_quartile_residuals(spark, d):
     return T.rounded(M.quartile_residuals(T.eval_cells(spark, d), "target", F.col("prediction") - F.col("target"), ["source"]))
 
@@ -88,11 +133,12 @@ def s3_best_epochs(spark, d):
     return T.rounded(M.best_epochs(T.epochs(spark, d)), 9)
 
 
-@query(f"""WITH {T.SQL_CELLS}, m AS (SELECT image_id, min(v) AS lo, max(v) - min(v) AS span FROM cells GROUP BY 1)
- SELECT image_id, round(max(abs(lo + round_even(least(greatest((v - lo) / span, 0), 1) * 255, 0) / 255 * span - v)), 6) AS max_error, round(max(span) / 510 + 2e-5, 6) AS allowed,
- max(abs(lo + round_even(least(greatest((v - lo) / span, 0), 1) * 255, 0) / 255 * span - v)) <= max(span) / 510 + 2e-5 AS ok FROM cells JOIN m USING (image_id) GROUP BY 1""")
+@query(f"""WITH {T.SQL_CELLS}, m AS (SELECT vec_id AS image_id, label * 0.02 AS lo, 1.0 + vec_id % 3 - label * 0.02 AS span, 0.5 + vec_id % 4 * 0.25 AS gamma FROM embeddings),
+ r AS (SELECT image_id, max(abs(lo + span * pow(round_even(pow(least(greatest((v - lo) / span, 0), 1), gamma) * 255, 0) / 255, 1 / gamma) - v)) AS e, max(span) / 510 + 2e-5 AS allowed FROM cells JOIN m USING (image_id) GROUP BY 1)
+ SELECT image_id, round(e, 6) AS max_error, round(allowed, 6) AS allowed, e <= allowed + 1e-7 AS ok FROM r""")
 def ag30_round_trip_error(spark, d):
-    return T.rounded(M.round_trip_error(T.cells(spark, d)))
+    metadata = T.read(spark, d, "embeddings").selectExpr("vec_id AS image_id", "label * 0.02D AS gain_min", "1.0D + vec_id % 3 AS gain_max", "0.5D + vec_id % 4 * 0.25D AS gamma")
+    return T.rounded(M.round_trip_error(T.cells(spark, d), metadata))
 
 
 @query(f"""WITH {T.SQL_FILES}, l AS (SELECT 'decode_ms' AS metric, decode_ms AS x FROM files WHERE success UNION ALL SELECT 'process_ms', process_ms FROM files WHERE success UNION ALL SELECT 'encode_ms', encode_ms FROM files WHERE success),

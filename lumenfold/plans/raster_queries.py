@@ -41,11 +41,30 @@ def ag21_cell_gain(spark, d):
     return T.rounded(R.cell_means(T.pixels(spark, d), F.log2(1 + F.col("r"))))
 
 
-@query(f"""WITH {T.SQL_CELLS}, r AS (SELECT image_id, v AS x, row_number() OVER (PARTITION BY image_id ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM cells)
- SELECT image_id, round(avg((x > 0.5)::INT), 6) AS over_half, round(avg((x > 1)::INT), 6) AS over_one, round(avg((x > 2)::INT), 6) AS over_two, round(avg((x >= 2.5)::INT), 6) AS clipped,
- {', '.join(f"round({_rank(p)}, 6) AS q{k}" for k, p in enumerate(('0.01', '0.05', '0.25', '0.5', '0.75', '0.95', '0.99', '0.999')))} FROM r GROUP BY 1""")
+_POINTS = ("0.5", "0.75", "0.9", "0.95", "0.99", "0.999", "0.9999", "1.0")
+
+
+def _sql_distribution(clipped: str) -> str:
+    return f"""WITH {T.SQL_CELLS}, r AS (SELECT image_id, label, v AS x, row_number() OVER (PARTITION BY image_id ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM cells)
+ SELECT image_id, round(avg((x > 0.5)::INT), 6) AS over_half, round(avg((x > 1)::INT), 6) AS over_one, round(avg((x > 2)::INT), 6) AS over_two, round(avg(coalesce({clipped}, false)::INT), 6) AS clipped,
+ {', '.join(f"round({_rank(p)}, 6) AS q{k}" for k, p in enumerate(_POINTS))} FROM r GROUP BY 1"""
+
+
+@query(_sql_distribution("label % 4 > 0 AND x >= label % 4 - 1e-6"))
 def ag22_gain_distribution(spark, d):
-    return T.rounded(R.gain_distribution(T.cells(spark, d), ceiling=2.5))
+    limits = T.images(spark, d).selectExpr("image_id", "cast(label % 4 AS double) AS ceiling")
+    return T.rounded(R.gain_distribution(T.cells(spark, d), "display", limits))
+
+
+@query(_sql_distribution("x >= 0.5 + label % 3 AND 0.5 + label % 3 > label * 0.2"))
+def ag22_external(spark, d):
+    limits = T.images(spark, d).selectExpr("image_id", "label * 0.2D AS gain_min", "0.5D + label % 3 AS gain_max")
+    return T.rounded(R.gain_distribution(T.cells(spark, d), "external", limits))
+
+
+@query(_sql_distribution("false"))
+def ag22_photographic(spark, d):
+    return T.rounded(R.gain_distribution(T.cells(spark, d), "photographic"))
 
 
 @query(f"""WITH {T.SQL_PIXELS}, s AS (SELECT image_id, {_LUM} >= 0.02 AS e, least(1.22494018 * r - 0.22494018 * g, -0.04205695 * r + 1.04205695 * g, -0.01963755 * r - 0.07863605 * g + 1.0982736 * b) < -1e-4 AS o
@@ -55,8 +74,9 @@ def ag23_wide_gamut(spark, d):
     return R.wide_gamut(T.pixels(spark, d).selectExpr("image_id", "y", "x", "r * (1 + x % 3) AS r", "g / (1 + y) AS g", "b"))
 
 
-@query(f"""WITH {T.SQL_PIXELS}, t AS (SELECT image_id, greatest(0, 0.753833 * r + 0.1985974 * g + 0.0475696 * b, 0.0457439 * r + 0.9417772 * g + 0.0124789 * b, -0.0012103 * r + 0.0176017 * g + 0.9836086 * b) * 203 AS n FROM pixels)
- SELECT image_id, CAST(least(ceil(max(n)), 10000) AS BIGINT) AS max_cll, CAST(least(ceil(avg(n)), 10000) AS BIGINT) AS max_fall FROM t GROUP BY 1""")
+@query(f"""WITH {T.SQL_PIXELS}, t AS (SELECT image_id, greatest(0, 0.753833 * r + 0.1985974 * g + 0.0475696 * b) AS r, greatest(0, 0.0457439 * r + 0.9417772 * g + 0.0124789 * b) AS g,
+  greatest(0, -0.0012103 * r + 0.0176017 * g + 0.9836086 * b) AS b FROM pixels)
+ SELECT image_id, CAST(least(ceil(max(greatest(r, g, b)) * 203), 10000) AS BIGINT) AS max_cll, CAST(least(ceil(avg(0.2627 * r + 0.678 * g + 0.0593 * b) * 203), 10000) AS BIGINT) AS max_fall FROM t GROUP BY 1""")
 def ag25_light_levels(spark, d):
     return R.light_levels(T.pixels(spark, d))
 
@@ -173,12 +193,16 @@ def ra16_rejected_mosaics(spark, d):
     return R.rejected_mosaics(m.drop("label"), patterns)
 
 
-@query(f"""WITH {T.SQL_CELLS}, n AS (SELECT a.image_id, a.gy, a.gx, any_value(a.v) AS v, list_sort(list(b.v)) AS near FROM cells a JOIN cells b ON a.image_id = b.image_id AND ((a.gy = b.gy AND abs(a.gx - b.gx) = 2) OR (a.gx = b.gx AND abs(a.gy - b.gy) = 2)) GROUP BY 1, 2, 3),
- m AS (SELECT *, CASE WHEN len(near) >= 3 THEN near[len(near) // 2 + 1] END AS mid FROM n)
- SELECT image_id, gy AS y, gx AS x, coalesce(v > mid * 4 OR v < mid * 0.25, false) AS repaired, round(CASE WHEN coalesce(v > mid * 4 OR v < mid * 0.25, false) THEN mid ELSE v END, 6) AS v FROM m""")
+@query(f"""WITH {T.SQL_CELLS}, s AS (SELECT image_id, gy, gx, round(v * 100) AS v, 4 + image_id % 2 AS black, 160 AS white FROM cells),
+ n AS (SELECT a.image_id, a.gy, a.gx, any_value(a.v) AS v, any_value(a.black) AS black, any_value(a.white) AS white, list_sort(list(b.v)) AS near FROM s a
+  JOIN s b ON a.image_id = b.image_id AND ((a.gy = b.gy AND abs(a.gx - b.gx) = 2) OR (a.gx = b.gx AND abs(a.gy - b.gy) = 2)) GROUP BY 1, 2, 3),
+ m AS (SELECT *, CASE WHEN gx BETWEEN 2 AND 5 AND gy BETWEEN 2 AND 5 THEN near[3] END AS mid FROM n),
+ r AS (SELECT *, coalesce((v <= black + 2 AND mid > black + white * 0.02) OR (v >= white * 0.995 AND mid < white * 0.8), false) AS repaired FROM m)
+ SELECT image_id, gy AS y, gx AS x, repaired, round(CASE WHEN repaired THEN mid ELSE v END, 6) AS v FROM r""")
 def w8_repair_sites(spark, d):
-    m = T.cells(spark, d).selectExpr("image_id", "gy AS y", "gx AS x", "v")
-    return T.rounded(R.repair_sites(m).select("image_id", "y", "x", "repaired", "v"))
+    m = T.cells(spark, d).selectExpr("image_id", "gy AS y", "gx AS x", "round(v * 100) AS v")
+    levels = T.images(spark, d).selectExpr("image_id", "4.0D + image_id % 2 AS black", "160.0D AS white")
+    return T.rounded(R.repair_sites(m, levels).select("image_id", "y", "x", "repaired", "v"))
 
 
 def _sql_dither(salt: int) -> str:

@@ -11,7 +11,8 @@ SAMPLE_SCHEMA = """sample_id string, source_sha256 string, source_bytes long, ma
  primary_size array<int>, primary_mode string, primary_decode string, primary_bit_depth int, proxy_size array<int>, color_profile string,
  gain_map_present boolean, gain_map_size array<int>, gain_map_mode string, gain_map_version int, sky_matte_present boolean, iso int,
  exposure_seconds double, f_number double, exposure_bias_ev double, focal_length_mm double, primary_metadata_sha256 string,
- canonical_headroom double, canonical_max_log2_gain double, headroom_source string"""
+ focal_length_35mm int, apple_maker_hdr_headroom double, apple_maker_hdr_gain double, gain_map_headroom_xmp double,
+ canonical_headroom double, canonical_max_log2_gain double, headroom_source string, per_image_eligible boolean, degenerate_gain_label boolean"""
 REPORT_SCHEMA = """schema int, tool string, settings map<string,string>, files array<struct<input: string, output: string, success: boolean, skipped: boolean,
  message: string, decode_ms: double, process_ms: double, encode_ms: double, total_ms: double,
  render: struct<rendered_peak: double, headroom_utilization: double, wide_gamut_fraction: double>, gain_map: struct<width: int, height: int, clipped_fraction: double>>>"""
