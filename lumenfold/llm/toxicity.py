@@ -1,24 +1,28 @@
 """Toxicity scores: Levenshtein automata meet a lexicon trie, and a window of context tells quotation from abuse.
 
-The lexicon is learned from the labelled rows that are not held out: words, and word beginnings, that are far
-commoner in toxic texts.  Its trie is intersected with the Levenshtein automaton of every term into one table
-of states; a state is the set of (trie node, edits so far) that a word's letters can have reached.  All words of
-a batch walk the table side by side, a letter a step, and most leave it after two or three letters.
+The lexicon is learned from the labelled rows that are not held out: words, and word beginnings, that toxic rows have
+more often than chance allows for so many candidates.  Labels weigh each term, and one that they do not support is none.
+The terms' trie is intersected with the Levenshtein automaton of every term into one table of states; a state is the
+set of (trie node, edits so far) that a word's letters can have reached.  All words of a batch walk the table side by
+side, a letter a step, and most leave it after two or three letters.
 
 Texts are walked as characters.  A word is a run of letters and digits; runs that only an apostrophe parts, and
 whole words between white space from their first letter to their last, are walked too and count where they are
 nearer to a term than the runs inside, so neither marks around a term nor marks within it hide it.
 
-Each hit is weighed by its window: hits inside quotation marks or after a word of saying count as quoted, hits
-near a second person as aimed.  A logistic model of a few such counts gives the score.
+Each hit is weighed by its window, which ends with its sentence: hits near a second person are aimed; hits inside
+quotation marks, and hits after a word of saying that are not aimed, are quoted.  A text's different words that hit
+count, not how often it has one.  A logistic model of a few such sums gives the score: one term alone, not aimed, is a
+mention, and two are abuse.
 
 Defined cases: null and empty texts score like any text without hits; ties and repeated rows score alike;
-without labelled rows nothing is learned and the fixed lexicon below scores alone; an empty table gives an empty
-result; other columns are ignored.
+without labelled rows nothing is learned and no text is toxic; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -34,20 +38,15 @@ from .arrays import characters_of
 from .common import ascii_lower, fold, id_and_text
 
 HELD_OUT_FOLDS = 5
-#: Terms used besides the learned ones: (letters, whether any ending may follow).
-BASE_TERMS = tuple((w, False) for w in ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"))
-#: A learned term's least number of toxic training rows, least log odds, and how many stems and how many words are kept.
-MIN_ROWS, MIN_ODDS, MAX_TERMS = 5, 3.0, 200
-#: Clean training rows that have a term, at most, for each toxic one.
-MAX_CLEAN = 1 / 8
+#: A term's least number of toxic training rows and least log odds, the share of false terms that is put up with, and the
+#: log odds of a full weight.
+MIN_ROWS, MIN_ODDS, FALSE_TERMS, FULL_ODDS = 3, 3.0, 0.01, 4.0
 STEM_MIN, STEM_MAX = 4, 8
 #: A word one edit from a term is an ordinary word if so many clean training rows have it.
 MIN_PLAIN = 2
 #: Terms shorter than this must match exactly; others within one edit.
 FUZZY_LETTERS = 5
 WINDOW = 6
-#: Longer words are not learned as whole terms; scoring walks words of any length.
-MAX_WORD = 48
 #: Terms and weights are learned from so many labelled rows at most, those with the least hash.
 MAX_FIT = 12_000
 # Words that announce a quotation, and second persons.
@@ -56,9 +55,12 @@ AIMED = ("you", "your", "youre", "tu", "vous", "du", "ihr", "usted")
 FEATURES = ("exact", "fuzzy", "quoted", "aimed", "rate")
 
 
+Terms = tuple[tuple[str, bool, float], ...]
+
+
 @dataclass
 class Automaton:
-    """step[state, letter class] -> state, 0 is dead; term edits at the end of a word: 0 exact, 1 one edit, 9 none.
+    """step[state, letter class] -> state, 0 is dead; term edits at the end of a word: 0 exact, 1 one edit, 9 none; the nearest term's weight.
 
     A settled state stays whatever follows: the dead one, and a stem's.
     """
@@ -67,11 +69,13 @@ class Automaton:
     accept: np.ndarray
     letter: np.ndarray = field(repr=False)
     settled: np.ndarray = field(repr=False)
+    weight: np.ndarray | None = field(default=None, repr=False)
 
 
 @lru_cache(maxsize=8)
-def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
-    words = {(tuple(map(ord, w)), stem) for w, stem in terms if w}
+def build_automaton(terms: tuple[tuple, ...]) -> Automaton:
+    """terms: (letters, whether any ending may follow[, weight])."""
+    words = {(tuple(map(ord, t[0])), t[1]): (t[2] if len(t) > 2 else 1.0) for t in terms if t[0]}
     used = sorted({b for w, _ in words for b in w})
     letter = np.zeros(max([255, *used]) + 2, np.int64)  # class 0: a character of no term, as all behind the last are
     for k, b in enumerate(used, 1):
@@ -79,9 +83,8 @@ def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
         if 97 <= b <= 122:
             letter[b - 32] = k
     nodes: list[dict[int, int]] = [{}]
-    ends: list[dict[bool, int]] = [{}]  # {stem?: edits allowed}
-    depth_left: list[int] = [0]
-    for w, stem in sorted(words):
+    ends: list[dict[bool, tuple[int, float]]] = [{}]  # {stem?: (edits allowed, weight)}
+    for (w, stem), weight in sorted(words.items()):
         at = 0
         for b in w:
             c = int(letter[b])
@@ -90,13 +93,12 @@ def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
                 ends.append({})
                 nodes[at][c] = len(nodes) - 1
             at = nodes[at][c]
-        ends[at][stem] = 1 if len(w) >= FUZZY_LETTERS and not stem else 0
+        ends[at][stem] = (1 if len(w) >= FUZZY_LETTERS and not stem else 0, weight)
     fuzzy = [False] * len(nodes)  # some fuzzy term lies below
     for at in range(len(nodes) - 1, -1, -1):
-        fuzzy[at] = any(e == 1 for e in ends[at].values()) or any(fuzzy[k] for k in nodes[at].values())
-
-    DONE = -1  # a stem has matched; whatever follows
+        fuzzy[at] = any(e == 1 for e, _ in ends[at].values()) or any(fuzzy[k] for k in nodes[at].values())
 
+    # node -1 - k: the stem that ends at node k has matched; whatever follows
     def closure(items: set[tuple[int, int]]) -> frozenset:
         out, todo = set(), list(items)
         while todo:
@@ -104,7 +106,7 @@ def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
             if (node, e) in out:
                 continue
             out.add((node, e))
-            if node != DONE and e == 0 and fuzzy[node]:  # a letter of the term is left out
+            if node >= 0 and e == 0 and fuzzy[node]:  # a letter of the term is left out
                 todo += [(k, 1) for k in nodes[node].values() if fuzzy[k]]
         best: dict[int, int] = {}
         for node, e in out:
@@ -114,14 +116,14 @@ def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
     def moved(state: frozenset, c: int) -> frozenset:
         out = set()
         for node, e in state:
-            if node == DONE:
-                out.add((DONE, e))
+            if node < 0:
+                out.add((node, e))
                 continue
             if c in nodes[node] and (e == 0 or fuzzy[nodes[node][c]]):
                 k = nodes[node][c]
                 out.add((k, e))
                 if True in ends[k] and e == 0:
-                    out.add((DONE, 0))
+                    out.add((-1 - k, 0))
             if e == 0 and fuzzy[node]:
                 out.add((node, 1))  # a letter too many
                 out |= {(k, 1) for k in nodes[node].values() if fuzzy[k]}  # another letter
@@ -142,18 +144,21 @@ def build_automaton(terms: tuple[tuple[str, bool], ...]) -> Automaton:
         step.append(row)
         k += 1
 
-    def edits(state: frozenset) -> int:
-        found = [9]
+    def nearest_term(state: frozenset) -> tuple[int, float]:
+        """Least edits, and the greatest weight of the terms that are so near."""
+        found = [(9, 0.0)]
         for node, e in state:
-            if node == DONE:
-                found.append(e)
+            if node < 0:
+                found.append((e, -ends[-1 - node][True][1]))
             else:
-                found += [e for allowed in ends[node].values() if e <= allowed]
-        return min(found)
+                found += [(e, -weight) for allowed, weight in ends[node].values() if e <= allowed]
+        e, weight = min(found)
+        return e, -weight
 
     table = np.array(step, np.int32)
     settled = (table == np.arange(len(table))[:, None]).all(axis=1)
-    return Automaton(table, np.array([edits(s) for s in states], np.int8), letter, settled)
+    accept, weight = zip(*map(nearest_term, states), strict=True)
+    return Automaton(table, np.array(accept, np.int8), letter, settled, np.array(weight))
 
 
 def build_exact(words: tuple[str, ...]) -> Automaton | None:
@@ -182,9 +187,9 @@ def build_exact(words: tuple[str, ...]) -> Automaton | None:
     return Automaton(np.array(step, np.int32), np.array(accept, np.int8), letter, settled)
 
 
-def walk(a: Automaton, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Edits of the nearest term for each word, 9 for none: all words go through the table side by side."""
-    got = np.full(len(start), 9, np.int8)
+def final_states(a: Automaton, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The state in which each word leaves the table: all words go through it side by side."""
+    got = np.zeros(len(start), np.int64)
     live = np.flatnonzero(end > start)
     state = np.ones(len(live), np.int64)
     at, stop = start[live], end[live]
@@ -193,13 +198,20 @@ def walk(a: Automaton, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> n
         at = at + 1
         over = (at == stop) | a.settled[state]
         if over.any():
-            got[live[over]] = a.accept[state[over]]
+            got[live[over]] = state[over]
         go = ~over
         live, state, at, stop = live[go], state[go], at[go], stop[go]
     return got
 
 
+def walk(a: Automaton, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Edits of the nearest term for each word, 9 for none."""
+    return a.accept[final_states(a, buf, start, end)]
+
+
 SPACE, ALNUM, APOSTROPHE, OPEN_OR_CLOSE, CLOSE, QUOTES = 1, 2, 3, 4, 5, 6
+#: Marks that end a sentence or one of its parts that stands alone, and the line's end.
+SENTENCE_ENDS = ".!?;:\u2026\n"
 #: Marks that open and close by turns, by family.
 TURNS = ('"\uff02', "\u201c\u201d\u201e\u201f", "\u00ab\u00bb", "\u2039\u203a")
 
@@ -243,9 +255,10 @@ def runs_of(kind: np.ndarray, offsets: np.ndarray) -> Runs:
     return Runs(start, end, doc, same & one, same & (spaces[start[1:]] == spaces[end[:-1]]))
 
 
-def nearest(a: Automaton, buf: np.ndarray, r: Runs) -> np.ndarray:
-    """Each run's edits; where several runs together are nearer to a term than each of them, the first has their edits."""
-    edits = walk(a, buf, r.start, r.end)
+def nearest(a: Automaton, buf: np.ndarray, r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each run's edits and term weight, and where its word ends; of several runs that together are nearer, the first has theirs."""
+    states, stop = final_states(a, buf, r.start, r.end), r.end.copy()
+    edits = a.accept[states].copy()
     for held in (r.by_apostrophe, r.by_word):
         if not held.any():
             continue
@@ -254,11 +267,11 @@ def nearest(a: Automaton, buf: np.ndarray, r: Runs) -> np.ndarray:
         several = tail - head > 1
         best = np.minimum.reduceat(edits, head)[several]
         head, tail = head[several], tail[several]
-        together = walk(a, buf, r.start[head], r.end[tail - 1])
-        for i, j, e in zip(*(x[together < best].tolist() for x in (head, tail, together)), strict=True):
+        together = final_states(a, buf, r.start[head], r.end[tail - 1])
+        for i, j, t in zip(*(x[a.accept[together] < best].tolist() for x in (head, tail, together)), strict=True):
             edits[i:j] = 9
-            edits[i] = e
-    return edits
+            edits[i], states[i], stop[i] = a.accept[t], t, r.end[j - 1]
+    return edits, a.weight[states], stop
 
 
 def in_quotes(kind: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -294,7 +307,7 @@ def features_of(column, a: Automaton, context: Automaton, plain: Automaton | Non
     if not len(r.start):
         return out
     s, e, doc = r.start, r.end, r.doc
-    edits = nearest(a, buf, r)
+    edits, weight, stop = nearest(a, buf, r)
     near_miss = np.flatnonzero(edits == 1)
     if plain is not None and len(near_miss):
         edits[near_miss[walk(plain, buf, s[near_miss], e[near_miss]) == 0]] = 9
@@ -302,64 +315,86 @@ def features_of(column, a: Automaton, context: Automaton, plain: Automaton | Non
     if not len(hit):
         return out
     n = len(s)
-    aimed, quoted = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
+    sentence = np.cumsum(np.isin(buf[: int(offsets[-1])], [ord(c) for c in SENTENCE_ENDS]))[s]
+    aimed, said = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
     for k in range(-WINDOW, WINDOW + 1):
         near = np.clip(hit + k, 0, n - 1)
-        same = (doc[near] == doc[hit]) & (k != 0)
+        same = (doc[near] == doc[hit]) & (sentence[near] == sentence[hit]) & (near == hit + k) & (k != 0)
         word = same & (walk(context, buf, s[near], e[near]) == 0)
         size = e[near] - s[near]
         first = buf[s[near]] | 32
         # said/says/wrote/called/quoted/dit/sagte/dijo against you/your/tu/vous/du/ihr/usted, told apart by first letters
         speech = word & (np.isin(first, [ord(c) for c in "swcq"]) | ((first == ord("d")) & (size > 2)))
-        quoted |= speech & (k < 0)
+        said |= speech & (k < 0)
         aimed |= word & ~speech
-    quoted |= in_quotes(kind, offsets, s[hit], e[hit], doc[hit])
-    d = doc[hit]
-    weight = np.ones(len(hit))
-    out[:, 0] = np.bincount(d, weight * ((edits[hit] == 0) & ~quoted), docs)
-    out[:, 1] = np.bincount(d, weight * ((edits[hit] == 1) & ~quoted), docs)
-    out[:, 2] = np.bincount(d, weight * quoted, docs)
-    out[:, 3] = np.bincount(d, weight * (aimed & ~quoted), docs)
-    out[:, 4] = (out[:, 0] + out[:, 1]) / np.maximum(np.bincount(doc, minlength=docs), 1) * 100
-    return np.log1p(out)
-
-
-def learn_terms(train: DataFrame) -> tuple[tuple[str, bool], ...]:
-    """Terms from (text, label): words and beginnings of words, counted once a text over the training rows."""
-    words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"([\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*)"))
-    tokens = train.select("label", F.explode(F.array_distinct(words)).alias("w")).filter(F.length("w").between(STEM_MIN, MAX_WORD))
-    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    quoted = in_quotes(kind, offsets, s[hit], e[hit], doc[hit]) | (said & ~aimed)
+    aimed &= ~quoted
+    d, w = doc[hit], weight[hit]
+    names = [bytes(memoryview(np.ascontiguousarray(_folded(buf[i:j])))) for i, j in zip(s[hit].tolist(), stop[hit].tolist(), strict=True)]
+    for column_of, which in ((0, (edits[hit] == 0) & ~quoted), (1, (edits[hit] == 1) & ~quoted), (2, quoted), (3, aimed)):
+        own: dict[tuple[int, bytes], float] = {}  # a text's different words
+        for k in np.flatnonzero(which).tolist():
+            own[int(d[k]), names[k]] = w[k]
+        if own:
+            out[:, column_of] = np.bincount([k for k, _ in own], list(own.values()), docs)
+    share = (out[:, 0] + out[:, 1]) / np.maximum(np.bincount(doc, minlength=docs), 1)
+    out = np.log1p(out)
+    out[:, 4] = share
+    return out
+
+
+def _folded(points: np.ndarray) -> np.ndarray:
+    wide = points.astype(np.int32)
+    return np.where((wide >= 65) & (wide <= 90), wide + 32, wide)
+
+
+def counted_words(train: DataFrame) -> DataFrame:
+    """(w, stem, t, c): words, and beginnings of words, with the toxic and clean training rows that have them, from one pass."""
+    text = ascii_lower(F.col("text"))
+    whole = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*)"))
+    words = F.array_distinct(F.concat(whole, F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"))))
+    begun = F.flatten(F.transform(F.filter("ws", lambda w: F.length(w) > STEM_MIN), lambda w: F.transform(
+        F.filter(F.sequence(F.lit(STEM_MIN), F.lit(STEM_MAX)), lambda k: k < F.length(w)), lambda k: F.substring(w, 1, k))))
+    kinds = F.array(F.struct(F.lit(False).alias("stem"), F.col("ws").alias("all")), F.struct(F.lit(True).alias("stem"), F.array_distinct(begun).alias("all")))
+    rows = train.select("label", words.alias("ws")).select("label", F.explode(kinds).alias("k"))
+    rows = rows.select("label", "k.stem", F.explode("k.all").alias("w"))
+    return rows.groupBy("w", "stem").agg(F.sum("label").alias("t"), F.sum(F.lit(1) - F.col("label")).alias("c"))
+
+
+def chance(t: int, n: int, share: float) -> float:
+    """The chance that t or more of n rows are toxic where that share of all rows is."""
+    total = 0.0
+    for k in range(n, t - 1, -1):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share))
+    return min(1.0, total)
+
+
+def learn_terms(counts: DataFrame, toxic: int, clean: int) -> Terms:
+    """Terms with weights, from counted_words() of so many toxic and clean rows.
+
+    Of all words and beginnings in MIN_ROWS rows, those that toxic rows have by more than chance: ordered by that chance,
+    as many as keep the share of false ones under FALSE_TERMS.  A weight is the smoothed log odds over FULL_ODDS, 1 at most.
+    """
     if not toxic or not clean:
         return ()
-    odds = F.log((F.col("t") / toxic) / ((F.col("c") + 0.5) / clean))
-    counts = (F.sum("label").alias("t"), F.sum(F.lit(1) - F.col("label")).alias("c"))
-
-    def best(rows: DataFrame) -> dict[str, int]:
-        """All that qualify with their toxic rows, most first; as many as MAX_FIT rows hold at most."""
-        kept = rows.groupBy("w").agg(*counts).filter(F.col("t") >= MIN_ROWS).filter(odds >= MIN_ODDS).filter(F.col("c") <= F.col("t") * MAX_CLEAN)
-        return {r["w"]: r["t"] for r in kept.orderBy(F.desc("t"), "w").collect()}
-
-    whole = best(tokens)
-    # A stem counts once a text however many of its words the text has.
-    stems = (
-        train.select(F.monotonically_increasing_id().alias("row"), "label", F.array_distinct(words).alias("ws"))
-        .select("label", F.explode(F.array_distinct(F.flatten(F.transform("ws", lambda w: F.transform(
-            F.filter(F.sequence(F.lit(STEM_MIN), F.lit(STEM_MAX)), lambda k: k < F.length(w)), lambda k: F.substring(w, 1, k)))))).alias("w"))
-    )
-    return chosen_terms(whole, best(stems))
-
-
-def ordinary_words(train: DataFrame, terms: tuple[tuple[str, bool], ...]) -> tuple[str, ...]:
-    """Words one edit from a term that clean training rows use: MIN_PLAIN rows or more, and rarer in toxic ones."""
-    words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"([\p{L}\p{N}]+)"))
-    shortest = min((len(w) for w, _ in terms), default=1) - 1
-    counted = (
-        train.select("label", F.explode(F.array_distinct(words)).alias("w")).filter(F.length("w").between(shortest, MAX_WORD))
-        .groupBy("w").agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
-        .filter((F.col("clean") >= MIN_PLAIN) & (F.col("clean") > F.col("toxic")))
-    )
-    found = sorted(r["w"] for r in counted.select("w").collect())  # as many as MAX_FIT rows hold at most
+    asked = counts.filter(F.col("t") + F.col("c") >= MIN_ROWS)
+    all_ = asked.count()
+    # a term is at least four times as frequent among toxic rows; the rows are as many as MAX_FIT texts hold at most
+    likely = asked.filter((F.col("t") >= MIN_ROWS) & (F.length("w") >= STEM_MIN) & (F.col("t") * clean >= F.col("c") * 4 * toxic)).collect()
+    share = toxic / (toxic + clean)
+    ranked = sorted(((chance(r["t"], r["t"] + r["c"], share), r["w"], r["stem"], r["t"], r["c"]) for r in likely), key=lambda x: x[:3])
+    kept = max((k for k, x in enumerate(ranked, 1) if x[0] <= FALSE_TERMS * k / all_), default=0)
+    odds = {(w, stem): math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) for _, w, stem, t, c in ranked[:kept]}
+    rows = {(w, stem): t for _, w, stem, t, _ in ranked[:kept] if odds[w, stem] >= MIN_ODDS}
+    chosen = chosen_terms({w: t for (w, stem), t in rows.items() if not stem}, {w: t for (w, stem), t in rows.items() if stem})
+    return tuple((w, stem, round(min(1.0, odds[w, stem] / FULL_ODDS), 4)) for w, stem in chosen)
+
+
+def ordinary_words(counts: DataFrame, terms: Terms) -> tuple[str, ...]:
+    """Words one edit from a term that clean training rows use: MIN_PLAIN rows or more, and more than toxic ones."""
+    shortest = min((len(t[0]) for t in terms), default=1) - 1
+    used = counts.filter(~F.col("stem") & (F.col("c") >= MIN_PLAIN) & (F.col("c") > F.col("t")) & (F.length("w") >= shortest))
+    found = sorted(r["w"] for r in used.select("w").collect()) if terms else []  # as many as MAX_FIT texts hold at most
     if not found:
         return ()
     buf, offsets = characters_of(pa.array(found))
@@ -367,8 +402,8 @@ def ordinary_words(train: DataFrame, terms: tuple[tuple[str, bool], ...]) -> tup
     return tuple(w for w, e in zip(found, edits.tolist(), strict=True) if e == 1)
 
 
-def chosen_terms(whole: dict[str, int], begun: dict[str, int]) -> tuple[tuple[str, bool], ...]:
-    """Of the qualifying words and beginnings with their toxic rows: MAX_TERMS stems and as many whole terms beside them.
+def chosen_terms(whole: dict[str, int], begun: dict[str, int]) -> list[tuple[str, bool]]:
+    """Of the words and beginnings with their toxic rows: the shortest stems, and all whole terms beside them.
 
     A stem matches as it is whatever follows; the whole terms below it match with an edit too, so both stay.
     """
@@ -384,10 +419,7 @@ def chosen_terms(whole: dict[str, int], begun: dict[str, int]) -> tuple[tuple[st
                 below.setdefault(w[:k], []).append(w)
     # a stem that is hardly more than one word is that word
     stems -= {w for w, inside in below.items() if len(inside) == 1 and whole[inside[0]] >= 0.9 * begun[w]}
-    covered = {w for stem in stems for w in below.get(stem, ())}
-    # words that no stem matches come first, then those with most toxic rows
-    words = sorted(whole, key=lambda w: (w in covered, -whole[w], w))[:MAX_TERMS]
-    return tuple([(w, True) for w in sorted(stems, key=lambda w: (-begun[w], w))[:MAX_TERMS]] + [(w, False) for w in words])
+    return [(w, True) for w in sorted(stems)] + [(w, False) for w in sorted(whole)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -397,8 +429,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None,
     """
     x = np.hstack([x, np.ones((len(x), 1))])
     prior = np.zeros(x.shape[1]) if prior is None else prior
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+    w = prior.copy()
+    penalty = np.diag([ridge] * x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ (w - prior))
@@ -408,13 +440,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None,
     return w
 
 
-#: Prior weights, and those where there are no labels: one unquoted exact hit is past one half, a quoted one is not.
-DEFAULT_WEIGHTS = np.array([4.0, 1.5, -0.5, 1.0, 0.5, -2.5])
+#: Prior weights of FEATURES and the constant, and how strongly they hold: two terms, or one that is aimed or most of
+#: the text, are past one half; a mention is not.
+PRIOR = np.array([6.0, 3.0, 0.0, 3.0, 4.0, -5.5])
+RIDGE = 30.0
 
 
 @dataclass
 class ToxicityModel:
-    terms: tuple[tuple[str, bool], ...]
+    terms: Terms
     weights: np.ndarray
     plain: tuple[str, ...] = ()
 
@@ -437,13 +471,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     )
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(MAX_FIT)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").persist()
-    terms = tuple(dict.fromkeys((*BASE_TERMS, *learn_terms(sample))))
-    model = ToxicityModel(terms, DEFAULT_WEIGHTS, ordinary_words(sample, terms))
+    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = counted_words(sample).filter(F.col("t") + F.col("c") >= MIN_PLAIN).persist()
+    terms = learn_terms(counts, sizes.get(1, 0), sizes.get(0, 0))
+    model = ToxicityModel(terms, PRIOR, ordinary_words(counts, terms))
+    counts.unpersist()
     got = features(sample, model, extra="label").select("label", "features").toPandas()
     sample.unpersist()
     if got["label"].nunique() < 2:
         return model
-    return ToxicityModel(terms, fit_logistic(np.array(got["features"].tolist()), got["label"].to_numpy(float), DEFAULT_WEIGHTS), model.plain)
+    return ToxicityModel(terms, fit_logistic(np.array(got["features"].tolist()), got["label"].to_numpy(float), PRIOR, RIDGE), model.plain)
 
 
 def features(df: DataFrame, model: ToxicityModel, extra: str | None = None) -> DataFrame:

@@ -507,7 +507,9 @@ def test_toxicity_finds_terms_whatever_surrounds_them():
 
     exact = ["idiot!!!!!", "(((((idiot)))))", "the\u2014idiot\u2014again", "a/idiot", "'idiot'", "l'idiot", "l\u2019idiot", "l\u00b7idiot", "lowei" + "x" * 60, "idiot.", "(crétin)"]
     assert hits(*exact) == [[1, 0, 0, 0]] * len(exact)
-    assert hits("idiot,moron", "idiot-moron idiot", "you/idiot") == [[2, 0, 0, 0], [3, 0, 0, 0], [1, 0, 0, 1]]
+    assert hits("idiot,moron", "idiot-moron idiot", "you/idiot") == [[2, 0, 0, 0], [2, 0, 0, 0], [1, 0, 0, 1]]
+    assert hits("She said nothing. You idiot", "I called support; you moron", "she said you moron", "she said: moron", "she said moron, idiot", "I like you. Moron!") == [
+        [1, 0, 0, 1], [1, 0, 0, 1], [1, 0, 0, 1], [1, 0, 0, 0], [0, 0, 2, 0], [1, 0, 0, 0]]
     fuzzy = ["crètin", "cretin!", "crétinn", "crtin", "idi*t", "id.iot", "$diot", "idi\u00f6t"]
     assert hits(*fuzzy) == [[0, 1, 0, 0]] * len(fuzzy)
     quoted = ['a "idiot" b', "a \u201cidiot\u201d b", "a \u201eidiot\u201c b", "a \u00abidiot\u00bb b", "a \u00bb idiot \u00ab b", "a \u2039idiot\u203a", "don\u2019t \u2018idiot\u2019 b", "\u201aidiot\u2018 b"]
@@ -525,9 +527,10 @@ def test_toxicity_keeps_edits_of_terms_below_stems(spark):
     for w in spoken:
         rows += [(len(rows) + k, f"{rng.choice(calm)} {w} {rng.choice(calm)}", 1) for k in range(6)]
     train = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    terms = toxicity.learn_terms(train)
-    assert any(stem for _, stem in terms) and {("idiot", False), ("worthless", False)} <= set(terms)
-    a = toxicity.build_automaton(tuple(dict.fromkeys((*toxicity.BASE_TERMS, *terms))))
+    counts = toxicity.counted_words(train)
+    terms = toxicity.learn_terms(counts, len(rows) - 3000, 3000)
+    assert any(stem for _, stem, _ in terms) and {("idiot", False), ("worthless", False)} <= {t[:2] for t in terms}
+    a = toxicity.build_automaton(terms)
     words = ["idiot", "1diot", "idot", "w0rthless", "vorthless", "idiotx", *families, *(w + "ting" for w in families)]
     buf = np.frombuffer("".join(words).encode(), np.uint8)
     size = np.array([len(w) for w in words])
@@ -535,13 +538,31 @@ def test_toxicity_keeps_edits_of_terms_below_stems(spark):
     assert got == [0, 1, 1, 1, 1, 0] + [0] * (2 * len(families))
     labels = train.select("doc_id", F.col("label").alias("toxic"))
     kept = set(toxicity.fit(train, labels).terms)
-    assert set(toxicity.BASE_TERMS) <= kept
+    assert {("idiot", False), ("worthless", False)} <= {t[:2] for t in kept}
+
+
+def test_terms_follow_the_labels(spark):
+    """Counts of words and beginnings against plain sets; a term that clean rows have as often is none."""
+    rng = random.Random(9)
+    calm = ["".join(rng.choice("aeioulmnr") for _ in range(6)) for _ in range(40)]
+    rows = [(1, f"{rng.choice(calm)} Gargle's gargles {rng.choice(calm)} trash") for _ in range(30)] + [(0, f"{rng.choice(calm)} trash {rng.choice(calm)}") for _ in range(200)]
+    train = spark.createDataFrame(rows, "label int, text string")
+    expected = collections.Counter()
+    for label, text in rows:
+        found = set(re.findall(r"\w+(?:'\w+)*", text.lower())) | set(re.findall(r"\w+", text.lower()))
+        for kind in {(w, False) for w in found} | {(w[:k], True) for w in found for k in range(4, 9) if k < len(w)}:
+            expected[(*kind, label)] += 1
+    got = {(r.w, r.stem): (r.t, r.c) for r in toxicity.counted_words(train).collect()}
+    assert got == {k[:2]: (expected[(*k[:2], 1)], expected[(*k[:2], 0)]) for k in expected}
+    terms = {t[:2] for t in toxicity.learn_terms(toxicity.counted_words(train), 30, 200)}
+    assert terms >= {("gargle's", False), ("gargles", False)} and not any(w.startswith("tras") for w, _ in terms)
+    assert toxicity.chance(3, 3, 0.5) == pytest.approx(0.125) and toxicity.chance(2, 3, 0.25) == pytest.approx(3 * 0.0625 * 0.75 + 0.015625)
 
 
 def test_ordinary_words_are_no_misspellings(spark):
     rows = [(k, 1, "you idiot and idjot") for k in range(8)] + [(10 + k, 0, "an idiom of the river") for k in range(20)] + [(40, 0, "idiat")]
     train = spark.createDataFrame(rows, "doc_id long, label int, text string")
-    assert toxicity.ordinary_words(train, (("idiot", False),)) == ("idiom",)
+    assert toxicity.ordinary_words(toxicity.counted_words(train), (("idiot", False, 1.0),)) == ("idiom",)
     a, plain = toxicity.build_automaton((("idiot", False),)), toxicity.build_exact(("idiom", "idea"))
     context = toxicity.build_automaton((("you", False),))
     got = toxicity.features_of(pa.array(["idiom idiot idiam", "Idiom", "idjot"]), a, context, plain)[:, :2]
@@ -574,7 +595,10 @@ def test_toxicity_held_out_and_quotation(spark):
     scores = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
     assert scores[0] > scores[2] > 0.5 > scores[1] and scores[3] > scores[4]
     weights = dict(zip(toxicity.FEATURES, model.weights))
-    assert weights["fuzzy"] > 0 > weights["quoted"] and weights["aimed"] > 0
+    assert weights["fuzzy"] > 0 and weights["aimed"] > 0 >= weights["quoted"]
+    judged = ["She said nothing. You stupid moron", "I called support; you worthless scum", "put the trash out on trash day", "a clown at the circus"]
+    scores = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(judged)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert min(scores[:2]) > 0.9 and max(scores[2:]) < 0.5
     empty = toxicity.fit(docs.limit(0), labels.limit(0))
     assert toxicity.score(docs.limit(0), empty).count() == 0
 
