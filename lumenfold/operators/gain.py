@@ -119,30 +119,32 @@ def analyse(pixels: DataFrame, capture: DataFrame, look: Look = Look(), bias: fl
     return final.select("image_id", "exposure_ev").join(headroom_at(final, "exposure_ev"), "image_id")
 
 
-def photographic_gain(pixels: DataFrame, images: DataFrame, radii: tuple[int, int], look: Look = Look(), strength: float = 1.0) -> DataFrame:
-    """Gain cells of scene-referred images: (image_id, gy, gx, sdr, gain, code, gain_max, gamma, local).
+def photographic_gain(pixels: DataFrame, images: DataFrame, look: Look = Look(), strength: float = 1.0) -> DataFrame:
+    """Gain cells of scene-referred images of any sizes: (image_id, gy, gx, sdr, gain, code, gain_max, gamma, local).
 
-    images: image_id, exposure_ev, headroom, iso.  radii: environment and guide radius in cells, for images of one
-    size class (see radii_of).
+    images: image_id, exposure_ev, headroom, iso.  The filters' radii follow each image's own grid (see radii_of).
     """
     curve = look.curve
-    environment, guide = radii
+    environment, guide = F.col("_environment"), F.col("_guide")
     floor = min(1.0, max(0.0, look.diffuse_floor + 0.2 * look.pop))
-    x = R.cell_means(pixels).join(images, "image_id").withColumn("scene", F.col("cell_mean") * exp2(F.col("exposure_ev")))
+    x = R.with_grid_sizes(R.cell_means(pixels)).join(images, "image_id")
+    for name, radius in zip(("_environment", "_guide"), radii_of(F.col("grid_w"), F.col("grid_h")), strict=True):
+        x = x.withColumn(name, radius)
+    x = x.withColumn("scene", F.col("cell_mean") * exp2(F.col("exposure_ev")))
     x = x.withColumn("sdr", R.tone_curve(F.col("scene"), 1.0, curve)).withColumn("_hdr", R.tone_curve(F.col("scene"), exp2(F.col("headroom")), curve))
     raised = F.greatest(lit(0), F.log2((F.col("_hdr") + EPS) / (F.col("sdr") + EPS)))
     x = x.withColumn("global_gain", F.when(F.col("scene") <= curve["shoulder_in"], lit(0)).otherwise(raised))
     x = x.withColumn("_log", F.log2(F.col("scene") + EPS)).withColumn("_log2", F.col("_log") * F.col("_log"))
-    x = R.box_mean(R.box_mean(x, "_log", environment, "_near"), "_log2", environment, "_near2")
+    x = R.box_means(x, {"_log": "_near", "_log2": "_near2"}, environment)
     contrast = F.log2((F.col("scene") + EPS) / (exp2(F.col("_near")) + EPS))
     absolute = smoothstep(0.7, 1.5, F.col("sdr") * exp2(F.col("global_gain")))
     weight = floor + (1 - floor) * smoothstep(1.0, 2.5, contrast) * absolute
     iso = F.when(finite(F.col("iso")) & (F.col("iso") > 0), smoothstep(800.0, 25600.0, F.col("iso"))).otherwise(lit(0.35))
     noise = iso * (1 - smoothstep(0.03, 0.2, F.col("sdr"))) * smoothstep(0.005, 0.07, F.greatest(lit(0), F.col("_near2") - F.col("_near") * F.col("_near")))
     x = x.withColumn("gain", clamp(weight * (1 - noise), 0.0, 1.0) * F.col("global_gain"))
-    x = R.guided_filter(x.select("image_id", "gy", "gx", "sdr", F.col("sdr").alias("guide"), "gain", "global_gain", "headroom"), guide)
+    x = R.guided_filter(x.select("image_id", "gy", "gx", "sdr", F.col("sdr").alias("guide"), "gain", "global_gain", "headroom", "_environment", "_guide"), guide)
     support = smoothstep(curve["shoulder_out"] * 0.45, curve["shoulder_out"] * 1.05, F.col("sdr"))
-    x = x.select("image_id", "gy", "gx", "sdr", (F.greatest(lit(0), F.col("filtered")) * support).alias("gain"), (F.col("headroom") * min(strength, 1.0)).alias("_target"))
+    x = x.select("image_id", "gy", "gx", "sdr", (F.greatest(lit(0), F.col("filtered")) * support).alias("gain"), (F.col("headroom") * min(strength, 1.0)).alias("_target"), "_environment")
     # the field's own peak becomes the headroom, so its shape stays
     peaks = x.groupBy("image_id").agg(F.max("gain").alias("_peak"))
     scaled = F.when(F.col("_target") <= EPS, lit(0)).when(F.col("_peak") > EPS, F.col("gain") * F.col("_target") / F.col("_peak")).otherwise(F.col("gain"))
@@ -155,17 +157,21 @@ def photographic_gain(pixels: DataFrame, images: DataFrame, radii: tuple[int, in
     return x.select("image_id", "gy", "gx", "sdr", "gain", "code", "gain_max", "gamma", "local")
 
 
-def radii_of(grid_w: int, grid_h: int) -> tuple[int, int]:
+def radii_of(grid_w: Column, grid_h: Column) -> tuple[Column, Column]:
     """Environment and guide radius for a grid size."""
-    short = min(grid_w, grid_h)
-    return min(64, max(4, short * 3 // 100)), min(8, max(4, short // 96))
+    short = F.least(grid_w, grid_h)
+    return clamp(F.floor(short * 3 / 100), F.lit(4), F.lit(64)), R.guide_radius(short)
 
 
-def render_base(pixels: DataFrame, images: DataFrame, cells: DataFrame, sizes: tuple[Column, Column, Column, Column], look: Look = Look(), strength: float = 1.0) -> DataFrame:
-    """Full-size SDR base of scene-referred images with clarity, common chroma and gamut limit; hdr and sdr luminance."""
+def render_base(pixels: DataFrame, images: DataFrame, cells: DataFrame, look: Look = Look(), strength: float = 1.0) -> DataFrame:
+    """Full-size SDR base of scene-referred images of any sizes with clarity, common chroma and gamut limit; hdr and sdr luminance."""
     curve = look.curve
-    meta = cells.groupBy("image_id").agg(F.max("gain_max").alias("gain_max"), F.max("gamma").alias("gamma"))
-    x = R.bilinear_values(pixels, cells, ["local", "code"], sizes).join(meta, "image_id").join(images, "image_id")
+    # one row an image: its sizes, and what its cells agree on
+    meta = cells.groupBy("image_id").agg(
+        F.max("gain_max").alias("gain_max"), F.max("gamma").alias("gamma"), (F.max("gx") + 1).alias("_gw"), (F.max("gy") + 1).alias("_gh")
+    ).join(R.image_sizes(pixels), "image_id")
+    at = pixels.join(meta, "image_id")
+    x = R.bilinear_values(at, cells, ["local", "code"], (F.col("_gw"), F.col("_gh"), F.col("w"), F.col("h"))).drop("_gw", "_gh", "w", "h").join(images, "image_id")
     for c in ("r", "g", "b"):
         x = x.withColumn(c, R.positive(c) * exp2(F.col("exposure_ev")))
     x = x.withColumn("scene", p3_luminance(F.col("r"), F.col("g"), F.col("b"))).withColumn("_t", R.tone_curve(F.col("scene"), 1.0, curve))
@@ -314,11 +320,11 @@ def route(images: DataFrame) -> DataFrame:
     ).withColumn("error", F.when(F.col("renderer").isNull(), "unknown domain"))
 
 
-def render_all(pixels: DataFrame, images: DataFrame, radii: tuple[int, int], sizes: tuple[Column, Column, Column, Column], look: Look = Look()) -> tuple[DataFrame, DataFrame]:
+def render_all(pixels: DataFrame, images: DataFrame, look: Look = Look()) -> tuple[DataFrame, DataFrame]:
     """Every image by the renderer of its domain: (base pixels, gain cells), each with `renderer`; unknown domains give no rows.
 
     images: image_id, domain, exposure_ev, headroom (stops to render for), available (stops that an HDR input declares),
-    iso.  radii and sizes as in photographic_gain() and render_base(), for images of one size class.
+    iso.  Images may be of any sizes, side by side.
     """
     routed = route(images)
     of = lambda name: routed.filter(F.col("renderer") == name)
@@ -327,8 +333,8 @@ def render_all(pixels: DataFrame, images: DataFrame, radii: tuple[int, int], siz
     hdr_base, hdr_gain = display_hdr(mine("hdr_split"), of("hdr_split").select("image_id", "available", F.col("headroom").alias("output")), look)
     scenes = of("photographic").select("image_id", "exposure_ev", "headroom", "iso")
     ensure_checkpoint_dir(pixels.sparkSession)
-    cells = photographic_gain(mine("photographic"), scenes, radii, look).checkpoint()  # read twice; small next to the pixels
-    scene_base = render_base(mine("photographic"), scenes.drop("iso"), cells, sizes, look)
+    cells = photographic_gain(mine("photographic"), scenes, look).checkpoint()  # read twice; small next to the pixels
+    scene_base = render_base(mine("photographic"), scenes.drop("iso"), cells, look)
     plane = lambda df, name: df.select("image_id", "y", "x", "r", "g", "b", F.lit(name).alias("renderer"))
     gains = lambda df, name: df.select("image_id", "gy", "gx", "gain", F.lit(name).alias("renderer"))
     flat = R.cell_means(sdr, lit(0)).withColumn("gain", lit(0))

@@ -35,6 +35,7 @@ from lumenfold.functions.expr import (
 )
 
 from .audit import floor_rank
+from .tiles import box_kernel, by_tile
 
 EPSILON = 1e-6
 SAMPLE_CAP = 200_000
@@ -155,27 +156,39 @@ def clipping(pixels: DataFrame, cold: float = 0.0, hot: float = 1.0) -> DataFram
     return pixels.groupBy("image_id").agg(F.avg((top >= hot).cast("double")).alias("hot"), F.avg((low <= cold).cast("double")).alias("cold"))
 
 
-def box_means(cells: DataFrame, values: dict[str, str], radius: int) -> DataFrame:
-    """Means over a square window cut off at the edges, {value: out}: sums along rows, then along columns.
+def box_means(cells: DataFrame, values: dict[str, str], radius: int | Column) -> DataFrame:
+    """Means over a square window cut off at the edges, {value: out}, in one exchange however many values there are.
 
-    All values and the area share one window each way, so there are two exchanges however many values there are.
+    radius: one for all, or a column with each image's own.  See tiles.py: the radius does not change the cost of a cell.
     """
-    row = Window.partitionBy("image_id", "gy").orderBy("gx").rangeBetween(-radius, radius)
-    column = Window.partitionBy("image_id", "gx").orderBy("gy").rangeBetween(-radius, radius)
-    clean = lambda v: clamp_finite(F.col(v), -64.0, 64.0, 0.0)
-    first = cells.select("*", F.count(F.lit(1)).over(row).alias("_n"), *[F.sum(clean(v)).over(row).alias(f"_s{k}") for k, v in enumerate(values)])
-    area = F.sum("_n").over(column)
-    out = first.select("*", *[(F.sum(f"_s{k}").over(column) / area).alias(o) for k, o in enumerate(values.values())])
-    return out.drop("_n", *[f"_s{k}" for k in range(len(values))])
+    radius = radius if isinstance(radius, Column) else F.lit(radius)
+    return by_tile(cells, radius, list(values), list(values.values()), box_kernel())
 
 
-def box_mean(cells: DataFrame, value: str, radius: int, out: str) -> DataFrame:
+def box_mean(cells: DataFrame, value: str, radius: int | Column, out: str) -> DataFrame:
     """Mean over a square window cut off at the edges."""
     return box_means(cells, {value: out}, radius)
 
 
-def guided_filter(cells: DataFrame, radius: int) -> DataFrame:
-    """Edge-keeping smoothing of gain by guide, never above global_gain: adds `filtered`."""
+def with_grid_sizes(cells: DataFrame) -> DataFrame:
+    """Cells with their grid's size, `grid_w` and `grid_h`."""
+    sizes = cells.groupBy("image_id").agg((F.max("gx") + 1).alias("grid_w"), (F.max("gy") + 1).alias("grid_h"))
+    return cells.join(sizes, "image_id")
+
+
+def guide_radius(short: Column) -> Column:
+    """The guided filter's radius for a grid's shorter side."""
+    return clamp(F.floor(short / 96), F.lit(4), F.lit(8))
+
+
+def guided_filter(cells: DataFrame, radius: int | Column | None = None) -> DataFrame:
+    """Edge-keeping smoothing of gain by guide, never above global_gain: adds `filtered`.
+
+    Without a radius, each image has the one of its own grid.
+    """
+    if radius is None:
+        sized = with_grid_sizes(cells).withColumn("_radius", guide_radius(F.least("grid_w", "grid_h"))).drop("grid_w", "grid_h")
+        return guided_filter(sized, F.col("_radius")).drop("_radius")
     x = cells.withColumn("_ii", F.col("guide") * F.col("guide")).withColumn("_ip", F.col("guide") * F.col("gain"))
     x = box_means(x, {"guide": "_mi", "gain": "_mp", "_ii": "_mii", "_ip": "_mip"}, radius)
     variance = F.greatest(lit(0), F.col("_mii") - F.col("_mi") * F.col("_mi"))
@@ -183,7 +196,7 @@ def guided_filter(cells: DataFrame, radius: int) -> DataFrame:
     x = x.withColumn("_b", F.col("_mp") - F.col("_a") * F.col("_mi"))
     x = box_means(x, {"_a": "_ma", "_b": "_mb"}, radius)
     smooth = clamp(F.col("_ma") * F.col("guide") + F.col("_mb"), lit(0), F.col("global_gain"))
-    return x.withColumn("filtered", F.when(F.col("global_gain") <= 0, lit(0)).otherwise(smooth)).drop(*[c for c in x.columns if c.startswith("_")])
+    return x.withColumn("filtered", F.when(F.col("global_gain") <= 0, lit(0)).otherwise(smooth)).drop("_ii", "_ip", "_mi", "_mp", "_mii", "_mip", "_a", "_b", "_ma", "_mb")
 
 
 def local_contrast(cells: DataFrame, exposure: float = 1.0) -> DataFrame:
@@ -227,28 +240,36 @@ def best_highlight(found: DataFrame) -> DataFrame:
 
 
 def with_neighbours(grid: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Cells with the values of their right, lower and diagonal neighbours (right, lower, corner), null beyond the edge."""
+    """Cells with the values of their right, lower and diagonal neighbours (right, lower, corner); null where there is none."""
     row = Window.partitionBy("image_id", "gy").orderBy("gx")
     column = Window.partitionBy("image_id", "gx").orderBy("gy")
     cells = grid.select("image_id", F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), F.struct(*values).alias("here"))
-    right = cells.withColumn("right", F.coalesce(F.lead("here").over(row), "here"))
-    return right.withColumn("lower", F.coalesce(F.lead("here").over(column), "here")).withColumn("corner", F.coalesce(F.lead("right").over(column), "right"))
+    # the next cell of the table is the neighbour only where none is missing between
+    right = cells.withColumn("right", F.when(F.lead("gx").over(row) == F.col("gx") + 1, F.lead("here").over(row)))
+    below = F.lead("gy").over(column) == F.col("gy") + 1
+    return right.withColumn("lower", F.when(below, F.lead("here").over(column))).withColumn("corner", F.when(below, F.lead("right").over(column)))
 
 
 def bilinear_values(at: DataFrame, grid: DataFrame, values: Sequence[str], sizes: tuple[Column, Column, Column, Column]) -> DataFrame:
     """The rows of at(image_id, y, x, ..) with the values of a grid read between cells at pixel centres.
 
     sizes: width and height of grid and image, constants or columns of at.  The neighbours are put beside each cell
-    on the grid, the small side, so a pixel meets one row of it.
+    on the grid, the small side, so a pixel meets one row of it.  A pixel that needs a cell that is not there gets null.
     """
     grid_w, grid_h, image_w, image_h = sizes
     place = lambda x, g, n: clamp((x + 0.5) * g / n - 0.5, lit(0), (g - 1).cast("double"))
     x = at.withColumns({"_px": place(F.col("x"), grid_w, image_w), "_py": place(F.col("y"), grid_h, image_h)})
     x = x.withColumns({"_gx": F.floor("_px"), "_gy": F.floor("_py")})
     near = with_neighbours(grid, values).select(F.col("image_id").alias("_i"), F.col("gy").alias("_gy2"), F.col("gx").alias("_gx2"), "here", "right", "lower", "corner")
-    j = x.join(near, (F.col("image_id") == F.col("_i")) & (F.col("_gy") == F.col("_gy2")) & (F.col("_gx") == F.col("_gx2")))
+    j = x.join(near, (F.col("image_id") == F.col("_i")) & (F.col("_gy") == F.col("_gy2")) & (F.col("_gx") == F.col("_gx2")), "left")
     tx, ty = F.col("_px") - F.col("_gx"), F.col("_py") - F.col("_gy")
-    blend = lambda v: ((F.col(f"here.{v}") * (1 - tx) + F.col(f"right.{v}") * tx) * (1 - ty) + (F.col(f"lower.{v}") * (1 - tx) + F.col(f"corner.{v}") * tx) * ty).alias(v)
+    def blend(v: str) -> Column:
+        # beyond the last cell there is no neighbour, and none is needed
+        here, right, lower, corner = (F.col(f"{side}.{v}") for side in ("here", "right", "lower", "corner"))
+        top = F.when(tx == 0, here).otherwise(here * (1 - tx) + right * tx)
+        low = F.when(tx == 0, lower).otherwise(lower * (1 - tx) + corner * tx)
+        return F.when(ty == 0, top).otherwise(top * (1 - ty) + low * ty).alias(v)
+
     return j.select(*at.columns, *[blend(v) for v in values])
 
 

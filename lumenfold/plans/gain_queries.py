@@ -35,15 +35,15 @@ def ra6_ra7_analyse(spark, d):
 
 @query()
 def ra8_photographic_gain(spark, d):
-    return T.rounded(G.photographic_gain(T.pixels(spark, d), _developed(spark, d), (4, 4)).select("image_id", "gy", "gx", "gain", "code", "gain_max", "gamma"))
+    return T.rounded(G.photographic_gain(T.pixels(spark, d), _developed(spark, d)).select("image_id", "gy", "gx", "gain", "code", "gain_max", "gamma"))
 
 
 @query()
 def ra9_ag24_render_statistics(spark, d):
     images = _developed(spark, d)
     p = T.pixels(spark, d)
-    cells = G.photographic_gain(p, images, (4, 4))
-    rendered = G.render_base(p, images.drop("iso"), cells, _sizes())
+    cells = G.photographic_gain(p, images)
+    rendered = G.render_base(p, images.drop("iso"), cells)
     return T.rounded(G.render_statistics(rendered, images), 4)
 
 
@@ -208,7 +208,7 @@ def ra14_render_all(spark, d):
     p = T.pixels(spark, d)
     images = _developed(spark, d).withColumn("domain", F.expr("element_at(array('display_sdr', 'display_hdr', 'scene', 'other'), cast(image_id % 4 + 1 AS int))"))
     images = images.withColumn("available", F.col("headroom"))
-    base, gains = G.render_all(p.select("image_id", "y", "x", "r", "g", "b"), images, (4, 4), _sizes())
+    base, gains = G.render_all(p.select("image_id", "y", "x", "r", "g", "b"), images)
     g = gains.groupBy("image_id", "renderer").agg(F.count("*").alias("cells"), F.max("gain").alias("gain"))
     b = base.groupBy("image_id", "renderer").agg(F.count("*").alias("pixels"), F.avg("r").alias("r"))
     return T.rounded(g.join(b, ["image_id", "renderer"]), 4)

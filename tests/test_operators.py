@@ -113,13 +113,12 @@ def test_golden_scene(spark):
             rows.append((0, y, x, *rgb))
     pixels = spark.createDataFrame(pd.DataFrame(rows, columns=["image_id", "y", "x", "r", "g", "b"])).cache()
     images = spark.createDataFrame([(0, 1.0, 3.0, None)], "image_id long, exposure_ev double, headroom double, iso double")
-    cells = gain.photographic_gain(pixels, images, gain.radii_of(96, 64)).checkpoint()
+    cells = gain.photographic_gain(pixels, images).checkpoint()
     stats = cells.select(F.avg("code"), F.max("gain_max"), F.max("code")).first()
     p95 = audit.floor_rank(cells, "code", (0.95,)).first().v
     assert stats[0] == pytest.approx(0.050364, abs=0.004) and stats[1] == pytest.approx(2.993880, abs=0.02) and stats[2] == pytest.approx(1.0, abs=0.004)
     assert p95 == pytest.approx(0.274510, abs=0.008)
-    sizes = tuple(F.lit(k) for k in (96, 64, 192, 128))
-    base = gain.render_base(pixels, images.drop("iso"), cells, sizes).select("r", "g", "b").toPandas().to_numpy().ravel()
+    base = gain.render_base(pixels, images.drop("iso"), cells).select("r", "g", "b").toPandas().to_numpy().ravel()
     base.sort()
     assert base.mean() == pytest.approx(0.242810, abs=0.004)
     assert base[int(0.5 * (len(base) - 1))] == pytest.approx(0.032887, abs=0.003)
