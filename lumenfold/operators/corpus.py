@@ -55,24 +55,65 @@ def _bands(column: Column, bands: int, bits: int = 64) -> list[Column]:
     return [F.shiftrightunsigned(column, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def near_pairs(hashes: DataFrame, p_limit: int = PHASH_LIMIT, d_limit: int = DHASH_LIMIT) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _split_bits(taken: range, parts: int, bits: int = 64) -> list[int]:
+    """Masks of so many parts of the bits outside a band."""
+    rest = [k for k in range(bits) if k not in taken]
+    cuts = [len(rest) * k // parts for k in range(parts + 1)]
+    return [sum(1 << k for k in rest[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _refined(rows: DataFrame, hash_col: str, band_col: str, limit: int, out: str) -> DataFrame:
+    """Rows once for each part of the hash's bits outside its band: limit + 1 parts, so two near hashes agree in one."""
+    cuts = [64 * k // (limit + 1) for k in range(limit + 2)]
+    masks = [_split_bits(range(cuts[k], cuts[k + 1]), limit + 1) for k in range(limit + 1)]
+    value = lambda s: F.coalesce(*[F.when(F.col(band_col) == k, F.col(hash_col).bitwiseAND(F.lit(_signed(m[s])))) for k, m in enumerate(masks)])
+    parts = F.explode(F.array(*[F.struct(F.lit(s).alias("part"), value(s).alias("value")) for s in range(limit + 1)])).alias(out)
+    return rows.select("*", parts)
+
+
+def near_pairs(hashes: DataFrame, p_limit: int = PHASH_LIMIT, d_limit: int = DHASH_LIMIT, crowd: int = 2000) -> DataFrame:
     """All pairs of distinct hash values within both limits, exactly, without comparing all with all.
 
     With one band more than differing bits are allowed, two hashes within the limit agree in some band.  Equal
     hash values are joined to one representative first, so a flood of identical images is a star and not a clique.
+    Where over `crowd` hashes share their bands, the bits outside them are cut in bands again, first of phash and then of
+    dhash, and only hashes that agree there too are compared: two within the limits still do, since their bands are equal.
     """
-    reps = hashes.groupBy("phash", "dhash").agg(F.min("sample_id").alias("rep"))
+    ensure_checkpoint_dir(hashes.sparkSession)
+    reps = hashes.groupBy("phash", "dhash").agg(F.min("sample_id").alias("rep")).checkpoint()
     p = F.posexplode(F.array(*_bands(F.col("phash"), p_limit + 1))).alias("pb", "pv")
     banded = reps.select("rep", "phash", "dhash", p)
     d = F.posexplode(F.array(*_bands(F.col("dhash"), d_limit + 1))).alias("db", "dv")
-    banded = banded.select("rep", "phash", "dhash", "pb", "pv", d)
-    left = banded.select("pb", "pv", "db", "dv", F.col("rep").alias("a"), F.col("phash").alias("pa"), F.col("dhash").alias("da"))
-    right = banded.select("pb", "pv", "db", "dv", F.col("rep").alias("b"), F.col("phash").alias("pb2"), F.col("dhash").alias("db2"))
-    pairs = left.join(right, ["pb", "pv", "db", "dv"]).filter(
+    rows, key = banded.select("rep", "phash", "dhash", "pb", "pv", d), ["pb", "pv", "db", "dv"]
+    found = []
+    for side in (("phash", "pb", p_limit, "pr"), ("dhash", "db", d_limit, "dr"), None):
+        if side is None:
+            found.append(_within(rows, key, p_limit, d_limit))
+            break
+        crowded = rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(*key).checkpoint()
+        found.append(_within(rows.join(crowded, key, "left_anti"), key, p_limit, d_limit))
+        if crowded.isEmpty():
+            break
+        rows = _refined(rows.join(crowded, key, "left_semi"), *side)
+        key = [*key, side[3]]
+    pairs = found[0]
+    for f in found[1:]:
+        pairs = pairs.unionByName(f)
+    same = hashes.join(reps, ["phash", "dhash"]).filter("sample_id <> rep").select(F.col("rep").alias("a"), F.col("sample_id").alias("b"))
+    return pairs.distinct().unionByName(same)
+
+
+def _within(rows: DataFrame, key: Sequence[str], p_limit: int, d_limit: int) -> DataFrame:
+    left = rows.select(*key, F.col("rep").alias("a"), F.col("phash").alias("pa"), F.col("dhash").alias("da"))
+    right = rows.select(*key, F.col("rep").alias("b"), F.col("phash").alias("pb2"), F.col("dhash").alias("db2"))
+    pairs = left.join(right, list(key)).filter(
         (F.col("a") < F.col("b")) & (hamming(F.col("pa"), F.col("pb2")) <= p_limit) & (hamming(F.col("da"), F.col("db2")) <= d_limit)
     )
-    same = hashes.join(reps, ["phash", "dhash"]).filter("sample_id <> rep").select(F.col("rep").alias("a"), F.col("sample_id").alias("b"))
-    return pairs.select("a", "b").distinct().unionByName(same)
+    return pairs.select("a", "b")
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -105,6 +146,67 @@ def group_ids(members: DataFrame, root: str = "root", key: str = "sample_id") ->
     )
 
 
+def build_groups(samples: DataFrame, captures: DataFrame, hashes: DataFrame, frozen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Capture groups of a corpus: (members, groups).
+
+    samples(sample_id, model), captures(sample_id, capture_datetime), hashes(sample_id, phash, dhash), frozen(sample_id,
+    split).  Samples of one session, and near duplicates, belong together.  Each session becomes one node first, so
+    chains in time cost no rounds and only visual links between sessions enter the components.  members: sample_id,
+    model, session, root, group_id, split; groups: group_id, size, models, split, conflict, new_members (not frozen).
+    A sample without a capture row or hashes is an error, and so is an id that occurs twice.
+    """
+    for name, rows in (
+        ("repeated in the manifest", require_unique(samples, "sample_id")),
+        ("without a private capture row", samples.join(captures, "sample_id", "left_anti")),
+        ("without perceptual hashes", samples.join(hashes, "sample_id", "left_anti")),
+    ):
+        bad = [r["sample_id"] for r in rows.select("sample_id").orderBy("sample_id").limit(5).collect()]
+        if bad:
+            raise ValueError(f"samples {name}, the first: {bad}")
+    ensure_checkpoint_dir(samples.sparkSession)
+    named = samples.select("sample_id", F.coalesce("model", F.lit("unknown")).alias("model"))
+    dated = named.join(captures.select("sample_id", "capture_datetime"), "sample_id")
+    sessions = named.join(capture_sessions(dated), "sample_id", "left").withColumn("session", F.coalesce("session", "sample_id")).checkpoint()
+    own = hashes.join(named.select("sample_id"), "sample_id", "left_semi").select("sample_id", "phash", "dhash")
+    roots = extend_components(sessions.select("sample_id", F.col("session").alias("root")), near_pairs(own))
+    members = sessions.join(roots, "sample_id").checkpoint()
+    named_groups = group_ids(members)
+    splits = assign_groups(members.select("sample_id", F.col("root").alias("group_id")), frozen if frozen is not None else members.selectExpr("sample_id", "'' AS split").limit(0))
+    fresh = members.join(frozen.select("sample_id"), "sample_id", "left_anti") if frozen is not None else members
+    counted = members.groupBy("root", "model").agg(F.count("*").alias("n")).groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "n")))).alias("models"))
+    groups = (
+        named_groups.join(counted, "root").join(splits.withColumnRenamed("group_id", "root"), "root")
+        .join(fresh.groupBy("root").agg(F.count("*").alias("new_members")), "root", "left").fillna(0, ["new_members"])
+    ).checkpoint()
+    out = members.join(groups.select("root", "group_id", "split"), "root").select("sample_id", "model", "session", "root", "group_id", "split")
+    return out, groups.select("group_id", "size", "models", "split", "conflict", "new_members")
+
+
+def extend_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (sample_id, root) after new edges (a, b): labels(sample_id, root) has every node, new ones as their own root.
+
+    Each old component is one node, so the rounds follow the new edges alone; roots stay the smallest members.
+    """
+    root = lambda side: labels.select(F.col("sample_id").alias(side), F.col("root").alias(f"_{side}"))
+    between = edges.join(root("a"), "a").join(root("b"), "b").filter("_a <> _b")
+    links = between.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().checkpoint()
+    ends = links.select(F.col("a").alias("old")).union(links.select(F.col("b").alias("old"))).distinct()
+    moved = components(ends, links, "old").withColumnRenamed("root", "_new")
+    joined = labels.withColumnRenamed("root", "old").join(moved, "old", "left")
+    return joined.select("sample_id", F.coalesce("_new", "old").alias("root"))
+
+
+def group_edges(captures: DataFrame, hashes: DataFrame) -> DataFrame:
+    """One row: links in time, and pairs of samples within the hash limits; equal hashes count by their numbers."""
+    pairs = near_pairs(hashes)
+    sizes = hashes.groupBy("phash", "dhash").agg(F.min("sample_id").alias("rep"), F.count("*").alias("n"))
+    size = lambda side: sizes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"))
+    across = pairs.join(size("a"), "a").join(size("b"), "b").agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("across"))
+    inside = sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("inside"))
+    times = session_edges(captures).agg(F.count("*").alias("temporal_adjacency_edges"))
+    return times.crossJoin(across).crossJoin(inside).select("temporal_adjacency_edges", (F.col("across") + F.col("inside")).cast("long").alias("visual_near_duplicate_pairs"))
+
+
 def assign_groups(members: DataFrame, frozen: DataFrame, group: str = "group_id", key: str = "sample_id") -> DataFrame:
     """(group, split, conflict): one frozen split is inherited, none goes to train, several conflict."""
     j = members.join(frozen.select(key, F.col("split").alias("frozen_split")), key, "left")

@@ -70,6 +70,43 @@ def ag33_group_ids(spark, d):
     return C.group_ids(g1_components(spark, d))
 
 
+_GROUPS = f"""{_HASHES}, {_NEAR}, cap AS (SELECT h.sample_id, d.source AS model, e.ts FROM hashes h JOIN documents d ON d.doc_id = h.sample_id LEFT JOIN events e ON e.event_id = h.sample_id),
+ lagged AS (SELECT *, lag(sample_id) OVER w AS prev, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM cap WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY model ORDER BY ts, sample_id)),
+ tied AS (SELECT prev AS a, sample_id AS b FROM lagged WHERE gap <= 1800000000),
+ linked AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT a, b FROM tied UNION SELECT b, a FROM tied),
+ walk(node, seen) AS (SELECT sample_id, sample_id FROM hashes UNION SELECT walk.node, b FROM walk JOIN linked ON a = walk.seen),
+ rooted AS (SELECT node AS sample_id, min(seen) AS root FROM walk GROUP BY 1),
+ fr AS (SELECT doc_id AS sample_id, {T.split_of('doc_id')} AS fs FROM labels),
+ gr AS (SELECT root, 'grp_' || substr(sha256(string_agg(sample_id::VARCHAR, chr(10) ORDER BY sample_id::VARCHAR)), 1, 16) AS group_id, count(*) AS size, count(DISTINCT fs) AS n, min(fs) AS s,
+  count(*) FILTER (fs IS NULL) AS new_members FROM rooted LEFT JOIN fr USING (sample_id) GROUP BY 1),
+ named AS (SELECT *, CASE WHEN n > 1 THEN NULL WHEN n = 1 THEN s ELSE 'train' END AS split FROM gr)"""
+
+
+def _group_tables(spark, d):
+    """documents as samples, captured when the event of their number happened; a document without one is undated."""
+    h = hashes(spark, d)
+    samples = T.samples(spark, d).select("sample_id", "model")
+    times = T.captures(spark, d).select("sample_id", "capture_datetime")
+    frozen = T.read(spark, d, "labels").selectExpr("doc_id AS sample_id", f"{T.split_of('doc_id')} AS split")
+    return samples, samples.select("sample_id").join(times, "sample_id", "left"), h, frozen
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT sample_id, root, group_id, split FROM rooted JOIN named USING (root)")
+def g1_build_groups(spark, d):
+    return C.build_groups(*_group_tables(spark, d))[0].select("sample_id", "root", "group_id", "split")
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, size, split, n > 1 AS conflict, new_members FROM named")
+def g1_group_table(spark, d):
+    return C.build_groups(*_group_tables(spark, d))[1].drop("models")
+
+
+@query(f"WITH {_GROUPS.split(' linked AS')[0].rstrip(', ').rstrip(',')} SELECT (SELECT count(*) FROM tied) AS temporal_adjacency_edges, (SELECT count(*) FROM near) AS visual_near_duplicate_pairs")
+def g1_edge_counts(spark, d):
+    samples, captures, h, _ = _group_tables(spark, d)
+    return C.group_edges(samples.join(captures, "sample_id"), h)
+
+
 @query(f"""WITH {T.SQL_SAMPLES}, m AS (SELECT *, sample_id // 3 AS group_id FROM samples), f AS (SELECT sample_id, split AS fs FROM samples WHERE sample_id % 4 = 1),
  g AS (SELECT group_id, count(DISTINCT fs) AS n, min(fs) AS s FROM m LEFT JOIN f USING (sample_id) GROUP BY 1)
  SELECT group_id, CASE WHEN n > 1 THEN NULL WHEN n = 1 THEN s ELSE 'train' END AS split, n > 1 AS conflict FROM g""")
