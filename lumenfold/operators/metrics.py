@@ -209,6 +209,23 @@ def report_summary(files: DataFrame, metrics: Sequence[str], by: Sequence[str] =
     return base.join(ranks, keys)
 
 
+#: Metrics of a run-report summary: name, and where read_reports() has it.
+REPORT_METRICS = (
+    ("decode_ms", "decode_ms"), ("process_ms", "process_ms"), ("encode_ms", "encode_ms"), ("total_ms", "total_ms"), ("headroom_stops", "render.headroom_stops"),
+    ("rendered_peak", "render.rendered_peak"), ("wide_gamut_fraction", "render.wide_gamut_fraction"), ("gain_max_stops", "gain_map.max_stops"),
+)
+
+
+def run_summary(files: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Of the files of run reports (read_reports()): (counts: files_ok and files_err; summary of each metric that occurs).
+
+    A file without success is an error and gives no metrics; stages that a file lacks count as 0 in its total.
+    """
+    counts = files.groupBy(*by).agg(F.count_if("success").alias("files_ok"), F.count_if(~F.coalesce("success", F.lit(False))).alias("files_err"))
+    flat = files.select(*by, "success", *[F.col(where).alias(name) for name, where in REPORT_METRICS])
+    return counts, report_summary(flat, [name for name, _ in REPORT_METRICS], by).filter("n > 0")
+
+
 def compare_reports(a: DataFrame, b: DataFrame) -> DataFrame:
     """Mean total time of two report sets and their ratio."""
     total = F.avg(F.col("decode_ms") + F.col("process_ms") + F.col("encode_ms"))

@@ -155,7 +155,9 @@ def j5_snapshot_matches(spark, d):
     return A.snapshot_matches(digests("text"), digests(F.lower("text")))
 
 
-@query(f"""WITH {T.SQL_SAMPLES}, v AS (SELECT sample_id, model FROM samples WHERE iso > 4000)
- SELECT model, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY sample_id) AS k FROM v) WHERE k <= 10""")
+@query("""WITH s AS (SELECT o_orderkey AS sample_id, o_orderstatus <> 'P' AS there, o_totalprice / 100000 AS headroom, o_totalprice / 100000 - 0.5 AS gain, o_orderpriority AS p, o_custkey % 5 = 0 AS bare FROM orders),
+ v AS (SELECT sample_id, 'invalid_canonical_headroom' AS violation FROM s WHERE there AND headroom < 1 UNION ALL SELECT sample_id, 'invalid_canonical_max_log2_gain' FROM s WHERE there AND gain < 0
+ UNION ALL SELECT sample_id, 'missing_xmp_headroom' FROM s WHERE p = '1-URGENT' AND bare UNION ALL SELECT sample_id, 'missing_makernote_headroom' FROM s WHERE p = '2-HIGH' AND bare)
+ SELECT violation, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY violation ORDER BY sample_id) AS k FROM v) WHERE k <= 10""")
 def s1_first_examples(spark, d):
-    return A.first_examples(T.samples(spark, d).filter("iso > 4000").select("model", "sample_id"), ["model"], "sample_id", 10)
+    return A.first_examples(pf5_violations(spark, d), ["violation"], "sample_id", 10)
\ No newline at end of file

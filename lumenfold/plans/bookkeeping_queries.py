@@ -32,6 +32,20 @@ def j10_current_outputs(spark, d):
     return B.current_outputs(i, state, "input", ["size", "digest"]).select("input", "current")
 
 
+@query("""SELECT doc_id AS input, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END AS times, n_chars AS size FROM documents""")
+def st1_ingest(spark, d):
+    """Three batches: all inputs, a fifth of them changed, and those back at their first stamp; how often each was processed."""
+    from lumenfold.sources.sinks import scratch_folder, taken
+    from lumenfold.streaming import jobs
+
+    folder = scratch_folder(spark, "ingest")
+    first = T.samples(spark, d).selectExpr("sample_id AS input", "cast(iso AS long) AS size")
+    for batch in (first, first.withColumn("size", F.expr("CASE WHEN input % 5 = 0 THEN size + 1 ELSE size END")), first):
+        jobs.ingest_batch(batch, f"{folder}/state", "input", ["size"], lambda df: df.select("input").write.mode("append").parquet(f"{folder}/work"))
+    times = spark.read.parquet(f"{folder}/work").groupBy("input").agg(F.count("*").cast("int").alias("times"))
+    return taken(times.join(jobs.ingest_state(spark, f"{folder}/state", "input"), "input"), folder)
+
+
 @query("""WITH i AS (SELECT doc_id AS input, n_chars AS size FROM documents), s AS (SELECT input, CASE WHEN input % 5 = 0 THEN size + 1 ELSE size END AS size FROM i WHERE input % 4 <> 0)
  SELECT input, size FROM i WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.input = i.input AND s.size = i.size)""")
 def st1_j10_stale_inputs(spark, d):
@@ -84,15 +98,15 @@ def ag35_pf6_pf7_profile_regression(spark, d):
     return G.profile_regression(T.read(spark, d, "lineitem").selectExpr("l_returnflag AS corpus", f"unhex(concat({', '.join(parts)})) AS payload"))
 
 
-@query("""WITH a AS (SELECT vec_id AS fixture_id, label AS headroom, unnest(embedding[1:6]) AS u, unnest(range(6)) AS k FROM embeddings WHERE vec_id % 5 <> 0),
- b AS (SELECT vec_id AS fixture_id, label AS headroom, unnest(embedding[1:(5 + vec_id % 2)]) * (1 + vec_id % 3 * 0.01::FLOAT) AS v, unnest(range(5 + vec_id % 2)) AS k FROM embeddings WHERE vec_id % 7 <> 0),
+@query("""WITH a AS (SELECT vec_id AS fixture_id, label AS headroom, unnest(embedding) AS u, unnest(range(64)) AS k FROM embeddings WHERE vec_id % 5 <> 0),
+ b AS (SELECT vec_id AS fixture_id, label AS headroom, unnest(embedding[1:(63 + vec_id % 2)]) * (1 + vec_id % 3 * 0.01::FLOAT) AS v, unnest(range(63 + vec_id % 2)) AS k FROM embeddings WHERE vec_id % 7 <> 0),
  j AS (SELECT coalesce(a.fixture_id, b.fixture_id) AS fixture_id, coalesce(a.headroom, b.headroom) AS headroom, u::DOUBLE AS u, v::DOUBLE AS v FROM a FULL OUTER JOIN b ON a.fixture_id = b.fixture_id AND a.headroom = b.headroom AND a.k = b.k)
  SELECT fixture_id, headroom, count(*) FILTER (u IS NOT NULL AND v IS NOT NULL) AS compared, count(*) FILTER (u IS NULL) AS missing_left, count(*) FILTER (v IS NULL) AS missing_right,
  round(max(abs(u - v)), 4) AS worst, round(avg(abs(u - v)), 4) AS mean, count(*) FILTER (abs(u - v) > 1) AS beyond FROM j GROUP BY 1, 2""")
 def j8_compare_nodes(spark, d):
     e = T.read(spark, d, "embeddings")
-    a = e.filter("vec_id % 5 <> 0").selectExpr("vec_id AS fixture_id", "label AS headroom", "transform(slice(embedding, 1, 6), x -> cast(x AS double)) AS rgb")
-    b = e.filter("vec_id % 7 <> 0").selectExpr("vec_id AS fixture_id", "label AS headroom", "transform(slice(embedding, 1, cast(5 + vec_id % 2 AS int)), x -> cast(x * cast(1 + vec_id % 3 * 0.01 AS float) AS double)) AS rgb")
+    a = e.filter("vec_id % 5 <> 0").selectExpr("vec_id AS fixture_id", "label AS headroom", "transform(embedding, x -> cast(x AS double)) AS rgb")
+    b = e.filter("vec_id % 7 <> 0").selectExpr("vec_id AS fixture_id", "label AS headroom", "transform(slice(embedding, 1, cast(63 + vec_id % 2 AS int)), x -> cast(x * cast(1 + vec_id % 3 * 0.01 AS float) AS double)) AS rgb")
     return T.rounded(G.compare_nodes(a, b, tolerance=1.0), 4)
 
 
@@ -114,27 +128,40 @@ def st3_idle_sessions(spark, d):
 
 
 @query(f"""WITH {T.SQL_CAPTURES}, g AS (SELECT model, capture_datetime AS t, CASE WHEN epoch_us(capture_datetime) - epoch_us(lag(capture_datetime) OVER (PARTITION BY model ORDER BY capture_datetime)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM captures),
- s AS (SELECT *, sum(new) OVER (PARTITION BY model ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT model, min(t) AS first_capture, count(*) AS captures FROM s GROUP BY model, run""")
+ s AS (SELECT *, sum(new) OVER (PARTITION BY model ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT model, min(t) AS first_capture, max(t) AS last_capture, count(*) AS captures FROM s GROUP BY model, run""")
 def st4_capture_sessions(spark, d):
-    """The batch form of the streaming capture sessions: Spark's session windows merge at exactly the gap."""
-    e = T.captures(spark, d)
-    return e.groupBy("model", F.session_window("capture_datetime", "30 minutes")).agg(F.min("capture_datetime").alias("first_capture"), F.count("*").alias("captures")).drop("session_window")
+    """The streaming job over a table: Spark's session windows merge at exactly the gap."""
+    from lumenfold.streaming import jobs
 
+    found = jobs.capture_sessions(T.captures(spark, d).withColumn("capture_datetime", F.col("capture_datetime").cast("timestamp")))
+    return found.selectExpr("model", "cast(first AS timestamp_ntz) AS first_capture", "cast(last AS timestamp_ntz) AS last_capture", "captures")
 
-@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS worst FROM events GROUP BY 1, 2""")
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS worst, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY 1, 2""")
 def st5_running_statistics(spark, d):
-    e = T.read(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("worst"))
-    return T.rounded(e.select(F.col("w.start").alias("hour"), "event_type", "n", "mean", "worst"))
+    """The streaming job over a table; its percentiles are exact for as few values as an hour has here."""
+    from lumenfold.streaming import jobs
 
+    e = T.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = jobs.running_statistics(e, "ts", "event_type", "value")
+    return T.rounded(found.selectExpr("cast(start AS timestamp_ntz) AS hour", "event_type", "n", "mean", "worst", "q[0] AS p50", "q[1] AS p95"))
 
-@query("""SELECT o_custkey AS run, count(*) AS files, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS listed FROM orders GROUP BY 1""")
-def sink4_src4_run_reports(spark, d):
-    """Results gathered into one report a run, and read back file by file."""
-    from lumenfold.sources.sinks import run_report
 
-    results = T.read(spark, d, "orders").selectExpr("o_custkey AS run", "o_orderkey AS file", "o_orderstatus AS status")
-    report = run_report(results, results.select("run").distinct().withColumn("settings", F.lit("default")))
-    return report.select("run", F.size("files").cast("long").alias("files"), F.array_join(F.transform("files", lambda f: f["file"].cast("string")), ",").alias("listed"))
+@query("""SELECT o_custkey::VARCHAR AS tool, 'in/' || o_orderkey AS input, o_orderstatus <> 'P' AS success, round(o_totalprice / 1000 + o_orderkey % 7, 6) AS total_ms, round(o_totalprice / 100000, 6) AS rendered_peak FROM orders""")
+def sink4_src4_run_reports(spark, d):
+    """Results gathered into one report a run, written as JSON, and read back file by file."""
+    from lumenfold.sources.manifests import read_reports
+    from lumenfold.sources.sinks import run_report, scratch_folder, taken
+
+    results = T.read(spark, d, "orders").selectExpr(
+        "o_custkey AS run", "concat('in/', o_orderkey) AS input", "o_orderstatus <> 'P' AS success", "o_totalprice / 1000 AS decode_ms", "cast(o_orderkey % 7 AS double) AS process_ms",
+        "named_struct('rendered_peak', o_totalprice / 100000) AS render",
+    )
+    settings = results.select("run").distinct().selectExpr("run", "8 AS schema", "cast(run AS string) AS tool", "map('depth', '10') AS settings")
+    folder = scratch_folder(spark, "reports")
+    run_report(results, settings, key="input").drop("run").write.json(f"{folder}/all")
+    rows = read_reports(spark, f"{folder}/all", lines=True).select("tool", "input", "success", "total_ms", F.col("render.rendered_peak").alias("rendered_peak"))
+    return taken(T.rounded(rows), folder)
 
 
 @query("""SELECT doc_id AS sample_id, 'out/' || source || '/' || doc_id || '-hdr.avif' AS output, 'dng' AS suffix FROM documents""")

@@ -182,14 +182,14 @@ def w2_spread_samples(spark, d):
 def src3_group_members(spark, d):
     """Groups with member lists, written as a file of groups and read back by the reader of such files."""
     from lumenfold.sources.manifests import read_groups
-    from lumenfold.sources.sinks import scratch_folder
+    from lumenfold.sources.sinks import scratch_folder, taken
 
     number = F.expr("sample_id DIV 5")
     groups = T.samples(spark, d).groupBy(number.alias("g")).agg(F.array_sort(F.collect_list(F.col("sample_id").cast("string"))).alias("members"))
     groups = groups.select(F.concat(F.lit("group-"), F.col("g").cast("string")).alias("group_id"), F.when(F.col("g") % 2 == 0, "train").otherwise("test").alias("split"), F.size("members").alias("size"), "members")
     path = scratch_folder(spark, "groups")
     groups.select(F.array(F.struct("*")).alias("groups")).write.json(path)
-    return read_groups(spark, path, lines=True).select(F.col("sample_id").cast("long").alias("sample_id"), "group_id", "split")
+    return taken(read_groups(spark, path, lines=True).select(F.col("sample_id").cast("long").alias("sample_id"), "group_id", "split"), path)
 
 
 @query("""SELECT doc_id AS sample_id, bit_count(xor(('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT, ('0x' || substr(md5(coalesce(text, '')), 17, 15))::BIGINT))::INT AS distance FROM documents""")

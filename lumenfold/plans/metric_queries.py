@@ -149,6 +149,22 @@ def ag32_report_summary(spark, d):
     return T.rounded(M.report_summary(T.file_results(spark, d), ["decode_ms", "process_ms", "encode_ms"]))
 
 
+@query(f"""WITH {T.SQL_FILES}, f AS (SELECT *, decode_ms + process_ms + encode_ms AS total_ms, decode_ms / 10 AS rendered_peak, process_ms / 50 AS headroom_stops, encode_ms / 100 AS wide_gamut_fraction, decode_ms / 25 AS gain_max_stops FROM files),
+ c AS (SELECT count(*) FILTER (success) AS files_ok, count(*) FILTER (NOT success) AS files_err FROM f),
+ l AS (UNPIVOT (SELECT decode_ms, process_ms, encode_ms, total_ms, headroom_stops, rendered_peak, wide_gamut_fraction, gain_max_stops FROM f WHERE success) ON COLUMNS(*) INTO NAME metric VALUE x),
+ r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY metric) AS n FROM l)
+ SELECT metric, any_value(n) AS n, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max, round(avg(x), 6) AS x_mean, round(max(CASE WHEN k = CAST(floor(0.5 * (n - 1)) AS BIGINT) THEN x END), 6) AS p50,
+ round(max(CASE WHEN k = CAST(floor(0.95 * (n - 1)) AS BIGINT) THEN x END), 6) AS p95, any_value(files_ok) AS files_ok, any_value(files_err) AS files_err FROM r, c GROUP BY 1""")
+def ag32_run_summary(spark, d):
+    """Counts and all eight metrics of run reports, as read_reports() gives their files."""
+    files = T.file_results(spark, d).selectExpr(
+        "success", "decode_ms", "process_ms", "encode_ms", "decode_ms + process_ms + encode_ms AS total_ms",
+        "named_struct('headroom_stops', process_ms / 50, 'rendered_peak', decode_ms / 10, 'wide_gamut_fraction', encode_ms / 100) AS render", "named_struct('max_stops', decode_ms / 25) AS gain_map",
+    )
+    counts, summary = M.run_summary(files)
+    return T.rounded(summary.crossJoin(F.broadcast(counts)))
+
+
 @query(f"""WITH {T.SQL_FILES}, a AS (SELECT avg(decode_ms + process_ms + encode_ms) AS before FROM files WHERE success AND run % 2 = 0), b AS (SELECT avg(decode_ms + process_ms + encode_ms) AS after FROM files WHERE success AND run % 2 = 1)
  SELECT round(before, 6) AS before, round(after, 6) AS after, round(before / after, 6) AS speedup FROM a, b""")
 def j15_compare_reports(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,21 @@ SAMPLE_SCHEMA = """sample_id string, source_sha256 string, source_bytes long, ma
  exposure_seconds double, f_number double, exposure_bias_ev double, focal_length_mm double, primary_metadata_sha256 string,
  focal_length_35mm int, apple_maker_hdr_headroom double, apple_maker_hdr_gain double, gain_map_headroom_xmp double,
  canonical_headroom double, canonical_max_log2_gain double, headroom_source string, per_image_eligible boolean, degenerate_gain_label boolean"""
-REPORT_SCHEMA = """schema int, tool string, settings map<string,string>, files array<struct<input: string, output: string, success: boolean, skipped: boolean,
- message: string, decode_ms: double, process_ms: double, encode_ms: double, total_ms: double,
- render: struct<rendered_peak: double, headroom_utilization: double, wide_gamut_fraction: double>, gain_map: struct<width: int, height: int, clipped_fraction: double>>>"""
+#: The versions of run reports that are read, and the fields that a report's writer gives each file.
+REPORT_VERSIONS = (7, 8)
+_LOOK = "struct<exposure_ev: double, ev100: double, target_middle_gray: double>"
+_RENDER = """struct<headroom_stops: double, headroom_linear: double, rendered_peak: double, headroom_utilization: double, below_knee_relative_difference_max: double,
+ wide_gamut_fraction: double, wide_gamut_pixels: long, wide_gamut_eligible_pixels: long, wide_gamut_luminance_threshold: double>"""
+_GAIN_MAP = """struct<gamma: double, min_stops: double, max_stops: double,
+ percentiles_stops: struct<p50: double, p75: double, p90: double, p95: double, p99: double, p99_9: double, p99_99: double, max: double>,
+ fraction_gt_0_5: double, fraction_gt_1_0: double, fraction_gt_2_0: double, clipped_fraction: double, local_weight_mean: double, local_weight_p95: double>"""
+FILE_FIELDS = f"""input: string, output: string, success: boolean, skipped: boolean, self_verified: boolean, message: string,
+ sensor_width: int, sensor_height: int, target_width: int, target_height: int, decoded_width: int, decoded_height: int,
+ requested_crop_width: int, requested_crop_height: int, delivered_crop_width: int, delivered_crop_height: int,
+ target_dimensions_applied: boolean, default_crop_present: boolean, decode_degraded: boolean, input_domain: string, input_headroom: double,
+ decode_degradation_reasons: array<string>, width: int, height: int, exposure_ev: double, headroom_stops: double, gain_min: double, gain_max: double,
+ decode_ms: double, process_ms: double, encode_ms: double, look: {_LOOK}, render: {_RENDER}, gain_map: {_GAIN_MAP}"""
+REPORT_SCHEMA = f"schema int, tool string, settings map<string,string>, raw_processing map<string,string>, files array<struct<{FILE_FIELDS}>>"
 HISTORY_SCHEMA = "epoch int, train struct<loss: double, mae: double>, validation struct<loss: double, mae: double>"
 
 #: File extensions of raw and raster images.
@@ -23,6 +37,8 @@ RAW_EXTENSIONS = (
     "3fr", "ari", "arw", "bay", "cap", "cr2", "cr3", "crw", "dcr", "dcs", "dng", "erf", "fff", "iiq", "k25",
     "kdc", "mef", "mos", "mrw", "nef", "nrw", "orf", "pef", "raf", "raw", "rw2", "rwl", "sr2", "srf", "srw",
 )
+#: What the names of own outputs end in, before their extension.
+MARKER = "-hdr"
 RASTER_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "avif")
 
 
@@ -53,10 +69,50 @@ def read_groups(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     return groups.select("g.group_id", "g.split", F.explode("g.members").alias("sample_id"))
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file of every archived run report, with the report's own path."""
-    raw = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
-    return raw.select(F.col("_metadata.file_path").alias("report"), "schema", "tool", "settings", F.explode("files").alias("f")).select("report", "schema", "tool", "settings", "f.*")
+def _report_documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """(report, json, r) of each report file, or of each of its lines: r is null where it is no JSON object."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("report"), F.col("value").alias("json"))
+    return raw.withColumn("r", F.from_json("json", REPORT_SCHEMA, {"mode": "PERMISSIVE"}))
+
+
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per file of every archived run report, with the report's own path; total_ms is the sum of its stages.
+
+    With lines, each line is a report.  Reports of versions 7 and 8 are read; what cannot be read is a row of report_problems().
+    """
+    known = _report_documents(spark, path, lines).filter(F.col("r.schema").isin(*REPORT_VERSIONS))
+    rows = known.select("report", "r.schema", "r.tool", "r.settings", F.explode("r.files").alias("f")).select("report", "schema", "tool", "settings", "f.*")
+    return rows.withColumn("total_ms", sum((F.coalesce(c, F.lit(0.0)) for c in ("decode_ms", "process_ms", "encode_ms")), F.lit(0.0)))
+
+
+def report_problems(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(report, file, reason, field): reports that are no report, of an unknown version or without files, and unknown fields.
+
+    file is the file's number in the report, null for the report itself; a report with unknown fields is read all the same.
+    """
+    docs = _report_documents(spark, path, lines)
+    known_file = _top_level(FILE_FIELDS)
+    names = F.json_object_keys("json")
+    problem = lambda reason, field=None: F.struct(F.lit(reason).alias("reason"), (F.lit(None).cast("string") if field is None else field).alias("field"))
+    bad = F.when(names.isNull(), problem("not a report")).when(F.col("r.schema").isNull(), problem("no version")).when(
+        ~F.col("r.schema").isin(*REPORT_VERSIONS), problem("unknown version", F.col("r.schema").cast("string"))).when(F.col("r.files").isNull(), problem("no files"))
+    whole = docs.select("report", F.lit(None).cast("int").alias("file"), bad.alias("p")).filter("p is not null").select("report", "file", "p.*")
+    top = [c.split()[0] for c in ("schema int", "tool string", "settings map", "raw_processing map", "files array")]
+    extra = docs.select("report", F.lit(None).cast("int").alias("file"), F.lit("unknown field").alias("reason"), F.explode(F.array_except(names, F.array(*map(F.lit, top)))).alias("field"))
+    files = docs.select("report", F.posexplode(F.from_json(F.get_json_object("json", "$.files"), "array<string>")).alias("file", "one"))
+    inner = files.select("report", "file", F.lit("unknown field").alias("reason"), F.explode(F.array_except(F.json_object_keys("one"), F.array(*map(F.lit, known_file)))).alias("field"))
+    return whole.unionByName(extra).unionByName(inner)
+
+
+def _top_level(fields: str) -> list[str]:
+    """The fields of a struct's text, without those inside them."""
+    out, depth, at = [], 0, 0
+    for k, c in enumerate(fields + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(fields[at:k].strip())
+            at = k + 1
+    return [f.split(":")[0] for f in out]
 
 
 def read_histories(spark: SparkSession, root: str) -> DataFrame:
@@ -79,23 +135,47 @@ def read_numbers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lut_table(numbers: DataFrame) -> DataFrame:
-    """(path, k, v) of a look-up table file: its first number must be the count of the rest."""
+    """(path, k, v) of a look-up table file: its first number must be the count of the rest; see lut_problems()."""
+    good = _lut_checks(numbers).filter("reason IS NULL").select("path")
+    return numbers.filter("k > 0").join(good, "path").select("path", (F.col("k") - 1).alias("k"), "v")
+
+
+def _lut_checks(numbers: DataFrame) -> DataFrame:
     count = numbers.groupBy("path").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("n"), (F.count("*") - 1).alias("have"), F.count_if(F.col("v").isNull()).alias("bad"))
-    return numbers.filter("k > 0").join(count, "path").filter("n = have AND bad = 0").select("path", (F.col("k") - 1).alias("k"), "v")
+    reason = F.when(F.col("bad") > 0, "not a number").when(F.col("n") < 2, "fewer than two samples").when(F.col("n") != F.col("have"), "count")
+    return count.select("path", reason.alias("reason"))
+
+
+def lut_problems(numbers: DataFrame) -> DataFrame:
+    """(path, reason) of look-up table files that are not used: a word that is no number, a wrong count, too few samples."""
+    return _lut_checks(numbers).filter("reason IS NOT NULL")
 
 
 def shading_table(numbers: DataFrame) -> DataFrame:
-    """(path, channel, y, x, gain) of a lens-shading file: width, height, channels, then the gains."""
-    head = numbers.groupBy("path").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).cast("long").alias(n) for k, n in enumerate(("w", "h", "c"))], (F.count("*") - 3).alias("have"))
-    j = numbers.filter("k >= 3").join(head, "path").filter("w * h * c = have").withColumn("i", F.col("k") - 3)
+    """(path, channel, y, x, gain) of a lens-shading file: width, height, channels, then the gains; see shading_problems()."""
+    good = _shading_checks(numbers).filter("reason IS NULL")
+    j = numbers.filter("k >= 3").join(good, "path").withColumn("i", F.col("k") - 3)
     return j.selectExpr("path", "i % c AS channel", "(i DIV c) DIV w AS y", "(i DIV c) % w AS x", "v AS gain")
 
 
+def _shading_checks(numbers: DataFrame) -> DataFrame:
+    first = [F.max(F.when(F.col("k") == k, F.col("v"))).cast("long").alias(n) for k, n in enumerate(("w", "h", "c"))]
+    head = numbers.groupBy("path").agg(*first, (F.count("*") - 3).alias("have"), F.count_if(F.col("v").isNull()).alias("bad"))
+    sized = (F.col("w") > 0) & (F.col("h") > 0) & (F.col("c") > 0)
+    reason = F.when(F.col("bad") > 0, "not a number").when(~F.coalesce(sized, F.lit(False)), "size").when(F.col("w") * F.col("h") * F.col("c") != F.col("have"), "count")
+    return head.withColumn("reason", reason)
+
+
+def shading_problems(numbers: DataFrame) -> DataFrame:
+    """(path, reason) of lens-shading files that are not used: a word that is no number, no sizes, a wrong count."""
+    return _shading_checks(numbers).filter("reason IS NOT NULL").select("path", "reason")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def discover(spark: SparkSession, root: str, recursive: bool = True, output_dir: str | None = None) -> DataFrame:
+def discover(spark: SparkSession, root: str, recursive: bool = True, output_dir: str | None = None, marker: str = MARKER) -> DataFrame:
     """Image files under a folder: path, length, modification time; the contents are never read.
 
     Own outputs (names that end in the marker) are skipped where the output folder is the input folder, and an output folder inside
@@ -106,7 +186,7 @@ def discover(spark: SparkSession, root: str, recursive: bool = True, output_dir:
     if output_dir is not None:
         plain = lambda p: p.rstrip("/")
         if plain(output_dir) == plain(root):
-            files = files.filter(~F.lower("path").rlike(r"-hdr\.[^./]+$"))
+            files = files.filter(~F.lower("path").rlike(re.escape(marker.lower()) + r"\.[^./]+$"))
         elif plain(output_dir).startswith(plain(root) + "/"):
             files = files.filter(~F.col("path").contains(plain(output_dir).removeprefix("file:") + "/"))
     if files.isEmpty():
@@ -114,19 +194,19 @@ def discover(spark: SparkSession, root: str, recursive: bool = True, output_dir:
     return files.orderBy("path")
 
 
-def output_path(path: Column, root: str, output_dir: str, suffix: str) -> Column:
+def output_path(path: Column, root: str, output_dir: str, suffix: str, marker: str = MARKER) -> Column:
     """The output's path: the input's place under the root, without its extension, with the marker and the new one."""
     relative = F.regexp_replace(F.regexp_replace(path, r"^(file:)?/*", "/"), "^" + "/" + root.removeprefix("file:").strip("/") + "/", "")
-    return F.concat(F.lit(output_dir.rstrip("/") + "/"), F.regexp_replace(relative, r"\.[^./]*$", ""), F.lit("-hdr" + suffix))
+    return F.concat(F.lit(output_dir.rstrip("/") + "/"), F.regexp_replace(relative, r"\.[^./]*$", ""), F.lit(marker + suffix))
 
 
 def asset_inventory(spark: SparkSession, root: str, contracts: dict[str, tuple[str, str]]) -> DataFrame:
-    """(contract, sample_id) of the files that each contract's folder and suffix name."""
+    """(contract, sample_id) of the files that each contract's folder and suffix name, from one listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.element_at(F.split("path", "/"), -2)
-    rows = None
-    for contract, (directory, suffix) in contracts.items():
-        part = files.filter((folder == directory) & F.col("path").endswith(suffix)).select(F.lit(contract).alias("contract"), F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("sample_id"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    hits = [
+        F.when((folder == directory) & F.col("path").endswith(suffix), F.struct(F.lit(contract).alias("contract"), F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("sample_id")))
+        for contract, (directory, suffix) in contracts.items()
+    ]
+    return files.select(F.explode(F.array_compact(F.array(*hits))).alias("a")).select("a.*")

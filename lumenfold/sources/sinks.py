@@ -43,10 +43,10 @@ def replace_manifest(valid: DataFrame, failures: DataFrame, folder: str) -> bool
     return ok
 
 
-def run_report(results: DataFrame, settings: DataFrame) -> DataFrame:
-    """One row per run: its settings and its file results as an array, for write.json."""
-    others = [c for c in results.columns if c != "run"]
-    return results.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("file", *[c for c in others if c != "file"]))).alias("files")).join(settings, "run", "left")
+def run_report(results: DataFrame, settings: DataFrame, key: str = "file") -> DataFrame:
+    """One row per run: its settings and its file results as an array ordered by key, for write.json."""
+    others = [c for c in results.columns if c not in ("run", key)]
+    return results.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(key, *others))).alias("files")).join(settings, "run", "left")
 
 
 def write_audit(tables: dict[str, DataFrame], folder: str) -> None:
@@ -62,3 +62,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def taken(df: DataFrame, folder: str) -> DataFrame:
+    """The rows in a checkpoint, after which the scratch folder that they were read from goes."""
+    spark = df.sparkSession
+    out = df.checkpoint()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out

@@ -73,38 +73,58 @@ def running_statistics(rows: DataFrame, at: str, by: str, value: str, width: str
 
 
 class Throttle(StatefulProcessor):
-    """Keeps a client's failures of the last window and gives, for each new one, how long the client is locked."""
+    """Keeps a client's failures of the last window and gives, for each new one, how long the client is locked.
+
+    A failure counts those of its client at most a window before it, itself included.  The list loses what no
+    failure that may still come can count, and ends by a timer once the watermark is a window past its last failure.
+    """
 
     def __init__(self, window_seconds: float = 300.0, most: int = 8, lock_seconds: float = 60.0):
         self.window, self.most, self.lock = window_seconds, most, lock_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.failures = handle.getListState("failures", "at double")
+        self.handle = handle
+        self.failures = handle.getListState("failures", "at double, event_id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        kept = [r[0] for r in self.failures.get()]
-        out = []
-        for part in rows:
-            for event_id, at in sorted(zip(part["event_id"].tolist(), part["at"].tolist(), strict=True), key=lambda r: (r[1], r[0])):
-                kept = [t for t in kept if at - t < self.window]
-                kept.append(at)
-                out.append((key[0], event_id, len(kept), self.lock if len(kept) >= self.most else 0.0))
+    def _keep(self, kept: list[tuple[float, int]]) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
         if kept:
-            # what the window holds, since each answer counts all of it
-            self.failures.put([(t,) for t in kept])
+            self.failures.put(kept)
+            self.handle.registerTimer(int((max(kept)[0] + self.window) * 1000) + 1)
         else:
             self.failures.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = [(r[0], r[1]) for r in self.failures.get()]
+        new = [x for part in rows for x in zip(part["at"].tolist(), part["event_id"].tolist(), strict=True)]
+        kept = sorted(kept + new)
+        out = []
+        for at, event_id in sorted(new):
+            recent = sum(at - self.window < t and (t, e) <= (at, event_id) for t, e in kept)
+            out.append((key[0], event_id, recent, self.lock if recent >= self.most else 0.0))
+        passed = timerValues.getCurrentWatermarkInMs() / 1000 - self.window
+        self._keep([x for x in kept if x[0] > passed])
         yield pd.DataFrame(out, columns=["client", "event_id", "recent", "locked_seconds"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000 - self.window
+        self._keep([(r[0], r[1]) for r in self.failures.get() if r[0] > passed])
+        yield pd.DataFrame({"client": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "recent": pd.Series(dtype="int64"), "locked_seconds": pd.Series(dtype="float64")})
+
     def close(self) -> None:
         pass
 
 
-def failure_throttle(failures: DataFrame, **limits) -> DataFrame:
-    """failures(client long, event_id long, at double in seconds) -> (client, event_id, recent, locked_seconds)."""
-    return failures.groupBy("client").transformWithStateInPandas(
+def failure_throttle(failures: DataFrame, lateness: str = "1 minute", **limits) -> DataFrame:
+    """failures(client long, event_id long, at double in seconds) -> (client, event_id, recent, locked_seconds).
+
+    Failures that are more than `lateness` behind the latest one are late: Spark drops them, and they get no answer.
+    """
+    timed = failures.withColumn("event_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("event_time", lateness)
+    return timed.groupBy("client").transformWithStateInPandas(
         statefulProcessor=Throttle(**limits), outputStructType="client long, event_id long, recent long, locked_seconds double",
-        outputMode="append", timeMode="None",
+        outputMode="append", timeMode="EventTime",
     )
 
 
