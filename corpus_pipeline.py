@@ -59,15 +59,24 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written to the shared folder and read again; only the last one's stays."""
+    """All stages over documents, each one's result written to the shared folder and read again; only the last one's stays.
+
+    A run that fails leaves nothing.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            _delete(spark, before)
-        before = path
+    done = False
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                _delete(spark, before)
+            before = path
+        done = True
+    finally:
+        if not done:
+            _delete(spark, folder)
     return docs

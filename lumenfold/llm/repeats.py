@@ -58,6 +58,21 @@ def slices(codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from zip(b[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(b)], strict=True)
 
 
+#: Up to here a count is its own byte; above, bytes are eighths of a power of two.
+EXACT_COUNT = 192
+
+
+def packed_counts(n: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, exact or rounded down by a twelfth at most; 255 stands for 45,000 and more, past FREQUENT."""
+    big = EXACT_COUNT + np.floor(8 * np.log2(np.maximum(n, EXACT_COUNT) / EXACT_COUNT))
+    return np.where(n < EXACT_COUNT, n, np.minimum(big, 255)).astype(np.uint8)
+
+
+def unpacked_counts(b: np.ndarray) -> np.ndarray:
+    wide = b.astype(np.int64)
+    return np.where(wide < EXACT_COUNT, wide, np.ceil(EXACT_COUNT * 2.0 ** ((wide - EXACT_COUNT) / 8)).astype(np.int64))
+
+
 def table_of(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     fields = [x.split() for x in schema.split(", ")]
@@ -100,7 +115,7 @@ class Meeting:
         shard = t.column("shard")[0].as_py()
         _, w = self.look(t, self.buckets)
         codes, counts = np.unique(w.code, return_counts=True)
-        counts = np.minimum(counts, 255).astype(np.uint8)
+        counts = packed_counts(counts)
         return table_of(
             [(b, shard, ANCHORS, planes(codes[i:j], 5), None, counts[i:j].tobytes()) for b, i, j in slices(codes)], ASK
         )
@@ -108,7 +123,7 @@ class Meeting:
     def tell1(self, t: pa.Table) -> pa.Table:
         rows = list(zip(*(t.column(c).to_pylist() for c in ("shard", "bucket", "body", "data")), strict=True))
         code = np.concatenate([from_planes(r[2], U, 5) for r in rows])
-        count = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int64)
+        count = np.concatenate([unpacked_counts(np.frombuffer(r[3], np.uint8)) for r in rows])
         order = np.argsort(code, kind="stable")
         heads = groups_of(code[order])
         total = np.add.reduceat(count[order], heads)

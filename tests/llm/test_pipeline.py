@@ -53,3 +53,18 @@ def test_registered(names):
     import __spark_entry__
 
     assert set(names) <= set(__spark_entry__.queries())
+
+
+def test_a_failed_run_leaves_nothing(spark, monkeypatch):
+    import pathlib
+
+    def broken(spark, docs, sf_dir):
+        raise ValueError("broken")
+
+    stages = [corpus_pipeline.STAGES[1], ("broken", broken)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    with pytest.raises(ValueError, match="broken"):
+        corpus_pipeline.run(spark, DATA)
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    rows = [p for p in folder.glob("pipeline-*") if (p / "0-exact_dedup").exists()]
+    assert not rows

@@ -21,6 +21,7 @@ from lumenfold.llm import (
     quality,
     queries,
     recompression,
+    repeats,
     run_index,
     sentencepiece_lattice,
     substring_dedup,
@@ -645,3 +646,10 @@ def test_clashing_columns(spark, odd):
     for f in (lambda d: toxicity.toxicity(d, known), lambda d: quality.quality(d, known), langid.language_id, bestfit_packing.best_fit_packing):
         assert f(busy).count() >= odd.count()
     assert sentencepiece_lattice.encoding_digest(sentencepiece_lattice.encode(busy)).count() == odd.count() == telephony.media_digest(telephony.decoded_pcm(telephony.media_columns(busy))).count()
+
+
+def test_counts_of_anchors_pass_the_threshold():
+    n = np.array([0, 1, 191, 192, 200, 255, 256, 1000, 19_999, 20_000, 10**6])
+    got = repeats.unpacked_counts(repeats.packed_counts(n))
+    assert (got[:3] == n[:3]).all() and (got[:-1] >= 0.91 * n[:-1]).all() and (got <= n).all()
+    assert got[-1] >= repeats.FREQUENT and (np.diff(got) >= 0).all()
