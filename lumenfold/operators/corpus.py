@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.expr import hamming
 from lumenfold.functions.session import ensure_checkpoint_dir
 
+from .labels import ISO_TYPE, LEGACY_TYPE
 from .ranking import running, with_previous, with_rank
 
 SESSION_GAP_SECONDS = 30 * 60
@@ -257,3 +258,20 @@ def spread_samples(df: DataFrame, value: str, picks: int = 4, key: str = "sample
         k.alias("k"), F.floor(k * (F.col("n") - 1) / F.greatest(F.least(F.lit(picks), F.col("n").cast("int")) - 1, F.lit(1))).alias("place")))
     spots = n.filter("n > 0").select(F.explode(places).alias("p")).groupBy("p.place").agg(F.min("p.k").alias("priority"))
     return ranked.join(F.broadcast(spots), F.col("rank") - 1 == F.col("place")).select(key, (F.col("priority") + 200).alias("priority"))
+
+
+def golden_list(labels: DataFrame, known: Sequence[str], fields: Sequence[str], value: str, native: int = 8, legacy: int = 4, key: str = "sample_id") -> DataFrame:
+    """(position, key, source_type): the golden samples in order, each once.
+
+    Native ones first: the known ids as listed, the least and the greatest of each field, then by id up to `native`; then
+    legacy ones at evenly spaced ranks of value.
+    """
+    of = lambda kind: labels.filter(F.col("source_type") == kind)
+    picks = golden_samples(of(ISO_TYPE), fields, known, native, key)
+    listed = F.coalesce(*[F.when(F.col(key) == k, F.lit(i)) for i, k in enumerate(known)], F.lit(len(known)))
+    first = picks.select(key, F.lit(ISO_TYPE).alias("source_type"), F.struct(F.lit(0).alias("a"), F.col("priority").alias("b"), listed.alias("c"), F.col(key).alias("d")).alias("_o"))
+    second = spread_samples(of(LEGACY_TYPE), value, legacy, key)
+    second = second.select(key, F.lit(LEGACY_TYPE).alias("source_type"), F.struct(F.lit(1).alias("a"), F.col("priority").alias("b"), F.lit(0).alias("c"), F.col(key).alias("d")).alias("_o"))
+    # a dozen rows at most
+    place = F.row_number().over(Window.orderBy("_o"))
+    return first.unionByName(second).select(place.alias("position"), key, "source_type")

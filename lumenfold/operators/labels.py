@@ -187,6 +187,103 @@ def corpus_lock(labels: DataFrame, expected_iso: int, expected_legacy: int) -> D
     return one.withColumn("accepted", (F.col("unresolved") == 0) & (F.col("iso") == expected_iso) & (F.col("legacy") == expected_legacy))
 
 
+def acceptance_gates(labels: DataFrame, round_trips: DataFrame, expected: dict[str, int], desktop: DataFrame | None = None) -> DataFrame:
+    """(gate, value, expected, passed) of a label corpus, six gates; all must pass.
+
+    labels(sample_id, source_type, gain_min, gain_max, alternate_headroom); round_trips(.., ok) of the golden samples;
+    expected: samples, iso, legacy and negative_gain_min; desktop(.., passed), results of another implementation: without
+    any, its gate fails.
+    """
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    kind, iso = F.col("source_type"), F.col("source_type") == ISO_TYPE
+    own = labels.agg(
+        F.count("*").alias("samples"), n(iso).alias("iso"), n(kind == LEGACY_TYPE).alias("legacy"), n(kind.isNull() | ~kind.isin(ISO_TYPE, LEGACY_TYPE)).alias("unresolved"),
+        F.count_if(iso & ~F.coalesce(F.abs(F.col("gain_max") - F.col("alternate_headroom")) <= 1e-6, F.lit(False))).alias("inconsistent"),
+        n(iso & (F.col("gain_min") < 0)).alias("negative"),
+    )
+    failed = lambda df, c, name: df.agg(F.count("*").alias(f"{name}_n"), F.count_if(~F.coalesce(F.col(c), F.lit(False))).alias(name))
+    other = desktop if desktop is not None else labels.limit(0).selectExpr("false AS passed")
+    row = own.crossJoin(F.broadcast(failed(round_trips, "ok", "broken"))).crossJoin(F.broadcast(failed(other, "passed", "refused")))
+    gate = lambda name, value, want, ok: F.struct(F.lit(name).alias("gate"), value.cast("long").alias("value"), F.lit(want).cast("long").alias("expected"), ok.alias("passed"))
+    counted = (F.col("samples") == expected["samples"]) & (F.col("iso") == expected["iso"]) & (F.col("legacy") == expected["legacy"])
+    zero = lambda name, c: gate(name, F.col(c), 0, F.col(c) == 0)
+    gates = F.array(
+        gate("corpus_counts", F.col("samples"), expected["samples"], counted), zero("unresolved_zero", "unresolved"), zero("native_metadata_consistent", "inconsistent"),
+        gate("negative_gain_min_preserved", F.col("negative"), expected["negative_gain_min"], F.col("negative") == expected["negative_gain_min"]),
+        zero("golden_roundtrip", "broken"), gate("desktop_golden", F.col("refused"), 0, (F.col("refused") == 0) & (F.col("refused_n") > 0)),
+    )
+    return row.select(F.explode(gates).alias("g")).select("g.*")
+
+
+def enrichment_summary(samples: DataFrame) -> DataFrame:
+    """One row: samples, those with a gain map, by headroom source, eligible for per-image targets, degenerate labels."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    source = F.col("headroom_source")
+    return samples.agg(
+        F.count("*").alias("samples"), n(F.col("gain_map_present")).alias("gain_maps"), n(source == XMP_SOURCE).alias("headroom_from_xmp"),
+        n(source == NOTE_SOURCE).alias("headroom_from_makernote"), n(source == "unresolved").alias("unresolved"),
+        n(F.col("per_image_eligible")).alias("per_image_eligible"), n(F.col("degenerate_gain_label")).alias("degenerate_gain_labels"),
+    )
+
+
+def validation_errors(samples: DataFrame, splits: DataFrame, members: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(error, item) of a labelled corpus: splits and groups must hold each labelled sample once, groups one split.
+
+    samples(key, gain_map_present, ..), splits(key, split), members(group_id, split, key).
+    """
+    labelled = samples.filter("gain_map_present").select(key).distinct()
+    item = F.col(key).cast("string").alias("item")
+    parts = []
+    for name, rows in (("split", splits), ("group", members)):
+        parts += [
+            labelled.join(rows, key, "left_anti").select(F.lit(f"{name} incomplete").alias("error"), item),
+            rows.join(labelled, key, "left_anti").select(F.lit(f"{name} has a stranger").alias("error"), item),
+            rows.groupBy(key).count().filter("count > 1").select(F.lit(f"{name} overlap").alias("error"), item),
+        ]
+    own = splits.select(key, F.col("split").alias("_own"))
+    crossing = members.join(own, key, "left").filter(~F.col("_own").eqNullSafe(F.col("split"))).select("group_id").distinct()
+    parts.append(crossing.select(F.lit("group crosses split").alias("error"), F.col("group_id").cast("string").alias("item")))
+    leaked = leaked_columns(samples)
+    if leaked:
+        parts.append(samples.sparkSession.createDataFrame([("private key in manifest", c) for c in leaked], "error string, item string"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def validation_summary(samples: DataFrame, splits: DataFrame, members: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: whether there is no error, counts of samples, sky mattes, groups, by split and by headroom source."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    tally = lambda df, c, name: df.groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(name))
+    row = samples.agg(
+        F.count("*").alias("samples"), n(F.col("gain_map_present")).alias("gain_samples"), n(F.col("sky_matte_present")).alias("sky_mattes"),
+        n(F.col("per_image_eligible")).alias("per_image_eligible"), n(F.col("degenerate_gain_label")).alias("degenerate_gain_labels"),
+    )
+    for other in (
+        members.agg(F.count_distinct("group_id").alias("capture_groups")), tally(splits, "split", "splits"),
+        tally(samples.filter("gain_map_present").fillna("missing", ["headroom_source"]), "headroom_source", "headroom_sources"), errors.agg((F.count("*") == 0).alias("valid")),
+    ):
+        row = row.crossJoin(F.broadcast(other))
+    return row
+
+
+def grouping_summary(members: DataFrame, groups: DataFrame, frozen: DataFrame) -> DataFrame:
+    """(split, samples, groups, models, largest_group, new_samples, inherited_samples, new_groups) of build_groups()' tables.
+
+    Inherited samples are new ones in a group that a frozen sample put in its split; new groups have no frozen sample.
+    """
+    known = frozen.select("sample_id", F.lit(True).alias("_frozen"))
+    per = members.join(known, "sample_id", "left").groupBy("split", "group_id", "model").agg(F.count("*").alias("n"), F.count("_frozen").alias("f"))
+    whole = per.groupBy("split", "group_id").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    models = per.groupBy("split", "model").agg(F.sum("n").alias("n")).groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "n")))).alias("models"))
+    out = whole.groupBy("split").agg(
+        F.sum("n").alias("samples"), F.count("*").alias("groups"), F.max("n").alias("largest_group"), F.sum(F.col("n") - F.col("f")).alias("new_samples"),
+        F.sum(F.when(F.col("f") > 0, F.col("n") - F.col("f")).otherwise(0)).alias("inherited_samples"), F.count_if(F.col("f") == 0).alias("new_groups"),
+    )
+    return out.alias("o").join(models.withColumnRenamed("split", "_of"), F.col("o.split").eqNullSafe(F.col("_of"))).drop("_of")
+
+
 def split_summary(members: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
     """Per split: samples, groups, models and the largest group; members: key, group_id, split."""
     j = members.join(samples.select(key, "model"), key, "left")

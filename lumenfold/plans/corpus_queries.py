@@ -162,6 +162,20 @@ def set4_equality_gate(spark, d):
     return C.set_gate(T.read(spark, d, "documents"), T.read(spark, d, "labels"), "doc_id")
 
 
+@query("""WITH s AS (SELECT p_partkey AS sample_id, p_size, p_retailprice, p_brand = 'Brand#11' AS old FROM part), n AS (SELECT * FROM s WHERE NOT old),
+ p AS (SELECT CASE sample_id WHEN 11 THEN 0.0 ELSE 0.5 END AS priority, sample_id FROM n WHERE sample_id IN (7, 11)
+ UNION ALL SELECT 1, sample_id FROM (SELECT * FROM n ORDER BY p_size, sample_id LIMIT 1) UNION ALL SELECT 2, sample_id FROM (SELECT * FROM n ORDER BY p_size DESC, sample_id LIMIT 1)
+ UNION ALL SELECT 3, sample_id FROM (SELECT * FROM n ORDER BY p_retailprice, sample_id LIMIT 1) UNION ALL SELECT 4, sample_id FROM (SELECT * FROM n ORDER BY p_retailprice DESC, sample_id LIMIT 1)
+ UNION ALL SELECT 100, sample_id FROM (SELECT * FROM n ORDER BY sample_id LIMIT 14)),
+ g AS (SELECT sample_id, min(priority) AS o FROM p GROUP BY 1 ORDER BY 2, 1 LIMIT 8),
+ r AS (SELECT sample_id, row_number() OVER (ORDER BY p_retailprice, sample_id) - 1 AS k, count(*) OVER () AS n FROM s WHERE old),
+ l AS (SELECT sample_id, min(1000 + i) AS o FROM r, range(4) x(i) WHERE i < least(4, n) AND k = i * (n - 1) // greatest(least(4, n) - 1, 1) GROUP BY 1)
+ SELECT row_number() OVER (ORDER BY o, sample_id)::INT AS position, sample_id, kind AS source_type FROM (SELECT sample_id, o, 'iso_21496_1_tmap' AS kind FROM g UNION ALL SELECT sample_id, o, 'legacy_apple' FROM l)""")
+def w2_golden_list(spark, d):
+    labels = T.read(spark, d, "part").selectExpr("p_partkey AS sample_id", "p_size", "p_retailprice", "CASE WHEN p_brand = 'Brand#11' THEN 'legacy_apple' ELSE 'iso_21496_1_tmap' END AS source_type")
+    return C.golden_list(labels, [11, 7], ["p_size", "p_retailprice"], "p_retailprice")
+
+
 @query("""WITH s AS (SELECT p_partkey AS sample_id, p_size, p_retailprice FROM part), p AS (SELECT 0 AS priority, sample_id FROM s WHERE sample_id IN (7, 11)
  UNION ALL SELECT 1, sample_id FROM (SELECT * FROM s ORDER BY p_size, sample_id LIMIT 1) UNION ALL SELECT 2, sample_id FROM (SELECT * FROM s ORDER BY p_size DESC, sample_id LIMIT 1)
  UNION ALL SELECT 3, sample_id FROM (SELECT * FROM s ORDER BY p_retailprice, sample_id LIMIT 1) UNION ALL SELECT 4, sample_id FROM (SELECT * FROM s ORDER BY p_retailprice DESC, sample_id LIMIT 1)

@@ -162,6 +162,30 @@ def ag31_corpus_lock(spark, d):
     return L.corpus_lock(T.read(spark, d, "documents").select(kind.alias("source_type")), 423, 388)
 
 
+@query("""WITH l AS (SELECT p_partkey AS sample_id, CASE WHEN p_size < 25 THEN 'iso' WHEN p_size < 45 THEN 'legacy' END AS kind, p_retailprice / 1000 - 1.2 AS lo, p_size * 0.1 AS hi, CASE WHEN p_size % 9 = 0 THEN p_size * 0.1 + 1 ELSE p_size * 0.1 END AS alt FROM part),
+ c AS (SELECT count(*) AS n, count(*) FILTER (kind = 'iso') AS i, count(*) FILTER (kind = 'legacy') AS g, count(*) FILTER (kind IS NULL) AS u, count(*) FILTER (kind = 'iso' AND abs(hi - alt) > 1e-6) AS b, count(*) FILTER (kind = 'iso' AND lo < 0) AS m FROM l),
+ r AS (SELECT count(*) FILTER (NOT (l_discount <= 0.09)) AS x FROM lineitem)
+ SELECT gate, value, expected, passed FROM c, r, LATERAL (VALUES ('corpus_counts', n, 811, n = 811 AND i = 423 AND g = 388), ('unresolved_zero', u, 0, u = 0), ('native_metadata_consistent', b, 0, b = 0),
+ ('negative_gain_min_preserved', m, 382, m = 382), ('golden_roundtrip', x, 0, x = 0), ('desktop_golden', 0, 0, false)) v(gate, value, expected, passed)""")
+def ag31_acceptance_gates(spark, d):
+    labels = T.read(spark, d, "part").selectExpr(
+        "p_partkey AS sample_id", f"CASE WHEN p_size < 25 THEN '{L.ISO_TYPE}' WHEN p_size < 45 THEN '{L.LEGACY_TYPE}' END AS source_type", "p_retailprice / 1000 - 1.2D AS gain_min",
+        "p_size * 0.1D AS gain_max", "CASE WHEN p_size % 9 = 0 THEN p_size * 0.1D + 1 ELSE p_size * 0.1D END AS alternate_headroom",
+    )
+    trips = T.read(spark, d, "lineitem").selectExpr("l_discount <= 0.09 AS ok")
+    return L.acceptance_gates(labels, trips, {"samples": 811, "iso": 423, "legacy": 388, "negative_gain_min": 382})
+
+
+@query(f"""SELECT count(*) AS samples, count(*) FILTER (o_orderstatus <> 'P') AS gain_maps, count(*) FILTER (o_orderpriority = '1-URGENT') AS headroom_from_xmp, count(*) FILTER (o_orderpriority = '2-HIGH') AS headroom_from_makernote,
+ count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS unresolved, count(*) FILTER (o_totalprice > 100000) AS per_image_eligible, count(*) FILTER (o_totalprice < 5000) AS degenerate_gain_labels FROM orders""")
+def ag34_enrichment_summary(spark, d):
+    rows = T.read(spark, d, "orders").selectExpr(
+        "o_orderkey AS sample_id", "o_orderstatus <> 'P' AS gain_map_present", f"CASE o_orderpriority WHEN '1-URGENT' THEN '{L.XMP_SOURCE}' WHEN '2-HIGH' THEN '{L.NOTE_SOURCE}' ELSE 'unresolved' END AS headroom_source",
+        "o_totalprice > 100000 AS per_image_eligible", "o_totalprice < 5000 AS degenerate_gain_label",
+    )
+    return L.enrichment_summary(rows)
+
+
 @query(f"""WITH {T.SQL_SAMPLES}, m AS (SELECT *, sample_id % 37 AS g FROM samples), n AS (SELECT split, g, count(*) AS n FROM m GROUP BY 1, 2)
  SELECT split, count(*) AS samples, count(DISTINCT model) AS models, count(DISTINCT g) AS groups, (SELECT max(n) FROM n WHERE n.split = m.split) AS largest FROM m GROUP BY split""")
 def ag34_split_summary(spark, d):
