@@ -604,7 +604,10 @@ def area_hashes(pixels: DataFrame, value: str = "luma") -> DataFrame:
     spark = pixels.sparkSession
     n = 32
     small = area_average(pixels, value, n, n)
-    basis = spark.createDataFrame([(u, k, math.cos(math.pi * (2 * k + 1) * u / (2 * n))) for u in range(8) for k in range(n)], "u int, k int, c double")
+    # the orthonormal transform: its constant row has another weight, which decides about bits near the median
+    basis = spark.createDataFrame(
+        [(u, k, math.sqrt((1 if u == 0 else 2) / n) * math.cos(math.pi * (2 * k + 1) * u / (2 * n))) for u in range(8) for k in range(n)], "u int, k int, c double"
+    )
     by_row = small.join(F.broadcast(basis), small["gx"] == basis["k"]).groupBy("image_id", "gy", "u").agg(F.sum(F.col("v") * F.col("c")).alias("s"))
     other = basis.select(F.col("u").alias("t"), F.col("k").alias("j"), F.col("c").alias("d"))
     dct = by_row.join(F.broadcast(other), by_row["gy"] == other["j"]).groupBy("image_id", "t", "u").agg(F.sum(F.col("s") * F.col("d")).alias("f"))
