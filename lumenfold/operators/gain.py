@@ -370,13 +370,16 @@ def shade(mosaic: DataFrame, shading: DataFrame, roles: tuple[int, int, int, int
     j = j.withColumn("channel", channel).withColumn("_fx", place("x", "w", "mw")).withColumn("_fy", place("y", "h", "mh"))
     j = j.withColumn("_x0", F.floor("_fx")).withColumn("_y0", F.floor("_fy"))
     tx, ty = F.col("_fx") - F.col("_x0"), F.col("_fy") - F.col("_y0")
-    taps = F.array(*[
-        F.struct(F.least(F.col("_x0") + dx, F.col("mw") - 1).alias("mx"), F.least(F.col("_y0") + dy, F.col("mh") - 1).alias("my"), ((tx if dx else 1 - tx) * (ty if dy else 1 - ty)).alias("w"))
-        for dx in (0, 1) for dy in (0, 1)
-    ])
-    t = j.select("image_id", "y", "x", "v", "channel", F.explode(taps).alias("t")).select("image_id", "y", "x", "v", "channel", "t.mx", "t.my", F.col("t.w").alias("part"))
-    nodes = F.broadcast(shading.select("channel", F.col("x").cast("long").alias("mx"), F.col("y").cast("long").alias("my"), "gain"))
-    return t.join(nodes, ["channel", "mx", "my"]).groupBy("image_id", "y", "x").agg((F.max("v") * F.sum(F.col("part") * F.col("gain"))).alias("v"))
+    # each node of the map, a fixed few thousand rows, with its right, lower and diagonal neighbours; the last ones are their own
+    nodes = shading.select("channel", F.col("x").cast("long").alias("_x0"), F.col("y").cast("long").alias("_y0"), F.col("gain").alias("g00"))
+    for name, dx, dy in (("g10", 1, 0), ("g01", 0, 1), ("g11", 1, 1)):
+        near = shading.select(F.col("channel").alias("_c"), F.col("x").cast("long").alias("_nx"), F.col("y").cast("long").alias("_ny"), F.col("gain").alias(name))
+        at = nodes.crossJoin(F.broadcast(size))
+        on = (F.col("channel") == F.col("_c")) & (F.least(F.col("_x0") + dx, F.col("mw") - 1) == F.col("_nx")) & (F.least(F.col("_y0") + dy, F.col("mh") - 1) == F.col("_ny"))
+        nodes = at.join(F.broadcast(near), on).drop("_c", "_nx", "_ny", "mw", "mh")
+    j = j.join(F.broadcast(nodes), ["channel", "_x0", "_y0"])
+    blend = (F.col("g00") * (1 - tx) + F.col("g10") * tx) * (1 - ty) + (F.col("g01") * (1 - tx) + F.col("g11") * tx) * ty
+    return j.select("image_id", "y", "x", (F.col("v") * blend).alias("v"))
 
 
 def calibrate(mosaic: DataFrame, lut: DataFrame, shading: DataFrame, images: DataFrame) -> DataFrame:

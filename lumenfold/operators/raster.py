@@ -297,7 +297,8 @@ def resample_to(pixels: DataFrame, targets: DataFrame, values: Sequence[str] = (
             extent, node = F.ceil(F.col(side) / F.pow(lit(2), j)), F.floor(F.col(at) / F.pow(lit(2), j + 1))
             return w / F.least(lit(2), extent - 2 * node)
 
-        return F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda j: j < k), lit(1), level)
+        # most sides are not halved at all, and then nothing is worked out
+        return F.when(k == 0, lit(1)).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), lit(1), level))
 
     s = sizes.withColumns({"_hx": halvings("w", "tw"), "_hy": halvings("h", "th")})
     j = pixels.join(s, "image_id").withColumn("_weight", weight("x", "w", F.col("_hx.k")) * weight("y", "h", F.col("_hy.k")))

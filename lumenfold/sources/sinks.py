@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from . import versions
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], guards: Sequence[tuple[str, DataFrame]], folder: str, dry_run: bool = False) -> list[str]:
+def publish(spark: SparkSession, tables: dict[str, DataFrame], guards: Sequence[tuple[str, DataFrame]], folder: str, dry_run: bool = False, order: dict[str, list[str]] | None = None) -> list[str]:
     """Write all tables as one commit of the folder, once every guard is empty; returns the broken guards.
 
+    order: columns that a table is sorted by, over all its files; a table of ids, groups or paths should name its key.
     Readers see all of the tables (versions.read_table) or none: what went before stays whole until the commit is there.
     """
     broken = [name for name, rows in guards if not rows.isEmpty()]
     if broken or dry_run:
         return broken
-    versions.commit_tables(spark, folder, tables)
+    versions.commit_tables(spark, folder, tables, order=order)
     return []
 
 

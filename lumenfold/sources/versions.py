@@ -57,11 +57,12 @@ def _put_commit(spark: SparkSession, folder: str, commit: dict) -> None:
 
 
 def commit_tables(
-    spark: SparkSession, folder: str, tables: dict[str, DataFrame], formats: dict[str, str] | None = None, add_to: tuple[str, ...] = (), base: dict | None = None
-) -> int:
+    spark: SparkSession, folder: str, tables: dict[str, DataFrame], formats: dict[str, str] | None = None, add_to: tuple[str, ...] = (), base: dict | None = None,
+    order: dict[str, list[str]] | None = None,
+) -> int:
     """Write the tables as a new version and make it current; tables in add_to keep their parts and get one more.
 
-    base: the commit that the tables were made from; another one since then is an error.
+    order: columns that a table's files, by their names, and the rows in them are sorted by.  base: the commit that the tables were made from; another one since then is an error.
     """
     before = latest(spark, folder)
     if base is not None and (before or {}).get("number") != base.get("number"):
@@ -71,6 +72,8 @@ def commit_tables(
     for name, df in tables.items():
         kind = (formats or {}).get(name, "parquet")
         part = f"data/{version}/{name}"
+        if order and name in order:
+            df = df.repartitionByRange(*order[name]).sortWithinPartitions(*order[name])
         df.write.format(kind).save(f"{folder}/{part}")
         parts = found[name]["parts"] if name in add_to and name in found else []
         schema = df.schema.json()

@@ -116,3 +116,12 @@ def test_ingest_of_a_stream(spark, tmp_path):
         q.awaitTermination(60)
         assert len(seen) == k + 1
     assert seen == [1, 2, 1]
+
+
+def test_sorted_tables(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("pmod(xxhash64(id), 1000) AS g", "id AS v").repartition(7)
+    sinks.publish(spark, {"a": rows}, [], str(tmp_path), order={"a": ["g", "v"]})
+    part = versions.latest(spark, str(tmp_path))["tables"]["a"]["parts"][0]
+    files = sorted(p for p in (tmp_path / part).iterdir() if p.name.startswith("part-"))
+    written = [(r.g, r.v) for f in files for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    assert len(written) == 5000 and written == sorted(written)
