@@ -147,7 +147,7 @@ def st5_running_statistics(spark, d):
     return T.rounded(found.selectExpr("cast(start AS timestamp_ntz) AS hour", "event_type", "n", "mean", "worst", "q[0] AS p50", "q[1] AS p95"))
 
 
-@query("""SELECT o_custkey::VARCHAR AS tool, 'in/' || o_orderkey AS input, o_orderstatus <> 'P' AS success, round(o_totalprice / 1000 + o_orderkey % 7, 6) AS total_ms, round(o_totalprice / 100000, 6) AS rendered_peak FROM orders""")
+@query("""SELECT o_custkey::VARCHAR AS tool, 'in/' || o_orderkey AS input, o_orderstatus <> 'P' AS success, round(o_totalprice / 1000 + o_orderkey % 7, 6) AS total_ms, round(o_totalprice / 10000, 6) AS rendered_peak FROM orders""")
 def sink4_src4_run_reports(spark, d):
     """Results gathered into one report a run, written as JSON, and read back file by file."""
     from lumenfold.sources.manifests import read_reports
@@ -155,7 +155,7 @@ def sink4_src4_run_reports(spark, d):
 
     results = T.read(spark, d, "orders").selectExpr(
         "o_custkey AS run", "concat('in/', o_orderkey) AS input", "o_orderstatus <> 'P' AS success", "o_totalprice / 1000 AS decode_ms", "cast(o_orderkey % 7 AS double) AS process_ms",
-        "named_struct('rendered_peak', o_totalprice / 100000) AS render",
+        "named_struct('rendered_peak', o_totalprice / 10000) AS render",
     )
     settings = results.select("run").distinct().selectExpr("run", "8 AS schema", "cast(run AS string) AS tool", "map('depth', '10') AS settings")
     folder = scratch_folder(spark, "reports")
