@@ -34,6 +34,7 @@ from lumenfold.functions.expr import (
     srgb_to_linear,
 )
 
+from . import hashes
 from .audit import floor_rank
 from .tiles import box_kernel, by_tile
 
@@ -600,23 +601,4 @@ def area_hashes(pixels: DataFrame, value: str = "luma") -> DataFrame:
     phash: area mean to 32 x 32, the 8 x 8 lowest DCT frequencies, each at least the median of the 63 that are not
     constant; dhash: area mean to 9 x 8, each right neighbour at least its left one.  Bits go from the top.
     """
-    import math
-
-    spark = pixels.sparkSession
-    n = 32
-    small = area_average(pixels, value, n, n)
-    # the orthonormal transform: its constant row has another weight, which decides about bits near the median
-    basis = spark.createDataFrame(
-        [(u, k, math.sqrt((1 if u == 0 else 2) / n) * math.cos(math.pi * (2 * k + 1) * u / (2 * n))) for u in range(8) for k in range(n)], "u int, k int, c double"
-    )
-    by_row = small.join(F.broadcast(basis), small["gx"] == basis["k"]).groupBy("image_id", "gy", "u").agg(F.sum(F.col("v") * F.col("c")).alias("s"))
-    other = basis.select(F.col("u").alias("t"), F.col("k").alias("j"), F.col("c").alias("d"))
-    dct = by_row.join(F.broadcast(other), by_row["gy"] == other["j"]).groupBy("image_id", "t", "u").agg(F.sum(F.col("s") * F.col("d")).alias("f"))
-    median = dct.filter("t + u > 0").groupBy("image_id").agg(F.percentile("f", F.lit(0.5)).alias("m"))
-    bit = lambda index, on: F.bit_or(F.when(on, F.call_function("shiftleft", F.lit(1).cast("long"), (63 - index).cast("int"))).otherwise(F.lit(0).cast("long")))
-    phash = dct.join(median, "image_id").groupBy("image_id").agg(bit(F.col("t") * 8 + F.col("u"), F.col("f") >= F.col("m")).alias("phash"))
-    wide = area_average(pixels, value, 9, 8)
-    left = F.lag("v").over(Window.partitionBy("image_id", "gy").orderBy("gx"))
-    steps = wide.withColumn("_left", left).filter("gx > 0")
-    dhash = steps.groupBy("image_id").agg(bit(F.col("gy") * 8 + F.col("gx") - 1, F.col("v") >= F.col("_left")).alias("dhash"))
-    return phash.join(dhash, "image_id")
+    return hashes.area_hashes(pixels, image_sizes(pixels), value)

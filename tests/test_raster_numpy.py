@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lumenfold.operators import gain, raster
+from lumenfold.operators import gain, hashes, raster
 
 P3 = np.array([0.2289746, 0.6917385, 0.0792869])
 
@@ -131,3 +131,17 @@ def test_tiled_filters_leave_no_trace_of_tiles(spark):
     got = raster.box_mean(cells, "v", 3, "m").filter(F.col("gx").between(250, 262)).toPandas()
     for r in got.itertuples():
         assert abs(r.m - g[:, max(0, r.gx - 3) : r.gx + 4].mean()) < 1e-9
+
+
+def test_perceptual_hashes_stream(spark):
+    """Cells of an image are never rows, and an image in parts has the hashes that it has as a whole."""
+    rng = np.random.default_rng(8)
+    images = {f"i{k}": [rng.random(size)] for k, size in enumerate([(8, 8), (61, 40), (1, 1), (3, 70), (300, 5)])}
+    pixels = frame(spark, images, ["luma"]).withColumn("luma", F.when(F.col("x") * 7 + F.col("y") != 12, F.col("luma"))).filter("NOT (x = 2 AND y = 1)")
+    sizes = raster.image_sizes(pixels)
+    whole = {r.image_id: (r.phash, r.dhash) for r in raster.area_hashes(pixels).collect()}
+    assert len(whole) == 5
+    for part in (1, 64, 500):
+        assert {r.image_id: (r.phash, r.dhash) for r in hashes.area_hashes(pixels, sizes, "luma", part).collect()} == whole
+    plan = raster.area_hashes(pixels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
