@@ -127,7 +127,11 @@ def photographic_gain(pixels: DataFrame, images: DataFrame, look: Look = Look(),
     curve = look.curve
     environment, guide = F.col("_environment"), F.col("_guide")
     floor = min(1.0, max(0.0, look.diffuse_floor + 0.2 * look.pop))
-    x = R.with_grid_sizes(R.cell_means(pixels)).join(images, "image_id")
+    ensure_checkpoint_dir(pixels.sparkSession)
+    # one row an image: its development and its grid's size
+    gw, gh = R.grid_size(F.col("w"), F.col("h"))
+    sized = R.image_sizes(pixels).select("image_id", gw.alias("grid_w"), gh.alias("grid_h")).join(images, "image_id")
+    x = R.cell_means(pixels).join(sized, "image_id")
     for name, radius in zip(("_environment", "_guide"), radii_of(F.col("grid_w"), F.col("grid_h")), strict=True):
         x = x.withColumn(name, radius)
     x = x.withColumn("scene", F.col("cell_mean") * exp2(F.col("exposure_ev")))
@@ -135,25 +139,30 @@ def photographic_gain(pixels: DataFrame, images: DataFrame, look: Look = Look(),
     raised = F.greatest(lit(0), F.log2((F.col("_hdr") + EPS) / (F.col("sdr") + EPS)))
     x = x.withColumn("global_gain", F.when(F.col("scene") <= curve["shoulder_in"], lit(0)).otherwise(raised))
     x = x.withColumn("_log", F.log2(F.col("scene") + EPS)).withColumn("_log2", F.col("_log") * F.col("_log"))
-    x = R.box_means(x, {"_log": "_near", "_log2": "_near2"}, environment)
+    x = R.box_means(x, {"_log": "_near", "_log2": "_near2", "sdr": "local"}, environment)
     contrast = F.log2((F.col("scene") + EPS) / (exp2(F.col("_near")) + EPS))
     absolute = smoothstep(0.7, 1.5, F.col("sdr") * exp2(F.col("global_gain")))
     weight = floor + (1 - floor) * smoothstep(1.0, 2.5, contrast) * absolute
     iso = F.when(finite(F.col("iso")) & (F.col("iso") > 0), smoothstep(800.0, 25600.0, F.col("iso"))).otherwise(lit(0.35))
     noise = iso * (1 - smoothstep(0.03, 0.2, F.col("sdr"))) * smoothstep(0.005, 0.07, F.greatest(lit(0), F.col("_near2") - F.col("_near") * F.col("_near")))
     x = x.withColumn("gain", clamp(weight * (1 - noise), 0.0, 1.0) * F.col("global_gain"))
-    x = R.guided_filter(x.select("image_id", "gy", "gx", "sdr", F.col("sdr").alias("guide"), "gain", "global_gain", "headroom", "_environment", "_guide"), guide)
+    x = R.guided_filter(x.select("image_id", "gy", "gx", "sdr", F.col("sdr").alias("guide"), "gain", "global_gain", "headroom", "local", "_guide"), guide)
     support = smoothstep(curve["shoulder_out"] * 0.45, curve["shoulder_out"] * 1.05, F.col("sdr"))
-    x = x.select("image_id", "gy", "gx", "sdr", (F.greatest(lit(0), F.col("filtered")) * support).alias("gain"), (F.col("headroom") * min(strength, 1.0)).alias("_target"), "_environment")
+    x = x.select("image_id", "gy", "gx", "sdr", (F.greatest(lit(0), F.col("filtered")) * support).alias("gain"), (F.col("headroom") * min(strength, 1.0)).alias("_target"), "local")
+    # each choice below reads the cells again, and the filters before must not run again for it
+    x = x.checkpoint()
+
     # the field's own peak becomes the headroom, so its shape stays
-    peaks = x.groupBy("image_id").agg(F.max("gain").alias("_peak"))
-    scaled = F.when(F.col("_target") <= EPS, lit(0)).when(F.col("_peak") > EPS, F.col("gain") * F.col("_target") / F.col("_peak")).otherwise(F.col("gain"))
-    x = x.join(peaks, "image_id").withColumn("gain", scaled)
-    tops = x.groupBy("image_id").agg((F.round(F.max("gain") * 1e6) / 1e6).alias("gain_max"))
-    x = x.join(tops, "image_id").withColumn("v", F.when(F.col("gain_max") > EPS, clamp(F.col("gain") / F.col("gain_max"), 0.0, 1.0)).otherwise(lit(0)))
+    def scaled(gain: str) -> Column:
+        return F.when(F.col("_target") <= EPS, lit(0)).when(F.col("_peak") > EPS, F.col(gain) * F.col("_target") / F.col("_peak")).otherwise(F.col(gain))
+
+    # scaling keeps the order of gains, so the greatest one is the scaled peak
+    peaks = x.groupBy("image_id").agg(F.max("gain").alias("_peak"), F.max("_target").alias("_target"))
+    peaks = peaks.select("image_id", "_peak", (F.round(scaled("_peak") * 1e6) / 1e6).alias("gain_max"))
+    x = x.join(peaks, "image_id").withColumn("gain", scaled("gain"))
+    x = x.withColumn("v", F.when(F.col("gain_max") > EPS, clamp(F.col("gain") / F.col("gain_max"), 0.0, 1.0)).otherwise(lit(0)))
     x = x.join(R.choose_gamma(x.select("image_id", "gy", "gx", "v")), "image_id")
     x = x.withColumn("code", R.quantize_dithered(F.pow("v", F.col("gamma")), F.col("gx"), F.col("gy")) / 255.0)
-    x = R.box_mean(x, "sdr", environment, "local")
     return x.select("image_id", "gy", "gx", "sdr", "gain", "code", "gain_max", "gamma", "local")
 
 
@@ -166,12 +175,12 @@ def radii_of(grid_w: Column, grid_h: Column) -> tuple[Column, Column]:
 def render_base(pixels: DataFrame, images: DataFrame, cells: DataFrame, look: Look = Look(), strength: float = 1.0) -> DataFrame:
     """Full-size SDR base of scene-referred images of any sizes with clarity, common chroma and gamut limit; hdr and sdr luminance."""
     curve = look.curve
-    # one row an image: its sizes, and what its cells agree on
+    # one row an image: its sizes, its development, and what its cells agree on
     meta = cells.groupBy("image_id").agg(
         F.max("gain_max").alias("gain_max"), F.max("gamma").alias("gamma"), (F.max("gx") + 1).alias("_gw"), (F.max("gy") + 1).alias("_gh")
-    ).join(R.image_sizes(pixels), "image_id")
+    ).join(R.image_sizes(pixels), "image_id").join(images, "image_id")
     at = pixels.join(meta, "image_id")
-    x = R.bilinear_values(at, cells, ["local", "code"], (F.col("_gw"), F.col("_gh"), F.col("w"), F.col("h"))).drop("_gw", "_gh", "w", "h").join(images, "image_id")
+    x = R.bilinear_values(at, cells, ["local", "code"], (F.col("_gw"), F.col("_gh"), F.col("w"), F.col("h"))).drop("_gw", "_gh", "w", "h")
     for c in ("r", "g", "b"):
         x = x.withColumn(c, R.positive(c) * exp2(F.col("exposure_ev")))
     x = x.withColumn("scene", p3_luminance(F.col("r"), F.col("g"), F.col("b"))).withColumn("_t", R.tone_curve(F.col("scene"), 1.0, curve))

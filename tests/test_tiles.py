@@ -101,3 +101,22 @@ def test_render_all_of_mixed_sizes(spark):
         one = gain.render_all(pixels.filter(F.col("image_id") == k), images.filter(F.col("image_id") == k))
         alone_base, alone_gains = (df.toPandas().set_index(["image_id", *places]).sort_index() for df, places in zip(one, (["y", "x"], ["gy", "gx"]), strict=True))
         assert np.allclose(base.loc[[k]][["r", "g", "b"]], alone_base[["r", "g", "b"]]) and np.allclose(gains.loc[[k]].gain, alone_gains.gain)
+
+
+def test_small_tiles_are_worked_on_together(spark):
+    """A task's small tiles of several shapes and radii are one call of the kernel, with each tile's own result."""
+    rows = [(k, y, x, float((k * 7 + y * 3 + x) % 11)) for k in range(60) for y in range(2 + k % 3) for x in range(3 + k % 2)]
+    df = spark.createDataFrame(rows, "image_id long, gy long, gx long, v double").repartition(1)
+    calls = df.sparkSession.sparkContext.accumulator(0)
+    box = tiles.box_kernel()
+
+    def counted(*args):
+        calls.add(1)
+        return box(*args)
+
+    got = tiles.by_tile(df, F.col("image_id") % 3, ["v"], ["m"], counted).collect()
+    assert len(got) == len(rows) and calls.value <= 4  # partitions, not 60
+    by = {r[:3]: r[3] for r in rows}
+    for r in got:
+        near = [v for (k, y, x), v in by.items() if k == r.image_id and abs(y - r.gy) <= k % 3 and abs(x - r.gx) <= k % 3]
+        assert abs(r.m - sum(near) / len(near)) < 1e-9
