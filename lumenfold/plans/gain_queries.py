@@ -42,7 +42,7 @@ def ra8_photographic_gain(spark, d):
 def ra9_ag24_render_statistics(spark, d):
     images = _developed(spark, d)
     p = T.pixels(spark, d)
-    cells = G.photographic_gain(p, images)
+    cells = G.photographic_gain(p, images).checkpoint()  # read twice; small next to the pixels
     rendered = G.render_base(p, images.drop("iso"), cells)
     return T.rounded(G.render_statistics(rendered, images), 4)
 
