@@ -12,7 +12,7 @@ from lumenfold.functions.expr import clamp, exp2, finite, lit, safe_rate
 from .audit import floor_rank
 from .labels import XMP_SOURCE
 from .ranking import with_rank
-from .selection import quantiles
+from .selection import FEW, gathered_quantile, largest_group, quantiles
 
 
 #: Stops of a fixed target scale, the gain of a highlight on it, and what still counts as no gain.
@@ -85,11 +85,15 @@ def bucketed_errors(cells: DataFrame) -> DataFrame:
     per = cells.groupBy("sample_id", "source").agg(
         F.sum(e).alias("e"), F.count("*").alias("n"), F.abs(F.avg("prediction") - F.avg("target")).alias("mean_error"), *in_band
     )
-    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("prediction", "target")])).alias("s")
-    top = quantiles(cells.select("sample_id", sides).select("sample_id", "s.*"), "v", (0.95,), ("sample_id", "side"))
-    high = top.groupBy("sample_id").agg(
-        F.abs(F.sum(F.when(F.col("side") == "prediction", F.col("q")[0])) - F.sum(F.when(F.col("side") == "target", F.col("q")[0]))).alias("p95_error")
-    )
+    if largest_group(cells, ["sample_id"]) <= FEW:
+        # samples of a few cells are gathered beside their sums, so the cells are dealt once
+        high = cells.groupBy("sample_id").agg(F.abs(gathered_quantile("prediction", 0.95) - gathered_quantile("target", 0.95)).alias("p95_error"))
+    else:
+        sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("prediction", "target")])).alias("s")
+        top = quantiles(cells.select("sample_id", sides).select("sample_id", "s.*"), "v", (0.95,), ("sample_id", "side"))
+        high = top.groupBy("sample_id").agg(
+            F.abs(F.sum(F.when(F.col("side") == "prediction", F.col("q")[0])) - F.sum(F.when(F.col("side") == "target", F.col("q")[0]))).alias("p95_error")
+        )
     whole = [F.struct(b.alias("bucket"), F.lit(True).alias("whole"), F.col("e").alias("e"), F.col("n").alias("n")) for b in (F.lit("all"), F.col("source"))]
     bands = [
         F.struct(F.lit(b).alias("bucket"), F.lit(False).alias("whole"), F.coalesce(f"e{k}", lit(0)).alias("e"), F.col(f"n{k}").alias("n"))

@@ -35,6 +35,20 @@ def _in_ranges(rows: DataFrame, wanted: DataFrame, by: Sequence[str]) -> DataFra
     return rows.alias("r").join(ranges.alias("w"), on).select("r.*", "w._lo", "w._hi", "w._below")
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group; only counts are shuffled."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def gathered_quantile(value: str, p: float) -> Column:
+    """Aggregate: the quantile of a group's finite values, linear between ranks; the group must be small, as it is gathered."""
+    v = F.col(value).cast("double")
+    ordered = F.array_sort(F.collect_list(F.when(finite(v), v)))
+    place = F.lit(float(p)) * (F.size(ordered) - 1)
+    low, high = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
+    return low + (high - low) * (place - F.floor(place))
+
+
 def quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = (), few: int = FEW, bins: int = BINS) -> DataFrame:
     """(*by, n, v_min, v_max, q: array of the points' quantiles) of the finite values, linear between ranks.
 

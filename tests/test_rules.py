@@ -167,3 +167,19 @@ def test_snapshot(spark):
     then, now = (spark.createDataFrame(x, "name string, sha256 string") for x in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "9")]))
     assert {r.name: r.matches for r in audit.snapshot_matches(then, now).collect()} == {"a": True, "b": False, "c": False}
 
+
+
+def test_bucketed_errors_of_small_samples_gather_once(spark, monkeypatch):
+    """Samples of a few cells take no refinement of histograms, and give what it gives."""
+    from lumenfold.operators import selection
+
+    nan = float("nan")
+    rows = [(f"s{k % 7}", "ab"[k % 7 % 2], (k * 37 % 101) / 20, (k * 53 % 97) / 30) for k in range(200)] + [("s8", "a", nan, 1.0), ("s8", "a", 2.0, 1.5), ("s9", "b", nan, 2.0)]
+    cells = spark.createDataFrame(rows, "sample_id string, source string, prediction double, target double").repartition(3)
+    read = lambda: {r.bucket: tuple(r)[1:] for r in metrics.bucketed_errors(cells).collect()}
+    monkeypatch.setattr(metrics, "FEW", 0)
+    refined = read()
+    monkeypatch.undo()
+    monkeypatch.setattr(metrics, "quantiles", None)
+    assert str(read()) == str(refined)
+    assert selection.largest_group(cells, ["sample_id"]) == 29
