@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, ids_of, loads8, mix, segment_hash, text_buffer
+from .arrays import U, groups_of, ids_of, loads8, mix, segment_hash, text_buffer
 from .common import free_name
 from .repeats import SHARD_BYTES, FREQUENT, Meeting, Windows, code_of, covered, ids_out, run_meeting
 
 LENGTH = 50
 GRAM = 16
 CHUNK = 1 << 14
+#: Low bits of a key, which hold a gram's place in its chunk.
+PLACE = U((1 << 20) - 1)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SCHEMA_TEXT = SCHEMA + ", kept_text string"
 
@@ -48,27 +50,29 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
     n, span = int(offsets[-1]), length - GRAM + 1
     view = loads8(buf)
     index = np.arange(CHUNK + span, dtype=U)
+    # one set of arrays for all chunks, small enough to stay in a core's cache
+    words, keys, least = (np.empty(CHUNK + span + 8, U) for _ in range(3))
     starts, anchors, hashes = [], [], []
     for at in range(0, n - length + 1, CHUNK):
         grams = min(CHUNK, n - length + 1 - at) + span - 1
-        w = np.array(view[at : at + grams + 8])
-        h = w[:grams] * U(0x9E3779B97F4A7C15)
-        h ^= h >> U(29)
+        w, h, x = words[: grams + 8], keys[:grams], least[:grams]
+        np.copyto(w, view[at : at + grams + 8])
+        np.multiply(w[:grams], U(0x9E3779B97F4A7C15), out=h)
+        np.right_shift(h, U(29), out=x)
+        h ^= x
         h += w[8:]
         h *= U(0xC2B2AE3D27D4EB4F)
-        # The position stands below the hash, so the minimum tells where it is; of equal hashes the first.
-        x = h >> U(20)
-        x <<= U(20)
+        # The position stands in place of the hash's low bits, so the minimum tells where it is; of equal hashes the first.
+        np.bitwise_and(h, ~PLACE, out=x)
         x |= index[:grams]
         done = 1
-        while 2 * done <= span:
-            x = np.minimum(x[:-done], x[done:])
-            done *= 2
-        if span > done:
-            x = np.minimum(x[: done - span], x[span - done :])
-        x &= U((1 << 20) - 1)
+        while done < span:
+            step = min(done, span - done)
+            np.minimum(x[:-step], x[step:], out=x[:-step])
+            x = x[:-step]
+            done += step
         new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        place = x[new].astype(np.int64)
+        place = (x[new] & PLACE).astype(np.int64)
         starts.append(new + at)
         anchors.append(place + at)
         hashes.append(h[place])
@@ -77,7 +81,8 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
     start, anchor, h = np.concatenate(starts), np.concatenate(anchors), np.concatenate(hashes)
     size = np.diff(offsets)
     first = offsets[:-1][size >= length]
-    both = np.union1d(start, first)
+    both = np.sort(np.concatenate([start, first]))
+    both = both[groups_of(both)]
     k = np.searchsorted(start, both, "right") - 1
     doc = np.searchsorted(offsets, both, "right") - 1
     end = np.minimum(np.append(both[1:], n), offsets[doc + 1] - length + 1)
@@ -119,14 +124,13 @@ def _finish(with_text: bool):
     def run(s: State, lows: np.ndarray, highs: np.ndarray, length: int) -> pa.Table:
         n = int(s.offsets[-1])
         gone = covered(lows, highs, length, n)
-        total = np.concatenate([[0], np.cumsum(gone)])
+        total = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)]).astype(np.int64)
         removed = total[s.offsets[1:]] - total[s.offsets[:-1]]
         rise = gone.copy()
         rise[1:] &= ~gone[:-1]
         starts = s.offsets[:-1][s.offsets[:-1] < n]
         rise[starts] = gone[starts]
-        total = np.concatenate([[0], np.cumsum(rise)])
-        spans = total[s.offsets[1:]] - total[s.offsets[:-1]]
+        spans = np.diff(np.searchsorted(np.flatnonzero(rise), s.offsets))
         hashes, texts = [], []
         for a, b, r in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), removed.tolist(), strict=True):
             kept = s.buf[a:b] if not r else s.buf[a:b][~gone[a:b]]
